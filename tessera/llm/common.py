@@ -4,7 +4,11 @@ from __future__ import annotations
 
 import tempfile
 import uuid
+from collections.abc import Iterator
 
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -38,3 +42,16 @@ def stored(df: DataFrame, name: str) -> DataFrame:
 def ascii_lower(text: Column) -> Column:
     """Lower-case A-Z and nothing else."""
     return F.translate(text, UPPER, UPPER.lower())
+
+
+def text_slices(batch: pa.RecordBatch, column: str, bytes_at_once: int = 1 << 20) -> Iterator[pa.RecordBatch]:
+    """Parts of a batch with about so many bytes of text, a single long text aside."""
+    if not batch.num_rows:
+        return
+    sizes = np.cumsum(np.asarray(pc.binary_length(batch.column(column)).fill_null(0), dtype=np.int64))
+    start = 0
+    while start < batch.num_rows:
+        before = int(sizes[start - 1]) if start else 0
+        end = max(start + 1, int(np.searchsorted(sizes, before + bytes_at_once, side="right")))
+        yield batch.slice(start, end - start)
+        start = end
