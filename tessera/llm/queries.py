@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tessera.llm import bpe, mixing
+from tessera.llm import bpe, langid, mixing, warc
 from tessera.llm.common import table
 from tessera.llm.exact_dedup import exact_dedup
 from tessera.llm.mixing import poisson_mix
@@ -19,6 +19,14 @@ def op1_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("doc_id", "source", F.col("__copies").alias("copies"), F.col("__copy").alias("copy_no"), F.col("__order").alias("shuffle_key"), "text")
 
 
+def op3_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return warc.round_trip(table(spark, sf_dir, "pages"))
+
+
+def op4_langid(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return langid.identify(table(spark, sf_dir, "documents")).select("doc_id", "held_out", "lang_pred", "score", F.size("languages").alias("n_languages"))
+
+
 def op7_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact_dedup(table(spark, sf_dir, "documents"))
 
@@ -33,6 +41,8 @@ def op10_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_mixing": op1_mixing,
+    "op3_warc": op3_warc,
+    "op4_langid": op4_langid,
     "op7_exact_dedup": op7_exact_dedup,
     "op9_topk": op9_topk,
     "op10_bpe": op10_bpe,
@@ -64,6 +74,14 @@ FROM (SELECT *, unnest(generate_series(1, copies)) AS k FROM counted WHERE copie
 
 SQL: dict[str, str] = {
     "op1_mixing": _mixing_sql(),
+    "op3_warc": f"""
+WITH p AS (SELECT page_id, coalesce(html, '') AS body, sha1(coalesce(html, '')) AS payload_digest, strlen(coalesce(html, '')) AS payload_bytes FROM pages),
+s AS (SELECT *, CASE WHEN payload_bytes >= {warc.REVISIT_BYTES} THEN max(page_id) OVER (PARTITION BY body) END AS stored_id FROM p)
+SELECT page_id, payload_bytes, payload_digest, CASE WHEN stored_id <> page_id THEN 'revisit' ELSE 'response' END AS record_type,
+  CASE WHEN stored_id <> page_id THEN stored_id END AS refers_to,
+  CASE WHEN stored_id <> page_id THEN 1 ELSE greatest(1, ceil(length(body) / {float(warc.CHUNK)}))::int END AS chunks
+FROM s
+""",
     "op7_exact_dedup": """
 WITH n AS (SELECT doc_id, translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS t FROM documents),
 g AS (SELECT *, max(doc_id) OVER (PARTITION BY t) AS keep_id, count(*) OVER (PARTITION BY t) AS group_size FROM n)
