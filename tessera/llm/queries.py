@@ -11,6 +11,7 @@ from tessera.llm import bpe, langid, mixing, warc
 from tessera.llm.common import table
 from tessera.llm.exact_dedup import exact_dedup
 from tessera.llm.mixing import poisson_mix
+from tessera.llm.ngram_join import ngram_join
 from tessera.llm.topk import exact_top_k
 
 
@@ -27,6 +28,10 @@ def op4_langid(spark: SparkSession, sf_dir: str) -> DataFrame:
     return langid.identify(table(spark, sf_dir, "documents")).select("doc_id", "held_out", "lang_pred", "score", F.size("languages").alias("n_languages"))
 
 
+def op5_ngram_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return ngram_join(table(spark, sf_dir, "documents"))
+
+
 def op7_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact_dedup(table(spark, sf_dir, "documents"))
 
@@ -43,6 +48,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_mixing": op1_mixing,
     "op3_warc": op3_warc,
     "op4_langid": op4_langid,
+    "op5_ngram_join": op5_ngram_join,
     "op7_exact_dedup": op7_exact_dedup,
     "op9_topk": op9_topk,
     "op10_bpe": op10_bpe,
