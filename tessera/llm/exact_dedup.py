@@ -19,6 +19,8 @@ from tessera.llm.common import ascii_lower, stored
 HOT_TEXTS = 100_000
 #: A text with no more copies than this is never split.
 LEAST_HOT = 256
+#: Characters of a text that lead the sort.
+HEAD = 48
 
 
 def with_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", keep: str = "largest", least_hot: int = LEAST_HOT) -> DataFrame:
@@ -36,15 +38,17 @@ def with_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
         keyed = keyed.withColumn("__n", F.lit(None).cast("long")).withColumn("__salt", F.lit(0))
     best = F.max(id_col) if keep == "largest" else F.min(id_col)
     order = F.col(id_col).desc_nulls_last() if keep == "largest" else F.col(id_col).asc_nulls_last()
-    same = Window.partitionBy("__norm", "__salt").orderBy(order)
+    # the splitters that Spark samples are short: the head of a text, then a hash that parts texts with equal heads
+    keyed = keyed.withColumn("__head", F.substring("__norm", 1, HEAD)).withColumn("__hash", F.xxhash64("__norm"))
+    same = Window.partitionBy("__head", "__hash", "__salt", "__norm").orderBy(order)
     whole = same.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
     out = (
-        keyed.repartitionByRange("__norm", "__salt")
+        keyed.repartitionByRange("__head", "__hash", "__salt")
         .withColumn("__keep", best.over(whole))
         .withColumn("__size", F.count(F.lit(1)).over(whole))
         .withColumn("__first", F.row_number().over(same) == 1)
         .withColumn("__sha", F.sha2(F.encode("__norm", "UTF-8"), 256))
-        .drop("__norm")
+        .drop("__norm", "__head", "__hash")
     )
     if some:
         merged = keyed.where(F.col("__n").isNotNull()).groupBy(F.sha2(F.encode("__norm", "UTF-8"), 256).alias("__sha")).agg(best.alias("__all_keep"), F.count(F.lit(1)).alias("__all_size"))
