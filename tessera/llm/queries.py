@@ -12,6 +12,7 @@ from tessera.llm.common import table
 from tessera.llm.exact_dedup import exact_dedup
 from tessera.llm.mixing import poisson_mix
 from tessera.llm.ngram_join import ngram_join
+from tessera.llm.repeats import remove_repeats
 from tessera.llm.topk import exact_top_k
 
 
@@ -32,6 +33,11 @@ def op5_ngram_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ngram_join(table(spark, sf_dir, "documents"))
 
 
+def op6_repeats(spark: SparkSession, sf_dir: str) -> DataFrame:
+    out = remove_repeats(table(spark, sf_dir, "documents"))
+    return out.select("doc_id", "n_bytes", (F.col("n_bytes") - F.octet_length("kept")).alias("n_removed"), F.size("removed").cast("long").alias("n_spans"), F.sha2("kept", 256).alias("kept_sha256"))
+
+
 def op7_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact_dedup(table(spark, sf_dir, "documents"))
 
@@ -49,6 +55,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op3_warc": op3_warc,
     "op4_langid": op4_langid,
     "op5_ngram_join": op5_ngram_join,
+    "op6_repeats": op6_repeats,
     "op7_exact_dedup": op7_exact_dedup,
     "op9_topk": op9_topk,
     "op10_bpe": op10_bpe,
