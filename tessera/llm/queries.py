@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tessera.llm import bpe, langid, mixing, warc
+from tessera.llm import bpe, chat, langid, mixing, token_counts, warc
 from tessera.llm.common import table
 from tessera.llm.exact_dedup import exact_dedup
 from tessera.llm.mixing import poisson_mix
@@ -21,6 +21,12 @@ def op1_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("doc_id", "source", F.col("__copies").alias("copies"), F.col("__copy").alias("copy_no"), F.col("__order").alias("shuffle_key"), "text")
 
 
+def op2_chat(spark: SparkSession, sf_dir: str) -> DataFrame:
+    out = chat.rotate(table(spark, sf_dir, "conversations"))
+    mask = F.array_join(F.transform("mask", lambda m: F.concat_ws("-", m["start"].cast("string"), m["stop"].cast("string"))), ",")
+    return out.select("conv_id", "speaker", F.col("part").cast("long").alias("part"), F.col("starts_at").cast("long").alias("starts_at"), F.col("n_messages").cast("long").alias("n_messages"), "text", mask.alias("mask"))
+
+
 def op3_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     return warc.round_trip(table(spark, sf_dir, "pages"))
 
@@ -42,6 +48,10 @@ def op7_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact_dedup(table(spark, sf_dir, "documents"))
 
 
+def op8_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return token_counts.suffix_sums(token_counts.length_histogram(table(spark, sf_dir, "documents")))
+
+
 def op9_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact_top_k(table(spark, sf_dir, "embeddings"))
 
@@ -52,11 +62,13 @@ def op10_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_mixing": op1_mixing,
+    "op2_chat": op2_chat,
     "op3_warc": op3_warc,
     "op4_langid": op4_langid,
     "op5_ngram_join": op5_ngram_join,
     "op6_repeats": op6_repeats,
     "op7_exact_dedup": op7_exact_dedup,
+    "op8_token_counts": op8_token_counts,
     "op9_topk": op9_topk,
     "op10_bpe": op10_bpe,
 }
@@ -87,6 +99,22 @@ FROM (SELECT *, unnest(generate_series(1, copies)) AS k FROM counted WHERE copie
 
 SQL: dict[str, str] = {
     "op1_mixing": _mixing_sql(),
+    "op2_chat": f"""
+WITH m AS (SELECT conv_id, turn, coalesce(role, '{chat.NOBODY}') AS role, coalesce(text, '') AS said, coalesce((turn // {chat.PART})::bigint, 1::bigint << 62) AS part FROM conversations),
+e AS (
+  SELECT m.*, s.role AS speaker, row_number() OVER w AS k,
+    CASE WHEN m.role = s.role THEN '<|assistant|>' || chr(10) ELSE '<|user:' || m.role || '|>' || chr(10) END AS head, said || '<|end|>' || chr(10) AS body
+  FROM m JOIN (SELECT DISTINCT conv_id, role FROM m) s ON m.conv_id IS NOT DISTINCT FROM s.conv_id
+  WINDOW w AS (PARTITION BY m.conv_id, s.role, part ORDER BY turn NULLS LAST, m.role, said)
+),
+o AS (SELECT *, (sum(length(head) + length(body)) OVER (PARTITION BY conv_id, speaker, part ORDER BY k))::bigint AS stop FROM e),
+p AS (
+  SELECT conv_id, speaker, part, count(*) AS n_messages, string_agg(head || body, '' ORDER BY k) AS text,
+    coalesce(string_agg((stop - length(body))::varchar || '-' || stop::varchar, ',' ORDER BY k) FILTER (role = speaker), '') AS mask
+  FROM o GROUP BY conv_id, speaker, part
+)
+SELECT conv_id, speaker, part, coalesce(sum(length(text)) OVER (PARTITION BY conv_id, speaker ORDER BY part ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0)::bigint AS starts_at, n_messages, text, mask FROM p
+""",
     "op3_warc": f"""
 WITH p AS (SELECT page_id, coalesce(html, '') AS body, sha1(coalesce(html, '')) AS payload_digest, strlen(coalesce(html, '')) AS payload_bytes FROM pages),
 s AS (SELECT *, CASE WHEN payload_bytes >= {warc.REVISIT_BYTES} THEN max(page_id) OVER (PARTITION BY body) END AS stored_id FROM p)
