@@ -24,47 +24,46 @@ SCALE = 1024
 
 
 class Lists:
-    """The vectors of a block and, by component, their order."""
+    """The vectors of a block and, by component, their order from either end."""
 
     def __init__(self, ids: np.ndarray, vectors: np.ndarray):
         order = np.argsort(ids, kind="stable")
         self.ids, self.vectors = ids[order], vectors[order]
         self.n, self.d = self.vectors.shape
-        self.order = np.argsort(self.vectors, axis=0, kind="stable").T.copy()  # by component, ascending
-        self.values = np.take_along_axis(self.vectors.T, self.order, axis=1)
+        up = np.argsort(self.vectors, axis=0, kind="stable").T
+        self.order = np.stack([up, up[:, ::-1]])  # ascending, descending; component; place in the list
+        self.values = np.stack([np.take_along_axis(self.vectors.T, o, axis=1) for o in self.order]).astype(np.float64)
+        place = np.empty((self.n, self.d), dtype=np.int32)
+        place[up, np.arange(self.d)[:, None]] = np.arange(self.n, dtype=np.int32)
+        self.place = place
 
     def top(self, query: np.ndarray, own_id: int, k: int) -> tuple[np.ndarray, np.ndarray]:
         """Positions and scores of the best k, without the query's own row; ties to the smaller identifier."""
         n, used = self.n, np.flatnonzero(query)
         others = self.ids != own_id
-        if n <= k or not len(used):
-            best = np.flatnonzero(others)
-            return self._ranked(best, query, k)
-        # lists that add most come from the other end when the query's component is negative
-        order = np.where((query[used] > 0)[:, None], self.order[used, ::-1], self.order[used])
-        adds = np.where((query[used] > 0)[:, None], self.values[used, ::-1], self.values[used]) * query[used][:, None]
+        if n <= 4 * k or not len(used) or others.sum() <= k:
+            return self._ranked(np.flatnonzero(others), query, k)
+        # a list is read from the end that adds most: from the top where the query's component is positive
+        end = (query[used] > 0).astype(np.int64)
+        place = self.place if len(used) == self.d else self.place[:, used]
+        at, to, q = 0, max(k, n // 16), query[used].astype(np.float64)[:, None]
+        least = self.values[end, used, n - 1][:, None] * q  # what an unread component adds at the very least
+        slack = 1e-4 * np.abs(self.values[end, used, 0][:, None] * q).sum() + 1  # covers the rounding of the products below
         lower = np.zeros(n)
-        unread = np.ones((n, len(used)), dtype=np.float32)
-        column = np.arange(len(used))
-        at, step = 0, max(16, k)
         while True:
-            to = min(n, at + step)
-            ids = order[:, at:to]
-            lower += np.bincount(ids.ravel(), weights=adds[:, at:to].ravel(), minlength=n)
-            unread[ids, column[:, None]] = 0
-            at, step = to, step * 2
-            if at >= n:
-                break
-            stands = adds[:, at - 1]
-            # a float32 product of 0/1 with the places where the lists stand; the slack covers its rounding
-            most = lower + unread @ stands.astype(np.float32) + 1e-5 * np.abs(stands).sum() + 1
-            # the k-th best lower bound, each list's unread components counted at their least
-            least = lower + unread @ adds[:, -1].astype(np.float32) - 1e-5 * np.abs(adds[:, -1]).sum() - 1
-            held = np.partition(least[others], -k)[-k] if others.sum() >= k else -np.inf
-            can = others & (most >= held)
-            if can.sum() <= max(4 * k, n // 16):
+            ids = self.order[end, used, at:to]
+            adds = self.values[end, used, at:to] * q
+            lower += np.bincount(ids.ravel(), weights=adds.ravel(), minlength=n)
+            if to >= n:
+                return self._ranked(np.flatnonzero(others), query, k)
+            unread = np.where(end == 1, place < n - to, place >= to).astype(np.float32)
+            bounds = unread @ np.hstack([least, adds[:, -1:]]).astype(np.float32)
+            low, high = lower + bounds[:, 0] - slack, lower + bounds[:, 1] + slack
+            held = np.partition(low[others], -k)[-k]
+            can = others & (high >= held)
+            if np.count_nonzero(can) <= max(4 * k, n // 2):  # the rest is out for good
                 return self._ranked(np.flatnonzero(can), query, k)
-        return self._ranked(np.flatnonzero(others), query, k)
+            at, to = to, min(n, 2 * to)
 
     def _ranked(self, at: np.ndarray, query: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray]:
         scores = self.vectors[at] @ query
