@@ -12,6 +12,7 @@ Decoding concatenates the bytes of the ids.
 from __future__ import annotations
 
 import base64
+import re
 from collections.abc import Iterator
 from functools import lru_cache
 from itertools import chain
@@ -46,16 +47,20 @@ def pattern_text() -> str:
 
 
 class _Pieces(dict):
-    """Ids by pre-token; what is missing is encoded."""
+    """Ids (as bytes of 32-bit numbers) by pre-token; what is missing is encoded."""
 
     def __init__(self, core):
         self.core = core
 
-    def __missing__(self, piece: str) -> list[int]:
-        ids = self[piece] = self.core.encode_single_piece(piece.encode("utf-8", "surrogatepass"))
+    def __missing__(self, piece: str) -> bytes:
+        ids = self[piece] = np.array(self.core.encode_single_piece(piece.encode("utf-8", "surrogatepass")), dtype="<i4").tobytes()
         return ids
 
 
+#: The letters, digits and white space among the first 256 characters.
+_LETTERS, _DIGITS, _SPACE = "A-Za-zªµºÀ-ÖØ-öø-ÿ", "0-9²³¹¼½¾", "\\t-\\r \\x85\\xa0"
+
+
 class Coder:
     """What a worker keeps: the ranks, the pattern, and the pieces seen so far."""
 
@@ -67,9 +72,12 @@ class Coder:
         with open(path, "rb") as f:
             ranks = {base64.b64decode(a): int(b) for a, b in map(bytes.split, f)}
         pattern = pattern_text()
-        self.bytes_of = [b""] * (max(ranks.values()) + 1)
+        tokens = [b""] * (max(ranks.values()) + 1)
         for token, rank in ranks.items():
-            self.bytes_of[rank] = token
+            tokens[rank] = token
+        self.bytes_of = np.frombuffer(b"".join(tokens), dtype=np.uint8)
+        self.lengths = np.array([len(t) for t in tokens], dtype=np.int64)
+        self.starts = np.cumsum(self.lengths) - self.lengths
         core = tiktoken.Encoding("own", pat_str=pattern, mergeable_ranks=ranks, special_tokens={})._core_bpe
         self.pieces = _Pieces(core)
         # The two libraries may know different versions of Unicode. Letters and digits that only the newer one
@@ -80,10 +88,27 @@ class Coder:
             known = regex.findall(rf"\p{{{name}}}", "".join(map(chr, chain(range(0xD800), range(0xE000, 0x110000)))))
             extra = [c for c in known if not other.encode_ordinary(c)]
             pattern = _without(pattern, name, extra)
-        self.regex = regex.compile(pattern, regex.V1)
-
-    def encode(self, text: str) -> list[int]:
-        return list(chain.from_iterable(map(self.pieces.__getitem__, self.regex.findall(text))))
+        self.any = regex.compile(pattern, regex.V1)
+        # texts of the first 256 characters, most of them, take the same pattern with its classes written out
+        narrow = pattern_text().replace(r"[^\s\p{L}\p{N}]", f"[^{_SPACE}{_LETTERS}{_DIGITS}]").replace(r"\p{L}", f"[{_LETTERS}]").replace(r"\p{N}", f"[{_DIGITS}]").replace(r"\S", f"[^{_SPACE}]").replace(r"\s", f"[{_SPACE}]")
+        self.narrow = re.compile(narrow)
+
+    def splitter(self, text: str):
+        try:
+            text.encode("latin-1")
+        except UnicodeEncodeError:
+            return self.any
+        return self.narrow
+
+    def encode(self, text: str) -> bytes:
+        return b"".join(map(self.pieces.__getitem__, self.splitter(text).findall(text)))
+
+    def decode(self, ids: np.ndarray) -> np.ndarray:
+        """The bytes of the ids, one after the other."""
+        lengths = self.lengths[ids]
+        ends = np.cumsum(lengths)
+        shift = self.starts[ids] - (ends - lengths)
+        return self.bytes_of[np.arange(ends[-1] if len(ends) else 0) + np.repeat(shift, lengths)]
 
     def rest(self) -> None:
         if len(self.pieces) > PIECES:
@@ -113,6 +138,12 @@ def _lists(rows: list[list[int]], kind: pa.DataType) -> pa.ListArray:
     return pa.ListArray.from_arrays(pa.array(ends), pa.array(np.fromiter(chain.from_iterable(rows), dtype=kind.to_pandas_dtype(), count=int(ends[-1])), type=kind))
 
 
+def _id_lists(rows: list[bytes]) -> pa.ListArray:
+    ends = np.zeros(len(rows) + 1, dtype=np.int32)
+    np.cumsum([len(x) // 4 for x in rows], out=ends[1:])
+    return pa.ListArray.from_arrays(pa.array(ends), pa.array(np.frombuffer(b"".join(rows), dtype="<i4")))
+
+
 def _encoder(path: str, text_col: str):
     """Replaces the text of each row (from ``__from`` to ``__to``, if there) by ``__ids``."""
 
@@ -125,7 +156,7 @@ def _encoder(path: str, text_col: str):
                 if "__from" in names:
                     a, b = batch.column("__from").to_pylist(), batch.column("__to").to_pylist()
                     texts = [t[i:j] for t, i, j in zip(texts, a, b, strict=True)]
-                ids = _lists([own.encode(t or "") for t in texts], pa.int32())
+                ids = _id_lists([own.encode(t or "") for t in texts])
                 own.rest()
                 keep = [n for n in names if n not in (text_col, "__from", "__to")]
                 yield pa.RecordBatch.from_arrays([*[batch.column(n) for n in keep], ids], [*keep, "__ids"])
@@ -136,7 +167,7 @@ def _encoder(path: str, text_col: str):
 def boundaries(own: Coder, text: str, last: bool) -> list[int]:
     """Offsets where a pre-token starts, as far as no text beyond the chunk can move them."""
     limit = len(text) if last else len(text) - MARGIN
-    return [m.start() for m in own.regex.finditer(text) if m.start() <= limit]
+    return [m.start() for m in own.splitter(text).finditer(text) if m.start() <= limit]
 
 
 def _marker(path: str, chunk: int, overlap: int):
@@ -196,11 +227,11 @@ def encode_documents(docs: DataFrame, id_col: str = "doc_id", text_col: str = "t
 
 def _decoder(path: str, ids_col: str):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        get = coder(path).bytes_of.__getitem__
+        own = coder(path)
         for whole in batches:
-            for at in range(0, whole.num_rows, 256):
-                batch = whole.slice(at, 256)
-                texts = [None if x is None else b"".join(map(get, x)) for x in batch.column(ids_col).to_pylist()]
+            for at in range(0, whole.num_rows, 64):
+                batch = whole.slice(at, 64)
+                texts = [own.decode(x.values.to_numpy()).tobytes() if x.is_valid else None for x in batch.column(ids_col)]
                 yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(texts, pa.binary())], [*batch.schema.names, "decoded"])
 
     return run
@@ -212,7 +243,8 @@ def decode_ids(encoded: DataFrame, ids_col: str = "token_ids", path: str | None
     return encoded.drop("decoded").mapInArrow(_decoder(path or vocabulary_path(), ids_col), f"{kinds}, decoded binary")
 
 
-def digests(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", path: str | None = None) -> DataFrame:
-    """Encode, decode, and show both as digests."""
+def digests(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", path: str | None = None, keep_ids: bool = False) -> DataFrame:
+    """Encode, decode, and show both as digests (with ``keep_ids`` beside the ids)."""
     out = decode_ids(encode_documents(docs, id_col, text_col, path), path=path)
-    return out.select(id_col, F.size("token_ids").cast("long").alias("n_tokens"), F.sha2(F.array_join(F.col("token_ids").cast("array<string>"), " "), 256).alias("ids_sha256"), F.sha2("decoded", 256).alias("decoded_sha256"), "n_chunks")
+    shown = [id_col, F.size("token_ids").cast("long").alias("n_tokens"), F.sha2(F.array_join(F.col("token_ids").cast("array<string>"), " "), 256).alias("ids_sha256"), F.sha2("decoded", 256).alias("decoded_sha256"), "n_chunks"]
+    return out.select(*shown, *["token_ids"] * keep_ids)

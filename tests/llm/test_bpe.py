@@ -1,6 +1,8 @@
 import base64
 import hashlib
+import random
 
+import numpy as np
 import tiktoken
 
 from tessera.llm import bpe
@@ -42,4 +44,10 @@ def test_empty_table(spark):
 
 def test_both_libraries_split_every_character_alike():
     text = "".join(map(chr, [*range(0xD800), *range(0xE000, 0x110000)]))
-    assert bpe.coder(bpe.vocabulary_path()).encode(text) == reference().encode_ordinary(text)
+    own, enc = bpe.coder(bpe.vocabulary_path()), reference()
+    assert np.frombuffer(own.encode(text), dtype="<i4").tolist() == enc.encode_ordinary(text)
+    rng = random.Random(1)
+    for letters in (list(map(chr, range(256))), ["a", " ", "'ll", "'s", "9", "é", "\u0558", "中", "\x1c", "\t", "²"]):
+        for _ in range(2000):
+            text = "".join(rng.choice(letters) for _ in range(60))
+            assert np.frombuffer(own.encode(text), dtype="<i4").tolist() == enc.encode_ordinary(text)
