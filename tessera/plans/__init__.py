@@ -1 +1,15 @@
+"""The registered queries of the engine's own operators."""
 
+from __future__ import annotations
+
+from tessera.plans import record_queries
+
+MODULES = [record_queries]
+
+
+def queries() -> dict:
+    return {name: f for m in MODULES for name, f in m.QUERIES.items()}
+
+
+def oracle_sql() -> dict[str, str]:
+    return {name: sql for m in MODULES for name, sql in m.SQL.items()}
