@@ -52,7 +52,7 @@ def reach(edges: DataFrame, start: DataFrame, types: list[str], depth: int, reve
     front = seen
     for d in range(1, depth + 1):
         # the edge found first stands: the least ordinal among those that get there in this step
-        new = front.select("origin", "id").join(step, "id").groupBy("origin", F.col("next").alias("id")).agg(F.min_by("type", "ord").alias("via"))
+        new = front.select("origin", "id").join(step, "id").groupBy("origin", F.col("next").alias("id")).agg(F.min_by("type", F.struct("ord", "type")).alias("via"))
         front = new.join(seen, ["origin", "id"], "left_anti").select("origin", "id", F.lit(d).alias("depth"), "via")
         seen = seen.unionByName(front)
     return seen

@@ -22,7 +22,8 @@ OFFLOAD_TYPES = ["tool_result", "command_output", "file_read", "error", "diff",
 
 def deduplicated(events: DataFrame) -> DataFrame:
     """Of events with one source identifier (else one id) the one with the largest sequence number."""
-    key = F.coalesce(F.concat_ws(":", F.lit("s"), F.col("session").cast("string"), "source_event"), F.concat_ws(":", F.lit("i"), F.col("session").cast("string"), F.col("seq").cast("string")))
+    own = F.concat(F.lit("i:"), F.col("seq").cast("string"))  # no null in it, so an event without source stands for itself
+    key = F.concat_ws(":", F.col("session").cast("string"), F.coalesce(F.concat(F.lit("s:"), F.col("source_event")), own))
     last = F.row_number().over(Window.partitionBy("project", "__key").orderBy(F.desc("seq"), F.desc("ts")))
     return events.withColumn("__key", key).withColumn("__k", last).where("__k = 1").drop("__k", "__key")
 

@@ -44,7 +44,7 @@ def work_items(observations: DataFrame) -> DataFrame:
     rows = observations.groupBy("project", "key").agg(
         F.max(F.col("status") == "completed").alias("ever"), F.max_by(started, F.when(started.isNotNull(), order)).alias("last_started"), F.max_by("text", order).alias("title"), F.max("confidence").alias("confidence"), F.max_by("ord", F.when(F.col("ord").isNotNull(), order)).alias("ord")
     )
-    return rows.select("project", "key", "title", F.when("ever", "completed").otherwise(F.coalesce("last_started", F.lit("pending"))).alias("status"), "confidence", "ord")
+    return rows.select("project", "key", "title", F.when(F.col("ever"), "completed").otherwise(F.coalesce("last_started", F.lit("pending"))).alias("status"), "confidence", "ord")
 
 
 def progress(items: DataFrame) -> DataFrame:
