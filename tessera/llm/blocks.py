@@ -37,7 +37,7 @@ def summed(rows: DataFrame, size: int, columns: list[str], buckets: Callable[[pa
     blocks = -(-size // BLOCK)
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        own, seen = np.zeros(blocks * BLOCK, dtype=np.int64), False
+        own, seen = np.zeros(blocks * BLOCK, dtype=np.int32), False
         for batch in batches:
             for at in buckets(batch):
                 np.add.at(own, at, 1)

@@ -30,9 +30,11 @@ from tessera.llm.components import components
 from tessera.llm.shingles import U, _mixed, shingle_sets
 
 #: Counters over all tokens, and bits of the table of documents whose texts are needed: the sizes of what is broadcast.
-COUNTERS, NEEDED = 1 << 20, 1 << 22
+COUNTERS, NEEDED = 1 << 23, 1 << 22
 #: A token in more sets than this has a pivot.
-FEW = 8
+FEW = 16
+#: Shares of all tokens at which the classes of rare tokens end.
+MARKS = (0.05, 0.1, 0.2, 0.35, 0.5, 0.75, 0.95)
 ORDERS = 3
 _SEEDS = [U(0x2545F4914F6CDD1D), U(0x9E6C63D0876A9A47), U(0xD1B54A32D192ED03)]
 
@@ -44,11 +46,11 @@ class Ranks:
         self.shift = U(64 - (len(counters) - 1).bit_length())
         by = np.sort(counters)
         below = np.cumsum(by)
-        marks = [int(by[np.searchsorted(below, q * below[-1])]) if below[-1] else 0 for q in (0.25, 0.5, 0.75, 0.95)]
+        marks = [int(by[np.searchsorted(below, q * below[-1])]) if below[-1] else 0 for q in MARKS]
         common = np.maximum(1, marks[-1])
         classes = np.searchsorted(marks, counters).astype(np.int64)
         over = counters > common
-        classes[over] = 4 + np.log2(counters[over] / common).astype(np.int64)
+        classes[over] = len(MARKS) + np.log2(counters[over] / common).astype(np.int64)
         self.classes = np.minimum(classes, 60).astype(np.uint8)
         self.weight = np.minimum(255, 8 * np.log2(1.0 + counters)).astype(np.uint8)
 
