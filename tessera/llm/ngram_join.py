@@ -30,12 +30,14 @@ from tessera.llm.components import components
 from tessera.llm.shingles import U, _mixed, shingle_sets
 
 #: Counters over all tokens, and bits of the table of documents whose texts are needed: the sizes of what is broadcast.
-COUNTERS, NEEDED = 1 << 23, 1 << 22
+COUNTERS, NEEDED = 1 << 22, 1 << 22
 #: A token in more sets than this has a pivot.
 FEW = 16
 #: Shares of all tokens at which the classes of rare tokens end.
 MARKS = (0.05, 0.1, 0.2, 0.35, 0.5, 0.75, 0.95)
 ORDERS = 3
+#: Bits of a set's picture. Two sets differ by at least as many tokens as their pictures do by bits.
+PICTURE = 2048
 _SEEDS = [U(0x2545F4914F6CDD1D), U(0x9E6C63D0876A9A47), U(0xD1B54A32D192ED03)]
 
 
@@ -44,15 +46,16 @@ class Ranks:
 
     def __init__(self, counters: np.ndarray):
         self.shift = U(64 - (len(counters) - 1).bit_length())
-        by = np.sort(counters)
-        below = np.cumsum(by)
+        by = np.sort(counters.astype(np.int32))
+        below = np.cumsum(by, dtype=np.int64)
         marks = [int(by[np.searchsorted(below, q * below[-1])]) if below[-1] else 0 for q in MARKS]
         common = np.maximum(1, marks[-1])
-        classes = np.searchsorted(marks, counters).astype(np.int64)
-        over = counters > common
-        classes[over] = len(MARKS) + np.log2(counters[over] / common).astype(np.int64)
-        self.classes = np.minimum(classes, 60).astype(np.uint8)
-        self.weight = np.minimum(255, 8 * np.log2(1.0 + counters)).astype(np.uint8)
+        del by, below
+        classes = np.searchsorted(marks, counters).astype(np.uint8)
+        over = np.flatnonzero(counters > common)
+        classes[over] = np.minimum(60, len(MARKS) + np.log2(counters[over] / common).astype(np.int64))
+        self.classes = classes
+        self.weight = np.minimum(255, 8 * np.log2(1 + counters, dtype=np.float32)).astype(np.uint8)
 
     def of(self, tokens: np.ndarray, order: int) -> np.ndarray:
         return (self.classes[tokens >> self.shift].astype(U) << U(58)) | (_mixed(tokens ^ _SEEDS[order]) >> U(6))
@@ -110,8 +113,14 @@ def _features(held, words: int, t: Threshold):
     return run
 
 
+def _picture(tokens: np.ndarray) -> np.ndarray:
+    bits = np.zeros(PICTURE, dtype=np.uint8)
+    bits[_mixed(tokens ^ U(0x6C62272E07BB0142)) % U(PICTURE)] = 1
+    return np.packbits(bits).view(np.int64)
+
+
 def _other_prefixes(held, words: int, t: Threshold):
-    """The prefixes in the other orders, as 32-bit hashes: a clash there lets a pair through, it loses none."""
+    """The prefixes in the other orders, as 32-bit hashes (a clash there lets a pair through, it loses none), and the set's picture."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         ranks: Ranks = held.value
@@ -119,7 +128,7 @@ def _other_prefixes(held, words: int, t: Threshold):
             for batch in text_slices(whole, "text"):
                 sets = shingle_sets(batch.column("text"), words)
                 more = [(f"prefix{o}", [ranks.prefix(s, t.prefix(len(s)), o).astype(np.uint32).view(np.int32) if len(s) else [] for s in sets], pa.list_(pa.int32())) for o in range(1, ORDERS)]
-                yield _columns(("id", batch.column("id").to_pylist(), pa.int64()), ("text", batch.column("text").to_pylist(), pa.string()), *more)
+                yield _columns(("id", batch.column("id").to_pylist(), pa.int64()), ("text", batch.column("text").to_pylist(), pa.string()), ("n", [len(s) for s in sets], pa.int64()), ("bits", [_picture(s) for s in sets], pa.list_(pa.int64())), *more)
 
     return run
 
@@ -224,16 +233,18 @@ def set_classes(docs: DataFrame, words: int = 3, num: int = 9, den: int = 10, id
             yield batch.filter(pa.array(bits[_bits(batch.column("id").to_numpy(), NEEDED)] > 0))
 
     some = slim.where("id IS NOT NULL").mapInArrow(maybe, "id long, text string").join(need, "id", "left_semi").dropDuplicates(["id"])
-    texts = stored(some.mapInArrow(_other_prefixes(held, words, t), "id long, text string, " + ", ".join(f"prefix{o} array<int>" for o in range(1, ORDERS))), "texts")
+    texts = stored(some.mapInArrow(_other_prefixes(held, words, t), "id long, text string, n long, bits array<long>, " + ", ".join(f"prefix{o} array<int>" for o in range(1, ORDERS))), "texts")
 
     def filtered(pairs: DataFrame) -> DataFrame:
-        """Pairs that share prefix tokens in the other orders as well."""
+        """Pairs that share prefix tokens in the other orders as well, and whose pictures don't differ too much."""
         names = [f"prefix{o}" for o in range(1, ORDERS)]
-        a, b = (texts.select(F.col("id").alias(x), *[F.col(p).alias(f"{p}_{x}") for p in names]) for x in "ab")
+        a, b = (texts.select(F.col("id").alias(x), *[F.col(p).alias(f"{p}_{x}") for p in ["n", "bits", *names]]) for x in "ab")
         both = pairs.join(a, "a").join(b, "b")
         for p in names:
             both = both.where(F.arrays_overlap(f"{p}_a", f"{p}_b"))
-        return both.select("a", "b")
+        differ = F.aggregate(F.zip_with("bits_a", "bits_b", lambda x, y: F.bit_count(x.bitwiseXOR(y))), F.lit(0), lambda s, x: s + x)
+        total = F.col("n_a") + F.col("n_b")
+        return both.where((total - differ) * (den + num) >= total * (2 * num)).select("a", "b")
 
     def with_texts(pairs: DataFrame) -> DataFrame:
         a, b = (texts.select(F.col("id").alias(x), F.col("text").alias(f"text_{x}")) for x in "ab")
