@@ -232,13 +232,13 @@ WSCORE = " + ".join(
 SQL = {
     "event_dedup": f"WITH {I.SESSIONS} SELECT project, session, seq FROM ev QUALIFY row_number() OVER (PARTITION BY project, session, coalesce(source_event, 'seq' || seq) ORDER BY seq DESC) = 1",
     "activity_copies": f"WITH {I.ACTIVITY} SELECT min(id) AS id, count(*) AS seen FROM a GROUP BY project, type, data",
-    "activity_summary": f"WITH {I.ACTIVITY}, r AS (SELECT * FROM a QUALIFY row_number() OVER (PARTITION BY project ORDER BY ts DESC, id DESC) <= 50) SELECT project, count(*) AS activities, string_agg(DISTINCT type, ',' ORDER BY type) AS types, count_if(type = 'error') AS errors FROM r GROUP BY project HAVING count(*) >= 4",
+    "activity_summary": f"WITH {I.ACTIVITY}, r AS (SELECT * FROM a QUALIFY row_number() OVER (PARTITION BY project ORDER BY ts DESC, id DESC) <= 50) SELECT project, count(*) AS activities, string_agg(DISTINCT type, ',' ORDER BY type) AS types, count_if(type = 'error')::bigint AS errors FROM r GROUP BY project HAVING count(*) >= 4",
     "session_manifest": f"WITH {I.SESSIONS}, m AS (SELECT project, session, max(seq) AS last_seq, count(*) AS events, arg_max(type, (seq, ts)) AS last_type, date_diff('second', min(ts), max(ts)) AS seconds FROM ev GROUP BY project, session) SELECT *, CASE last_type WHEN 'session_end' THEN 'idle' WHEN 'error' THEN 'error' ELSE 'active' END AS status FROM m",
     "events_beyond": f"WITH {I.SESSIONS}, m AS (SELECT session, max(seq) AS s FROM ev WHERE seq < 4 AND session % 3 <> 0 GROUP BY 1) SELECT session, seq FROM ev LEFT JOIN m USING (session) WHERE s IS NULL OR seq > s",
-    "capture_health": f"WITH {I.SESSIONS}, m AS (SELECT project, session, max(seq) AS l, arg_max(type, seq) AS t FROM ev GROUP BY ALL), r AS (SELECT conv_id AS session, max(turn) AS s FROM conversations WHERE turn < 3 AND conv_id % 4 <> 0 GROUP BY 1) SELECT project, count(*) AS sessions, sum(greatest(0, l - coalesce(s, -1)))::bigint AS pending, count_if(t = 'error') AS errors FROM m LEFT JOIN r USING (session) GROUP BY project",
+    "capture_health": f"WITH {I.SESSIONS}, m AS (SELECT project, session, max(seq) AS l, arg_max(type, seq) AS t FROM ev GROUP BY ALL), r AS (SELECT conv_id AS session, max(turn) AS s FROM conversations WHERE turn < 3 AND conv_id % 4 <> 0 GROUP BY 1) SELECT project, count(*) AS sessions, sum(greatest(0, l - coalesce(s, -1)))::bigint AS pending, count_if(t = 'error')::bigint AS errors FROM m LEFT JOIN r USING (session) GROUP BY project",
     "keyset_page": "SELECT o_orderkey AS id, (o_custkey % 50)::int AS clock FROM orders WHERE o_custkey % 50 > 40 OR (o_custkey % 50 = 40 AND o_orderkey > 500)",
     "message_types": "SELECT CASE role WHEN 'user' THEN 'user_message' WHEN 'assistant' THEN 'assistant_message' ELSE CASE WHEN contains(role, 'tool') THEN 'tool_result' ELSE 'custom' END END AS type, count(*) AS n FROM conversations GROUP BY 1",
-    "noise_lines": f"WITH {LINES} SELECT id, count_if({NOISY}) AS noise, count_if(NOT {NOISY} AND (" + " OR ".join(f"contains(lower(line), '{w}')" for w in E.DURABLE) + ")) AS durable FROM l GROUP BY id",
+    "noise_lines": f"WITH {LINES} SELECT id, count_if({NOISY})::bigint AS noise, count_if(NOT {NOISY} AND (" + " OR ".join(f"contains(lower(line), '{w}')" for w in E.DURABLE) + "))::bigint AS durable FROM l GROUP BY id",
     "repeated_lines": rf"WITH {LINES}, k AS (SELECT *, row_number() OVER (PARTITION BY id, trim(regexp_replace(lower(line), '\s+', ' ', 'g')) ORDER BY pos) AS k FROM l) SELECT id, count(*) AS kept, sum(pos)::bigint AS places FROM k WHERE k <= 2 GROUP BY id",
     "session_facts": rf"""WITH {LINES}, c AS (SELECT *, {CATEGORY} AS category FROM l WHERE length(trim(line)) >= 15),
 s AS (SELECT *, round(greatest(0, least(1, 0.5::double + {" + ".join(f"CASE WHEN contains(lower(line), '{w}') THEN 0.15::double ELSE 0 END" for w in HIGH)} + CASE WHEN category IN ('rule', 'architecture', 'blocker') THEN 0.2 WHEN category IN ('decision', 'deploy') THEN 0.15 WHEN category IN ('fix', 'next_action') THEN 0.1 ELSE 0 END::double - CASE WHEN length(line) < 20 THEN 0.3 WHEN length(line) > 500 THEN 0.1 ELSE 0 END::double)), 6) AS importance FROM c),
@@ -250,7 +250,7 @@ SELECT id, pos::int AS pos, category, importance FROM f QUALIFY row_number() OVE
     "recent_distinct": f"WITH {I.OBS}, r AS (SELECT * FROM obs QUALIFY row_number() OVER (PARTITION BY project, key ORDER BY ts DESC, seq DESC) = 1) SELECT project, key, text, seq FROM r QUALIFY row_number() OVER (PARTITION BY project ORDER BY ts DESC, seq DESC) <= 8",
     "first_distinct": f"WITH {I.OBS}, r AS (SELECT * FROM obs QUALIFY row_number() OVER (PARTITION BY project, key ORDER BY ts, seq) = 1) SELECT project, key, text, seq FROM r QUALIFY row_number() OVER (PARTITION BY project ORDER BY ts DESC, seq DESC) <= 8",
     "work_items": f"{ITEMS} SELECT project, key, title, status, round(confidence, 6) AS confidence, ord FROM it",
-    "work_progress": f"{ITEMS} SELECT project, count(*) AS total, count_if(status = 'completed') AS completed, count_if(status = 'in_progress') AS in_progress, count_if(status = 'blocked') AS blocked, count_if(status = 'pending') AS pending, count_if(status = 'cancelled') AS cancelled FROM it GROUP BY project",
+    "work_progress": f"{ITEMS} SELECT project, count(*) AS total, count_if(status = 'completed')::bigint AS completed, count_if(status = 'in_progress')::bigint AS in_progress, count_if(status = 'blocked')::bigint AS blocked, count_if(status = 'pending')::bigint AS pending, count_if(status = 'cancelled')::bigint AS cancelled FROM it GROUP BY project",
     "current_item": f"{ITEMS} SELECT project, key, status FROM it WHERE status IN ('in_progress', 'blocked', 'pending') QUALIFY row_number() OVER (PARTITION BY project ORDER BY CASE status WHEN 'in_progress' THEN 1 WHEN 'blocked' THEN 2 ELSE 3 END, coalesce(ord, 1::bigint << 40), key) = 1",
     "active_files": f"WITH {I.OBS}, r AS (SELECT project, key AS file, CASE WHEN kind = 'error' THEN 'deleted' ELSE 'modified' END AS action, ts, seq FROM obs QUALIFY row_number() OVER (PARTITION BY project, key ORDER BY ts DESC, seq DESC) = 1) SELECT project, file, action, (row_number() OVER (PARTITION BY project ORDER BY ts DESC, seq DESC))::int AS place FROM r WHERE action <> 'deleted' QUALIFY place <= 5",
     "scenes": f"""WITH {I.OBS}, {FACTS}, s AS (SELECT *, CASE WHEN kind IN ('rule', 'architecture') THEN 'project-knowledge' WHEN kind IN ('decision', 'fix') THEN 'implementation' WHEN kind = 'todo' THEN 'continuation' ELSE 'session-context' END AS scene FROM fa),
@@ -271,13 +271,13 @@ SELECT project, (row_number() OVER (PARTITION BY project ORDER BY score DESC, pl
     "broken_links": f"WITH {I.WIKI}, {LINKS} SELECT slug, count(*) AS broken FROM ln WHERE target NOT IN (SELECT slug FROM wp) GROUP BY slug",
     "latest_revision": f"WITH {I.WIKI} SELECT page_id % 40 AS slug, revision, title FROM wp QUALIFY row_number() OVER (PARTITION BY page_id % 40 ORDER BY revision DESC) = 1",
     "title_conflicts": rf"WITH {I.WIKI} SELECT trim(regexp_replace(lower(substr(title, 1, 4)), '\s+', ' ', 'g')) AS title, count(*) AS pages, min(slug) AS first FROM wp GROUP BY 1 HAVING count(*) > 1",
-    "wiki_quality": f"WITH {I.WIKI} SELECT count(*) AS pages, count_if((epoch_us(TIMESTAMP '2024-06-15') - epoch_us(updated)) / 86400000000.0 > 90) AS stale, count_if(length(content) < 80) AS short, count_if(summary IS NULL) AS without_summary FROM wp",
+    "wiki_quality": f"WITH {I.WIKI} SELECT count(*) AS pages, count_if((epoch_us(TIMESTAMP '2024-06-15') - epoch_us(updated)) / 86400000000.0 > 90)::bigint AS stale, count_if(length(content) < 80)::bigint AS short, count_if(summary IS NULL)::bigint AS without_summary FROM wp",
     "governance": rf"""WITH {I.WIKI}, c AS (SELECT slug, round(greatest(0, least(1, [0.96, 0.94, 0.88][((page_id % 3) + 1)::int]::double + CASE WHEN list_contains(tags, 'class:permanent') OR list_contains(tags, 'class:task') THEN 0.03 ELSE 0 END::double + CASE WHEN length(content) >= 200 THEN 0.02 ELSE 0 END::double - CASE WHEN length(content) < 80 THEN 0.05 ELSE 0 END::double - CASE WHEN length(title) < 4 THEN 0.05 ELSE 0 END::double)), 4) AS confidence,
 regexp_matches(concat_ws(' ', title, summary, substr(content, 1, 2000), array_to_string(tags, ' ')), '{K.CRITICAL}') AS critical FROM wp), n AS (SELECT *, confidence < 0.86 OR (critical AND confidence < 0.94) AS needs_review FROM c)
 SELECT slug, confidence, critical, needs_review, CASE WHEN critical THEN 'high' WHEN needs_review THEN 'medium' ELSE 'low' END AS risk FROM n""",
     "wiki_search": f"WITH {I.WIKI}, s AS (SELECT slug, {WSCORE} AS score FROM wp) SELECT slug, score::bigint AS score FROM s WHERE score > 0 ORDER BY score DESC, slug LIMIT 20",
     "page_changes": f"WITH {I.WIKI} SELECT slug AS key, CASE WHEN page_id % 5 = 0 THEN 'created' WHEN page_id % 3 = 0 THEN 'updated' ELSE 'unchanged' END AS change FROM wp",
-    "hub_requests": "SELECT 'agent' || user_id AS principal, count(*) AS requests, count_if(event_type = 'error') AS errors, round(sum(greatest(0, value)), 4) AS ms, round(max(value), 4) AS slowest FROM events GROUP BY 1",
+    "hub_requests": "SELECT 'agent' || user_id AS principal, count(*) AS requests, count_if(event_type = 'error')::bigint AS errors, round(sum(greatest(0, value)), 4) AS ms, round(max(value), 4) AS slowest FROM events GROUP BY 1",
     "hub_access": "WITH w AS (SELECT DISTINCT o_custkey AS principal, o_orderkey % 7 AS team, o_orderstatus AS scope FROM orders) SELECT * FROM w WHERE (principal % 5 = 0 AND team = 3 AND principal IN (SELECT c_custkey FROM customer)) OR (principal % 2 = 0 AND principal % 7 = team AND scope IN ('O', 'P') AND principal IN (SELECT c_custkey FROM customer))",
     "event_windows": "SELECT strftime(ts, '%Y-%m-%d') AS day, event_type AS type, count(*) AS n, round(sum(value), 4) AS value FROM events GROUP BY ALL",
 }

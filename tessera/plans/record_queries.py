@@ -257,7 +257,7 @@ CASE WHEN {_any(['không được', 'tuyệt đối', 'must not', 'never '])} TH
 CASE WHEN {_any(['không được', 'bắt buộc', 'phải luôn', 'tuyệt đối', 'never ', 'must ', 'always ', 'do not '])} THEN 'rule' WHEN {_any(['todo', 'cần làm', 'chưa xong', 'còn phải', 'next:', 'next step', 'pending'])} THEN 'todo' WHEN {_any(['quyết định', 'chọn ', 'sử dụng ', 'dùng ', 'decided', 'decision', 'we will use', 'use '])} THEN 'decision' END AS looks_like FROM mem""",
     "type_priority": f"{W} SELECT id, ({PRIORITY})::double AS priority FROM mem",
     "lifecycle_tiers": f"{W}, {QUALITY} SELECT id, score, tier, stale, protected, prune FROM q5",
-    "lifecycle_review": f"{W}, {QUALITY} SELECT project, count(*) AS total, count_if(tier = 'trusted') AS trusted, count_if(tier = 'useful') AS useful, count_if(tier = 'weak') AS weak, count_if(tier = 'noise') AS noise, count_if(stale) AS stale, count_if(protected) AS protected, count_if(prune) AS prunable FROM q5 GROUP BY project",
+    "lifecycle_review": f"{W}, {QUALITY} SELECT project, count(*) AS total, count_if(tier = 'trusted')::bigint AS trusted, count_if(tier = 'useful')::bigint AS useful, count_if(tier = 'weak')::bigint AS weak, count_if(tier = 'noise')::bigint AS noise, count_if(stale)::bigint AS stale, count_if(protected)::bigint AS protected, count_if(prune)::bigint AS prunable FROM q5 GROUP BY project",
     "fingerprint_dedup": f"{W} SELECT sha256(project || '|' || type || '|' || lower(trim(content, ' '))) AS fingerprint, min(id) AS id, count(*) - 1 AS copies FROM mem GROUP BY 1",
     "consolidation": f"""{W}, {GROUPS.format(src='mem')}, t AS (SELECT project, type, key, tag, min(struct_pack(k := k, i := i)) AS o FROM (SELECT project, type, key, k, unnest(tags) AS tag, generate_subscripts(tags, 1) AS i FROM g WHERE c > 1) GROUP BY ALL),
 so AS (SELECT project, type, key, source, min(k) AS o FROM g WHERE c > 1 AND source IS NOT NULL GROUP BY ALL)
