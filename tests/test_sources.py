@@ -57,3 +57,18 @@ def test_maintenance_of_small_tables(spark):
     assert M.maintain(m.limit(0), inputs.now()).count() == 0
     twice = M.upsert(m, m.withColumn("source", F.lit("new")))
     assert twice.count() == m.count() and twice.where("source = 'new'").count() == m.count()
+
+
+def test_snapshots(spark):
+    import datetime
+
+    from tessera.sources import snapshots
+
+    root = tempfile.mkdtemp(prefix="spark-")
+    assert snapshots.listed(spark, root).count() == 0
+    for i in range(3):
+        snapshots.create({"a": spark.range(i + 1), "b": spark.range(2)}, root, f"s{i}", datetime.datetime(2024, 1, 1 + i))
+    assert [(r.snapshot, r.tables, r.rows) for r in snapshots.listed(spark, root).collect()] == [("s2", 2, 5), ("s1", 2, 4), ("s0", 2, 3)]
+    back = snapshots.restore(spark, root, "s1")
+    assert sorted(back) == ["a", "b"] and back["a"].count() == 2
+    assert [r.snapshot for r in snapshots.outdated(spark, root, 2).collect()] == ["s0"]
