@@ -11,6 +11,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from tessera.llm.common import let_go
+
 #: Counters of a block.
 BLOCK = 1 << 16
 #: Partial tables that one task adds up at a time, at most about so many.
@@ -42,6 +44,7 @@ def summed(rows: DataFrame, size: int, columns: list[str], buckets: Callable[[pa
             for at in buckets(batch):
                 np.add.at(own, at, 1)
                 seen = True
+        let_go()
         if seen:
             full = [i for i in range(blocks) if own[i * BLOCK : (i + 1) * BLOCK].any()]
             yield pa.RecordBatch.from_arrays([pa.array(full, pa.int32()), pa.array([_packed(own[i * BLOCK : (i + 1) * BLOCK]) for i in full], pa.binary())], ["block", "counts"])

@@ -23,14 +23,14 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from tessera.llm.common import text_slices
+from tessera.llm.common import let_go, text_slices
 
 #: Characters of a chunk, and of the part that it shares with the next.
 CHUNK, OVERLAP = 1 << 16, 1 << 10
 #: The longest look-ahead of the pattern: a boundary this near to the end of a chunk may move.
 MARGIN = 4
 #: A worker forgets its pieces beyond so many.
-PIECES = 400_000
+PIECES = 200_000
 VOCABULARY = "byte_bpe_50k.tiktoken"
 
 
@@ -110,9 +110,11 @@ class Coder:
         shift = self.starts[ids] - (ends - lengths)
         return self.bytes_of[np.arange(ends[-1] if len(ends) else 0) + np.repeat(shift, lengths)]
 
-    def rest(self) -> None:
-        if len(self.pieces) > PIECES:
+    def rest(self, over: bool = False) -> None:
+        if over or len(self.pieces) > PIECES:
             self.pieces.clear()
+        if over:
+            let_go()
 
 
 def _without(pattern: str, name: str, extra: list[str]) -> str:
@@ -160,6 +162,7 @@ def _encoder(path: str, text_col: str):
                 own.rest()
                 keep = [n for n in names if n not in (text_col, "__from", "__to")]
                 yield pa.RecordBatch.from_arrays([*[batch.column(n) for n in keep], ids], [*keep, "__ids"])
+        own.rest(over=True)
 
     return run
 
@@ -233,6 +236,7 @@ def _decoder(path: str, ids_col: str):
                 batch = whole.slice(at, 64)
                 texts = [own.decode(x.values.to_numpy()).tobytes() if x.is_valid else None for x in batch.column(ids_col)]
                 yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(texts, pa.binary())], [*batch.schema.names, "decoded"])
+        let_go()
 
     return run
 

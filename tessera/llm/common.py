@@ -5,6 +5,7 @@ from __future__ import annotations
 import tempfile
 import uuid
 from collections.abc import Iterator
+from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
@@ -19,15 +20,17 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+@lru_cache(maxsize=None)
+def _own_folder(application: str) -> str:
+    return tempfile.mkdtemp(prefix="spark-")
+
+
 def scratch(spark: SparkSession, name: str) -> str:
     """A new path in the folder that all executors share (``spark.checkpoint.dir``).
 
     Only where that setting is missing (a local test session) a temporary folder stands in for it.
     """
-    base = spark.conf.get("spark.checkpoint.dir", None)
-    if not base:
-        base = tempfile.mkdtemp(prefix="spark-")
-        spark.conf.set("spark.checkpoint.dir", base)
+    base = spark.conf.get("spark.checkpoint.dir", None) or _own_folder(spark.sparkContext.applicationId)
     return f"{base.rstrip('/')}/{name}-{uuid.uuid4().hex}"
 
 
@@ -55,3 +58,8 @@ def text_slices(batch: pa.RecordBatch, column: str, bytes_at_once: int = 1 << 20
         end = max(start + 1, int(np.searchsorted(sizes, before + bytes_at_once, side="right")))
         yield batch.slice(start, end - start)
         start = end
+
+
+def let_go() -> None:
+    """Give memory back at the end of a partition: workers live on and serve other operators."""
+    pa.default_memory_pool().release_unused()

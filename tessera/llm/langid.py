@@ -16,7 +16,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tessera.llm.common import text_slices
+from tessera.llm.common import let_go, text_slices
 
 #: Documented bounds: labelled rows used for fitting (in expectation), languages kept, buckets of hashed n-grams.
 FIT_ROWS, LANGUAGES, BUCKETS = 40_000, 256, 1 << 14
@@ -166,6 +166,7 @@ def predict(docs: DataFrame, model: Model, text_col: str = "text", names: tuple[
                     [*[c for _, c in kept], pa.array([x[0] for x in found], pa.string()), pa.array([x[1] for x in found], pa.float64()), pa.array([_shown(x[2]) for x in found], pa.map_(pa.string(), pa.float64()))],
                     [*[f for f, _ in kept], *names],
                 )
+        let_go()
 
     plain = docs.drop(*names)
     kinds = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in plain.schema)

@@ -33,6 +33,8 @@ from tessera.llm.shingles import U, _mixed, shingle_sets
 COUNTERS, NEEDED = 1 << 22, 1 << 22
 #: A token in more sets than this has a pivot.
 FEW = 16
+#: Bytes of text whose sets are formed at a time.
+SLICE = 1 << 18
 #: Shares of all tokens at which the classes of rare tokens end.
 MARKS = (0.05, 0.1, 0.2, 0.35, 0.5, 0.75, 0.95)
 ORDERS = 3
@@ -101,7 +103,7 @@ def _features(held, words: int, t: Threshold):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         ranks: Ranks = held.value
         for whole in batches:
-            for batch in text_slices(whole, "text"):
+            for batch in text_slices(whole, "text", SLICE):
                 sets = shingle_sets(batch.column("text"), words)
                 digests = [hashlib.blake2b(s.tobytes(), digest_size=16).digest() for s in sets]
                 prefix = [ranks.prefix(s, t.prefix(len(s)), 0).view(np.int64) if len(s) else s.view(np.int64) for s in sets]
@@ -125,7 +127,7 @@ def _other_prefixes(held, words: int, t: Threshold):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         ranks: Ranks = held.value
         for whole in batches:
-            for batch in text_slices(whole, "text"):
+            for batch in text_slices(whole, "text", SLICE):
                 sets = shingle_sets(batch.column("text"), words)
                 more = [(f"prefix{o}", [ranks.prefix(s, t.prefix(len(s)), o).astype(np.uint32).view(np.int32) if len(s) else [] for s in sets], pa.list_(pa.int32())) for o in range(1, ORDERS)]
                 yield _columns(("id", batch.column("id").to_pylist(), pa.int64()), ("text", batch.column("text").to_pylist(), pa.string()), ("n", [len(s) for s in sets], pa.int64()), ("bits", [_picture(s) for s in sets], pa.list_(pa.int64())), *more)
@@ -147,7 +149,7 @@ def _verify(words: int, t: Threshold):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         last: dict[int, np.ndarray] = {}
         for whole in batches:
-            for batch in text_slices(whole, "text_b"):
+            for batch in text_slices(whole, "text_b", SLICE):
                 linked = [(a, b) for a, b, x, y in _sets_of(batch, words, last) if t.similar(x, y)]
                 yield _columns(("a", [x[0] for x in linked], pa.int64()), ("b", [x[1] for x in linked], pa.int64()))
 
@@ -167,7 +169,7 @@ def _differences(held, words: int, t: Threshold):
         ranks: Ranks = held.value
         last: dict[int, np.ndarray] = {}
         for whole in batches:
-            for batch in text_slices(whole, "text_b"):
+            for batch in text_slices(whole, "text_b", SLICE):
                 out = [[] for _ in range(7)]
                 for a, b, pivot, own in _sets_of(batch, words, last):
                     linked = t.similar(pivot, own)
@@ -204,7 +206,7 @@ def set_classes(docs: DataFrame, words: int = 3, num: int = 9, den: int = 10, id
     slim = docs.select(F.col(id_col).cast("long").alias("id"), F.coalesce(F.col(text_col), F.lit("")).alias("text"))
 
     shift = U(64 - (COUNTERS - 1).bit_length())
-    counters = summed(slim, COUNTERS, ["text"], lambda batch: (np.concatenate(shingle_sets(part.column("text"), words)) >> shift for part in text_slices(batch, "text")))
+    counters = summed(slim, COUNTERS, ["text"], lambda batch: (np.concatenate(shingle_sets(part.column("text"), words)) >> shift for part in text_slices(batch, "text", SLICE)))
     held = spark.sparkContext.broadcast(Ranks(counters))  # two bytes a counter
 
     features = stored(slim.mapInArrow(_features(held, words, t), "id long, n long, digest binary, typical double, prefix array<long>"), "sets")

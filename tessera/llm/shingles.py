@@ -11,7 +11,7 @@ U = np.uint64
 _P = 0x9E3779B97F4A7C15 | 1
 _INVERSE = pow(_P, -1, 1 << 64)
 #: Bytes hashed at a time; a longer word is still hashed whole.
-STRETCH = 1 << 20
+STRETCH = 1 << 18
 
 
 def _mixed(h: np.ndarray) -> np.ndarray:
@@ -98,9 +98,9 @@ def shingle_sets(texts: pa.Array, n: int = 3) -> list[np.ndarray]:
         if b - a >= n:
             out.append(np.unique(every[a : b - n + 1]))
         elif b > a:
-            short = np.zeros(1, dtype=U)
+            short = np.zeros(1, dtype=U)  # wraps around, as all sums here do
             for i, w in enumerate(words[a:b]):
-                short += w * weights[i]
+                short += np.array([w]) * weights[i]
             out.append(_mixed(short ^ U(0x5851F42D4C957F2D + b - a)))
         else:
             out.append(np.zeros(0, dtype=U))
