@@ -13,6 +13,7 @@ from pyspark.sql.window import Window
 
 from tessera.functions import paths as P
 from tessera.functions import scoring as S
+from tessera.operators.lineage import cut
 
 
 def resolved(edges: DataFrame, vertices: DataFrame, columns: tuple[str, ...] = ("file",)) -> DataFrame:
@@ -45,6 +46,7 @@ def reach(edges: DataFrame, start: DataFrame, types: list[str], depth: int, reve
     """``origin, id, depth, via``: the least number of edges from each origin, and the type of the first edge (by ``ord``) that gets there.
 
     ``start`` has ``origin`` and ``id``. One join of the frontier with the edges per step; what was reached before is left out.
+    Each frontier is written once, so a step's work is that of its own frontier.
     """
     near, far = ("dst", "src") if reverse else ("src", "dst")
     step = edges.where(F.col("type").isin(types)).select(F.col(near).alias("id"), F.col(far).alias("next"), "type", "ord")
@@ -53,7 +55,7 @@ def reach(edges: DataFrame, start: DataFrame, types: list[str], depth: int, reve
     for d in range(1, depth + 1):
         # the edge found first stands: the least ordinal among those that get there in this step
         new = front.select("origin", "id").join(step, "id").groupBy("origin", F.col("next").alias("id")).agg(F.min_by("type", F.struct("ord", "type")).alias("via"))
-        front = new.join(seen, ["origin", "id"], "left_anti").select("origin", "id", F.lit(d).alias("depth"), "via")
+        front = cut(new.join(seen, ["origin", "id"], "left_anti").select("origin", "id", F.lit(d).alias("depth"), "via"))
         seen = seen.unionByName(front)
     return seen
 
@@ -68,7 +70,7 @@ def shortest_path(edges: DataFrame, src: str, dst: str, types: list[str], depth:
     level = spark.createDataFrame([(src,)], "id string")
     levels, seen = [level], level
     while dst != src and len(levels) <= depth and levels[-1].where(F.col("id") == dst).isEmpty():
-        level = levels[-1].join(step, F.col("id") == F.col("src")).select(F.col("dst").alias("id")).distinct().join(seen, "id", "left_anti")
+        level = cut(levels[-1].join(step, F.col("id") == F.col("src")).select(F.col("dst").alias("id")).distinct().join(seen, "id", "left_anti"))
         if level.isEmpty():
             return spark.createDataFrame([], "place int, id string")
         levels.append(level)
