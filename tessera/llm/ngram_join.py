@@ -98,7 +98,7 @@ def _columns(*pairs: tuple[str, list, pa.DataType]) -> pa.RecordBatch:
 
 
 def _features(held, words: int, t: Threshold):
-    """``id``, ``n``, the set's digest, how common its tokens are, and its prefix in the first order."""
+    """``id``, ``n``, the set's digest, how common its tokens are, its prefix in the first order, and its picture."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         ranks: Ranks = held.value
@@ -109,7 +109,7 @@ def _features(held, words: int, t: Threshold):
                 prefix = [ranks.prefix(s, t.prefix(len(s)), 0).view(np.int64) if len(s) else s.view(np.int64) for s in sets]
                 yield _columns(
                     ("id", batch.column("id").to_pylist(), pa.int64()), ("n", [len(s) for s in sets], pa.int64()), ("digest", digests, pa.binary()),
-                    ("typical", [ranks.common(s) for s in sets], pa.float64()), ("prefix", prefix, pa.list_(pa.int64())),
+                    ("typical", [ranks.common(s) for s in sets], pa.float64()), ("prefix", prefix, pa.list_(pa.int64())), ("bits", [_picture(s) for s in sets], pa.list_(pa.int64())),
                 )
 
     return run
@@ -122,7 +122,7 @@ def _picture(tokens: np.ndarray) -> np.ndarray:
 
 
 def _other_prefixes(held, words: int, t: Threshold):
-    """The prefixes in the other orders, as 32-bit hashes (a clash there lets a pair through, it loses none), and the set's picture."""
+    """The prefixes in the other orders, as 32-bit hashes (a clash there lets a pair through, it loses none)."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         ranks: Ranks = held.value
@@ -130,7 +130,7 @@ def _other_prefixes(held, words: int, t: Threshold):
             for batch in text_slices(whole, "text", SLICE):
                 sets = shingle_sets(batch.column("text"), words)
                 more = [(f"prefix{o}", [ranks.prefix(s, t.prefix(len(s)), o).astype(np.uint32).view(np.int32) if len(s) else [] for s in sets], pa.list_(pa.int32())) for o in range(1, ORDERS)]
-                yield _columns(("id", batch.column("id").to_pylist(), pa.int64()), ("text", batch.column("text").to_pylist(), pa.string()), ("n", [len(s) for s in sets], pa.int64()), ("bits", [_picture(s) for s in sets], pa.list_(pa.int64())), *more)
+                yield _columns(("id", batch.column("id").to_pylist(), pa.int64()), ("text", batch.column("text").to_pylist(), pa.string()), *more)
 
     return run
 
@@ -209,7 +209,7 @@ def set_classes(docs: DataFrame, words: int = 3, num: int = 9, den: int = 10, id
     counters = summed(slim, COUNTERS, ["text"], lambda batch: (np.concatenate(shingle_sets(part.column("text"), words)) >> shift for part in text_slices(batch, "text", SLICE)))
     held = spark.sparkContext.broadcast(Ranks(counters))  # two bytes a counter
 
-    features = stored(slim.mapInArrow(_features(held, words, t), "id long, n long, digest binary, typical double, prefix array<long>"), "sets")
+    features = stored(slim.mapInArrow(_features(held, words, t), "id long, n long, digest binary, typical double, prefix array<long>, bits array<long>"), "sets")
     members = features.select("id", "n", "digest")
     # equal sets stand as one, by their smallest identifier
     first = members.where("n > 0 AND id IS NOT NULL").groupBy("digest").agg(F.min("id").alias("rep"))
@@ -223,7 +223,15 @@ def set_classes(docs: DataFrame, words: int = 3, num: int = 9, den: int = 10, id
     pairs = together.select(F.explode(F.flatten(F.transform("x", lambda a, i: F.transform(F.slice("x", i + 2, F.size("x")), lambda b: F.struct(a["id"].alias("a"), a["n"].alias("n_a"), b["id"].alias("b"), b["n"].alias("n_b"))))) ).alias("p")).select("p.*")
     pairs = pairs.where("a < b").where(_length_fits(t)).select("a", "b").distinct()
     pivots = shared.where(F.col("sets") > few).where("id <> pivot").select(F.col("pivot").alias("a"), F.col("id").alias("b")).distinct()
-    pairs, pivots = stored(pairs, "pairs"), stored(pivots, "pivots")
+
+    def pictured(pairs: DataFrame) -> DataFrame:
+        """Pairs whose pictures don't differ by too many bits for similar sets."""
+        a, b = (features.where("id IS NOT NULL").select(F.col("id").alias(x), F.col("n").alias(f"n_{x}"), F.col("bits").alias(f"bits_{x}")) for x in "ab")
+        differ = F.aggregate(F.zip_with("bits_a", "bits_b", lambda x, y: F.bit_count(x.bitwiseXOR(y))), F.lit(0), lambda s, x: s + x)
+        total = F.col("n_a") + F.col("n_b")
+        return pairs.join(a, "a").join(b, "b").where((total - differ) * (den + num) >= total * (2 * num)).select("a", "b").distinct()
+
+    pairs, pivots = stored(pictured(pairs), "pairs"), stored(pivots, "pivots")
 
     # the texts of the sets in any pair; a table of bits keeps most others out of the shuffle
     need = pairs.select(F.col("a").alias("id")).union(pairs.select("b")).union(pivots.select("a")).union(pivots.select("b")).distinct()
@@ -235,18 +243,16 @@ def set_classes(docs: DataFrame, words: int = 3, num: int = 9, den: int = 10, id
             yield batch.filter(pa.array(bits[_bits(batch.column("id").to_numpy(), NEEDED)] > 0))
 
     some = slim.where("id IS NOT NULL").mapInArrow(maybe, "id long, text string").join(need, "id", "left_semi").dropDuplicates(["id"])
-    texts = stored(some.mapInArrow(_other_prefixes(held, words, t), "id long, text string, n long, bits array<long>, " + ", ".join(f"prefix{o} array<int>" for o in range(1, ORDERS))), "texts")
+    texts = stored(some.mapInArrow(_other_prefixes(held, words, t), "id long, text string, " + ", ".join(f"prefix{o} array<int>" for o in range(1, ORDERS))), "texts")
 
     def filtered(pairs: DataFrame) -> DataFrame:
-        """Pairs that share prefix tokens in the other orders as well, and whose pictures don't differ too much."""
+        """Pairs that share prefix tokens in the other orders as well."""
         names = [f"prefix{o}" for o in range(1, ORDERS)]
-        a, b = (texts.select(F.col("id").alias(x), *[F.col(p).alias(f"{p}_{x}") for p in ["n", "bits", *names]]) for x in "ab")
+        a, b = (texts.select(F.col("id").alias(x), *[F.col(p).alias(f"{p}_{x}") for p in names]) for x in "ab")
         both = pairs.join(a, "a").join(b, "b")
         for p in names:
             both = both.where(F.arrays_overlap(f"{p}_a", f"{p}_b"))
-        differ = F.aggregate(F.zip_with("bits_a", "bits_b", lambda x, y: F.bit_count(x.bitwiseXOR(y))), F.lit(0), lambda s, x: s + x)
-        total = F.col("n_a") + F.col("n_b")
-        return both.where((total - differ) * (den + num) >= total * (2 * num)).select("a", "b")
+        return both.select("a", "b")
 
     def with_texts(pairs: DataFrame) -> DataFrame:
         a, b = (texts.select(F.col("id").alias(x), F.col("text").alias(f"text_{x}")) for x in "ab")
@@ -263,7 +269,7 @@ def set_classes(docs: DataFrame, words: int = 3, num: int = 9, den: int = 10, id
         .where(((F.col("many_a") - F.col("many_b")) * (den + num) <= apart) & _length_fits(t))
         .select(F.least("i", "j").alias("a"), F.greatest("i", "j").alias("b"))
     )
-    checked = filtered(pairs.union(meet).distinct())
+    checked = filtered(pairs.union(pictured(meet.distinct())).distinct())
     links = with_texts(checked).mapInArrow(_verify(words, t), "a long, b long")
     edges = stored(links.union(near.where("linked AND token IS NULL").select(F.col("pivot").alias("a"), F.col("id").alias("b"))), "links")
     found = components(edges)
