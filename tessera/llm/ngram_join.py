@@ -156,7 +156,7 @@ def _verify(words: int, t: Threshold):
     return run
 
 
-DIFFERENCES = "pivot long, id long, linked boolean, n long, many long, token long, probe boolean"
+DIFFERENCES = "pivot long, id long, linked boolean, n long, many long, token long, place long, probe boolean"
 
 
 def _differences(held, words: int, t: Threshold):
@@ -170,7 +170,7 @@ def _differences(held, words: int, t: Threshold):
         last: dict[int, np.ndarray] = {}
         for whole in batches:
             for batch in text_slices(whole, "text_b", SLICE):
-                out = [[] for _ in range(7)]
+                out = [[] for _ in range(8)]
                 for a, b, pivot, own in _sets_of(batch, words, last):
                     linked = t.similar(pivot, own)
                     extra, missing = np.setdiff1d(own, pivot, assume_unique=True), np.setdiff1d(pivot, own, assume_unique=True)
@@ -184,8 +184,9 @@ def _differences(held, words: int, t: Threshold):
                     for column, values in zip(out, ([a], [b], [linked], [len(own)], [many]), strict=False):
                         column += values * len(tokens)
                     out[5] += tokens
-                    out[6] += [i - 1 >= index for i in range(len(tokens))]
-                kinds = [pa.int64(), pa.int64(), pa.bool_(), pa.int64(), pa.int64(), pa.int64(), pa.bool_()]
+                    out[6] += range(-1, len(tokens) - 1)
+                    out[7] += [i - 1 >= index for i in range(len(tokens))]
+                kinds = [pa.int64(), pa.int64(), pa.bool_(), pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.bool_()]
                 yield pa.RecordBatch.from_arrays([pa.array(v, k) for v, k in zip(out, kinds, strict=True)], [x.split()[0] for x in DIFFERENCES.split(", ")])
 
     return run
@@ -260,13 +261,16 @@ def set_classes(docs: DataFrame, words: int = 3, num: int = 9, den: int = 10, id
 
     near = stored(with_texts(pivots).mapInArrow(_differences(held, words, t), DIFFERENCES), "differences")
     # similar sets with the same pivot, not both linked to it, share one of their first differences
-    probes = near.where("token IS NOT NULL").select("pivot", "token", F.col("id").alias("i"), F.col("n").alias("n_a"), F.col("many").alias("many_a"), F.col("linked").alias("linked_a"))
-    fewer = near.where("token IS NOT NULL AND NOT probe").select("pivot", "token", F.col("id").alias("j"), F.col("n").alias("n_b"), F.col("many").alias("many_b"), F.col("linked").alias("linked_b"))
+    probes = near.where("token IS NOT NULL").select("pivot", "token", F.col("id").alias("i"), F.col("n").alias("n_a"), F.col("many").alias("many_a"), F.col("place").alias("place_a"), F.col("linked").alias("linked_a"))
+    fewer = near.where("token IS NOT NULL AND NOT probe").select("pivot", "token", F.col("id").alias("j"), F.col("n").alias("n_b"), F.col("many").alias("many_b"), F.col("place").alias("place_b"), F.col("linked").alias("linked_b"))
     apart = (F.col("n_a") + F.col("n_b")) * (den - num)  # (den + num) times the most that similar sets differ by
+    # what two sets still can share from the first shared difference on, and what they must share
+    rest = F.least(F.col("many_a") - F.col("place_a"), F.col("many_b") - F.col("place_b"))
+    enough = rest * (2 * (den + num)) >= (F.col("many_a") + F.col("many_b")) * (den + num) - apart
     meet = (
         probes.join(fewer, ["pivot", "token"])
         .where((F.struct("many_b", "j") < F.struct("many_a", "i")) & ~(F.col("linked_a") & F.col("linked_b")))
-        .where(((F.col("many_a") - F.col("many_b")) * (den + num) <= apart) & _length_fits(t))
+        .where(((F.col("many_a") - F.col("many_b")) * (den + num) <= apart) & _length_fits(t) & enough)
         .select(F.least("i", "j").alias("a"), F.greatest("i", "j").alias("b"))
     )
     checked = filtered(pairs.union(pictured(meet.distinct())).distinct())
