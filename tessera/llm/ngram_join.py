@@ -213,10 +213,12 @@ def set_classes(docs: DataFrame, words: int = 3, num: int = 9, den: int = 10, id
     features = stored(slim.mapInArrow(_features(held, words, t), "id long, n long, digest binary, typical double, prefix array<long>, bits array<long>"), "sets")
     members = features.select("id", "n", "digest")
     # equal sets stand as one, by their smallest identifier
-    first = members.where("n > 0 AND id IS NOT NULL").groupBy("digest").agg(F.min("id").alias("rep"))
+    # (small tables are written before they are joined: Spark can split a hot key of a join between plain exchanges only)
+    first = stored(members.where("n > 0 AND id IS NOT NULL").groupBy("digest").agg(F.min("id").alias("rep")), "first")
     single = features.select("id", "n", "typical", "prefix").join(first.select(F.col("rep").alias("id")), "id", "left_semi")
     index = single.select("id", "n", "typical", F.explode("prefix").alias("token"))
     tokens = index.groupBy("token").agg(F.count(F.lit(1)).alias("sets"), F.max_by("id", F.struct("typical", "id")).alias("pivot")).where("sets > 1")
+    tokens = stored(tokens, "tokens")
     shared = stored(index.select("token", "id", "n").join(tokens, "token"), "shared")
 
     # pairs of tokens in few sets, and each set with its tokens' pivots

@@ -267,7 +267,8 @@ def repeated_spans(rows: DataFrame, z: Sizes, many: int = MANY) -> DataFrame:
     found = stored(rows.select("doc", "text").where(F.octet_length("text") >= z.length).mapInArrow(_find(z), ANCHORS), "anchors")
     here = found.where("times = 0").select("doc", F.col("at").alias("start"), (F.col("at") + F.col("right")).alias("stop"))
     single = found.where("times > 0")
-    more = single.groupBy("anchor").agg(F.sum("times").alias("n")).where("n > 1").select("anchor")
+    # written before it is joined: Spark can split a hot anchor of a join between plain exchanges only
+    more = stored(single.groupBy("anchor").agg(F.sum("times").alias("n")).where("n > 1").select("anchor"), "repeated")
     shared = stored(single.join(more, "anchor"), "shared")
     contexts = stored(shared.groupBy("anchor", "context").agg(F.sum("times").cast("long").alias("times"), F.min(F.struct("doc", "at", "left", "right")).alias("first")), "contexts")
     whole = shared.join(contexts.where("times > 1").select("anchor", "context"), ["anchor", "context"]).select("doc", (F.col("at") - F.col("left")).alias("start"), (F.col("at") + F.col("right")).alias("stop"))
