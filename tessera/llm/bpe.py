@@ -72,12 +72,6 @@ class Coder:
         with open(path, "rb") as f:
             ranks = {base64.b64decode(a): int(b) for a, b in map(bytes.split, f)}
         pattern = pattern_text()
-        tokens = [b""] * (max(ranks.values()) + 1)
-        for token, rank in ranks.items():
-            tokens[rank] = token
-        self.bytes_of = np.frombuffer(b"".join(tokens), dtype=np.uint8)
-        self.lengths = np.array([len(t) for t in tokens], dtype=np.int64)
-        self.starts = np.cumsum(self.lengths) - self.lengths
         core = tiktoken.Encoding("own", pat_str=pattern, mergeable_ranks=ranks, special_tokens={})._core_bpe
         self.pieces = _Pieces(core)
         # The two libraries may know different versions of Unicode. Letters and digits that only the newer one
@@ -103,13 +97,6 @@ class Coder:
     def encode(self, text: str) -> bytes:
         return b"".join(map(self.pieces.__getitem__, self.splitter(text).findall(text)))
 
-    def decode(self, ids: np.ndarray) -> np.ndarray:
-        """The bytes of the ids, one after the other."""
-        lengths = self.lengths[ids]
-        ends = np.cumsum(lengths)
-        shift = self.starts[ids] - (ends - lengths)
-        return self.bytes_of[np.arange(ends[-1] if len(ends) else 0) + np.repeat(shift, lengths)]
-
     def rest(self, over: bool = False) -> None:
         if over or len(self.pieces) > PIECES:
             self.pieces.clear()
@@ -129,11 +116,37 @@ def _without(pattern: str, name: str, extra: list[str]) -> str:
     return pattern.replace(rf"\p{{{name}}}", rf"[\p{{{name}}}--[{gone}]]")
 
 
+class Tokens:
+    """The bytes of every id; all that decoding needs."""
+
+    def __init__(self, path: str):
+        with open(path, "rb") as f:
+            ranks = {base64.b64decode(a): int(b) for a, b in map(bytes.split, f)}
+        tokens = [b""] * (max(ranks.values()) + 1)
+        for token, rank in ranks.items():
+            tokens[rank] = token
+        self.bytes_of = np.frombuffer(b"".join(tokens), dtype=np.uint8)
+        self.lengths = np.array([len(t) for t in tokens], dtype=np.int64)
+        self.starts = np.cumsum(self.lengths) - self.lengths
+
+    def decode(self, ids: np.ndarray) -> np.ndarray:
+        """The bytes of the ids, one after the other."""
+        lengths = self.lengths[ids]
+        ends = np.cumsum(lengths)
+        shift = self.starts[ids] - (ends - lengths)
+        return self.bytes_of[np.arange(ends[-1] if len(ends) else 0) + np.repeat(shift, lengths)]
+
+
 @lru_cache(maxsize=2)
 def coder(path: str) -> Coder:
     return Coder(path)
 
 
+@lru_cache(maxsize=2)
+def tokens(path: str) -> Tokens:
+    return Tokens(path)
+
+
 def _lists(rows: list[list[int]], kind: pa.DataType) -> pa.ListArray:
     ends = np.zeros(len(rows) + 1, dtype=np.int32)
     np.cumsum([len(x) for x in rows], out=ends[1:])
@@ -190,9 +203,10 @@ def _marker(path: str, chunk: int, overlap: int):
     return run
 
 
-def encode_documents(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", path: str | None = None, chunk: int = CHUNK, overlap: int = OVERLAP) -> DataFrame:
+def encode_documents(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", path: str | None = None, chunk: int = CHUNK, overlap: int = OVERLAP, decode: bool = False) -> DataFrame:
     """The identifier, ``n_chunks`` and ``token_ids`` (array of int) of every row of ``docs``.
 
+    With ``decode`` also ``decoded``, what the ids decode to; texts of one chunk are decoded by the worker that encoded them.
     A null text counts as empty and has no ids; repeated rows give repeated results; an empty table gives an empty
     result; other columns play no part, whatever their names.
     """
@@ -200,7 +214,9 @@ def encode_documents(docs: DataFrame, id_col: str = "doc_id", text_col: str = "t
     slim = docs.select(F.col(id_col).alias("__id"), F.coalesce(F.col(text_col), F.lit("")).alias("__text"))
     kind = slim.schema["__id"].dataType.simpleString()
     long = F.length("__text") > chunk
-    short = slim.where(~long).mapInArrow(_encoder(path, "__text"), f"__id {kind}, __ids array<int>").select("__id", F.lit(1).alias("__chunks"), "__ids")
+    encoder, decoder = _encoder(path, "__text"), _decoder(path, "__ids")
+    more = ["decoded"] * decode
+    short = slim.where(~long).mapInArrow((lambda batches: decoder(encoder(batches))) if decode else encoder, f"__id {kind}, __ids array<int>" + ", decoded binary" * decode).select("__id", F.lit(1).alias("__chunks"), "__ids", *more)
 
     # the few long texts: repeated rows are worked on once
     texts = slim.where(long).groupBy("__id", "__text").agg(F.count(F.lit(1)).alias("__times"))
@@ -224,13 +240,15 @@ def encode_documents(docs: DataFrame, id_col: str = "doc_id", text_col: str = "t
     ids = F.flatten(F.transform(F.array_sort(F.collect_list(F.struct("__chunk", "__ids"))), lambda x: x["__ids"]))
     stitched = pieces.groupBy("__id", "__key", "__times", "__chunks").agg(ids.alias("__ids"))
     times = F.explode(F.sequence(F.lit(1).cast("bigint"), F.col("__times")))
-    stitched = stitched.withColumn("__k", times).select("__id", "__chunks", "__ids")
-    return short.unionByName(stitched).select(F.col("__id").alias(id_col), F.col("__chunks").alias("n_chunks"), F.col("__ids").alias("token_ids"))
+    if decode:
+        stitched = decode_ids(stitched, "__ids", path)
+    stitched = stitched.withColumn("__k", times).select("__id", "__chunks", "__ids", *more)
+    return short.unionByName(stitched).select(F.col("__id").alias(id_col), F.col("__chunks").alias("n_chunks"), F.col("__ids").alias("token_ids"), *more)
 
 
 def _decoder(path: str, ids_col: str):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        own = coder(path)
+        own = tokens(path)
         for whole in batches:
             for at in range(0, whole.num_rows, 64):
                 batch = whole.slice(at, 64)
@@ -249,6 +267,6 @@ def decode_ids(encoded: DataFrame, ids_col: str = "token_ids", path: str | None
 
 def digests(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", path: str | None = None, keep_ids: bool = False) -> DataFrame:
     """Encode, decode, and show both as digests (with ``keep_ids`` beside the ids)."""
-    out = decode_ids(encode_documents(docs, id_col, text_col, path), path=path)
+    out = encode_documents(docs, id_col, text_col, path, decode=True)
     shown = [id_col, F.size("token_ids").cast("long").alias("n_tokens"), F.sha2(F.array_join(F.col("token_ids").cast("array<string>"), " "), 256).alias("ids_sha256"), F.sha2("decoded", 256).alias("decoded_sha256"), "n_chunks"]
     return out.select(*shown, *["token_ids"] * keep_ids)
