@@ -114,7 +114,7 @@ def active_files(spark, d):
 def _facts(spark, d):
     o = I.observations(spark, d)
     kind = I.pick(["rule", "decision", "todo", "fix", "context"], F.col("seq") % 5)
-    return o.select("project", kind.alias("kind"), F.col("seq").alias("id"), F.substring("text", 1, 30).alias("text"), F.expr("(seq % 17) / 17.0D").alias("importance"), "confidence")
+    return o.select("project", kind.alias("kind"), F.col("seq").alias("id"), "text", F.expr("(seq % 17) / 17.0D").alias("importance"), "confidence")
 
 
 def scenes(spark, d):

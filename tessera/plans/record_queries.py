@@ -143,7 +143,7 @@ def clipped(spark, d):
 
 
 def fact_category(spark, d):
-    return mem(spark, d).select("id", S.fact_category(F.substring("content", 1, 400)).alias("category"))
+    return mem(spark, d).select("id", S.fact_category(F.col("content")).alias("category"))
 
 
 def candidate_class(spark, d):
