@@ -72,7 +72,7 @@ def file_components(spark, d):
 
 def layer_votes(spark, d):
     v = I.vertices(spark, d).withColumn("file", F.regexp_replace("file", "^src/(internal|retrieval)/", "lib/$1-"))
-    return D.propagated_layers(I.edges(spark, d), v, 1).select("file", "layer", "confidence")
+    return D.propagated_layers(I.edges(spark, d), v).select("file", "layer", "confidence")
 
 
 def display_nodes(spark, d):
