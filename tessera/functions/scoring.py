@@ -160,11 +160,11 @@ def candidate(importance: Column, confidence: Column, kind: Column) -> dict[str,
 
 
 def fact_category(text: Column) -> Column:
-    """The first of some families of words that occurs, else decision."""
-    # Words of each category, in order.
+    """The first of some families of words that occurs, else decision; English and Vietnamese, as whole words in any case."""
+    # Words of each category, in order; letters beyond ASCII need (?u) to match in any case.
     rules = [
-        ("rule", r"(?i)\b(rule|policy|standard|convention|always|never|must|should)\b"), ("fix", r"(?i)\b(fix|fixed|bug|issue|error)\b"), ("blocker", r"(?i)\b(blocker|blocked|stuck|cannot)\b"),
-        ("next_action", r"(?i)\b(next|todo|action|task)\b"), ("deploy", r"(?i)\b(deploy|release|publish|ship)\b"), ("architecture", r"(?i)\b(architecture|design|structure|pattern)\b"), ("file", r"(?i)\.(ts|js|py|go|rs|java|cpp|c|h)\b"),
+        ("rule", r"(?i)\b(rule|policy|standard|convention|always|never|must|should|(?u:quy tắc|từ giờ|không được))\b"), ("fix", r"(?i)\b(fix|fixed|bug|issue|error|(?u:lỗi))\b"), ("blocker", r"(?i)\b(blocker|blocked|stuck|cannot|(?u:không thể))\b"),
+        ("next_action", r"(?i)\b(next|todo|action|task|(?u:cần làm))\b"), ("deploy", r"(?i)\b(deploy|release|publish|ship)\b"), ("architecture", r"(?i)\b(architecture|design|structure|pattern)\b"), ("file", r"(?i)\.(ts|js|py|go|rs|java|cpp|c|h)\b"),
     ]
     out = None
     for name, p in rules:

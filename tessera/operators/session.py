@@ -18,6 +18,10 @@ NOISE_LINES = [
 ]
 DURABLE = ["rule", "decision", "must", "never", "always", "architecture", "blocker", "todo", "next step", "deploy", "production", "fixed", "root cause", "important", "remember"]
 OFFLOAD_TYPES = ["tool_result", "command_output", "file_read", "error", "diff", "log", "test_output", "web_fetch"]
+#: A fact with one of these is mostly noise, wherever in the line it is; with each, a word that such a line has in lower case, which is cheaper to look for.
+NOISY_FACTS = {
+    r"(?i)npm (notice|warn|err)": "npm ", r"(?i)\d+ packages? in \d+": " package", r"(?i)found \d+ vulnerabilities": " vulnerabilities", r"(?i)up to date": "up to date", r"(?i)added \d+ packages": " packages",
+}
 
 
 def deduplicated(events: DataFrame) -> DataFrame:
@@ -73,12 +77,14 @@ def repeated_lines(texts: DataFrame, most: int = 5, id_col: str = "id", text_col
 def facts(texts: DataFrame, least: int = 15, importance: float = 0.3, most: int = 10) -> DataFrame:
     """By session the most important distinct lines with their category: ``id, pos, line, category, importance``."""
     # Words that make a line important.
-    high = ["remember", "rule", "from now", "must not", "always", "never", "critical", "important", "blocker", "deploy", "production", "architecture"]
+    high = ["nhớ", "remember", "quy tắc", "rule", "từ giờ", "from now", "không được", "must not", "luôn luôn", "always", "never", "critical", "important", "blocker", "deploy", "production", "architecture"]
     rows = lines(texts).where(F.length(F.trim("line")) >= least).withColumn("category", S.fact_category(F.col("line")))
     low = F.lower("line")
     score = F.lit(0.5) + sum((F.when(F.contains(low, F.lit(w)), 0.15).otherwise(0.0) for w in high), F.lit(0.0))
     score = score + F.when(F.col("category").isin("rule", "architecture", "blocker"), 0.2).when(F.col("category").isin("decision", "deploy"), 0.15).when(F.col("category").isin("fix", "next_action"), 0.1).otherwise(0.0)
     score = score - F.when(F.length("line") < 20, 0.3).when(F.length("line") > 500, 0.1).otherwise(0.0)
+    score = score - sum((F.when(F.contains(low, F.lit(w)) & F.col("line").rlike(p), 0.4).otherwise(0.0) for p, w in NOISY_FACTS.items()), F.lit(0.0))
+    score = score - F.when(F.lower(F.trim("line")).isin("ok", "done", "success", "error", "warning"), 0.4).otherwise(0.0)
     rows = rows.withColumn("importance", F.round(F.greatest(F.lit(0.0), F.least(F.lit(1.0), score)), 6)).where(F.col("importance") >= importance)
     # of equal lines the first; then the best of each session
     first = rows.groupBy("id", T.squeeze(low).alias("key")).agg(F.min_by(F.struct("pos", "line", "category", "importance"), "pos").alias("f")).select("id", "f.*")
