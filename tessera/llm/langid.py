@@ -18,7 +18,7 @@ from pyspark.sql import functions as F
 
 from tessera.llm.common import let_go, text_slices
 
-#: Documented bounds: labelled rows used for fitting (in expectation), languages kept, buckets of hashed n-grams.
+#: Documented bounds: labelled rows used for fitting (in expectation; sampled by language), languages kept (the most frequent), buckets of hashed n-grams.
 FIT_ROWS, LANGUAGES, BUCKETS = 40_000, 256, 1 << 14
 #: Lengths of n-grams in bytes; the shares of a letter's neighbours and of common word parts.
 GRAMS = (3, 4)
@@ -121,20 +121,30 @@ class Model:
         return self.languages[chosen[top]], min(1.0, max(0.0, score)), {self.languages[c]: float(s) for c, s in zip(chosen, share, strict=True)}
 
 
+def bound(sizes: list[int], total: int) -> float:
+    """The number of rows of a language from which on it is sampled, so that all languages keep about ``total`` rows."""
+    left, sizes = float(total), sorted(sizes)
+    for i, n in enumerate(sizes):
+        if n * (len(sizes) - i) > left:
+            return left / (len(sizes) - i)
+        left -= n
+    return float(sizes[-1])
+
+
 def fit(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", fit_rows: int = FIT_ROWS) -> Model:
     """Learn from labelled rows that are not held out: all of them, or a sample by hash of about ``fit_rows``.
 
-    The counts come to the driver as one row per language and bucket, so their number has a bound whatever the input.
+    The sample has a bound for each language, so a rare one keeps all its rows and only the frequent ones are sampled. The counts come to the driver as one row per language and bucket, so their number has a bound whatever the input.
     """
     usable = docs.select(F.col(text_col).alias("__text"), F.col(lang_col).alias("__lang"), F.col(id_col).alias("__id")).where(F.col("__text").isNotNull() & F.col("__lang").isNotNull() & ~held_out(F.col("__id")))
-    n = usable.count()
-    if n > fit_rows:
-        parts = 1 << 30
-        usable = usable.where(F.pmod(F.xxhash64(F.col("__id"), F.lit("fit")), F.lit(parts)) < int(parts * fit_rows / n))
-    labels = [r[0] for r in usable.groupBy("__lang").count().orderBy(F.desc("count"), "__lang").limit(LANGUAGES).collect()]
-    labels.sort()
+    sizes = {r[0]: r[1] for r in usable.groupBy("__lang").count().orderBy(F.desc("count"), "__lang").limit(LANGUAGES).collect()}
+    labels = sorted(sizes)
     if not labels:
         return Model([], np.zeros((0, BUCKETS)))
+    if sum(sizes.values()) > fit_rows:
+        parts, most = 1 << 30, bound(list(sizes.values()), fit_rows)
+        share = F.create_map(*[F.lit(x) for lang, n in sizes.items() for x in (lang, min(parts, int(parts * most / n)))])
+        usable = usable.where(F.pmod(F.xxhash64(F.col("__id"), F.lit("fit")), F.lit(parts)) < F.try_element_at(share, F.col("__lang")))
     rows = usable.where(F.col("__lang").isin(labels)).select("__text", "__lang").mapInArrow(_count, "lang string, bucket int, n bigint").groupBy("lang", "bucket").agg(F.sum("n").alias("n")).toArrow()
     counts = np.zeros((len(labels), BUCKETS))
     place = {x: i for i, x in enumerate(labels)}
@@ -184,8 +194,10 @@ def identify(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", la
 
 
 def drop_unknown(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang") -> DataFrame:
-    """The rows whose text has a language, with the columns of ``docs``."""
+    """The rows whose text has a language, with the columns of ``docs``; all texts with a letter when no language could be learnt."""
     model = fit(docs, id_col, text_col, lang_col)
+    if not model.languages:
+        return docs.where(F.col(text_col).rlike(r"\p{L}"))
     return predict(docs, model, text_col, ("__lang", "__score", "__languages")).where(F.col("__lang") != UNKNOWN).select(*[f"`{c}`" for c in docs.columns])
 
 
