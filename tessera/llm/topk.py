@@ -3,8 +3,8 @@
 The vectors are dealt into blocks by a hash of their identifier. Within a block every component has a list of the
 vectors sorted by it, built once. For a query the lists are read in step, from the end that adds most. Every vector
 has a lower bound (what has been read of it) and an upper bound (that, and for each unread component the
-value at which its list stands). Reading stops when no vector outside the k best lower bounds can reach them; the
-final scores of those that still can be among the k best are then resolved. The block's winners of each query meet
+value at which its list stands). Reading stops when at most half of the block (or 4k vectors, if that is more) can
+still be among the k best; these are then scored from the stored vectors, so reading stops well before bounds alone would decide. The block's winners of each query meet
 in one small ranking per query.
 The queries are a stated set (identifiers divisible by a number). They are packed into blocks as well, and each
 block of queries meets each block of vectors once.
