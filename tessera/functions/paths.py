@@ -54,7 +54,7 @@ def layer(path: Column) -> dict[str, Column]:
     """``layer`` and ``confidence`` by path."""
     # Where the code of each layer lies.
     tests = is_test(path)
-    interface = path.rlike(r"(^|/)(bin|mcp|cli|api|routes|hooks)/")
+    interface = path.startswith("bin/") | path.rlike(r"/(mcp|cli|api|routes|hooks)/")
     application = path.rlike(r"/(runtime|processor|retrieval|snapshot|code-intelligence)/")
     domain = path.rlike(r"/(core|memory)/|(^|/)types\.[^/]+$")
     infrastructure = path.rlike(r"/(storage|production|security|config|utils)/")
@@ -64,14 +64,45 @@ def layer(path: Column) -> dict[str, Column]:
 
 
 def subsystem(path: Column) -> Column:
-    """The folder under ``src``, ``tests`` for tests, else the first folder."""
-    return F.when(is_test(path), "tests").when(path.startswith("src/"), F.concat(F.lit("src/"), F.split_part(path, F.lit("/"), F.lit(2)))).otherwise(F.split_part(path, F.lit("/"), F.lit(1)))
+    """``src/x``, ``packages/x``, else the first folder (``root`` if there is none)."""
+    parts = F.filter(F.split(F.replace(path, F.lit("\\"), F.lit("/")), "/"), lambda p: p != "")
+    first = F.try_element_at(parts, F.lit(1))
+    return F.when(first.isin("src", "packages") & (F.size(parts) > 1), F.concat_ws("/", F.slice(parts, 1, 2))).otherwise(F.coalesce(first, F.lit("root")))
+
+
+# Names of subsystems for display.
+CLUSTER_LABELS = {
+    "code-intelligence": "Code Intelligence", "memory": "Memory", "storage": "Storage", "retrieval": "Retrieval", "runtime": "Runtime", "mcp": "MCP", "hooks": "Hooks", "security": "Security", "snapshot": "Snapshots", "production": "Production", "capture": "Capture",
+    "processor": "Processor", "core": "Core", "tests": "Tests", "bin": "CLI", "sdk": "SDK", "cli": "CLI",
+}
+
+
+def cluster_label(subsystem_: Column) -> Column:
+    plain = F.regexp_replace(F.regexp_replace(subsystem_, "^src/", ""), "^packages/", "")
+    return F.coalesce(F.try_element_at(F.create_map(*[F.lit(x) for kv in CLUSTER_LABELS.items() for x in kv]), plain), plain)
+
+
+def _first_reason(rules: list[tuple[Column, str]]) -> Column:
+    out = None
+    for test, reason in rules:
+        out = F.when(test, reason) if out is None else out.when(test, reason)
+    return out
+
+
+def dangerous_path(path: Column) -> Column:
+    """Why a path must not be written to, null if it may."""
+    low = F.lower(path)
+    has = lambda w: F.contains(low, F.lit(w))
+    return _first_reason([
+        (low.startswith("/etc/"), "system configuration"), (low.startswith("/usr/"), "system binaries"), (low.startswith("/var/www/") | has("/public_html/"), "production web"), (has("production") | has("prod/"), "production path"),
+        (low.endswith(".env") | has(".env."), "environment file"), (has("secret") | has("credential"), "sensitive file"),
+    ])
 
 
 def dangerous_command(command: Column) -> Column:
-    """Why a command is dangerous, null if it isn't."""
+    """Why a command is dangerous, null if it isn't. Letters are compared in lower case, so a rule with a capital (chown -R) never holds."""
     low = F.lower(command)
-    return (
-        F.when(low.rlike(r"\brm\s+-[a-z]*r[a-z]*f|\brm\s+-[a-z]*f[a-z]*r"), "recursive delete").when(low.rlike(r"git\s+push\s+.*--force"), "force push").when(low.rlike(r"git\s+reset\s+--hard"), "hard reset")
-        .when(low.rlike(r"chmod\s+-r\s+777"), "open permissions").when(low.rlike(r"chown\s+-r\s+root"), "change of owner").when(low.rlike(r"\bdrop\s+(table|database)\b"), "drop of data")
-    )
+    has = lambda *ws: low.rlike("|".join(ws))
+    return _first_reason([
+        (has("rm -rf /"), "root deletion"), (has("rm -rf ~"), "home deletion"), (has("chmod 777", "chmod -r 777"), "open permissions"), (has("drop database", "drop table", "truncate table"), "loss of data"), (has("systemctl stop", "service stop"), "stop of a service"),
+    ])

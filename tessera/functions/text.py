@@ -19,7 +19,8 @@ SECRETS = [
     ("jwt", r"\beyJ[A-Za-z0-9_\-]{8,}\.[A-Za-z0-9_\-]{8,}\.[A-Za-z0-9_\-]{8,}\b"),
     ("private_key", r"-----BEGIN [A-Z ]*PRIVATE KEY-----[\s\S]*?-----END [A-Z ]*PRIVATE KEY-----"),
     ("password_assignment", r"""(?i)\b(password|passwd|pwd)\s*[:=]\s*["']?[^"'\s]{6,}["']?"""),
-    ("secret_assignment", r"""(?i)\b(secret|api[_-]?key|access[_-]?token)\s*[:=]\s*["']?[^"'\s]{8,}["']?"""),
+    ("secret_assignment", r"""(?i)\b(secret|api[_-]?key|access[_-]?token|refresh[_-]?token)\s*[:=]\s*["']?[^"'\s]{8,}["']?"""),
+    ("cookie", r"(?i)\b(cookie|set-cookie)\s*[:=]\s*[^;\n]{8,}"),
 ]
 # Words that say nothing about a topic.
 STOPWORDS = ["dùng", "sử", "dụng", "use", "using", "the", "a", "an", "cho", "và", "là", "của", "to", "for", "with", "quyết", "định"]
@@ -31,10 +32,12 @@ def tokenize(text: Column) -> Column:
 
 
 def redact(text: Column) -> Column:
-    """Every secret becomes ``[REDACTED:kind]``."""
-    for kind, pattern in SECRETS:
-        text = F.regexp_replace(text, pattern, f"[REDACTED:{kind}]")
-    return text
+    """Every secret becomes ``[REDACTED:kind]``: all are found in the text as it is, then replaced wherever they stand, in the order of kinds."""
+
+    def of(kind: str, pattern: str) -> Column:
+        return F.transform(F.regexp_extract_all(text, F.lit(pattern), 0), lambda v: F.struct(v.alias("v"), F.lit(f"[REDACTED:{kind}]").alias("by")))
+
+    return F.aggregate(F.concat(*[of(k, p) for k, p in SECRETS]), text, lambda out, m: F.replace(out, m["v"], m["by"]))
 
 
 def squeeze(text: Column) -> Column:

@@ -46,13 +46,25 @@ def profile_rules(texts: DataFrame) -> DataFrame:
 
 
 def matched_rules(rules: DataFrame, targets: DataFrame) -> DataFrame:
-    """``rule_id, target_id``: rules (``rule_id, words``) all whose words a target (``target_id, text``) has.
+    """``rule_id, target_id``: rules (``rule_id, text, category``) that speak of a target (``target_id, text, type``: path or command).
 
-    Words are joined and counted by pair, so there is no comparison of every rule with every target.
+    A rule's words and a target's words meet in a few named families, so both are reduced to the families that they have
+    and joined on these; a rule of another category than the target's (security aside) is never meant.
     """
-    need = rules.select("rule_id", F.size(F.array_distinct("words")).alias("n"), F.explode(F.array_distinct("words")).alias("w"))
-    have = targets.select("target_id", F.explode(F.array_distinct(F.split(F.lower("text"), r"[^\p{L}\p{N}]+"))).alias("w"))
-    return have.join(need, "w").groupBy("rule_id", "target_id", "n").agg(F.count(F.lit(1)).alias("k")).where("k = n").select("rule_id", "target_id")
+    rule, target = F.lower("text"), F.lower("text")
+    has = lambda c, *ws: c.rlike("|".join(ws))
+    asked = [("production", has(rule, "production")), ("source", has(rule, "source")), ("deploy", has(rule, "deploy")), ("never", has(rule, "never"))]
+    path, command = F.col("type") == "path", F.col("type") == "command"
+    met = [
+        ("production", path & has(target, "/var/www", "production", "/public_html")), ("source", path & ~has(target, "/src", "/source")),
+        ("deploy", command & has(target, "deploy")), ("never", command & has(target, "rm -rf", "chmod 777")),
+    ]
+    families = lambda found: F.explode(F.filter(F.array(*[F.when(c, F.lit(n)) for n, c in found]), lambda x: x.isNotNull()))
+    have = targets.withColumn("family", families(met)).select("target_id", "type", "family")
+    need = rules.withColumn("family", families(asked)).select("rule_id", "category", "family")
+    fits = F.col("category").isNull() | (F.col("category") == F.col("type")) | (F.col("category") == "security")
+    # a family has many targets and few rules: rules are gathered by family and fanned out at the end
+    return have.join(need, "family").where(fits).select("rule_id", "target_id", "family")
 
 
 def provenance(facts: DataFrame, events: DataFrame) -> DataFrame:

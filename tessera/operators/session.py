@@ -12,12 +12,6 @@ from pyspark.sql.window import Window
 from tessera.functions import scoring as S
 from tessera.functions import text as T
 
-# Lines that are noise, and words that make a line durable.
-NOISE_LINES = [
-    r"^\s*$", r"^(ok|okay|done|thanks|thank you|yes|no)[.!]?$", r"^npm (notice|warn|err)", r"^added [0-9]+ packages?", r"^found [0-9]+ vulnerabilit", r"^up to date", r"^\$ ", r"^[-=*_]{3,}$", r"^at .+:[0-9]+:[0-9]+\)?$", r"^\[[0-9: .-]+\]$",
-]
-DURABLE = ["rule", "decision", "must", "never", "always", "architecture", "blocker", "todo", "next step", "deploy", "production", "fixed", "root cause", "important", "remember"]
-OFFLOAD_TYPES = ["tool_result", "command_output", "file_read", "error", "diff", "log", "test_output", "web_fetch"]
 #: A fact with one of these is mostly noise, wherever in the line it is; with each, a word that such a line has in lower case, which is cheaper to look for.
 NOISY_FACTS = {
     r"(?i)npm (notice|warn|err)": "npm ", r"(?i)\d+ packages? in \d+": " package", r"(?i)found \d+ vulnerabilities": " vulnerabilities", r"(?i)up to date": "up to date", r"(?i)added \d+ packages": " packages",
@@ -54,19 +48,6 @@ def lines(texts: DataFrame, id_col: str = "id", text_col: str = "text") -> DataF
     return texts.select(F.col(id_col).alias("id"), F.posexplode(F.split(F.coalesce(F.col(text_col), F.lit("")), "\n")).alias("pos", "line"))
 
 
-def is_noise(line: Column) -> Column:
-    low = F.lower(F.trim(line))
-    out = F.lit(False)
-    for p in NOISE_LINES:
-        out = out | low.rlike(p)
-    return out
-
-
-def is_durable(line: Column) -> Column:
-    """Noise is never durable, whatever words it has."""
-    return ~is_noise(line) & S.any_of(F.lower(line), DURABLE)
-
-
 def repeated_lines(texts: DataFrame, most: int = 5, id_col: str = "id", text_col: str = "text") -> DataFrame:
     """Lines without those that a text has had ``most`` times before, white space and case aside."""
     rows = lines(texts, id_col, text_col).withColumn("key", T.squeeze(F.lower("line")))
@@ -78,14 +59,16 @@ def facts(texts: DataFrame, least: int = 15, importance: float = 0.3, most: int
     """By session the most important distinct lines with their category: ``id, pos, line, category, importance``."""
     # Words that make a line important.
     high = ["nhớ", "remember", "quy tắc", "rule", "từ giờ", "from now", "không được", "must not", "luôn luôn", "always", "never", "critical", "important", "blocker", "deploy", "production", "architecture"]
-    rows = lines(texts).where(F.length(F.trim("line")) >= least).withColumn("category", S.fact_category(F.col("line")))
+    rows = lines(texts).withColumn("line", F.trim("line")).where(F.length("line") >= least)
+    # bound once: the category is used several times, and Spark would repeat its patterns wherever it is named
+    rows = rows.withColumn("category", F.transform(F.array("line"), S.fact_category)[0])
     low = F.lower("line")
     score = F.lit(0.5) + sum((F.when(F.contains(low, F.lit(w)), 0.15).otherwise(0.0) for w in high), F.lit(0.0))
     score = score + F.when(F.col("category").isin("rule", "architecture", "blocker"), 0.2).when(F.col("category").isin("decision", "deploy"), 0.15).when(F.col("category").isin("fix", "next_action"), 0.1).otherwise(0.0)
     score = score - F.when(F.length("line") < 20, 0.3).when(F.length("line") > 500, 0.1).otherwise(0.0)
     score = score - sum((F.when(F.contains(low, F.lit(w)) & F.col("line").rlike(p), 0.4).otherwise(0.0) for p, w in NOISY_FACTS.items()), F.lit(0.0))
     score = score - F.when(F.lower(F.trim("line")).isin("ok", "done", "success", "error", "warning"), 0.4).otherwise(0.0)
-    rows = rows.withColumn("importance", F.round(F.greatest(F.lit(0.0), F.least(F.lit(1.0), score)), 6)).where(F.col("importance") >= importance)
+    rows = rows.withColumn("importance", F.transform(F.array(score), lambda x: F.round(F.greatest(F.lit(0.0), F.least(F.lit(1.0), x)), 6))[0]).where(F.col("importance") >= importance)
     # of equal lines the first; then the best of each session
     first = rows.groupBy("id", T.squeeze(low).alias("key")).agg(F.min_by(F.struct("pos", "line", "category", "importance"), "pos").alias("f")).select("id", "f.*")
     k = F.row_number().over(Window.partitionBy("id").orderBy(F.desc("importance"), "pos"))

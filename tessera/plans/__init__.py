@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from tessera.plans import code_queries, graph_queries, log_queries, record_queries, review_queries
+from tessera.plans import code_queries, graph_queries, log_queries, record_queries, review_queries, session_queries
 
-MODULES = [record_queries, graph_queries, log_queries, code_queries, review_queries]
+MODULES = [record_queries, graph_queries, log_queries, code_queries, review_queries, session_queries]
 
 
 def queries() -> dict:

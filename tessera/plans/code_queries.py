@@ -121,12 +121,6 @@ def profile_rules(spark, d):
     return X.profile_rules(_specimens(spark, d)).groupBy("rule", "severity").agg(F.count(F.lit(1)).alias("n"))
 
 
-def rule_matches(spark, d):
-    doc = I.table(spark, d, "documents").select(F.col("doc_id").alias("target_id"), F.coalesce("text", F.lit("")).alias("text"))
-    rules = I.table(spark, d, "benchmark").select(F.col("item_id").alias("rule_id"), F.slice(F.filter(F.split(F.lower("text"), r"[^\p{L}\p{N}]+"), lambda w: w != ""), 1, 6).alias("words"))
-    return X.matched_rules(rules, doc)
-
-
 def fact_provenance(spark, d):
     e = I.table(spark, d, "events")
     facts = e.where("event_id % 10 = 0").select(F.col("event_id").alias("fact"), F.array(F.expr("concat('e', event_id)"), F.expr("concat('s', event_id % 50)"), F.lit("gone")).alias("refs"))
@@ -193,13 +187,13 @@ s AS (SELECT CASE WHEN type = 'route' THEN id ELSE file END AS key, id, kind, CA
 SELECT key, id, kind, score FROM s QUALIFY row_number() OVER (PARTITION BY key ORDER BY score DESC, id DESC) = 1""",
     "file_components": f"""WITH RECURSIVE {I.GRAPH}, {ENDS}, {PAIRS}, p AS (SELECT a, b FROM cp WHERE weight >= 30 UNION SELECT b, a FROM cp WHERE weight >= 30),
 w(file, other) AS (SELECT a, a FROM p UNION SELECT w.file, p.b FROM w JOIN p ON p.a = w.other) SELECT file, min(other) AS cluster FROM w GROUP BY file""",
-    "layer_votes": rf"""{W}, w AS (SELECT id, regexp_replace(file, '^src/(internal|retrieval)/', 'lib/\1-') AS file FROM v), f AS (SELECT DISTINCT file, CASE WHEN {TEST.format('file')} THEN 'tests' WHEN regexp_matches(file, '(^|/)(bin|mcp|cli|api|routes|hooks)/') THEN 'interface' WHEN regexp_matches(file, '/(runtime|processor|retrieval|snapshot|code-intelligence)/') THEN 'application'
+    "layer_votes": rf"""{W}, w AS (SELECT id, regexp_replace(file, '^src/(internal|retrieval)/', 'lib/\1-') AS file FROM v), f AS (SELECT DISTINCT file, CASE WHEN {TEST.format('file')} THEN 'tests' WHEN (file LIKE 'bin/%' OR regexp_matches(file, '/(mcp|cli|api|routes|hooks)/')) THEN 'interface' WHEN regexp_matches(file, '/(runtime|processor|retrieval|snapshot|code-intelligence)/') THEN 'application'
 WHEN regexp_matches(file, '/(core|memory)/|(^|/)types\.[^/]+$') THEN 'domain' WHEN regexp_matches(file, '/(storage|production|security|config|utils)/') THEN 'infrastructure' ELSE 'unknown' END AS layer FROM w),
 r AS (SELECT a.file AS x, b.file AS y, CASE e.type WHEN 'CALL_REFERENCE' THEN 6 WHEN 'CALLS' THEN 4 WHEN 'IMPORTS' THEN 4 WHEN 'USES_TYPE' THEN 4 WHEN 'WRITES' THEN 5 WHEN 'INHERITS' THEN 6 WHEN 'IMPLEMENTS' THEN 6 WHEN 'ROUTE' THEN 3 ELSE 1 END AS w FROM e JOIN w a ON a.id = e.src JOIN w b ON b.id = e.dst WHERE a.file <> b.file),
 n AS (SELECT x AS file, y AS other, w FROM r UNION ALL SELECT y, x, w FROM r), vo AS (SELECT n.file, f.layer, sum(w) AS w FROM n JOIN f ON f.file = n.other WHERE f.layer NOT IN ('unknown', 'tests') GROUP BY ALL),
 b AS (SELECT file, layer AS voted FROM vo WHERE w >= 4 QUALIFY row_number() OVER (PARTITION BY file ORDER BY w DESC, layer) = 1)
 SELECT f.file, CASE WHEN f.layer = 'unknown' AND voted IS NOT NULL THEN voted ELSE f.layer END AS layer, CASE WHEN f.layer = 'unknown' AND voted IS NOT NULL THEN 0.65 ELSE CASE f.layer WHEN 'tests' THEN 1.0 WHEN 'interface' THEN 0.9 WHEN 'application' THEN 0.85 WHEN 'domain' THEN 0.9 WHEN 'infrastructure' THEN 0.85 ELSE 0.35 END END::double AS confidence FROM f LEFT JOIN b USING (file)""",
-    "display_nodes": rf"""{W}, l AS (SELECT DISTINCT file, CASE WHEN {TEST.format('file')} THEN 'tests' WHEN regexp_matches(file, '(^|/)(bin|mcp|cli|api|routes|hooks)/') THEN 'interface' WHEN regexp_matches(file, '/(runtime|processor|retrieval|snapshot|code-intelligence)/') THEN 'application' WHEN regexp_matches(file, '/(core|memory)/|(^|/)types\.[^/]+$') THEN 'domain' WHEN regexp_matches(file, '/(storage|production|security|config|utils)/') THEN 'infrastructure' ELSE 'unknown' END AS layer, {SUB} AS cluster FROM v)
+    "display_nodes": rf"""{W}, l AS (SELECT DISTINCT file, CASE WHEN {TEST.format('file')} THEN 'tests' WHEN (file LIKE 'bin/%' OR regexp_matches(file, '/(mcp|cli|api|routes|hooks)/')) THEN 'interface' WHEN regexp_matches(file, '/(runtime|processor|retrieval|snapshot|code-intelligence)/') THEN 'application' WHEN regexp_matches(file, '/(core|memory)/|(^|/)types\.[^/]+$') THEN 'domain' WHEN regexp_matches(file, '/(storage|production|security|config|utils)/') THEN 'infrastructure' ELSE 'unknown' END AS layer, {SUB} AS cluster FROM v)
 SELECT v.id, layer, cluster, (count(*) OVER (PARTITION BY v.file))::double AS score, coalesce(i, 0) AS in_degree, coalesce(o, 0) AS out_degree FROM v JOIN l USING (file) LEFT JOIN (SELECT dst AS id, count(*) AS i FROM e GROUP BY 1) USING (id) LEFT JOIN (SELECT src AS id, count(*) AS o FROM e GROUP BY 1) USING (id)""",
     "intents": f"WITH q AS (SELECT event_id, lower({_at(QUESTIONS, 'event_id % 10')}) AS q FROM events) SELECT event_id, CASE WHEN regexp_matches(q, 'agent trước|previous agent|ai trước|phiên trước') AND regexp_matches(q, '{C.POSITION}') THEN 'summary' ELSE {_rules('q', C.INTENTS, chr(39) + 'summary' + chr(39))} END AS intent FROM q",
     "check_results": rf"""WITH c AS (SELECT event_id, lower({_at(COMMANDS, 'event_id % 9')}) AS command, lower({_at(OUTPUTS, 'event_id % 6')}) AS output, lower({_at(STATES, 'event_id % 6')}) AS line, CASE WHEN event_id % 7 = 0 THEN event_id % 2 END AS code FROM events)
@@ -215,8 +209,6 @@ UNION ALL SELECT 'todo', substr(line, 7), 'completed', 0.96 FROM sl WHERE line L
 SELECT kind, status, count(*) AS n, min(text) AS first, round(sum(c), 4) AS confidence FROM o GROUP BY ALL""",
     "scoped_lines": f"WITH {SPEC}, s AS (SELECT *, CASE WHEN pos < 8 THEN substr(first_value(line) OVER (PARTITION BY id ORDER BY pos), 3) ELSE 'Notes' END AS section FROM sl) SELECT section, count(*) AS lines, sum(pos)::bigint AS places FROM s WHERE line NOT LIKE '#%' GROUP BY section",
     "profile_rules": f"WITH {SPEC} SELECT trim(substr(line, 3)) AS rule, CASE WHEN line LIKE '- never%' THEN 'block' ELSE 'warn' END AS severity, count(*) AS n FROM sl WHERE line LIKE '- never%' OR line LIKE '- we should%' GROUP BY ALL",
-    "rule_matches": r"""WITH r AS (SELECT item_id AS rule_id, list_distinct(list_filter(regexp_split_to_array(lower(text), '[^\p{L}\p{N}]+'), lambda w: w <> '')[1:6]) AS words FROM benchmark), d AS (SELECT doc_id AS target_id, list_distinct(regexp_split_to_array(lower(coalesce(text, '')), '[^\p{L}\p{N}]+')) AS have FROM documents)
-SELECT rule_id, target_id FROM r JOIN d ON len(words) > 0 AND len(list_intersect(words, have)) = len(words)""",
     "fact_provenance": "WITH f AS (SELECT event_id AS fact, unnest(['e' || event_id, 's' || (event_id % 50), 'gone']) AS ref FROM events WHERE event_id % 10 = 0), v AS (SELECT 'e' || event_id AS event, CASE WHEN event_id % 100 < 50 THEN 's' || event_id END AS source FROM events) SELECT DISTINCT fact, event FROM f JOIN v ON ref = event OR ref = source",
     "token_sections": """WITH RECURSIVE c AS (SELECT conv_id AS query_id, turn AS priority, ceil(length(coalesce(text, '')) / 3.5)::bigint AS tokens, row_number() OVER (PARTITION BY conv_id ORDER BY turn) AS k FROM conversations),
 f AS (SELECT query_id, 0::bigint AS k, 300::bigint AS rest, NULL::bigint AS priority, NULL::bigint AS given FROM c WHERE k = 1

@@ -142,7 +142,7 @@ QUERIES = {n: f for n, f in list(globals().items()) if callable(f) and getattr(f
 
 W = f"WITH {I.GRAPH}"
 TEST = r"({0} LIKE 'tests/%' OR contains({0}, '/tests/') OR contains({0}, '__tests__') OR regexp_matches({0}, '\.(test|spec)\.[^.]+$'))"
-SUB = f"CASE WHEN {TEST.format('file')} THEN 'tests' WHEN file LIKE 'src/%' THEN 'src/' || split_part(file, '/', 2) ELSE split_part(file, '/', 1) END"
+SUB = "CASE WHEN split_part(file, '/', 1) IN ('src', 'packages') THEN split_part(file, '/', 1) || '/' || split_part(file, '/', 2) ELSE split_part(file, '/', 1) END"
 
 
 def _in(labels):
@@ -201,7 +201,7 @@ FROM (SELECT cluster, count(*) AS files FROM m GROUP BY 1) LEFT JOIN i USING (cl
     "dead_code": rf"""{W}, u AS (SELECT * FROM e WHERE type IN {_in(P.USAGE)}), s AS (SELECT v.*, (SELECT count(*) FROM u WHERE u.src = v.id) AS outgoing FROM v WHERE type IN ('function', 'method', 'class', 'interface', 'property') AND NOT {TEST.format('file')} AND NOT regexp_matches(file, '(^|/)bin/') AND NOT regexp_matches(file, '(^|/)(index|main|server|cli)\.[^./]+$') AND id NOT IN (SELECT dst FROM u)),
 q AS (SELECT id, 50 + CASE WHEN type IN ('function', 'method') THEN 20 ELSE 0 END - CASE WHEN type = 'property' THEN 15 ELSE 0 END + CASE WHEN outgoing = 0 THEN 10 ELSE 0 END + CASE WHEN contains(file, '/internal/') THEN 10 ELSE 0 END + CASE WHEN name LIKE '\_%' ESCAPE '\' THEN 5 ELSE 0 END AS score FROM s)
 SELECT id, score, CASE WHEN score >= 75 THEN 'high' WHEN score >= 55 THEN 'medium' ELSE 'low' END AS confidence FROM q""",
-    "layers": rf"""{W}, f AS (SELECT DISTINCT file FROM v), k AS (SELECT file, CASE WHEN {TEST.format('file')} THEN 1 WHEN regexp_matches(file, '(^|/)(bin|mcp|cli|api|routes|hooks)/') THEN 2 WHEN regexp_matches(file, '/(runtime|processor|retrieval|snapshot|code-intelligence)/') THEN 3 WHEN regexp_matches(file, '/(core|memory)/|(^|/)types\.[^/]+$') THEN 4 WHEN regexp_matches(file, '/(storage|production|security|config|utils)/') THEN 5 ELSE 6 END AS k FROM f)
+    "layers": rf"""{W}, f AS (SELECT DISTINCT file FROM v), k AS (SELECT file, CASE WHEN {TEST.format('file')} THEN 1 WHEN regexp_matches(file, '(^bin|/mcp|/cli|/api|/routes|/hooks)/') THEN 2 WHEN regexp_matches(file, '/(runtime|processor|retrieval|snapshot|code-intelligence)/') THEN 3 WHEN regexp_matches(file, '/(core|memory)/|(^|/)types\.[^/]+$') THEN 4 WHEN regexp_matches(file, '/(storage|production|security|config|utils)/') THEN 5 ELSE 6 END AS k FROM f)
 SELECT file, ['tests', 'interface', 'application', 'domain', 'infrastructure', 'unknown'][k] AS layer, [1.0, 0.9, 0.85, 0.9, 0.85, 0.35][k]::double AS confidence FROM k""",
     "manifest_diff": """WITH r AS (SELECT 'f' || (o_orderkey % 5000) AS path, o_orderstatus AS hash, o_orderkey FROM orders), a AS (SELECT path, max(hash) AS was FROM r WHERE o_orderkey % 3 <> 0 GROUP BY 1), b AS (SELECT path, max(hash) AS now FROM r WHERE o_orderkey % 4 <> 0 GROUP BY 1)
 SELECT path, CASE WHEN was IS NULL THEN 'added' WHEN now IS NULL THEN 'deleted' WHEN was <> now THEN 'modified' ELSE 'unchanged' END AS status FROM a FULL JOIN b USING (path)""",

@@ -6,7 +6,6 @@ from pyspark.sql import functions as F
 
 
 from tessera.functions import text as T
-from tessera.functions.paths import dangerous_command
 from tessera.operators import memory as M
 from tessera.operators import retrieval as R
 from tessera.operators import session as E
@@ -57,11 +56,6 @@ def message_types(spark, d):
     return E.message_types(I.table(spark, d, "conversations")).groupBy("type").agg(F.count(F.lit(1)).alias("n"))
 
 
-def noise_lines(spark, d):
-    rows = E.lines(_texts(spark, d))
-    return rows.groupBy("id").agg(F.count_if(E.is_noise(F.col("line"))).alias("noise"), F.count_if(E.is_durable(F.col("line"))).alias("durable"))
-
-
 def repeated_lines(spark, d):
     return E.repeated_lines(_texts(spark, d), 2).groupBy("id").agg(F.count(F.lit(1)).alias("kept"), F.sum("pos").alias("places"))
 
@@ -134,12 +128,6 @@ def intent_facts(spark, d):
     return ST.intent_facts(f, {"decision": 100, "rule": 85, "todo": 45}, {"checkpoint": 20, "handoff": 18, "session-origin": 14, "work-state": 8}).select("project", "rank", "kind", F.round("score", 4).alias("score"), "place")
 
 
-def dangerous_commands(spark, d):
-    e = I.table(spark, d, "events")
-    commands = ["rm -rf /tmp/x", "git push origin --force", "git reset --hard HEAD", "ls -la", "chown -R root /srv", "DROP TABLE users", "chmod -R 777 ."]
-    return e.select("event_id", dangerous_command(I.pick(commands, F.col("event_id") % 7)).alias("reason"))
-
-
 def _links(spark, d):
     p = I.wiki_pages(spark, d)
     return K.links(p, F.transform(F.regexp_extract_all("html", F.lit('href="([^"]*)"'), 1), T.slug))
@@ -214,11 +202,10 @@ def event_windows(spark, d):
 QUERIES = {n: f for n, f in list(globals().items()) if callable(f) and getattr(f, "__module__", "") == __name__ and not n.startswith("_")}
 
 LINES = "l AS (SELECT doc_id AS id, unnest(string_split(coalesce(text, ''), chr(10))) AS line, generate_subscripts(string_split(coalesce(text, ''), chr(10)), 1) - 1 AS pos FROM documents)"
-NOISY = "(" + " OR ".join(f"regexp_matches(lower(trim(line)), '{p}')" for p in E.NOISE_LINES) + ")"
-HIGH = ["remember", "rule", "from now", "must not", "always", "never", "critical", "important", "blocker", "deploy", "production", "architecture"]
+HIGH = ["nhớ", "quy tắc", "từ giờ", "không được", "luôn luôn", "remember", "rule", "from now", "must not", "always", "never", "critical", "important", "blocker", "deploy", "production", "architecture"]
 CATEGORY = "CASE " + " ".join(
     f"WHEN regexp_matches(line, '{p}') THEN '{n}'"
-    for n, p in [("rule", r"(?i)\b(rule|policy|standard|convention|always|never|must|should)\b"), ("fix", r"(?i)\b(fix|fixed|bug|issue|error)\b"), ("blocker", r"(?i)\b(blocker|blocked|stuck|cannot)\b"), ("next_action", r"(?i)\b(next|todo|action|task)\b"), ("deploy", r"(?i)\b(deploy|release|publish|ship)\b"), ("architecture", r"(?i)\b(architecture|design|structure|pattern)\b"), ("file", r"(?i)\.(ts|js|py|go|rs|java|cpp|c|h)\b")]
+    for n, p in [("rule", r"(?i)\b(rule|policy|standard|convention|always|never|must|should|quy tắc|từ giờ|không được)\b"), ("fix", r"(?i)\b(fix|fixed|bug|issue|error|lỗi)\b"), ("blocker", r"(?i)\b(blocker|blocked|stuck|cannot|không thể)\b"), ("next_action", r"(?i)\b(next|todo|action|task|cần làm)\b"), ("deploy", r"(?i)\b(deploy|release|publish|ship)\b"), ("architecture", r"(?i)\b(architecture|design|structure|pattern)\b"), ("file", r"(?i)\.(ts|js|py|go|rs|java|cpp|c|h)\b")]
 ) + " ELSE 'decision' END"
 ITEMS = f"""WITH {I.OBS}, it AS (SELECT project, key, arg_max(text, (ts, seq)) AS title, CASE WHEN bool_or(status = 'completed') THEN 'completed' ELSE coalesce(arg_max(status, (ts, seq)) FILTER (status IN ('in_progress', 'blocked', 'cancelled')), 'pending') END AS status, max(confidence) AS confidence, arg_max(ord, (ts, seq)) FILTER (ord IS NOT NULL) AS ord FROM obs GROUP BY project, key)"""
 FACTS = "fa AS (SELECT project, ['rule', 'decision', 'todo', 'fix', 'context'][((seq % 5) + 1)::int] AS kind, seq AS id, substr(text, 1, 30) AS text, (seq % 17) / 17.0::double AS importance, confidence FROM obs)"
@@ -238,7 +225,6 @@ SQL = {
     "capture_health": f"WITH {I.SESSIONS}, m AS (SELECT project, session, max(seq) AS l, arg_max(type, seq) AS t FROM ev GROUP BY ALL), r AS (SELECT conv_id AS session, max(turn) AS s FROM conversations WHERE turn < 3 AND conv_id % 4 <> 0 GROUP BY 1) SELECT project, count(*) AS sessions, sum(greatest(0, l - coalesce(s, -1)))::bigint AS pending, count_if(t = 'error')::bigint AS errors FROM m LEFT JOIN r USING (session) GROUP BY project",
     "keyset_page": "SELECT o_orderkey AS id, (o_custkey % 50)::int AS clock FROM orders WHERE o_custkey % 50 > 40 OR (o_custkey % 50 = 40 AND o_orderkey > 500)",
     "message_types": "SELECT CASE role WHEN 'user' THEN 'user_message' WHEN 'assistant' THEN 'assistant_message' ELSE CASE WHEN contains(role, 'tool') THEN 'tool_result' ELSE 'custom' END END AS type, count(*) AS n FROM conversations GROUP BY 1",
-    "noise_lines": f"WITH {LINES} SELECT id, count_if({NOISY})::bigint AS noise, count_if(NOT {NOISY} AND (" + " OR ".join(f"contains(lower(line), '{w}')" for w in E.DURABLE) + "))::bigint AS durable FROM l GROUP BY id",
     "repeated_lines": rf"WITH {LINES}, k AS (SELECT *, row_number() OVER (PARTITION BY id, trim(regexp_replace(lower(line), '\s+', ' ', 'g')) ORDER BY pos) AS k FROM l) SELECT id, count(*) AS kept, sum(pos)::bigint AS places FROM k WHERE k <= 2 GROUP BY id",
     "session_facts": rf"""WITH {LINES}, c AS (SELECT *, {CATEGORY} AS category FROM l WHERE length(trim(line)) >= 15),
 s AS (SELECT *, round(greatest(0, least(1, 0.5::double + {" + ".join(f"CASE WHEN contains(lower(line), '{w}') THEN 0.15::double ELSE 0 END" for w in HIGH)} + CASE WHEN category IN ('rule', 'architecture', 'blocker') THEN 0.2 WHEN category IN ('decision', 'deploy') THEN 0.15 WHEN category IN ('fix', 'next_action') THEN 0.1 ELSE 0 END::double - CASE WHEN length(line) < 20 THEN 0.3 WHEN length(line) > 500 THEN 0.1 ELSE 0 END::double)), 6) AS importance FROM c),
@@ -264,7 +250,6 @@ SELECT project, scope, kind, text AS value, round(confidence, 6) AS confidence,
     "intent_facts": f"""WITH {I.OBS}, {FACTS}, f AS (SELECT project, kind, text AS value, id % 200 AS place, CASE kind WHEN 'decision' THEN 100 WHEN 'rule' THEN 85 WHEN 'todo' THEN 45 ELSE 10 END + [20, 18, 14, 8][((id % 4) + 1)::int] + greatest(0, 5 - 0.01::double * (id % 200)) AS score FROM fa),
 b AS (SELECT * FROM f QUALIFY row_number() OVER (PARTITION BY project, kind, lower(trim(value)) ORDER BY score DESC, place) = 1)
 SELECT project, (row_number() OVER (PARTITION BY project ORDER BY score DESC, place, kind))::int AS rank, kind, round(score, 4) AS score, place FROM b QUALIFY rank <= 12""",
-    "dangerous_commands": "SELECT event_id, ['recursive delete', 'force push', 'hard reset', NULL, 'change of owner', 'drop of data', 'open permissions'][((event_id % 7) + 1)::int] AS reason FROM events",
     "page_links": f"WITH {I.WIKI}, {LINKS} SELECT slug, target FROM ln",
     "backlinks": f"WITH {I.WIKI}, {LINKS} SELECT target AS slug, count(*) AS backlinks FROM ln GROUP BY 1",
     "orphan_pages": f"WITH {I.WIKI}, q AS (SELECT *, {SLUG.format('title')} AS s FROM wp), l AS (SELECT s, unnest(regexp_extract_all(html, '>([A-Za-z]+)</a>', 1)) AS t FROM q) SELECT page_id FROM q WHERE s NOT IN (SELECT {SLUG.format('t')} FROM l WHERE {SLUG.format('t')} <> s AND {SLUG.format('t')} <> '')",

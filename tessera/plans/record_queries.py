@@ -117,9 +117,13 @@ def secret_redaction(spark, d):
     return mem(spark, d).select("id", F.sha2(red, 256).alias("digest"), F.regexp_count(red, F.lit(r"\[REDACTED:")).alias("redacted"))
 
 
-REDACT = "content"
-for _kind, _pattern in T.SECRETS:
-    REDACT = f"regexp_replace({REDACT}, '{_pattern.replace(chr(39), chr(39) * 2)}', '[REDACTED:{_kind}]', 'g')"
+_SECRETS = [
+    ("openai_key", r"\bsk-[A-Za-z0-9_\-]{20,}\b"), ("huggingface_token", r"\bhf_[A-Za-z0-9]{20,}\b"), ("hf_s3_access_key", r"\bHFAK[A-Za-z0-9]{8,}\b"), ("bearer_token", r"(?i)\bBearer\s+[A-Za-z0-9._\-]{16,}\b"), ("jwt", r"\beyJ[A-Za-z0-9_\-]{8,}\.[A-Za-z0-9_\-]{8,}\.[A-Za-z0-9_\-]{8,}\b"),
+    ("private_key", r"-----BEGIN [A-Z ]*PRIVATE KEY-----[\s\S]*?-----END [A-Z ]*PRIVATE KEY-----"), ("password_assignment", r"""(?i)\b(password|passwd|pwd)\s*[:=]\s*["'']?[^"''\s]{6,}["'']?"""), ("secret_assignment", r"""(?i)\b(secret|api[_-]?key|access[_-]?token|refresh[_-]?token)\s*[:=]\s*["'']?[^"''\s]{8,}["'']?"""),
+    ("cookie", r"(?i)\b(cookie|set-cookie)\s*[:=]\s*[^;\n]{8,}"),
+]
+_FOUND = " || ".join(f"list_transform(regexp_extract_all(content, '{p}'), lambda v: '[REDACTED:{k}]' || chr(1) || v)" for k, p in _SECRETS)
+REDACT = f"list_reduce([content] || {_FOUND}, lambda t, m: replace(t, split_part(m, chr(1), 2), split_part(m, chr(1), 1)))"
 
 
 def content_keys(spark, d):

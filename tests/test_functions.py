@@ -38,7 +38,10 @@ def test_paths(spark):
     assert [one(spark, P.is_source(F.col("t")), t=t) for t in ("src/a.ts", "node_modules/a.ts", "src/.env", "src/key.pem", "a.py")] == [True, False, False, False, False]
     assert [one(spark, P.is_sensitive(F.col("t")), t=t) for t in ("x/.ENV", "a/b.Key", "a/b.ts")] == [True, True, False]
     assert [one(spark, P.contains_path(F.col("a"), F.col("b")), a=a, b=b) for a, b in (("/a", "/a/b"), ("/a/b", "/a"), ("/a", "/ab"))] == [True, True, False]
-    assert one(spark, P.dangerous_command(F.col("t")), t="sudo chown -R root /") == "change of owner"
+    assert [one(spark, P.dangerous_command(F.col("t")), t=t) for t in ("sudo chown -R root /", "rm -rf ~/x", "TRUNCATE TABLE t", "git push --force")] == [None, "home deletion", "loss of data", None]
+    assert [one(spark, P.dangerous_path(F.col("t")), t=t) for t in ("/etc/x", "/a/.env.local", "src/prod/x", "/A/Credentials", "src/x.ts")] == ["system configuration", "environment file", "production path", "sensitive file", None]
+    assert [one(spark, P.subsystem(F.col("t")), t=t) for t in ("src/core/a.ts", "packages/x/src/a.ts", "src/a.spec.ts", "tests/a.ts", "a.ts", "")] == ["src/core", "packages/x", "src/a.spec.ts", "tests", "a.ts", "root"]
+    assert [one(spark, P.layer(F.col("t"))["layer"], t=t) for t in ("bin/a.ts", "x/bin/a.ts", "cli/a.ts", "src/cli/a.ts")] == ["interface", "unknown", "unknown", "interface"]
 
 
 def test_scores(spark):
