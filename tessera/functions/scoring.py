@@ -52,12 +52,15 @@ def active(expires: Column, superseded_by: Column, now: Column) -> Column:
 
 
 def keyword_score(tokens: Column, query: list[str]) -> Column:
-    """Damped term frequencies, averaged over the query's tokens (repeats count)."""
-    def damped(q: str) -> Column:
-        tf = F.size(F.filter(tokens, lambda t: t == q))
+    """Damped term frequencies, averaged over the query's tokens (repeats count).
+
+    The tokens are bound once: a plain column would be worked out anew for each token of the query and wherever a filter names the score.
+    """
+    def damped(found: Column, q: str) -> Column:
+        tf = F.size(F.filter(found, lambda t: t == q))
         return F.when(tf > 0, 1 + F.log(1 + tf)).otherwise(0.0)
 
-    return sum(map(damped, query), F.lit(0.0)) / max(1, len(query))
+    return F.transform(F.array(tokens), lambda found: sum((damped(found, q) for q in query), F.lit(0.0)) / max(1, len(query)))[0]
 
 
 def recency(updated: Column, created: Column, now: Column, half_life: float = 30.0) -> Column:

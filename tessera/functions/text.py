@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import json
+import re
 import unicodedata
 
 import pandas as pd
@@ -135,20 +136,31 @@ def stable_json(text: pd.Series) -> pd.Series:
     return text.map(one)
 
 
-# Keys whose values never leave the process.
-SECRET_KEYS = ("password", "passwd", "secret", "token", "api_key", "apikey", "authorization", "cookie", "private_key")
+# Keys (letters and digits only) whose values never leave the process; ``pwd`` as a whole.
+SECRET_KEYS = ("password", "passwd", "secret", "token", "cookie", "authorization", "apikey", "accesskey", "privatekey", "clientsecret", "credential")
 
 
 @F.pandas_udf(StringType())
 def redact_json(text: pd.Series) -> pd.Series:
-    """Values under secret keys, at any depth, become ``[REDACTED]``."""
-
-    def walk(x, depth=0):
-        if depth > 12:
-            return None
+    """Values under secret keys, at any depth, become ``[REDACTED]``; secrets inside other strings are replaced as in ``redact``."""
+    patterns = [(kind, re.compile(p)) for kind, p in SECRETS]
+
+    def plain(s):
+        out = s
+        for kind, m in [(k, m.group(0)) for k, p in patterns for m in p.finditer(s)]:
+            out = out.replace(m, f"[REDACTED:{kind}]")
+        return out
+
+    def secret(key):
+        key = re.sub("[^a-z0-9]+", "", unicodedata.normalize("NFKC", key).lower())
+        return key == "pwd" or any(s in key for s in SECRET_KEYS)
+
+    def walk(x):
+        if isinstance(x, str):
+            return plain(x)
         if isinstance(x, dict):
-            return {k: "[REDACTED]" if any(s in k.lower() for s in SECRET_KEYS) else walk(v, depth + 1) for k, v in x.items()}
-        return [walk(v, depth + 1) for v in x] if isinstance(x, list) else x
+            return {k: "[REDACTED]" if secret(k) else walk(v) for k, v in x.items()}
+        return [walk(v) for v in x] if isinstance(x, list) else x
 
     def one(t):
         try:

@@ -97,7 +97,10 @@ def file_components(pairs: DataFrame, least: int = 8) -> DataFrame:
     labels = both.select(F.col("a").alias("file")).distinct().withColumn("cluster", F.col("file"))
     while True:
         best = both.join(labels.withColumnRenamed("file", "b"), "b").groupBy(F.col("a").alias("file")).agg(F.min("cluster").alias("c"))
-        new = cut(labels.join(best, "file").select("file", F.least("cluster", "c").alias("cluster"), (F.col("c") < F.col("cluster")).alias("moved")))
+        near = labels.join(best, "file").select("file", F.col("cluster").alias("was"), F.least("cluster", "c").alias("cluster"))
+        # the label of that label as well, so long chains shrink quickly
+        jump = near.join(labels.select(F.col("file").alias("cluster"), F.col("cluster").alias("j")), "cluster").select("file", "was", F.least("cluster", "j").alias("cluster"))
+        new = cut(jump.select("file", "cluster", (F.col("cluster") < F.col("was")).alias("moved")))
         if new.where("moved").isEmpty():
             return new.select("file", "cluster")
         labels = new.select("file", "cluster")

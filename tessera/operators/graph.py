@@ -35,13 +35,22 @@ def find_symbols(vertices: DataFrame, text: str, limit: int = 20) -> DataFrame:
     return vertices.where(hit).withColumn("exact", F.lower("name") == low).orderBy(F.desc("exact"), "file", "id").limit(limit)
 
 
-def neighbours(edges: DataFrame, vertices: DataFrame, ids: list[str], types: list[str], reverse: bool = False) -> DataFrame:
-    """Distinct vertices one edge away: callers (reverse) and callees, dependents and dependencies."""
+def neighbours(edges: DataFrame, vertices: DataFrame, start: DataFrame, types: list[str], reverse: bool = False) -> DataFrame:
+    """Distinct vertices one edge away from those of ``start`` (``id``): callers (reverse) and callees, dependents and dependencies."""
     near, far = ("dst", "src") if reverse else ("src", "dst")
-    found = edges.where(F.col(near).isin(ids) & F.col("type").isin(types)).select(F.col(far).alias("id")).distinct()
+    found = edges.where(F.col("type").isin(types)).join(start.select(F.col("id").alias(near)), near, "left_semi").select(F.col(far).alias("id")).distinct()
     return found.join(vertices, "id")
 
 
+def neighbourhood(edges: DataFrame, vertices: DataFrame, start: DataFrame, types: list[str]) -> DataFrame:
+    """``origin, id, direction, via, depth`` of what is one edge away either way; of several edges between two the first (by ``ord``)."""
+    rows = edges.where(F.col("type").isin(types)).join(vertices.select(F.col("id").alias("src")), "src", "left_semi").join(vertices.select(F.col("id").alias("dst")), "dst", "left_semi")
+    one = rows.groupBy("src", "dst").agg(F.min_by("type", F.struct("ord", "type")).alias("via"))
+    ids = start.select(F.col("id").alias("origin"))
+    way = lambda near, far, name: one.join(ids, F.col(near) == F.col("origin")).select("origin", F.col(far).alias("id"), F.lit(name).alias("direction"), "via", F.lit(1).alias("depth"))
+    return way("src", "dst", "out").unionByName(way("dst", "src", "in"))
+
+
 def reach(edges: DataFrame, start: DataFrame, types: list[str], depth: int, reverse: bool = False) -> DataFrame:
     """``origin, id, depth, via``: the least number of edges from each origin, and the type of the first edge (by ``ord``) that gets there.
 
@@ -49,7 +58,7 @@ def reach(edges: DataFrame, start: DataFrame, types: list[str], depth: int, reve
     Each frontier is written once, so a step's work is that of its own frontier.
     """
     near, far = ("dst", "src") if reverse else ("src", "dst")
-    step = edges.where(F.col("type").isin(types)).select(F.col(near).alias("id"), F.col(far).alias("next"), "type", "ord")
+    step = cut(edges.where(F.col("type").isin(types)).select(F.col(near).alias("id"), F.col(far).alias("next"), "type", "ord"))  # written once, read in every step
     seen = start.select("origin", "id", F.lit(0).alias("depth"), F.lit(None).cast("string").alias("via"))
     front = seen
     for d in range(1, depth + 1):
@@ -200,3 +209,37 @@ def rollup(edges: DataFrame, membership: DataFrame, key: str = "cluster") -> Dat
     """Directed counts of edges between groups of vertices (``id`` and ``key``), without those within one."""
     ends = edges.join(membership.select(F.col("id").alias("src"), F.col(key).alias("a")), "src").join(membership.select(F.col("id").alias("dst"), F.col(key).alias("b")), "dst")
     return ends.where("a <> b").groupBy("a", "b").agg(F.count(F.lit(1)).alias("edges"))
+
+
+def dead_code_list(edges: DataFrame, vertices: DataFrame, limit: int = 100, least: str = "medium") -> DataFrame:
+    """The surest unused symbols of at least that confidence, best first."""
+    kinds = ["low", "medium", "high"]
+    return dead_code(edges, vertices).where(F.col("confidence").isin(kinds[kinds.index(least) :])).orderBy(F.desc("score"), "file", "name", "id").limit(limit)
+
+
+def confidence_counts(rows: DataFrame) -> DataFrame:
+    """How many rows there are of each confidence, and in all."""
+    return rows.agg(*[F.count_if(F.col("confidence") == c).alias(c) for c in ("high", "medium", "low")], F.count(F.lit(1)).alias("total"))
+
+
+def file_dependency_lists(edges: DataFrame, vertices: DataFrame) -> DataFrame:
+    """By file the sorted distinct files it depends on and those that depend on it (files without any stay).
+
+    A list is a file's answer, so it has as many entries as files that it meets, not edges.
+    """
+    cross = resolved(edges.where(F.col("type").isin(P.DEPENDENCY)), vertices).where("src_file <> dst_file").select("src_file", "dst_file").distinct()
+    out = cross.groupBy(F.col("src_file").alias("file")).agg(F.sort_array(F.collect_list("dst_file")).alias("targets"))
+    into = cross.groupBy(F.col("dst_file").alias("file")).agg(F.sort_array(F.collect_list("src_file")).alias("sources"))
+    none = F.array().cast("array<string>")
+    return vertices.select("file").distinct().join(out, "file", "left").join(into, "file", "left").select("file", F.coalesce("targets", none).alias("targets"), F.coalesce("sources", none).alias("sources"))
+
+
+def compact_symbols(vertices: DataFrame) -> DataFrame:
+    return vertices.select("id", "name", "type", "file", "start_line", "end_line")
+
+
+def chunk_ranges(vertices: DataFrame) -> DataFrame:
+    """``file, id, start_line, end_line`` of what is cut into chunks: symbols with both lines; a file without any as a whole (no lines)."""
+    good = vertices.where("type <> 'file' AND start_line IS NOT NULL AND end_line IS NOT NULL").select("file", "id", "start_line", "end_line")
+    whole = vertices.select("file").distinct().join(good.select("file"), "file", "left_anti")
+    return good.unionByName(whole.select("file", F.lit(None).cast("string").alias("id"), F.lit(None).cast("long").alias("start_line"), F.lit(None).cast("long").alias("end_line")))

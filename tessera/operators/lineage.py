@@ -8,8 +8,11 @@ from pyspark.sql import DataFrame
 
 
 def cut(df: DataFrame) -> DataFrame:
-    """A checkpoint in the shared folder that the cluster names; a temporary one stands in only where none is named."""
+    """A checkpoint in the shared folder that the cluster names; a temporary one stands in only in a local session."""
     context = df.sparkSession.sparkContext
     if not context.getCheckpointDir():
-        context.setCheckpointDir(df.sparkSession.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="spark-"))
+        base = df.sparkSession.conf.get("spark.checkpoint.dir", None)
+        if base is None and (not context.master.startswith("local") or context.master.startswith("local-cluster")):
+            raise ValueError("spark.checkpoint.dir must name a folder that driver and executors share")
+        context.setCheckpointDir(base or tempfile.mkdtemp(prefix="spark-"))
     return df.checkpoint()

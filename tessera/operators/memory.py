@@ -68,9 +68,9 @@ def consolidation(memories: DataFrame) -> DataFrame:
 
 
 def superseded(new: DataFrame, old: DataFrame, least: float = 0.6) -> DataFrame:
-    """Pairs (new_id, old_id) of one project and type (rule or decision): same topic, a shared tag with meaning, or similar words.
+    """``old_id, new_id``: old records and the largest new one of their project and type (rule or decision) that replaces them: same topic, a shared tag with meaning, or similar words.
 
-    Topics and tags are equi-joins. Word similarity is one too: words are joined, and shared words counted by pair;
+    Topics and tags are equi-joins with the new records reduced first, so a tag that all share makes no pairs. Word similarity is one too: words are joined, and shared words counted by pair;
     only the rarest words of each record, as many as similar sets must share one of, are joined.
     """
     def keys(df: DataFrame, p: str) -> DataFrame:
@@ -81,8 +81,13 @@ def superseded(new: DataFrame, old: DataFrame, least: float = 0.6) -> DataFrame:
 
     a, b = keys(new, "new"), keys(old, "old")
     on = ["project", "type"]
-    by_topic = a.select(*on, "new_id", F.col("new_topic").alias("k")).join(b.select(*on, "old_id", F.col("old_topic").alias("k")), [*on, "k"])
-    by_tag = a.select(*on, "new_id", F.explode("new_tags").alias("k")).join(b.select(*on, "old_id", F.explode("old_tags").alias("k")), [*on, "k"])
+    # of the new records of a topic or tag only the two largest identifiers can be the largest other than an old record's own
+    keyed = a.select(*on, "new_id", F.concat(F.lit("topic "), "new_topic").alias("k")).union(a.select(*on, "new_id", F.explode(F.transform("new_tags", lambda t: F.concat(F.lit("tag "), t))).alias("k"))).where("k IS NOT NULL")
+    first = keyed.groupBy(*on, "k").agg(F.max("new_id").alias("first"))
+    second = keyed.join(first, [*on, "k"]).where("new_id <> first").groupBy(*on, "k").agg(F.max("new_id").alias("second"))
+    largest = first.join(second, [*on, "k"], "left")
+    wanted = b.select(*on, "old_id", F.concat(F.lit("topic "), "old_topic").alias("k")).union(b.select(*on, "old_id", F.explode(F.transform("old_tags", lambda t: F.concat(F.lit("tag "), t))).alias("k")))
+    by_key = wanted.join(largest, [*on, "k"]).select("old_id", F.when(F.col("first") != F.col("old_id"), F.col("first")).otherwise(F.col("second")).alias("new_id")).where("new_id IS NOT NULL")
     counts = b.select(F.explode("old_words").alias("w")).groupBy("w").count()
     def rare(df: DataFrame, p: str) -> DataFrame:
         each = df.select(*on, f"{p}_id", F.size(f"{p}_words").alias("n"), F.explode(f"{p}_words").alias("w")).join(counts, "w", "left")
@@ -91,8 +96,8 @@ def superseded(new: DataFrame, old: DataFrame, least: float = 0.6) -> DataFrame:
 
     shared = rare(a, "new").join(rare(b, "old"), [*on, "w"]).select(*on, "new_id", "old_id").distinct()
     similar = shared.join(a.select("new_id", "new_words"), "new_id").join(b.select("old_id", "old_words"), "old_id").where(T.jaccard(F.col("new_words"), F.col("old_words")) >= least)
-    pairs = by_topic.select("new_id", "old_id").union(by_tag.select("new_id", "old_id")).union(similar.select("new_id", "old_id"))
-    return pairs.where("new_id <> old_id").distinct()
+    pairs = by_key.select("new_id", "old_id").union(similar.where("new_id <> old_id").select("new_id", "old_id"))
+    return pairs.groupBy("old_id").agg(F.max("new_id").alias("new_id"))
 
 
 def remember(new: DataFrame, old: DataFrame, now: Column) -> DataFrame:
@@ -100,7 +105,7 @@ def remember(new: DataFrame, old: DataFrame, now: Column) -> DataFrame:
     days = S.default_expiry_days(F.col("type"), F.col("importance"))
     fresh = new.withColumn("content", T.redact(F.col("content"))).withColumn("importance", F.coalesce("importance", S.infer_importance(F.col("type"), F.col("content"))))
     fresh = fresh.withColumn("expires", F.coalesce("expires", (F.col("created").cast("timestamp") + F.make_dt_interval(days)).cast(new.schema["expires"].dataType)))
-    gone = superseded(fresh, old).groupBy("old_id").agg(F.max("new_id").alias("by"))
+    gone = superseded(fresh, old).withColumnRenamed("new_id", "by")
     marked = old.join(gone, old["id"] == gone["old_id"], "left").withColumn("superseded_by", F.coalesce("superseded_by", "by")).drop("old_id", "by")
     return marked.select(*old.columns).unionByName(fresh.select(*old.columns))
 
@@ -135,3 +140,32 @@ def activity_summary(activities: DataFrame, least: int = 4, newest: int = 50) ->
     last = F.row_number().over(Window.partitionBy("project").orderBy(F.desc("ts"), F.desc("id")))
     rows = activities.withColumn("k", last).where(F.col("k") <= newest)
     return rows.groupBy("project").agg(F.count(F.lit(1)).alias("activities"), F.sort_array(F.collect_set("type")).alias("types"), F.max("ts").alias("last"), F.count_if(F.col("type") == "error").alias("errors")).where(F.col("activities") >= least)
+
+
+def lookup(memories: DataFrame, ids: DataFrame) -> DataFrame:
+    """Records by identifier (``id``), and whether there is such a record: ``id, found`` and its columns."""
+    return ids.select("id").distinct().join(memories.withColumn("found", F.lit(True)), "id", "left").withColumn("found", F.coalesce("found", F.lit(False)))
+
+
+def deleted(memories: DataFrame, ids: DataFrame | None = None, projects: DataFrame | None = None) -> DataFrame:
+    """Without some records (``id``), and without all records of some projects (``project``)."""
+    if ids is not None:
+        memories = memories.join(ids.select("id"), "id", "left_anti")
+    return memories if projects is None else memories.join(projects.select("project"), "project", "left_anti").select(*memories.columns)
+
+
+def recent(memories: DataFrame, now: Column, most: int = 10, kind: str | None = None) -> DataFrame:
+    """By project the newest active records (of one type)."""
+    rows = with_active(memories, now).where("active")
+    rows = rows if kind is None else rows.where(F.col("type") == kind)
+    k = F.row_number().over(Window.partitionBy("project").orderBy(F.desc("created"), "id"))
+    return rows.withColumn("place", k).where(F.col("place") <= most).drop("active")
+
+
+def fact_union(sources: list[tuple[str, DataFrame]]) -> DataFrame:
+    """Facts (``project, kind, value, place``) of several sources, told by name and order of the sources."""
+    out = None
+    for i, (name, rows) in enumerate(sources):
+        rows = rows.select("project", "kind", "value", F.col("place").cast("long").alias("place")).withColumn("source", F.lit(name)).withColumn("source_order", F.lit(i))
+        out = rows if out is None else out.unionByName(rows)
+    return out

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import re
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
@@ -14,7 +16,9 @@ def scored(memories: DataFrame, query: str, query_tokens: list[str], now: Column
     """Active records with ``keyword``, ``importance_score``, ``recent``, ``priority`` and ``score``."""
     words = F.concat_ws(" ", F.col("content"), F.array_join("tags", " "), F.col("type"))
     rows = memories.withColumn("active", S.active(F.col("expires"), F.col("superseded_by"), now)).where("active")
-    rows = rows.withColumn("keyword", S.keyword_score(T.tokenize(words), query_tokens)).where("keyword > 0")
+    # a record without any of the tokens goes before its words are counted
+    some = F.lower(words).rlike("|".join(map(re.escape, query_tokens)))
+    rows = rows.where(some).withColumn("keyword", S.keyword_score(T.tokenize(words), query_tokens)).where("keyword > 0")
     return rows.withColumns({
         "importance_score": S.effective_importance(F.col("type"), F.col("importance"), F.col("updated"), F.lit(True), now),
         "recent": S.recency(F.col("updated"), F.col("created"), now),
@@ -57,9 +61,9 @@ def rerank(hits: DataFrame, query_tokens: list[str], k: int = 10, wants_tests: b
 
 
 def wiki_search(pages: DataFrame, tokens: list[str], k: int = 20) -> DataFrame:
-    """``slug, title, tags, summary, content, revision``: the best pages."""
+    """``slug, title, tags, summary, content, revision, updated``: the best pages, the newest first among equals."""
     score = S.wiki_score(F.col("slug"), F.col("title"), F.col("tags"), F.col("summary"), F.col("content"), tokens)
-    return pages.withColumn("score", score).where("score > 0").orderBy(F.desc("score"), "slug").limit(k)
+    return pages.withColumn("score", score).where("score > 0").orderBy(F.desc("score"), F.desc("updated"), "slug").limit(k)
 
 
 def missing_vectors(records: DataFrame, vectors: DataFrame) -> DataFrame:

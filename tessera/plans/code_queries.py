@@ -43,7 +43,7 @@ def import_resolution(spark, d):
 
 def call_resolution(spark, d):
     o = I.table(spark, d, "orders")
-    calls = o.where("o_orderkey % 5 = 0").select(F.col("o_orderkey").alias("call"), F.expr("concat('src/runtime/', substr(o_orderpriority, 1, 1), '/', o_custkey % 20, '.ts')").alias("file"), F.expr("concat('order', o_orderkey % 700)").alias("name"), F.expr("concat('o:', o_orderkey)").alias("caller"))
+    calls = o.select(F.col("o_orderkey").alias("call"), F.expr("concat('src/runtime/', substr(o_orderpriority, 1, 1), '/', o_custkey % 20, '.ts')").alias("file"), F.expr("concat('order', o_orderkey % 700)").alias("name"), F.expr("concat('o:', o_orderkey)").alias("caller"))
     known = I.table(spark, d, "nation").select(F.expr("concat('src/runtime/1/', n_nationkey % 20, '.ts')").alias("file"), F.expr("concat('src/runtime/2/', n_regionkey, '.ts')").alias("target_file"))
     return D.resolved_calls(calls, I.vertices(spark, d), known).groupBy("call", "rank").agg(F.count(F.lit(1)).alias("targets"), F.min("target").alias("first"))
 
@@ -67,7 +67,7 @@ def entry_points(spark, d):
 
 
 def file_components(spark, d):
-    return D.file_components(G.cluster_pairs(I.edges(spark, d), I.vertices(spark, d)), 30)
+    return D.file_components(G.cluster_pairs(I.edges(spark, d), I.vertices(spark, d)))
 
 
 def layer_votes(spark, d):
@@ -123,7 +123,7 @@ def profile_rules(spark, d):
 
 def fact_provenance(spark, d):
     e = I.table(spark, d, "events")
-    facts = e.where("event_id % 10 = 0").select(F.col("event_id").alias("fact"), F.array(F.expr("concat('e', event_id)"), F.expr("concat('s', event_id % 50)"), F.lit("gone")).alias("refs"))
+    facts = e.select(F.col("event_id").alias("fact"), F.array(F.expr("concat('e', event_id)"), F.expr("concat('s', event_id % 50)"), F.lit("gone")).alias("refs"))
     events = e.select(F.expr("concat('e', event_id)").alias("event"), F.when(F.col("event_id") % 100 < 50, F.expr("concat('s', event_id)")).alias("source"))
     return X.provenance(facts, events)
 
@@ -174,7 +174,7 @@ SQL = {
     "source_symbols": f"WITH {SPEC}, s AS (SELECT path, (pos + 1)::int AS line, regexp_extract(line, '{DECL}', 1) AS type, regexp_extract(line, '{DECL}', 2) AS name FROM sl) SELECT *, substr(sha256(path || '|' || type || '|' || name || '|' || line), 1, 24) AS id FROM s WHERE name <> ''",
     "source_imports": f"SELECT 'src/storage/f' || event_id || '.ts' AS path, {_at(SPECIFIERS, 'event_id % 7')} AS specifier FROM events",
     "import_resolution": f"{W}, s AS (SELECT 'src/storage/f' || event_id || '.ts' AS path, {_at(SPECIFIERS, 'event_id % 7')} AS specifier, {_at(['src/storage/nation1.ts', 'src/storage/nation2.ts', 'src/storage/nation3.ts', 'src/core/region1.ts', 'no', 'no', 'src/core/region0.ts'], 'event_id % 7')} AS target FROM events) SELECT * FROM s WHERE target IN (SELECT file FROM v)",
-    "call_resolution": f"""{W}, c AS (SELECT o_orderkey AS call, 'src/runtime/' || substr(o_orderpriority, 1, 1) || '/' || (o_custkey % 20) || '.ts' AS file, 'order' || (o_orderkey % 700) AS name, 'o:' || o_orderkey AS caller FROM orders WHERE o_orderkey % 5 = 0),
+    "call_resolution": f"""{W}, c AS (SELECT o_orderkey AS call, 'src/runtime/' || substr(o_orderpriority, 1, 1) || '/' || (o_custkey % 20) || '.ts' AS file, 'order' || (o_orderkey % 700) AS name, 'o:' || o_orderkey AS caller FROM orders),
 k AS (SELECT DISTINCT 'src/runtime/1/' || (n_nationkey % 20) || '.ts' AS file, 'src/runtime/2/' || n_regionkey || '.ts' AS target_file FROM nation),
 h AS (SELECT call, v.id AS target, CASE WHEN v.file = c.file THEN 0 WHEN EXISTS (SELECT 1 FROM k WHERE k.file = c.file AND k.target_file = v.file) THEN 1 ELSE 2 END AS rank FROM c JOIN v ON v.name = c.name AND v.type IN ('function', 'method') AND v.id <> c.caller)
 SELECT call, rank, count(*) AS targets, min(target) AS first FROM (SELECT * FROM h QUALIFY rank() OVER (PARTITION BY call ORDER BY rank) = 1) GROUP BY ALL""",
@@ -185,7 +185,7 @@ c AS (SELECT w.*, coalesce(i, 0) AS i, coalesce(o, 0) AS o FROM w LEFT JOIN (SEL
 k AS (SELECT *, CASE WHEN type = 'route' THEN 'route' WHEN file LIKE 'bin/%' THEN 'cli' WHEN regexp_matches(file, '(^|/)cli\.[^.]+$') THEN 'cli' WHEN regexp_matches(file, '(^|/)(main|server)\.[^.]+$') THEN 'main' WHEN contains(file, '/runtime/') AND regexp_matches(file, '(^|/)(bootstrap|index)\.[^.]+$') THEN 'runtime' WHEN regexp_matches(file, '(^|/)index\.[^.]+$') AND (i = 0 OR o > 0) THEN 'package' END AS kind FROM c),
 s AS (SELECT CASE WHEN type = 'route' THEN id ELSE file END AS key, id, kind, CASE kind WHEN 'route' THEN 100 ELSE CASE kind WHEN 'cli' THEN 100 WHEN 'main' THEN 90 WHEN 'runtime' THEN 75 ELSE 55 END + CASE WHEN i = 0 THEN 10 ELSE 0 END END AS score FROM k WHERE kind IS NOT NULL)
 SELECT key, id, kind, score FROM s QUALIFY row_number() OVER (PARTITION BY key ORDER BY score DESC, id DESC) = 1""",
-    "file_components": f"""WITH RECURSIVE {I.GRAPH}, {ENDS}, {PAIRS}, p AS (SELECT a, b FROM cp WHERE weight >= 30 UNION SELECT b, a FROM cp WHERE weight >= 30),
+    "file_components": f"""WITH RECURSIVE {I.GRAPH}, {ENDS}, {PAIRS}, p AS (SELECT a, b FROM cp WHERE weight >= 8 UNION SELECT b, a FROM cp WHERE weight >= 8),
 w(file, other) AS (SELECT a, a FROM p UNION SELECT w.file, p.b FROM w JOIN p ON p.a = w.other) SELECT file, min(other) AS cluster FROM w GROUP BY file""",
     "layer_votes": rf"""{W}, w AS (SELECT id, regexp_replace(file, '^src/(internal|retrieval)/', 'lib/\1-') AS file FROM v), f AS (SELECT DISTINCT file, CASE WHEN {TEST.format('file')} THEN 'tests' WHEN (file LIKE 'bin/%' OR regexp_matches(file, '/(mcp|cli|api|routes|hooks)/')) THEN 'interface' WHEN regexp_matches(file, '/(runtime|processor|retrieval|snapshot|code-intelligence)/') THEN 'application'
 WHEN regexp_matches(file, '/(core|memory)/|(^|/)types\.[^/]+$') THEN 'domain' WHEN regexp_matches(file, '/(storage|production|security|config|utils)/') THEN 'infrastructure' ELSE 'unknown' END AS layer FROM w),
@@ -209,7 +209,7 @@ UNION ALL SELECT 'todo', substr(line, 7), 'completed', 0.96 FROM sl WHERE line L
 SELECT kind, status, count(*) AS n, min(text) AS first, round(sum(c), 4) AS confidence FROM o GROUP BY ALL""",
     "scoped_lines": f"WITH {SPEC}, s AS (SELECT *, CASE WHEN pos < 8 THEN substr(first_value(line) OVER (PARTITION BY id ORDER BY pos), 3) ELSE 'Notes' END AS section FROM sl) SELECT section, count(*) AS lines, sum(pos)::bigint AS places FROM s WHERE line NOT LIKE '#%' GROUP BY section",
     "profile_rules": f"WITH {SPEC} SELECT trim(substr(line, 3)) AS rule, CASE WHEN line LIKE '- never%' THEN 'block' ELSE 'warn' END AS severity, count(*) AS n FROM sl WHERE line LIKE '- never%' OR line LIKE '- we should%' GROUP BY ALL",
-    "fact_provenance": "WITH f AS (SELECT event_id AS fact, unnest(['e' || event_id, 's' || (event_id % 50), 'gone']) AS ref FROM events WHERE event_id % 10 = 0), v AS (SELECT 'e' || event_id AS event, CASE WHEN event_id % 100 < 50 THEN 's' || event_id END AS source FROM events) SELECT DISTINCT fact, event FROM f JOIN v ON ref = event OR ref = source",
+    "fact_provenance": "WITH f AS (SELECT event_id AS fact, unnest(['e' || event_id, 's' || (event_id % 50), 'gone']) AS ref FROM events), v AS (SELECT 'e' || event_id AS event, CASE WHEN event_id % 100 < 50 THEN 's' || event_id END AS source FROM events) SELECT DISTINCT fact, event FROM f JOIN v ON ref = event OR ref = source",
     "token_sections": """WITH RECURSIVE c AS (SELECT conv_id AS query_id, turn AS priority, ceil(length(coalesce(text, '')) / 3.5)::bigint AS tokens, row_number() OVER (PARTITION BY conv_id ORDER BY turn) AS k FROM conversations),
 f AS (SELECT query_id, 0::bigint AS k, 300::bigint AS rest, NULL::bigint AS priority, NULL::bigint AS given FROM c WHERE k = 1
 UNION ALL SELECT c.query_id, c.k, f.rest - CASE WHEN c.tokens <= f.rest THEN c.tokens WHEN f.rest > 50 THEN f.rest ELSE 0 END, c.priority, CASE WHEN c.tokens <= f.rest THEN c.tokens WHEN f.rest > 50 THEN f.rest ELSE 0 END FROM f JOIN c ON c.query_id = f.query_id AND c.k = f.k + 1)

@@ -24,12 +24,12 @@ def find_symbols(spark, d):
 
 def callers(spark, d):
     e, v = _g(spark, d)
-    return G.neighbours(e, v, [f"c:{i}" for i in range(1, 30)], P.CALLS, reverse=True).select("id", "file")
+    return G.neighbours(e, v, v.where("type = 'function'"), P.CALLS, reverse=True).select("id", "file")
 
 
 def dependencies(spark, d):
     e, v = _g(spark, d)
-    return G.neighbours(e, v, [f"o:{i}" for i in range(1, 40)], P.DEPENDENCY).select("id", "file")
+    return G.neighbours(e, v, v.where("type = 'method'"), P.DEPENDENCY).select("id", "file")
 
 
 def direct_callers(spark, d):
@@ -39,13 +39,13 @@ def direct_callers(spark, d):
 
 def call_trace(spark, d):
     e, _ = _g(spark, d)
-    start = I.table(spark, d, "orders").where("o_orderkey % 50 = 0").select(F.expr("concat('o:', o_orderkey)").alias("origin"))
+    start = I.table(spark, d, "orders").select(F.expr("concat('o:', o_orderkey)").alias("origin"))
     return G.reach(e, start.withColumn("id", F.col("origin")), P.DEPENDENCY, 3).select("origin", "id", "depth")
 
 
 def impact(spark, d):
     e, _ = _g(spark, d)
-    start = I.table(spark, d, "part").where("p_partkey % 40 = 0").select(F.expr("concat('p:', p_partkey)").alias("origin"))
+    start = I.table(spark, d, "part").select(F.expr("concat('p:', p_partkey)").alias("origin"))
     return G.reach(e, start.withColumn("id", F.col("origin")), P.IMPACT, 4, reverse=True).where("depth > 0").groupBy("origin", "depth").agg(F.count(F.lit(1)).alias("reached"))
 
 
@@ -59,12 +59,12 @@ def blast_radius(spark, d):
 def shortest_path(spark, d):
     e, _ = _g(spark, d)
     first = I.table(spark, d, "lineitem").where("l_linenumber = 1").orderBy("l_orderkey").select("l_orderkey", "l_suppkey").first()
-    return G.shortest_path(e, f"o:{first[0]}", f"s:{first[1]}", P.DEPENDENCY).agg(F.count(F.lit(1)).alias("vertices"))
+    return G.shortest_path(e, f"o:{first[0]}", f"s:{first[1]}", P.DEPENDENCY)
 
 
 def changed_symbols(spark, d):
     v = I.vertices(spark, d)
-    line = I.table(spark, d, "customer").where("c_custkey % 9 = 0")
+    line = I.table(spark, d, "customer")
     hunks = line.select(F.expr("concat('src/retrieval/', c_mktsegment, '/n', c_nationkey, '.ts')").alias("file"), F.expr("(c_custkey * 7) % 4000").alias("from_line"), F.expr("(c_custkey * 7) % 4000 + 12").alias("to_line"))
     whole = I.table(spark, d, "region").select(F.expr("concat('src/core/region', r_regionkey, '.ts')").alias("file"), F.lit(None).cast("long").alias("from_line"), F.lit(None).cast("long").alias("to_line"))
     return G.changed_symbols(hunks.unionByName(whole), v)
@@ -133,6 +133,49 @@ def cluster_rollup(spark, d):
     return G.rollup(e, v.select("id", P.subsystem(F.col("file")).alias("cluster")))
 
 
+def neighbourhood(spark, d):
+    e, v = _g(spark, d)
+    return G.neighbourhood(e, v, v.where("type IN ('function', 'class')"), P.USAGE).groupBy("origin", "direction", "via").agg(F.count(F.lit(1)).alias("n"), F.min("id").alias("first"))
+
+
+def dead_code_list(spark, d):
+    e, v = _g(spark, d)
+    return G.dead_code_list(e, v, 50).select("id", "score")
+
+
+def dead_code_confidence(spark, d):
+    e, v = _g(spark, d)
+    return G.confidence_counts(G.dead_code(e, v))
+
+
+def file_dependency_lists(spark, d):
+    e, v = _g(spark, d)
+    return G.file_dependency_lists(e, v).select("file", F.array_join("targets", ",").alias("targets"), F.array_join("sources", ",").alias("sources"))
+
+
+def file_rollup(spark, d):
+    e, v = _g(spark, d)
+    return G.rollup(e, v.select("id", "file"), "file")
+
+
+def layer_rollup(spark, d):
+    e, v = _g(spark, d)
+    return G.rollup(e, v.select("id", P.layer(F.col("file"))["layer"].alias("layer")), "layer")
+
+
+def cluster_labels(spark, d):
+    return I.vertices(spark, d).select("file", P.cluster_label(P.subsystem(F.col("file"))).alias("label")).distinct()
+
+
+def compact_symbols(spark, d):
+    return G.compact_symbols(I.vertices(spark, d))
+
+
+def chunk_ranges(spark, d):
+    v = I.vertices(spark, d)
+    return G.chunk_ranges(v).groupBy("file").agg(F.count("id").alias("symbols"), F.min("start_line").alias("first"), F.max("end_line").alias("last"))
+
+
 def test_files(spark, d):
     f = F.col("file")
     return I.vertices(spark, d).select("file").distinct().select("file", P.is_test(f).alias("test"), P.is_public(f).alias("public"), P.is_sensitive(f).alias("sensitive"), P.is_source(f).alias("source"))
@@ -163,22 +206,37 @@ best AS (SELECT origin, id, min(depth) AS depth FROM walk GROUP BY ALL)"""
 R = f"WITH RECURSIVE {I.GRAPH}"
 ENDS = "r AS (SELECT e.*, a.file AS src_file, b.file AS dst_file FROM e JOIN v a ON a.id = e.src JOIN v b ON b.id = e.dst)"
 PAIRS = f"cp AS (SELECT least(src_file, dst_file) AS a, greatest(src_file, dst_file) AS b, sum({_case('type', P.CLUSTER_WEIGHT, 0)})::bigint AS weight FROM r WHERE src_file <> dst_file AND type IN {_in(P.CLUSTER_WEIGHT)} GROUP BY ALL)"
+DEAD = rf"""u AS (SELECT * FROM e WHERE type IN ('CALLS', 'CALL_REFERENCE', 'IMPORTS', 'USES_TYPE', 'WRITES', 'INHERITS', 'IMPLEMENTS', 'ROUTE', 'TESTS')), s AS (SELECT v.*, (SELECT count(*) FROM u WHERE u.src = v.id) AS outgoing FROM v WHERE type IN ('function', 'method', 'class', 'interface', 'property') AND NOT {TEST.format('file')} AND NOT regexp_matches(file, '(^|/)bin/') AND NOT regexp_matches(file, '(^|/)(index|main|server|cli)\\.[^./]+$') AND id NOT IN (SELECT dst FROM u)),
+q AS (SELECT *, 50 + CASE WHEN type IN ('function', 'method') THEN 20 ELSE 0 END - CASE WHEN type = 'property' THEN 15 ELSE 0 END + CASE WHEN outgoing = 0 THEN 10 ELSE 0 END + CASE WHEN contains(file, '/internal/') THEN 10 ELSE 0 END + CASE WHEN starts_with(name, '_') THEN 5 ELSE 0 END AS score FROM s)"""
 SQL = {
+    "neighbourhood": f"""{W}, p AS (SELECT src, dst, arg_min(type, (ord, type)) AS via FROM e WHERE type IN ('CALLS', 'CALL_REFERENCE', 'IMPORTS', 'USES_TYPE', 'WRITES', 'INHERITS', 'IMPLEMENTS', 'ROUTE', 'TESTS') GROUP BY ALL), a AS (SELECT id FROM v WHERE type IN ('function', 'class')), x AS (SELECT src AS origin, dst AS id, 'out' AS direction, via FROM p UNION ALL SELECT dst, src, 'in', via FROM p)
+SELECT origin, direction, via, count(*) AS n, min(id) AS first FROM x WHERE origin IN (SELECT id FROM a) AND id IN (SELECT id FROM v) GROUP BY ALL""",
+    "dead_code_list": f"{W}, {DEAD} SELECT id, score FROM q WHERE score >= 55 ORDER BY score DESC, file, name, id LIMIT 50",
+    "dead_code_confidence": f"{W}, {DEAD} SELECT count_if(score >= 75)::bigint AS high, count_if(score >= 55 AND score < 75)::bigint AS medium, count_if(score < 55)::bigint AS low, count(*) AS total FROM q",
+    "file_dependency_lists": f"""{W}, {ENDS}, p AS (SELECT DISTINCT src_file, dst_file FROM r WHERE type IN ('CALLS', 'CALL_REFERENCE', 'IMPORTS', 'USES_TYPE', 'WRITES', 'INHERITS', 'IMPLEMENTS', 'ROUTE') AND src_file <> dst_file)
+SELECT f.file, coalesce(t, '') AS targets, coalesce(s, '') AS sources FROM (SELECT DISTINCT file FROM v) f LEFT JOIN (SELECT src_file AS file, string_agg(dst_file, ',' ORDER BY dst_file) AS t FROM p GROUP BY 1) o USING (file) LEFT JOIN (SELECT dst_file AS file, string_agg(src_file, ',' ORDER BY src_file) AS s FROM p GROUP BY 1) i USING (file)""",
+    "file_rollup": f"{W}, {ENDS} SELECT src_file AS a, dst_file AS b, count(*) AS edges FROM r WHERE src_file <> dst_file GROUP BY ALL",
+    "layer_rollup": rf"""{W}, l AS (SELECT id, CASE WHEN {TEST.format('file')} THEN 'tests' WHEN file LIKE 'bin/%' OR regexp_matches(file, '/(mcp|cli|api|routes|hooks)/') THEN 'interface' WHEN regexp_matches(file, '/(runtime|processor|retrieval|snapshot|code-intelligence)/') THEN 'application' WHEN regexp_matches(file, '/(core|memory)/|(^|/)types\.[^.]+$') THEN 'domain' WHEN regexp_matches(file, '/(storage|production|security|config|utils)/') THEN 'infrastructure' ELSE 'unknown' END AS layer FROM v)
+SELECT x.layer AS a, y.layer AS b, count(*) AS edges FROM e JOIN l x ON x.id = e.src JOIN l y ON y.id = e.dst WHERE x.layer <> y.layer GROUP BY ALL""",
+    "cluster_labels": f"{W} SELECT DISTINCT file, CASE split_part(file, '/', 2) WHEN 'core' THEN 'Core' WHEN 'storage' THEN 'Storage' WHEN 'retrieval' THEN 'Retrieval' WHEN 'memory' THEN 'Memory' WHEN 'runtime' THEN 'Runtime' WHEN 'internal' THEN 'internal' ELSE 'Tests' END AS label FROM v",
+    "compact_symbols": f"{W} SELECT id, name, type, file, start_line, end_line FROM v",
+    "chunk_ranges": f"{W}, g AS (SELECT file, count(*) AS n, min(start_line) AS a, max(end_line) AS b FROM v WHERE type <> 'file' AND start_line IS NOT NULL AND end_line IS NOT NULL GROUP BY 1) SELECT f.file, coalesce(n, 0) AS symbols, a AS first, b AS last FROM (SELECT DISTINCT file FROM v) f LEFT JOIN g USING (file)",
     "graph_stats": f"{W} SELECT 'vertex' AS kind, type, count(*) AS n FROM v GROUP BY type UNION ALL SELECT 'edge', type, count(*) FROM e GROUP BY type",
     "find_symbols": f"{W} SELECT id, name, file FROM v WHERE contains(lower(name), 'order12') OR contains(lower(file), 'order12') ORDER BY (lower(name) = 'order12') DESC, file, id LIMIT 20",
-    "callers": f"{W} SELECT id, file FROM v WHERE id IN (SELECT src FROM e WHERE type IN {_in(P.CALLS)} AND dst IN (SELECT 'c:' || i FROM range(1, 30) t(i)))",
-    "dependencies": f"{W} SELECT id, file FROM v WHERE id IN (SELECT dst FROM e WHERE type IN {_in(P.DEPENDENCY)} AND src IN (SELECT 'o:' || i FROM range(1, 40) t(i)))",
+    "callers": f"{W} SELECT id, file FROM v WHERE id IN (SELECT src FROM e WHERE type IN {_in(P.CALLS)} AND dst IN (SELECT id FROM v WHERE type = 'function'))",
+    "dependencies": f"{W} SELECT id, file FROM v WHERE id IN (SELECT dst FROM e WHERE type IN {_in(P.DEPENDENCY)} AND src IN (SELECT id FROM v WHERE type = 'method'))",
     "direct_callers": f"{W} SELECT dst, count(*) AS calls FROM e JOIN v a ON a.id = e.src JOIN v b ON b.id = e.dst WHERE e.type = 'CALLS' GROUP BY dst",
-    "call_trace": f"""{R}, {_reach("'o:' || o_orderkey AS origin FROM orders WHERE o_orderkey % 50 = 0) SELECT origin FROM q", P.DEPENDENCY, 3, False).replace("st AS (SELECT 'o:'", "st AS (WITH q AS (SELECT 'o:'").replace("FROM q AS origin)", "FROM q)")} SELECT origin, id, depth FROM best""",
-    "impact": f"""{R}, {_reach("'p:' || p_partkey AS origin FROM part WHERE p_partkey % 40 = 0) SELECT origin FROM q", P.IMPACT, 4, True).replace("st AS (SELECT 'p:'", "st AS (WITH q AS (SELECT 'p:'").replace("FROM q AS origin)", "FROM q)")} SELECT origin, depth, count(*) AS reached FROM best WHERE depth > 0 GROUP BY ALL""",
+    "call_trace": f"""{R}, {_reach("'o:' || o_orderkey AS origin FROM orders) SELECT origin FROM q", P.DEPENDENCY, 3, False).replace("st AS (SELECT 'o:'", "st AS (WITH q AS (SELECT 'o:'").replace("FROM q AS origin)", "FROM q)")} SELECT origin, id, depth FROM best""",
+    "impact": f"""{R}, {_reach("'p:' || p_partkey AS origin FROM part) SELECT origin FROM q", P.IMPACT, 4, True).replace("st AS (SELECT 'p:'", "st AS (WITH q AS (SELECT 'p:'").replace("FROM q AS origin)", "FROM q)")} SELECT origin, depth, count(*) AS reached FROM best WHERE depth > 0 GROUP BY ALL""",
     "blast_radius": f"""{R}, {_reach("'s:' || s_suppkey AS origin FROM supplier) SELECT origin FROM q", P.BLAST, 4, True).replace("st AS (SELECT 's:'", "st AS (WITH q AS (SELECT 's:'").replace("FROM q AS origin)", "FROM q)")},
 hop AS (SELECT b.origin, b.id, b.depth, (SELECT first(ee.type ORDER BY ee.ord, ee.type) FROM ee JOIN best p ON p.origin = b.origin AND p.id = ee.n AND p.depth = b.depth - 1 WHERE ee.f = b.id) AS via FROM best b WHERE b.depth > 0),
 sums AS (SELECT origin, count(*) AS reached, count(DISTINCT file) AS files, sum(greatest(1, ({_case('via', P.BLAST_WEIGHT, 1)}) - (depth - 1))) AS w FROM hop LEFT JOIN v USING (id) GROUP BY origin),
 own AS (SELECT 's:' || s_suppkey AS origin, CASE s_suppkey % 3 WHEN 0 THEN 8 WHEN 1 THEN 5 ELSE 2 END + 3 AS own FROM supplier),
 res AS (SELECT origin, coalesce(reached, 0) AS reached, coalesce(files, 0) AS files, (own + coalesce(w, 0))::bigint AS score FROM own LEFT JOIN sums USING (origin))
 SELECT *, CASE WHEN score >= 30 THEN 'CRITICAL' WHEN score >= 16 THEN 'HIGH' WHEN score >= 6 THEN 'MEDIUM' ELSE 'LOW' END AS risk FROM res""",
-    "shortest_path": "SELECT 3::bigint AS vertices FROM lineitem LIMIT 1",
-    "changed_symbols": f"""{W}, h AS (SELECT 'src/retrieval/' || c_mktsegment || '/n' || c_nationkey || '.ts' AS file, (c_custkey * 7) % 4000 AS a, (c_custkey * 7) % 4000 + 12 AS b FROM customer WHERE c_custkey % 9 = 0 UNION ALL SELECT 'src/core/region' || r_regionkey || '.ts', NULL, NULL FROM region),
+    "shortest_path": f"""{W}, l AS (SELECT 'o:' || l_orderkey AS o, 's:' || l_suppkey AS s FROM lineitem WHERE l_linenumber = 1 ORDER BY l_orderkey LIMIT 1), d AS (SELECT src, dst, ord FROM e WHERE type IN {_in(P.DEPENDENCY)}),
+m AS (SELECT b.src AS id FROM l JOIN d b ON b.dst = l.s JOIN d a ON a.src = l.o AND a.dst = b.src ORDER BY b.ord, b.src LIMIT 1) SELECT 0::int AS place, o AS id FROM l UNION ALL SELECT 1, id FROM m UNION ALL SELECT 2, s FROM l""",
+    "changed_symbols": f"""{W}, h AS (SELECT 'src/retrieval/' || c_mktsegment || '/n' || c_nationkey || '.ts' AS file, (c_custkey * 7) % 4000 AS a, (c_custkey * 7) % 4000 + 12 AS b FROM customer UNION ALL SELECT 'src/core/region' || r_regionkey || '.ts', NULL, NULL FROM region),
 dr AS (SELECT DISTINCT v.id, v.file FROM v JOIN h USING (file) WHERE v.type <> 'file' AND v.start_line IS NOT NULL AND (a IS NULL OR (start_line <= b AND end_line >= a)))
 SELECT * FROM dr UNION ALL SELECT v.id, v.file FROM v WHERE type = 'file' AND file IN (SELECT file FROM h) AND file NOT IN (SELECT file FROM dr)""",
     "containing_symbol": f"""{W}, l AS (SELECT c_custkey AS ref, 'src/memory/n' || c_nationkey || '.ts' AS file, c_custkey % 600 AS line FROM customer)

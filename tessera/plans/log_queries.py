@@ -157,7 +157,7 @@ def latest_revision(spark, d):
 
 
 def title_conflicts(spark, d):
-    p = I.wiki_pages(spark, d).select("slug", F.substring("title", 1, 4).alias("title"))
+    p = I.wiki_pages(spark, d).select("slug", "title")
     return K.title_conflicts(p)
 
 
@@ -255,12 +255,12 @@ SELECT project, (row_number() OVER (PARTITION BY project ORDER BY score DESC, pl
     "orphan_pages": f"WITH {I.WIKI}, q AS (SELECT *, {SLUG.format('title')} AS s FROM wp), l AS (SELECT s, unnest(regexp_extract_all(html, '>([A-Za-z]+)</a>', 1)) AS t FROM q) SELECT page_id FROM q WHERE s NOT IN (SELECT {SLUG.format('t')} FROM l WHERE {SLUG.format('t')} <> s AND {SLUG.format('t')} <> '')",
     "broken_links": f"WITH {I.WIKI}, {LINKS} SELECT slug, count(*) AS broken FROM ln WHERE target NOT IN (SELECT slug FROM wp) GROUP BY slug",
     "latest_revision": f"WITH {I.WIKI} SELECT page_id % 40 AS slug, revision, title FROM wp QUALIFY row_number() OVER (PARTITION BY page_id % 40 ORDER BY revision DESC) = 1",
-    "title_conflicts": rf"WITH {I.WIKI} SELECT trim(regexp_replace(lower(substr(title, 1, 4)), '\s+', ' ', 'g')) AS title, count(*) AS pages, min(slug) AS first FROM wp GROUP BY 1 HAVING count(*) > 1",
+    "title_conflicts": rf"WITH {I.WIKI} SELECT trim(regexp_replace(lower(title), '\s+', ' ', 'g')) AS title, count(*) AS pages, min(slug) AS first FROM wp GROUP BY 1 HAVING count(*) > 1",
     "wiki_quality": f"WITH {I.WIKI} SELECT count(*) AS pages, count_if((epoch_us(TIMESTAMP '2024-06-15') - epoch_us(updated)) / 86400000000.0 > 90)::bigint AS stale, count_if(length(content) < 80)::bigint AS short, count_if(summary IS NULL)::bigint AS without_summary FROM wp",
     "governance": rf"""WITH {I.WIKI}, c AS (SELECT slug, round(greatest(0, least(1, [0.96, 0.94, 0.88][((page_id % 3) + 1)::int]::double + CASE WHEN list_contains(tags, 'class:permanent') OR list_contains(tags, 'class:task') THEN 0.03 ELSE 0 END::double + CASE WHEN length(content) >= 200 THEN 0.02 ELSE 0 END::double - CASE WHEN length(content) < 80 THEN 0.05 ELSE 0 END::double - CASE WHEN length(title) < 4 THEN 0.05 ELSE 0 END::double)), 4) AS confidence,
 regexp_matches(concat_ws(' ', title, summary, substr(content, 1, 2000), array_to_string(tags, ' ')), '{K.CRITICAL}') AS critical FROM wp), n AS (SELECT *, confidence < 0.86 OR (critical AND confidence < 0.94) AS needs_review FROM c)
 SELECT slug, confidence, critical, needs_review, CASE WHEN critical THEN 'high' WHEN needs_review THEN 'medium' ELSE 'low' END AS risk FROM n""",
-    "wiki_search": f"WITH {I.WIKI}, s AS (SELECT slug, {WSCORE} AS score FROM wp) SELECT slug, score::bigint AS score FROM s WHERE score > 0 ORDER BY score DESC, slug LIMIT 20",
+    "wiki_search": f"WITH {I.WIKI}, s AS (SELECT slug, updated, {WSCORE} AS score FROM wp) SELECT slug, score::bigint AS score FROM s WHERE score > 0 ORDER BY score DESC, updated DESC, slug LIMIT 20",
     "page_changes": f"WITH {I.WIKI} SELECT slug AS key, CASE WHEN page_id % 5 = 0 THEN 'created' WHEN page_id % 3 = 0 THEN 'updated' ELSE 'unchanged' END AS change FROM wp",
     "hub_requests": "SELECT 'agent' || user_id AS principal, count(*) AS requests, count_if(event_type = 'error')::bigint AS errors, round(sum(greatest(0, value)), 4) AS ms, round(max(value), 4) AS slowest FROM events GROUP BY 1",
     "hub_access": "WITH w AS (SELECT DISTINCT o_custkey AS principal, o_orderkey % 7 AS team, o_orderstatus AS scope FROM orders) SELECT * FROM w WHERE (principal % 5 = 0 AND team = 3 AND principal IN (SELECT c_custkey FROM customer)) OR (principal % 2 = 0 AND principal % 7 = team AND scope IN ('O', 'P') AND principal IN (SELECT c_custkey FROM customer))",

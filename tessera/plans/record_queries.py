@@ -88,7 +88,7 @@ def consolidation(spark, d):
 
 def supersession(spark, d):
     m = mem(spark, d)
-    return M.superseded(m.where("id % 5 = 1"), m.where("id % 5 <> 1"))
+    return M.superseded(m, m)
 
 
 def pruned(spark, d):
@@ -108,7 +108,7 @@ def upsert_latest(spark, d):
 
 def remembered(spark, d):
     m = mem(spark, d).withColumn("superseded_by", F.lit(None).cast("long"))
-    out = M.remember(m.where("id % 5 = 1").withColumn("importance", F.lit(None).cast("string")), m.where("id % 5 <> 1 AND type IN ('rule', 'decision') AND id % 3 <> 1"), I.now())
+    out = M.remember(m.where("id % 5 = 1").withColumn("importance", F.lit(None).cast("string")), m.where("id % 5 <> 1"), I.now())
     return out.select("id", "importance", "superseded_by")
 
 
@@ -139,7 +139,7 @@ def topic_words(spark, d):
 
 
 def slugs(spark, d):
-    return mem(spark, d).select("id", T.slug(F.substring("content", 1, 200)).alias("slug"), T.path_segment(F.substring("content", 1, 30)).alias("segment"))
+    return mem(spark, d).select("id", T.slug(F.col("content")).alias("slug"), T.path_segment(F.col("content")).alias("segment"))
 
 
 def clipped(spark, d):
@@ -177,6 +177,50 @@ def orphan_vectors(spark, d):
     return R.orphan_vectors(mem(spark, d).where("id % 2 = 0"), I.vectors(spark, d)).select("id")
 
 
+def stale_vectors(spark, d):
+    v = I.vectors(spark, d).select("id", F.when(F.col("id") % 3 == 0, F.lit("old")).otherwise(F.sha2(F.col("id").cast("string"), 256)).alias("hash"))
+    return R.stale_vectors(mem(spark, d).select("id", F.sha2(F.col("id").cast("string"), 256).alias("hash")), v).select("id")
+
+
+def memory_lookup(spark, d):
+    return M.lookup(mem(spark, d), I.table(spark, d, "events").select((F.col("event_id") * 3).alias("id"))).select("id", "found", "project")
+
+
+def deletions(spark, d):
+    m = mem(spark, d)
+    return M.deleted(m, I.table(spark, d, "labels").where("quality = 1").select(F.col("doc_id").alias("id")), m.where("type = 'summary' AND importance = 'critical'").select("project").distinct().where("project < 'p3'")).select("id")
+
+
+def recent_memories(spark, d):
+    return M.recent(mem(spark, d), I.now()).select("project", "place", "id").unionByName(M.recent(mem(spark, d), I.now(), 3, "rule").select("project", (F.col("place") + 100).alias("place"), "id"))
+
+
+def fact_sources(spark, d):
+    m = mem(spark, d)
+    parts = [(t, m.where(F.col("type") == t).select("project", F.col("importance").alias("kind"), "content", F.col("seq").alias("place"))) for t in ("decision", "todo", "rule", "code")]
+    return M.fact_union([(t, x.withColumnRenamed("content", "value")) for t, x in parts]).groupBy("project", "source", "source_order").agg(F.count(F.lit(1)).alias("facts"), F.min("place").alias("first"))
+
+
+def wiki_link_targets(spark, d):
+    text = F.regexp_replace("content", r"\s+", "]] [[")
+    return mem(spark, d).select("id", F.explode(T.wiki_links(text)).alias("target")).groupBy("target").agg(F.count(F.lit(1)).alias("n"))
+
+
+def stable_digests(spark, d):
+    m = mem(spark, d)
+    return m.select("id", F.sha2(T.stable_json(F.to_json(F.struct("project", "id", "type"))), 256).alias("digest"))
+
+
+def redacted_json(spark, d):
+    c = I.table(spark, d, "customer")
+    data = F.to_json(F.struct(F.col("c_name").alias("name"), F.struct(F.col("c_custkey").alias("apiKey"), F.concat(F.lit("password = "), "c_name").alias("note")).alias("in"), F.array("c_mktsegment").alias("list"), F.col("c_custkey").alias("pwd")))
+    return c.select("c_custkey", T.redact_json(data).alias("data"))
+
+
+def composed_tokens(spark, d):
+    return mem(spark, d).select("id", F.explode(T.tokenize(T.nfkc("content"))).alias("token")).groupBy("token").agg(F.count(F.lit(1)).alias("n"))
+
+
 def hash_embedding(spark, d):
     e = R.hash_embedding(mem(spark, d).select("id", F.col("content").alias("text")))
     return e.select("id", F.posexplode("vector").alias("place", "x")).where("x > 0").select("id", "place", F.round("x", 6).alias("x"))
@@ -268,18 +312,27 @@ so AS (SELECT project, type, key, source, min(k) AS o FROM g WHERE c > 1 AND sou
 SELECT project, type, min(id) FILTER (k = 1) AS canonical, string_agg(id::varchar, ',' ORDER BY k) FILTER (k > 1) AS duplicates,
 (SELECT string_agg(tag, ',' ORDER BY o) FROM t WHERE t.project = g.project AND t.type = g.type AND t.key = g.key) AS tags, (SELECT string_agg(source, ',' ORDER BY o) FROM so WHERE so.project = g.project AND so.type = g.type AND so.key = g.key) AS sources
 FROM g WHERE c > 1 GROUP BY project, type, key""",
-    "supersession": f"{W}, {_supersede(src='mem WHERE superseded_by IS NULL', new='a.id % 5 = 1', old='b.id % 5 <> 1')} SELECT new_id, old_id FROM pairs",
+    "stale_vectors": f"{W} SELECT id FROM mem WHERE id % 3 = 0 AND id IN (SELECT vec_id FROM embeddings)",
+    "memory_lookup": f"{W}, q AS (SELECT DISTINCT event_id * 3 AS id FROM events) SELECT q.id, mem.id IS NOT NULL AS found, project FROM q LEFT JOIN mem ON mem.id = q.id",
+    "deletions": f"{W} SELECT id FROM mem WHERE id NOT IN (SELECT doc_id FROM labels WHERE quality = 1) AND project NOT IN (SELECT project FROM mem WHERE type = 'summary' AND importance = 'critical' AND project < 'p3')",
+    "recent_memories": f"{W}, a1 AS (SELECT project, (row_number() OVER (PARTITION BY project ORDER BY created DESC, id))::int AS place, id FROM act WHERE active QUALIFY place <= 10), a2 AS (SELECT project, (row_number() OVER (PARTITION BY project ORDER BY created DESC, id))::int AS place, id FROM act WHERE active AND type = 'rule' QUALIFY place <= 3) SELECT * FROM a1 UNION ALL SELECT project, place + 100, id FROM a2",
+    "fact_sources": f"{W} SELECT project, type AS source, (list_position(['decision', 'todo', 'rule', 'code'], type) - 1)::int AS source_order, count(*) AS facts, min(seq) AS first FROM mem WHERE type IN ('decision', 'todo', 'rule', 'code') GROUP BY ALL",
+    "wiki_link_targets": rf"""{W}, x AS (SELECT DISTINCT id, substr(trim(regexp_replace(lower(w), '[^a-z0-9]+', '-', 'g'), '-'), 1, 120) AS target FROM (SELECT id, unnest(regexp_extract_all(regexp_replace(content, '\s+', ']] [[', 'g'), '\[\[([^\[\]]+)\]\]', 1)) AS w FROM mem)) SELECT target, count(*) AS n FROM x WHERE target <> '' GROUP BY 1""",
+    "stable_digests": f"""{W} SELECT id, sha256('{{"id":' || id || ',"project":"' || project || '","type":"' || type || '"}}') AS digest FROM mem""",
+    "redacted_json": """SELECT c_custkey, '{"name": "' || c_name || '", "in": {"apiKey": "[REDACTED]", "note": "[REDACTED:password_assignment]"}, "list": ["' || c_mktsegment || '"], "pwd": "[REDACTED]"}' AS data FROM customer""",
+    "composed_tokens": rf"""{W} SELECT token, count(*) AS n FROM (SELECT unnest(string_split(regexp_replace(lower(content), '[^\p{{L}}\p{{N}}_\-./]+', ' ', 'g'), ' ')) AS token FROM mem) WHERE length(token) > 1 GROUP BY 1""",
+    "supersession": f"{W}, {_supersede(src='mem WHERE superseded_by IS NULL', new='true', old='true')} SELECT max(new_id) AS new_id, old_id FROM pairs GROUP BY old_id",
     "pruned": f"{W} SELECT id FROM act WHERE {PRUNED}",
     "maintenance": f"{W}, pr AS (SELECT * FROM act WHERE {PRUNED}), {GROUPS.format(src='pr')}, {QUALITY} SELECT id FROM q5 WHERE {PRUNED} AND NOT prune AND id NOT IN (SELECT id FROM g WHERE c > 1 AND k > 1)",
     "upsert_latest": f"{W}, u AS (SELECT id % 100 AS id, seq, type, sha256(content) AS digest, 0 AS n FROM mem WHERE seq % 2 = 0 UNION ALL SELECT id % 100, seq, type, sha256(content), 1 FROM mem WHERE seq % 5 = 0) SELECT id, seq, type, digest FROM u QUALIFY row_number() OVER (PARTITION BY id ORDER BY n DESC, seq DESC) = 1",
-    "remembered": f"""{W}, n AS (SELECT * REPLACE ({INFER} AS importance, {REDACT} AS content) FROM mem WHERE id % 5 = 1), o AS (SELECT * FROM mem WHERE id % 5 <> 1 AND type IN ('rule', 'decision') AND id % 3 <> 1), u AS (SELECT *, true AS fresh FROM n UNION ALL SELECT *, false FROM o),
+    "remembered": f"""{W}, n AS (SELECT * REPLACE ({INFER} AS importance, {REDACT} AS content) FROM mem WHERE id % 5 = 1), o AS (SELECT * FROM mem WHERE id % 5 <> 1), u AS (SELECT *, true AS fresh FROM n UNION ALL SELECT *, false FROM o),
 {_supersede(src='u', new='a.id % 5 = 1', old='b.id % 5 <> 1')}
 SELECT id, importance, (SELECT max(new_id) FROM pairs WHERE old_id = id) AS superseded_by FROM o UNION ALL SELECT id, importance, NULL FROM n""",
     "secret_redaction": f"{W} SELECT id, sha256({REDACT}) AS digest, len(regexp_extract_all({REDACT}, '\\[REDACTED:'))::int AS redacted FROM mem",
     "content_keys": f"{W} SELECT id, sha256({KEY}) AS key, sha256(trim(regexp_replace(content, '\\s+', ' ', 'g'))) AS squeezed FROM mem",
     "retrieval_terms": rf"{W}, x AS (SELECT id, list_filter(regexp_extract_all(lower(content), '[\p{{L}}\p{{N}}_./:-]+'), lambda t: length(t) >= 2 AND NOT regexp_matches(t, '^[0-9]+$')) AS l FROM mem) SELECT id, array_to_string(list_filter(l, lambda t, i: list_position(l, t) = i)[1:40], ' ') AS terms FROM x",
     "topic_words": f"{W} SELECT id, len({WORDS.format('content')})::int AS words, ceil(length(content) / 3.5)::bigint AS tokens FROM mem",
-    "slugs": f"{W} SELECT id, substr(regexp_replace(regexp_replace(lower(substr(content, 1, 200)), '[^a-z0-9]+', '-', 'g'), '^-+|-+$', '', 'g'), 1, 120) AS slug, coalesce(nullif(regexp_replace(regexp_replace(substr(content, 1, 30), '[^A-Za-z0-9._-]+', '-', 'g'), '^[-.]+|[-.]+$', '', 'g'), ''), 'unknown') AS segment FROM mem",
+    "slugs": f"{W} SELECT id, substr(regexp_replace(regexp_replace(lower(content), '[^a-z0-9]+', '-', 'g'), '^-+|-+$', '', 'g'), 1, 120) AS slug, coalesce(nullif(regexp_replace(regexp_replace(content, '[^A-Za-z0-9._-]+', '-', 'g'), '^[-.]+|[-.]+$', '', 'g'), ''), 'unknown') AS segment FROM mem",
     "clipped": f"{W} SELECT id, sha256(CASE WHEN length(content) > 1000 THEN substr(content, 1, 350) || chr(10) || '...' || chr(10) || right(content, 150) ELSE content END) AS ends FROM mem",
     "fact_category": f"{W} SELECT id, {CATEGORY} AS category FROM mem",
     "candidate_class": f"{W} SELECT id, round(greatest(0, least(1, 0.75 * CASE importance WHEN 'critical' THEN 1.0 WHEN 'high' THEN 0.85 WHEN 'normal' THEN 0.6 ELSE 0.25 END + 0.25 * ((id % 100) / 100))), 6)::double AS score, CASE WHEN importance = 'temporary' OR (id % 100) / 100 < 0.78 THEN 'transient' WHEN type IN ('rule', 'architecture') THEN 'permanent' WHEN type IN ('decision', 'todo', 'fix') THEN 'task' ELSE 'session' END AS knowledge_class FROM mem",

@@ -9,7 +9,7 @@ from tessera.plans import inputs as I
 
 
 def page_conflicts(spark, d):
-    return V.conflicts(I.wiki_pages(spark, d).select("slug", F.substring("title", 1, 5).alias("title"), (F.col("page_id") % 3).alias("digest")))
+    return V.conflicts(I.wiki_pages(spark, d).select("slug", "title", (F.col("page_id") % 3).alias("digest")))
 
 
 def _reviews(spark, d):
@@ -52,7 +52,7 @@ QUERIES = {n: f for n, f in list(globals().items()) if callable(f) and getattr(f
 
 REVIEWS = "re AS (SELECT 'page-' || (event_id % 300) AS slug, event_id % 4 AS digest, ['pending', 'approved', 'rejected', 'pending', 'approved'][((event_id % 5) + 1)::int] AS status, ['LOW', 'MEDIUM', 'HIGH', 'CRITICAL'][((user_id % 4) + 1)::int] AS risk, event_id AS n FROM events)"
 SQL = {
-    "page_conflicts": rf"WITH {I.WIKI}, p AS (SELECT slug, trim(regexp_replace(lower(substr(title, 1, 5)), '\s+', ' ', 'g')) AS key, page_id % 3 AS digest FROM wp) SELECT a.slug, count(*) AS others FROM p a JOIN p b ON a.key = b.key AND a.digest <> b.digest GROUP BY a.slug",
+    "page_conflicts": rf"WITH {I.WIKI}, p AS (SELECT slug, trim(regexp_replace(lower(title), '\s+', ' ', 'g')) AS key, page_id % 3 AS digest FROM wp) SELECT a.slug, count(*) AS others FROM p a JOIN p b ON a.key = b.key AND a.digest <> b.digest GROUP BY a.slug",
     "review_gate": f"WITH {I.WIKI}, {REVIEWS}, l AS (SELECT slug, digest, arg_max(status, n) AS status FROM re GROUP BY ALL) SELECT w.slug, CASE WHEN status = 'approved' THEN 'allow' WHEN status = 'rejected' THEN 'deny' WHEN page_id % 2 <> 0 THEN 'approve' WHEN status = 'pending' THEN 'wait' ELSE 'create' END AS verdict FROM wp w LEFT JOIN l ON l.slug = w.slug AND l.digest = page_id % 6",
     "review_summary": f"WITH {REVIEWS} SELECT risk, count(*) AS reviews, count(*) FILTER (status = 'pending') AS pending, count(*) FILTER (status = 'approved') AS approved, count(*) FILTER (status = 'rejected') AS rejected FROM re GROUP BY risk",
     "impact_rollup": "SELECT user_id AS session, ['LOW', 'MEDIUM', 'HIGH'][(max((event_id * 7 + user_id) % 3) + 1)::int] AS risk, sum(event_id % 30)::bigint AS score, count(DISTINCT event_id % 40) AS files FROM events GROUP BY user_id",
