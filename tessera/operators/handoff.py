@@ -199,3 +199,46 @@ def resolved_symbols(asked: DataFrame, symbols: DataFrame) -> DataFrame:
     by_name = asked.join(symbols.select(F.col("name").alias("asked"), "id"), "asked").groupBy("asked").agg(F.min("id").alias("id")).withColumn("rank", F.lit(1))
     exact = by_id.unionByName(by_name).groupBy("asked").agg(F.min_by("id", "rank").alias("id"), F.min("rank").alias("rank"))
     return exact
+
+
+def handoff(items: DataFrame, current: DataFrame, actions: DataFrame, tests: DataFrame, most: int = 30) -> DataFrame:
+    """By project what the next agent gets: ``task, completed, remaining, next_action, tests, digest``.
+
+    Lists hold distinct titles in order; an action that is a completed title is none. The digest covers the state alone, not who
+    captured it or when, so equal states have equal digests.
+    """
+    place = F.struct(F.coalesce("ord", F.lit(1 << 40)).alias("o"), F.col("key").alias("k"))
+    titled = items.select("project", "key", "status", F.col("title").alias("text"), place.alias("place"))
+
+    def listed(rows: DataFrame, name: str) -> DataFrame:
+        x = ordered_distinct(rows.select("project", "text", "place"), "project", most)
+        return x.groupBy("project").agg(F.transform(F.array_sort(F.collect_list(F.struct("k", "text"))), lambda r: r["text"]).alias(name))
+
+    done = listed(titled.where("status = 'completed'"), "completed")
+    rest = listed(titled.where("status NOT IN ('completed', 'cancelled')"), "remaining")
+    closed = titled.where("status = 'completed'").select("project", distinct_key(F.col("text")).alias("key")).distinct()
+    open_ = actions.withColumn("key", distinct_key(F.col("text"))).join(closed, ["project", "key"], "left_anti")
+    first = open_.groupBy("project").agg(F.min_by("text", "place").alias("next_action"))
+    task = current.join(titled.select("project", "key", F.col("text").alias("task")), ["project", "key"]).select("project", "task")
+    none = F.array().cast("array<string>")
+    out = items.select("project").distinct()
+    for part in (task, done, rest, first, tests.select("project", F.col("status").alias("tests"))):
+        out = out.join(part, "project", "left")
+    out = out.withColumn("completed", F.coalesce("completed", none)).withColumn("remaining", F.coalesce("remaining", none)).withColumn("tests", F.coalesce("tests", F.lit("unknown")))
+    text = F.concat_ws("\n", F.coalesce("task", F.lit("-")), F.array_join("completed", "|"), F.array_join("remaining", "|"), F.coalesce("next_action", F.lit("-")), "tests")
+    return out.withColumn("digest", F.sha2(text, 256))
+
+
+def found_lines(texts: DataFrame, pattern: str, most: int, longest: int = 300) -> DataFrame:
+    """The last distinct lines of texts (``project, seq, text``) that meet a pattern, cut to ``longest`` characters, the newest first."""
+    each = texts.select("project", "seq", F.posexplode(F.split("text", r"\n+")).alias("p", "line")).withColumn("text", squeeze(F.col("line"))).where(F.length("text").between(4, 500) & F.col("text").rlike(pattern))
+    cut = F.when(F.length("text") > longest, F.concat(F.substring("text", 1, longest), F.lit("…"))).otherwise(F.col("text"))
+    return ordered_distinct(each.select("project", F.struct("seq", "p").alias("place"), cut.alias("text")), "project", most, latest=True).select("project", "k", "text")
+
+
+def latest_texts(events: DataFrame, limits: dict[str, int]) -> DataFrame:
+    """By project and type the last text that isn't blank, cut to the type's limit."""
+    text = squeeze(F.col("text"))
+    last = events.where(F.col("type").isin(list(limits)) & (text != "")).groupBy("project", "type").agg(F.max_by(text, "seq").alias("text"))
+    limit = F.element_at(F.create_map(*[F.lit(x) for kv in limits.items() for x in kv]), F.col("type"))
+    return last.select("project", "type", F.when(F.length("text") > limit, F.concat(F.substring(F.col("text"), F.lit(1), limit), F.lit("…"))).otherwise(F.col("text")).alias("text"))

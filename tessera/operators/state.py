@@ -33,18 +33,37 @@ def first_distinct(rows: DataFrame, most: int, group: str = "project", key: str
     return first.withColumn("k", k).where(F.col("k") <= most).select(group, key, "text", F.col("o.seq").alias("seq"))
 
 
+# A title that only numbers an item.
+PLACEHOLDER = r"(?iu)^(?:Phase|TODO|Task|Việc)\s+\d+$"
+
+
 def work_items(observations: DataFrame) -> DataFrame:
-    """By item: its status after all observations (completed stays; pending changes nothing once started), best confidence, last order.
+    """By item: its status after all observations (completed stays; pending changes nothing once it is in progress or blocked), best confidence, last order.
 
     The lattice needs no fold: an item that was ever completed is completed; else its last status other than pending
-    counts, if there is one.
+    counts, and of a cancelled one its very last. A title that only numbers the item never replaces another.
     """
     order = F.struct("ts", "seq")
-    started = F.when(F.col("status").isin("in_progress", "blocked", "cancelled"), F.col("status"))
+    moved = F.when(F.col("status").isin("in_progress", "blocked", "cancelled"), F.col("status"))
+    named = F.when(~F.col("text").rlike(PLACEHOLDER), F.col("text"))
     rows = observations.groupBy("project", "key").agg(
-        F.max(F.col("status") == "completed").alias("ever"), F.max_by(started, F.when(started.isNotNull(), order)).alias("last_started"), F.max_by("text", order).alias("title"), F.max("confidence").alias("confidence"), F.max_by("ord", F.when(F.col("ord").isNotNull(), order)).alias("ord")
-    )
-    return rows.select("project", "key", "title", F.when(F.col("ever"), "completed").otherwise(F.coalesce("last_started", F.lit("pending"))).alias("status"), "confidence", "ord")
+        F.max(F.col("status") == "completed").alias("ever"), F.max_by(moved, F.when(moved.isNotNull(), order)).alias("moved"), F.max_by("status", F.when(F.col("status").isNotNull(), order)).alias("last"),
+        F.coalesce(F.max_by(named, F.when(named.isNotNull(), order)), F.min_by("text", order)).alias("title"), F.max("confidence").alias("confidence"), F.max_by("ord", F.when(F.col("ord").isNotNull(), order)).alias("ord"),
+    )
+    status = F.when(F.col("ever"), "completed").when(F.col("moved").isin("in_progress", "blocked"), F.col("moved")).otherwise(F.coalesce("last", F.lit("pending")))
+    return rows.select("project", "key", "title", status.alias("status"), "confidence", "ord")
+
+
+def incremental_items(previous: DataFrame, observations: DataFrame) -> DataFrame:
+    """Items (as from ``work_items``) after further observations. Items are told by their order, else by their title.
+
+    The items so far are the first observation of their key, so the same lattice gives what a fold from the start would.
+    """
+    key = lambda name: F.coalesce(F.concat(F.lit("order:"), F.col("ord").cast("string")), F.lower(F.trim(F.regexp_replace(name, r"\s+", " "))))
+    kinds = observations.schema
+    so_far = previous.select("project", key("title").alias("key"), F.col("title").alias("text"), "status", F.lit(None).cast(kinds["ts"].dataType).alias("ts"), F.lit(None).cast(kinds["seq"].dataType).alias("seq"), "confidence", "ord")
+    new = observations.select("project", key(F.coalesce(F.nullif("key", F.lit("")), F.col("text"))).alias("key"), "text", "status", "ts", "seq", "confidence", "ord")
+    return work_items(so_far.unionByName(new))
 
 
 def progress(items: DataFrame) -> DataFrame:

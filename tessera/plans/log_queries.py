@@ -207,7 +207,7 @@ CATEGORY = "CASE " + " ".join(
     f"WHEN regexp_matches(line, '{p}') THEN '{n}'"
     for n, p in [("rule", r"(?i)\b(rule|policy|standard|convention|always|never|must|should|quy tắc|từ giờ|không được)\b"), ("fix", r"(?i)\b(fix|fixed|bug|issue|error|lỗi)\b"), ("blocker", r"(?i)\b(blocker|blocked|stuck|cannot|không thể)\b"), ("next_action", r"(?i)\b(next|todo|action|task|cần làm)\b"), ("deploy", r"(?i)\b(deploy|release|publish|ship)\b"), ("architecture", r"(?i)\b(architecture|design|structure|pattern)\b"), ("file", r"(?i)\.(ts|js|py|go|rs|java|cpp|c|h)\b")]
 ) + " ELSE 'decision' END"
-ITEMS = f"""WITH {I.OBS}, it AS (SELECT project, key, arg_max(text, (ts, seq)) AS title, CASE WHEN bool_or(status = 'completed') THEN 'completed' ELSE coalesce(arg_max(status, (ts, seq)) FILTER (status IN ('in_progress', 'blocked', 'cancelled')), 'pending') END AS status, max(confidence) AS confidence, arg_max(ord, (ts, seq)) FILTER (ord IS NOT NULL) AS ord FROM obs GROUP BY project, key)"""
+ITEMS = f"""WITH {I.OBS}, it AS (SELECT project, key, arg_max(text, (ts, seq)) AS title, CASE WHEN bool_or(status = 'completed') THEN 'completed' WHEN arg_max(status, (ts, seq)) FILTER (status IN ('in_progress', 'blocked', 'cancelled')) IN ('in_progress', 'blocked') THEN arg_max(status, (ts, seq)) FILTER (status IN ('in_progress', 'blocked', 'cancelled')) ELSE arg_max(status, (ts, seq)) END AS status, max(confidence) AS confidence, arg_max(ord, (ts, seq)) FILTER (ord IS NOT NULL) AS ord FROM obs GROUP BY project, key)"""
 FACTS = "fa AS (SELECT project, ['rule', 'decision', 'todo', 'fix', 'context'][((seq % 5) + 1)::int] AS kind, seq AS id, substr(text, 1, 30) AS text, (seq % 17) / 17.0::double AS importance, confidence FROM obs)"
 SLUG = "trim(regexp_replace(lower({}), '[^a-z0-9]+', '-', 'g'), '-')"
 LINKS = f"""ln AS (SELECT DISTINCT slug, {SLUG.format('h')} AS target FROM (SELECT slug, unnest(regexp_extract_all(html, 'href="([^"]*)"', 1)) AS h FROM wp) WHERE {SLUG.format('h')} <> '')"""

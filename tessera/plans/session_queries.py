@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 
 from tessera.functions import paths as P
 from tessera.functions import transcript as R
+from tessera.operators import capture as K
 from tessera.operators import handoff as H
 from tessera.operators import learned as L
 from tessera.operators import session as E
@@ -255,6 +256,86 @@ def resolved_symbols(spark, d):
     return H.resolved_symbols(asked, v)
 
 
+def incremental_items(spark, d):
+    o = I.observations(spark, d).withColumn("text", F.when(F.col("seq") % 6 == 0, F.concat(F.lit("Task "), F.col("ord"))).otherwise(F.col("key"))).where("text IS NOT NULL")
+    first, second = (o.where(c) for c in ("seq % 2 = 0", "seq % 2 = 1"))
+    start = ST.incremental_items(ST.work_items(first).where("false"), first)
+    return ST.incremental_items(start, second).select("project", "key", "title", "status", F.round("confidence", 6).alias("confidence"), "ord")
+
+
+def handoff_states(spark, d):
+    o = I.observations(spark, d)
+    items = ST.work_items(o)
+    explicit = o.where("kind = 'purchase'").select("project", F.concat(F.lit("Next: "), "key").alias("text"), "seq")
+    current = ST.current_item(items)
+    tests = H.test_status(H.recent_checks(_checks(spark, d)), o.select("project", F.col("kind").alias("text"), "ts", "seq"))
+    return H.handoff(items, current, H.next_actions(explicit, items, current), tests).select("project", "task", F.array_join("completed", "|").alias("completed"), F.array_join("remaining", "|").alias("remaining"), "next_action", "tests", "digest")
+
+
+def found_lines(spark, d):
+    return H.found_lines(_said(spark, d).withColumn("seq", F.struct("session", "seq")), r"(?i)\b(decided|todo|fixed)\b", 5, 60)
+
+
+def latest_texts(spark, d):
+    return H.latest_texts(_said(spark, d).withColumn("seq", F.struct("session", "seq")), {"user_prompt": 55, "assistant_message": 75})
+
+
+HOOKS = [
+    '{"hook_event_name":"SessionStart","session_id":"{id}"}', '{"hook_event_name":"PostToolUse","tool_name":"Edit","tool_use_id":"t{id}","tool_input":{"file_path":"src/{user}.ts"}}', '{"hook_event_name":"PostToolUse","tool_name":"Write","session_id":"s{user}","tool_input":{"file_path":"b{id}"}}',
+    '{"hook_event_name":"PostToolUse","tool_name":"Bash","session_id":"s{user}"}', '{"hook_event_name":"Stop","session_id":"s{user}"}', '{"hook_event_name":"Other{id}"}', '{"session_id":"s{user}"}', '{"hook_event_name":"PostToolUse","tool_name":"Edit","session_id":"s{id}"}',
+]
+
+
+def hook_events(spark, d):
+    e = I.table(spark, d, "events")
+    data = F.replace(F.replace(I.pick(HOOKS, F.col("event_id") % 8), F.lit("{id}"), F.col("event_id").cast("string")), F.lit("{user}"), F.col("user_id").cast("string"))
+    return e.select(F.col("event_id").alias("id"), K.hook_event(data, "hook").alias("h")).where("h IS NOT NULL").select("id", "h.type", "h.source_event")
+
+
+def activity_events(spark, d):
+    e = I.table(spark, d, "events")
+    data = F.to_json(F.struct(F.concat(F.lit("src/"), F.when(F.col("event_id") % 7 == 0, ".env").when(F.col("event_id") % 7 == 1, "key.pem").otherwise("a.ts")).alias("filePath"), F.concat(F.lit("x"), "user_id").alias("api_key"), F.col("event_type").alias("note")))
+    rows = e.select(F.col("event_id").alias("id"), F.concat(F.lit("p"), F.col("user_id") % 20).alias("project"), I.pick(["file_read", "file_write", "command"], F.col("event_id") % 3).alias("type"), "ts", data.alias("data"))
+    return K.activity_events(rows).select("id", "type", "data")
+
+
+def deep_texts(spark, d):
+    return _tool_events(spark, d).select("id", F.array_join(K.deep_texts("data"), "|").alias("texts"))
+
+
+def event_flushes(spark, d):
+    o = I.observations(spark, d).select("session", "seq", F.when(F.col("seq") % 37 == 0, "session_end").otherwise(F.col("kind")).alias("type"))
+    return K.flushes(o, 20).groupBy("session", "flush").agg(F.count(F.lit(1)).alias("n"), F.min("seq").alias("first"))
+
+
+def recovered_sessions(spark, d):
+    o = I.table(spark, d, "orders")
+    spaces = F.array(F.concat(F.lit("/home/u"), F.col("o_custkey") % 9, F.lit("/p"), F.col("o_orderkey") % 11, F.lit("/x")), F.concat(F.lit("/srv/"), F.col("o_orderkey") % 5))
+    convs = o.select(F.col("o_orderkey").alias("id"), spaces.alias("workspaces"), F.col("o_orderdate").alias("last_input"))
+    n = I.table(spark, d, "nation")
+    projects = n.select(F.col("n_name").alias("project"), F.when(F.col("n_nationkey") % 3 == 0, F.concat(F.lit("/home/u"), F.col("n_nationkey") % 9)).when(F.col("n_nationkey") % 3 == 1, F.concat(F.lit("/srv/"), F.col("n_nationkey") % 7, F.lit("/deep/q"))).otherwise(F.concat(F.lit("/home/u1/p"), F.col("n_nationkey") % 11, F.lit("/x"))).alias("root"))
+    return K.recovered(convs, projects, 8).select("project", "id", "place")
+
+
+def discovered_files(spark, d):
+    e = I.table(spark, d, "events")
+    uuid = lambda c: F.regexp_replace(F.substring(F.md5(c.cast("string")), 1, 32), "^(.{8})(.{4})(.{4})(.{4})(.{12})$", "$1-$2-$3-$4-$5")
+    own = uuid(F.col("user_id"))
+    path = F.concat(F.lit("/s/"), F.col("event_id") % 50, F.lit("/rollout-"), "event_id", F.when(F.col("user_id") % 2 == 0, F.concat(F.lit("-"), own)).otherwise(""), F.lit(".jsonl"))
+    files = e.select(path.alias("path"), F.col("ts").alias("modified"), F.when(F.col("event_id") % 3 == 0, own).alias("meta_id"))
+    return K.discovered(e.select(own.alias("id")).distinct(), files)
+
+
+def incremental_index(spark, d):
+    """The old side lacks some files and has others with another hash; the new side lacks some too: that is what is compared."""
+    v, e = I.vertices(spark, d), I.edges(spark, d)
+    files = v.select(F.col("file").alias("path")).distinct().withColumn("k", F.length("path") % 4)
+    side = lambda rows, hash_: {"manifest": rows.select("path", hash_.alias("hash")), "vertices": v.join(rows.select(F.col("path").alias("file")), "file", "left_semi"), "edges": e}
+    out = K.incremental_index(side(files.where("k <> 0"), F.when(F.col("k") == 1, F.lit("old")).otherwise(F.lit("same"))), side(files.where("k <> 2"), F.lit("same")))
+    kind = lambda df, name, by: df.groupBy(F.lit(name).alias("what"), F.col(by).alias("kind")).agg(F.count(F.lit(1)).alias("n"))
+    return kind(out["files"], "file", "status").unionByName(kind(out["vertices"], "vertex", "type")).unionByName(kind(out["edges"], "edge", "type"))
+
+
 QUERIES = {n: f for n, f in list(globals().items()) if callable(f) and getattr(f, "__module__", "") == __name__ and not n.startswith("_")}
 
 
@@ -306,7 +387,7 @@ CLEAN = "cl AS (SELECT * FROM sd QUALIFY row_number() OVER (PARTITION BY session
 LEAF = r"""lv AS (SELECT te.id, te.type AS event_type, te.data, j.id AS n, j.parent, regexp_replace(lower(j.key), '[^a-z0-9]', '', 'g') AS k, j.type, trim(j.value->>'$') AS v FROM te, json_tree(te.data) j),
 pt AS (SELECT id, parent, lower(v) AS pt FROM lv WHERE k = 'type' AND type = 'VARCHAR'),
 tn AS (SELECT te.id, lower(coalesce(nullif(trim(te.data->>'$.tool'), ''), nullif(trim(te.data->>'$.toolName'), ''), nullif(trim(te.data->>'$.tool_name'), ''), deep, '')) AS name FROM te LEFT JOIN (SELECT lv.id, arg_min(v, n) AS deep FROM lv LEFT JOIN pt ON pt.id = lv.id AND pt.parent = lv.parent WHERE lv.type = 'VARCHAR' AND v <> '' AND (k IN ('tool', 'toolname') OR k = 'name' AND regexp_matches(pt, 'tool|function|command')) GROUP BY lv.id) USING (id))"""
-OBS_ITEMS = f"""{I.OBS}, it AS (SELECT project, key, arg_max(text, (ts, seq)) AS title, CASE WHEN bool_or(status = 'completed') THEN 'completed' ELSE coalesce(arg_max(status, (ts, seq)) FILTER (status IN ('in_progress', 'blocked', 'cancelled')), 'pending') END AS status, arg_max(ord, (ts, seq)) FILTER (ord IS NOT NULL) AS ord FROM obs GROUP BY project, key)"""
+OBS_ITEMS = f"""{I.OBS}, it AS (SELECT project, key, arg_max(text, (ts, seq)) AS title, CASE WHEN bool_or(status = 'completed') THEN 'completed' WHEN arg_max(status, (ts, seq)) FILTER (status IN ('in_progress', 'blocked', 'cancelled')) IN ('in_progress', 'blocked') THEN arg_max(status, (ts, seq)) FILTER (status IN ('in_progress', 'blocked', 'cancelled')) ELSE arg_max(status, (ts, seq)) END AS status, arg_max(ord, (ts, seq)) FILTER (ord IS NOT NULL) AS ord FROM obs GROUP BY project, key)"""
 CHECKS = "ck AS (SELECT project, kind, 'Run  ' || key AS command, CASE status WHEN 'completed' THEN 'passed' WHEN 'blocked' THEN 'failed' ELSE 'running' END AS status, ts, seq FROM obs)"
 _NAME = lambda k: _at(PACKAGES, f"(o_orderkey * {k}) % {len(PACKAGES)}")
 PACKED = f"""pk AS (SELECT o_orderkey AS id, list_distinct([{_NAME(1)}, 'x', {_NAME(5)}]) AS ks, o_custkey, o_orderpriority FROM orders),
@@ -382,6 +463,39 @@ SELECT id, pos::int AS pos, line FROM g WHERE line IS NOT NULL AND (bad = 0 OR l
 WHEN database IS NOT NULL AND contains(t, 'mysql') AND database <> 'MySQL' THEN 'mysql' WHEN database IS NOT NULL AND contains(t, 'redis') AND database <> 'Redis' THEN 'redis' WHEN state IS NOT NULL AND contains(t, 'mobx') AND state <> 'MobX' THEN 'mobx' END AS conflict FROM m""",
     "wiki_candidates": "SELECT doc_id FROM documents WHERE CASE WHEN doc_id % 2 = 0 THEN doc_id % 4 <> 2 ELSE doc_id % 3 <> 1 END AND length(trim(coalesce(text, ''))) >= 20",
     "injections": "SELECT event_id FROM events WHERE event_id % 9 = 0 OR ((event_id * 37) % 50000 >= 60 AND (event_id % 4 = 0 OR (event_id * 37) % 50000 >= 21600))",
+    "incremental_items": f"""WITH {I.OBS}, o AS (SELECT project, text, status, ts, seq, confidence, ord, coalesce('order:' || ord, lower(trim(regexp_replace(key, '\\s+', ' ', 'g')))) AS key FROM (SELECT * REPLACE (CASE WHEN seq % 6 = 0 THEN 'Task ' || ord ELSE key END AS text) FROM obs) WHERE text IS NOT NULL),
+fa AS (SELECT project, key, bool_or(status = 'completed') AS ever, arg_max(status, (ts, seq)) FILTER (status IN ('in_progress', 'blocked', 'cancelled')) AS moved, arg_max(status, (ts, seq)) AS last, coalesce(arg_max(text, (ts, seq)) FILTER (NOT regexp_matches(text, '(?i)^(?:Phase|TODO|Task|Việc)\\s+\\d+$')), arg_min(text, (ts, seq))) AS title, max(confidence) AS confidence, any_value(ord) AS ord FROM o WHERE seq % 2 = 0 GROUP BY ALL),
+fi AS (SELECT project, coalesce('order:' || ord, lower(title)) AS key, title, CASE WHEN ever THEN 'completed' WHEN moved IN ('in_progress', 'blocked') THEN moved ELSE last END AS status, confidence, ord FROM fa),
+al AS (SELECT project, key, title AS text, status, TIMESTAMP '1970-01-01' AS ts, -1 AS seq, confidence, ord FROM fi UNION ALL SELECT project, key, text, status, ts, seq, confidence, ord FROM o WHERE seq % 2 = 1),
+fb AS (SELECT project, key, bool_or(status = 'completed') AS ever, arg_max(status, (ts, seq)) FILTER (status IN ('in_progress', 'blocked', 'cancelled')) AS moved, arg_max(status, (ts, seq)) AS last, coalesce(arg_max(text, (ts, seq)) FILTER (NOT regexp_matches(text, '(?i)^(?:Phase|TODO|Task|Việc)\\s+\\d+$')), arg_min(text, (ts, seq))) AS title, max(confidence) AS confidence, any_value(ord) AS ord FROM al GROUP BY ALL)
+SELECT project, key, title, CASE WHEN ever THEN 'completed' WHEN moved IN ('in_progress', 'blocked') THEN moved ELSE last END AS status, round(confidence, 6) AS confidence, ord FROM fb""",
+    "handoff_states": f"""WITH {OBS_ITEMS}, {CHECKS}, cu AS (SELECT * FROM it WHERE status IN ('in_progress', 'blocked', 'pending') QUALIFY row_number() OVER (PARTITION BY project ORDER BY CASE status WHEN 'in_progress' THEN 1 WHEN 'blocked' THEN 2 ELSE 3 END, coalesce(ord, 1099511627776), key) = 1),
+sq AS (SELECT project, key, status, trim(regexp_replace(title, '\\s+', ' ', 'g')) AS t, title, coalesce(ord, 1099511627776) AS o FROM it),
+dn AS (SELECT project, string_agg(t, '|' ORDER BY o, key) AS completed FROM (SELECT * FROM (SELECT * FROM sq WHERE status = 'completed' QUALIFY row_number() OVER (PARTITION BY project, lower(t) ORDER BY o, key) = 1) QUALIFY row_number() OVER (PARTITION BY project ORDER BY o, key) <= 30) GROUP BY 1),
+rm AS (SELECT project, string_agg(t, '|' ORDER BY o, key) AS remaining FROM (SELECT * FROM (SELECT * FROM sq WHERE status NOT IN ('completed', 'cancelled') QUALIFY row_number() OVER (PARTITION BY project, lower(t) ORDER BY o, key) = 1) QUALIFY row_number() OVER (PARTITION BY project ORDER BY o, key) <= 30) GROUP BY 1),
+al AS (SELECT project, 'Next: ' || key AS text, 0 AS g, seq AS p FROM obs WHERE kind = 'purchase' UNION ALL SELECT project, title, 1, 0 FROM cu UNION ALL (SELECT project, title, 2, row_number() OVER (PARTITION BY project ORDER BY coalesce(ord, 1099511627776), key) AS p FROM it WHERE status = 'pending' QUALIFY p <= 5)),
+u AS (SELECT project, trim(regexp_replace(text, '\\s+', ' ', 'g')) AS text, g, p FROM al QUALIFY row_number() OVER (PARTITION BY project, lower(text) ORDER BY g DESC, p DESC) = 1), l AS (SELECT * FROM u QUALIFY row_number() OVER (PARTITION BY project ORDER BY g DESC, p DESC) <= 8),
+nx AS (SELECT project, text AS next_action FROM l WHERE (project, lower(text)) NOT IN (SELECT (project, lower(t)) FROM sq WHERE status = 'completed') QUALIFY row_number() OVER (PARTITION BY project ORDER BY g, p) = 1),
+ll AS (SELECT * FROM ck QUALIFY row_number() OVER (PARTITION BY project, kind, command ORDER BY ts DESC, seq DESC) = 1), tt AS (SELECT * FROM ll QUALIFY row_number() OVER (PARTITION BY project ORDER BY ts DESC, seq DESC) <= 10), c AS (SELECT project, bool_or(status = 'failed') AS f, bool_or(status = 'passed') AS p FROM tt GROUP BY 1),
+n AS (SELECT project, bool_or(contains(x, 'error')) AS b FROM (SELECT project, kind AS x FROM obs QUALIFY row_number() OVER (PARTITION BY project ORDER BY ts DESC, seq DESC) <= 10) GROUP BY 1),
+r AS (SELECT project, cu.title AS task, coalesce(completed, '') AS completed, coalesce(remaining, '') AS remaining, next_action, CASE WHEN f THEN 'failing' WHEN p THEN 'passing' WHEN b THEN 'failing' ELSE 'unknown' END AS tests FROM (SELECT DISTINCT project FROM it) LEFT JOIN cu USING (project) LEFT JOIN dn USING (project) LEFT JOIN rm USING (project) LEFT JOIN nx USING (project) LEFT JOIN c USING (project) LEFT JOIN n USING (project))
+SELECT *, sha256(coalesce(task, '-') || chr(10) || completed || chr(10) || remaining || chr(10) || coalesce(next_action, '-') || chr(10) || tests) AS digest FROM r""",
+    "found_lines": rf"""WITH {SAID}, f AS (SELECT project, session, seq, generate_subscripts(x, 1) AS p, trim(regexp_replace(unnest(x), '\s+', ' ', 'g')) AS t FROM (SELECT *, regexp_split_to_array(text, '\n+') AS x FROM sd)), m AS (SELECT *, CASE WHEN length(t) > 60 THEN substr(t, 1, 60) || '…' ELSE t END AS text FROM f WHERE length(t) BETWEEN 4 AND 500 AND regexp_matches(t, '(?i)\b(decided|todo|fixed)\b')),
+u AS (SELECT * FROM m QUALIFY row_number() OVER (PARTITION BY project, lower(text) ORDER BY session DESC, seq DESC, p DESC) = 1) SELECT project, (row_number() OVER (PARTITION BY project ORDER BY session DESC, seq DESC, p DESC))::int AS k, text FROM u QUALIFY k <= 5""",
+    "latest_texts": rf"""WITH {SAID}, x AS (SELECT project, type, session, seq, trim(regexp_replace(text, '\s+', ' ', 'g')) AS t FROM sd WHERE type IN ('user_prompt', 'assistant_message')), l AS (SELECT * FROM x WHERE t <> '' QUALIFY row_number() OVER (PARTITION BY project, type ORDER BY session DESC, seq DESC) = 1)
+SELECT project, type, CASE WHEN length(t) > CASE type WHEN 'user_prompt' THEN 55 ELSE 75 END THEN substr(t, 1, CASE type WHEN 'user_prompt' THEN 55 ELSE 75 END) || '…' ELSE t END AS text FROM l""",
+    "hook_events": f"""SELECT event_id AS id, {_at(['session_start', 'file_edit', 'file_write', 'tool_result', 'session_idle', 'custom', '', 'tool_result'], 'event_id % 8')} AS type, CASE event_id % 8 WHEN 0 THEN 'hook:' || event_id || ':SessionStart:::start' WHEN 1 THEN 'hook:hook:PostToolUse:t' || event_id || ':src/' || user_id || '.ts:file' WHEN 2 THEN 'hook:s' || user_id || ':PostToolUse::b' || event_id || ':file'
+WHEN 3 THEN 'hook:s' || user_id || ':PostToolUse:::tool-result' WHEN 4 THEN 'hook:s' || user_id || ':Stop:::idle' WHEN 5 THEN 'hook:hook:Other' || event_id || ':::custom' ELSE 'hook:s' || event_id || ':PostToolUse:::tool-result' END AS source_event FROM events WHERE event_id % 8 <> 6""",
+    "activity_events": """SELECT event_id AS id, ['file_read', 'file_write', 'command'][((event_id % 3) + 1)::int] AS type, '{"filePath": "src/' || CASE event_id % 7 WHEN 0 THEN '.env' WHEN 1 THEN 'key.pem' ELSE 'a.ts' END || '", "api_key": "[REDACTED]", "note": "' || event_type || '"}' AS data FROM events WHERE event_id % 3 = 2 OR event_id % 7 > 1""",
+    "deep_texts": f"WITH {TOOLS} SELECT id, coalesce(CASE id % 13 WHEN 8 THEN data->>'$.message' WHEN 11 THEN data->>'$.content' END, '') AS texts FROM te",
+    "event_flushes": """WITH o AS (SELECT user_id AS session, event_id AS seq, event_id % 37 = 0 AS e FROM events), s AS (SELECT *, coalesce(sum(e::int) OVER (PARTITION BY session ORDER BY seq ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS p FROM o), r AS (SELECT *, (row_number() OVER (PARTITION BY session, p ORDER BY seq) - 1) // 20 AS f FROM s),
+n AS (SELECT *, (dense_rank() OVER (PARTITION BY session ORDER BY p, f) - 1)::int AS flush FROM r) SELECT session, flush, count(*) AS n, min(seq) AS first FROM n GROUP BY ALL""",
+    "recovered_sessions": """WITH c AS (SELECT o_orderkey AS id, o_orderdate AS t, unnest(['/home/u' || (o_custkey % 9) || '/p' || (o_orderkey % 11) || '/x', '/srv/' || (o_orderkey % 5)]) AS path FROM orders), p AS (SELECT n_name AS project, CASE n_nationkey % 3 WHEN 0 THEN '/home/u' || (n_nationkey % 9) WHEN 1 THEN '/srv/' || (n_nationkey % 7) || '/deep/q' ELSE '/home/u1/p' || (n_nationkey % 11) || '/x' END AS root FROM nation),
+m AS (SELECT DISTINCT project, id, t FROM p JOIN c ON root = path OR starts_with(path, root || '/') OR starts_with(root, path || '/')) SELECT project, id, (row_number() OVER (PARTITION BY project ORDER BY t DESC, id))::int AS place FROM m QUALIFY place <= 8""",
+    "discovered_files": r"""WITH f AS (SELECT regexp_replace(md5(user_id::varchar), '^(.{8})(.{4})(.{4})(.{4})(.{12})$', '\1-\2-\3-\4-\5') AS own, event_id, user_id, ts FROM events), g AS (SELECT *, '/s/' || (event_id % 50) || '/rollout-' || event_id || CASE WHEN user_id % 2 = 0 THEN '-' || own ELSE '' END || '.jsonl' AS path FROM f)
+SELECT own AS id, path, (CASE WHEN user_id % 2 = 0 THEN 0 ELSE 1 END)::int AS rank FROM g WHERE user_id % 2 = 0 OR event_id % 3 = 0 QUALIFY row_number() OVER (PARTITION BY own ORDER BY ts DESC, path) = 1""",
+    "incremental_index": f"""WITH {I.GRAPH}, w AS (SELECT *, length(file) % 4 AS k FROM v), x AS (SELECT DISTINCT e.* FROM e JOIN w a ON a.id = e.src LEFT JOIN w b ON b.id = e.dst WHERE (a.k = 3 AND b.k = 3) OR a.k IN (0, 1))
+SELECT 'file' AS what, ['added', 'modified', 'deleted', 'unchanged'][(k + 1)::int] AS kind, count(DISTINCT file) AS n FROM w GROUP BY k UNION ALL SELECT 'vertex', type, count(*) FROM w WHERE k <> 2 GROUP BY type UNION ALL SELECT 'edge', type, count(*) FROM x GROUP BY type""",
     "found_files": rf"""WITH {SAID}, f AS (SELECT project, seq, session, unnest(x) AS text, generate_subscripts(x, 1) AS p FROM (SELECT *, regexp_extract_all(text, '(?i)(?:^|[\s"''`(])((?:\.{{0,2}}/|/)?(?:[\w.@+-]+/)*[\w.@+-]+\.(?:ts|tsx|js|jsx|mjs|cjs|vue|py|go|rs|java|kt|swift|php|rb|json|yaml|yml|toml|md|css|scss|html|sql))(?:$|[\s"''`),:])', 1) AS x FROM sd)),
 u AS (SELECT project, lower(text) AS key, max((session, seq, p)) AS place, arg_max(text, (session, seq, p)) AS text FROM f GROUP BY ALL) SELECT project, (row_number() OVER (PARTITION BY project ORDER BY place DESC))::int AS k, text FROM u QUALIFY k <= 8""",
     "dangerous_commands": f"""SELECT event_id, {_at(['root deletion', 'home deletion', 'open permissions', '', 'loss of data', 'loss of data', '', 'stop of a service', '', 'open permissions'], 'event_id % 10')} AS c, {_at(['system configuration', 'system binaries', 'production web', 'production web', 'production path', 'environment file', 'environment file', 'sensitive file', ''], 'event_id % 9')} AS p FROM events""",
