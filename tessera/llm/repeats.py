@@ -19,9 +19,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tessera.llm.blocks import summed
+from tessera.llm.blocks import marked_ids
 from tessera.llm.common import stored, text_slices
-from tessera.llm.ngram_join import _bits
 from tessera.llm.shingles import U, _mixed, _powers, text_bytes
 from tessera.llm.suffix_groups import common_prefixes, suffix_array
 
@@ -29,9 +28,7 @@ LENGTH, GRAM = 400, 128
 #: Bytes of a block of a context.
 BLOCK = 32
 #: Contexts sorted at a time, and of an anchor before it is split into its strings.
-AT_ONCE, MANY = 2_000, 20_000
-#: Bits of the table of documents whose texts are needed.
-NEEDED = 1 << 22
+AT_ONCE, MANY = 2_000, 5_000
 #: Bytes of text hashed at a time.
 STRETCH = 1 << 18
 
@@ -79,7 +76,7 @@ def anchors(data: np.ndarray, z: Sizes) -> tuple[np.ndarray, np.ndarray, np.ndar
     return grams[at], at, context, left, right
 
 
-ANCHORS = "anchor long, context long, doc long, at int, left int, right int, times int"
+ANCHORS = "anchor long, context long, doc long, mark long, at int, left int, right int, times int"
 
 
 def _find(z: Sizes):
@@ -90,22 +87,22 @@ def _find(z: Sizes):
             for batch in text_slices(whole, "text", STRETCH):
                 out = []
                 data, ends = text_bytes(batch.column("text"))
-                for doc, a, b in zip(batch.column("doc").to_pylist(), ends[:-1].tolist(), ends[1:].tolist(), strict=True):
+                for doc, mark, a, b in zip(batch.column("doc").to_pylist(), batch.column("mark").to_pylist(), ends[:-1].tolist(), ends[1:].tolist(), strict=True):
                     if b - a < z.length:
                         continue
                     anchor, at, context, left, right = anchors(data[a:b], z)
                     _, first, which, count = np.unique(anchor ^ _mixed(context), return_index=True, return_inverse=True, return_counts=True)
                     times = np.minimum(count, 2)
-                    out.append((anchor[first], context[first], np.full(len(first), doc), at[first], left[first], right[first], times))
+                    out.append((anchor[first], context[first], np.full(len(first), doc), np.full(len(first), mark), at[first], left[first], right[first], times))
                     again = np.flatnonzero(count[which] > 1)
                     if len(again):  # joined where they overlap
                         start, end = _joined(at[again] - left[again], at[again] + right[again])
                         none = np.zeros(len(start), dtype=U)
-                        out.append((none, none, np.full(len(start), doc), start, np.zeros_like(start), end - start, np.zeros_like(start)))
+                        out.append((none, none, np.full(len(start), doc), np.full(len(start), mark), start, np.zeros_like(start), end - start, np.zeros_like(start)))
                 if out:
                     cols = [np.concatenate(x) for x in zip(*out, strict=True)]
                     yield pa.RecordBatch.from_arrays(
-                        [*[pa.array(c.view(np.int64)) for c in cols[:2]], pa.array(cols[2].astype(np.int64)), *[pa.array(c.astype(np.int32)) for c in cols[3:]]], [x.split()[0] for x in ANCHORS.split(", ")]
+                        [*[pa.array(c.view(np.int64)) for c in cols[:2]], *[pa.array(c.astype(np.int64)) for c in cols[2:4]], *[pa.array(c.astype(np.int32)) for c in cols[4:]]], [x.split()[0] for x in ANCHORS.split(", ")]
                     )
 
     return run
@@ -156,39 +153,39 @@ def repeated_starts(group: np.ndarray, contexts: np.ndarray, left: np.ndarray, r
     return out
 
 
-CONTEXTS = "anchor long, doc long, at int, left int, right int, times long, bytes binary"
-SPANS = "doc long, start int, stop int"
+CONTEXTS = "anchor long, doc long, mark long, at int, left int, right int, times long, bytes binary, crowded boolean"
+SPANS = "doc long, mark long, start int, stop int"
 
 
 def _cut(z: Sizes):
-    """The contexts of the anchors listed with each text."""
+    """The contexts of the anchors listed with each text, and whether the anchor has too many to be sorted at a time."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for whole in batches:
             for batch in text_slices(whole, "text"):
                 data, ends = text_bytes(batch.column("text"))
                 raw = data.tobytes()
-                out = [[] for _ in range(7)]
-                for doc, base, listed in zip(batch.column("doc").to_pylist(), ends[:-1].tolist(), batch.column("listed").to_pylist(), strict=True):
+                out = [[] for _ in range(9)]
+                for doc, mark, base, listed in zip(batch.column("doc").to_pylist(), batch.column("mark").to_pylist(), ends[:-1].tolist(), batch.column("listed").to_pylist(), strict=True):
                     for x in listed:
                         at, left, right = x["at"], x["left"], x["right"]
-                        for column, value in zip(out, (x["anchor"], doc, at, left, right, x["times"], raw[base + at - left : base + at + right]), strict=True):
+                        for column, value in zip(out, (x["anchor"], doc, mark, at, left, right, x["times"], raw[base + at - left : base + at + right], x["crowded"]), strict=True):
                             column.append(value)
-                kinds = [pa.int64(), pa.int64(), pa.int32(), pa.int32(), pa.int32(), pa.int64(), pa.binary()]
+                kinds = [pa.int64(), pa.int64(), pa.int64(), pa.int32(), pa.int32(), pa.int32(), pa.int64(), pa.binary(), pa.bool_()]
                 yield pa.RecordBatch.from_arrays([pa.array(v, k) for v, k in zip(out, kinds, strict=True)], [x.split()[0] for x in CONTEXTS.split(", ")])
 
     return run
 
 
-def _spans(doc, start, stop) -> pa.RecordBatch:
-    return pa.RecordBatch.from_arrays([pa.array(doc, pa.int64()), pa.array(start, pa.int32()), pa.array(stop, pa.int32())], ["doc", "start", "stop"])
+def _spans(doc, mark, start, stop) -> pa.RecordBatch:
+    return pa.RecordBatch.from_arrays([pa.array(doc, pa.int64()), pa.array(mark, pa.int64()), pa.array(start, pa.int32()), pa.array(stop, pa.int32())], ["doc", "mark", "start", "stop"])
 
 
 def _matrix(rows: list[tuple], z: Sizes) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     contexts = np.full((len(rows), z.width), 256, dtype=np.int16)
-    for i, (_, _, _, left, _, _, data) in enumerate(rows):
+    for i, (_, _, _, _, left, _, _, data) in enumerate(rows):
         contexts[i, z.left - left : z.left - left + len(data)] = np.frombuffer(data, dtype=np.uint8)
-    return contexts, np.array([r[3] for r in rows]), np.array([r[4] for r in rows])
+    return contexts, np.array([r[4] for r in rows]), np.array([r[5] for r in rows])
 
 
 def _resolve(z: Sizes):
@@ -198,11 +195,11 @@ def _resolve(z: Sizes):
         contexts, left, right = _matrix(rows, z)
         group = np.unique(np.array([r[0] for r in rows]), return_inverse=True)[1]
         found = repeated_starts(group, contexts, left, right, z)
-        hit = np.flatnonzero(found.any(axis=1) & (np.array([r[5] for r in rows]) == 1))
+        hit = np.flatnonzero(found.any(axis=1) & (np.array([r[6] for r in rows]) == 1))
         low, high = found[hit].argmax(axis=1), z.left - found[hit][:, ::-1].argmax(axis=1)
-        at = np.array([rows[i][2] for i in hit], dtype=np.int64)
+        at = np.array([rows[i][3] for i in hit], dtype=np.int64)
         # all these strings hold the anchor, so together they are one run
-        return _spans([rows[i][1] for i in hit], at - z.left + low, at - z.left + high + z.length)
+        return _spans([rows[i][1] for i in hit], [rows[i][2] for i in hit], at - z.left + low, at - z.left + high + z.length)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         rows: list[tuple] = []
@@ -235,57 +232,42 @@ def _strings(z: Sizes):
                     np.cumsum(_mixed(_LETTERS[contexts] ^ salt) * up[: z.width], axis=1, out=sums[:, 1:])
                     anchor = np.array([r[0] for r in rows], dtype=np.int64).view(U)
                     hashes.append(_mixed((sums[row, at + z.length] - sums[row, at]) ^ _mixed(anchor[row] + at.astype(U))).view(np.int64))
-                doc, place = np.array([r[1] for r in rows], dtype=np.int64), np.array([r[2] for r in rows], dtype=np.int64)
-                times = np.array([r[5] for r in rows], dtype=np.int64)
-                yield pa.RecordBatch.from_arrays([pa.array(hashes[0]), pa.array(hashes[1]), pa.array(doc[row]), pa.array((place[row] - z.left + at).astype(np.int32)), pa.array(times[row])], ["h1", "h2", "doc", "start", "times"])
+                doc, mark, place, times = (np.array([r[i] for r in rows], dtype=np.int64) for i in (1, 2, 3, 6))
+                yield pa.RecordBatch.from_arrays([pa.array(hashes[0]), pa.array(hashes[1]), pa.array(doc[row]), pa.array(mark[row]), pa.array((place[row] - z.left + at).astype(np.int32)), pa.array(times[row])], ["h1", "h2", "doc", "mark", "start", "times"])
 
     return run
 
 
 def keys(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
-    """``id``, ``text`` and ``doc``, a number for the row: its identifier, or a hash of its text where it has none."""
+    """``id``, ``text``, and ``doc`` and ``mark``, which name the row: its identifier (a hash of its text where it has none) and a hash of its text."""
     text = F.coalesce(F.col(text_col), F.lit(""))
-    return docs.select(F.col(id_col).alias("id"), text.alias("text"), F.coalesce(F.col(id_col).cast("long"), F.xxhash64(text)).alias("doc"))
-
-
-def _only(size: int, held):
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        bits = np.unpackbits(held.value)
-        for batch in batches:
-            yield batch.filter(pa.array(bits[_bits(batch.column("doc").to_numpy(), size)] > 0))
-
-    return run
-
-
-def _table_of(rows: DataFrame, size: int):
-    """A broadcast bit for each hash of ``doc`` in ``rows``, of fixed size."""
-    return rows.sparkSession.sparkContext.broadcast(np.packbits(summed(rows, size, ["doc"], lambda batch: iter([_bits(batch.column("doc").to_numpy(), size)])) > 0))
+    return docs.select(F.col(id_col).alias("id"), text.alias("text"), F.coalesce(F.col(id_col).cast("long"), F.xxhash64(text)).alias("doc"), F.xxhash64(F.lit("mark"), text).alias("mark"))
 
 
 def repeated_spans(rows: DataFrame, z: Sizes, many: int = MANY) -> DataFrame:
-    """``doc``, ``start``, ``stop`` of parts of the texts of ``rows`` (from ``keys``) that are covered by repeated strings; they may overlap."""
-    found = stored(rows.select("doc", "text").where(F.octet_length("text") >= z.length).mapInArrow(_find(z), ANCHORS), "anchors")
-    here = found.where("times = 0").select("doc", F.col("at").alias("start"), (F.col("at") + F.col("right")).alias("stop"))
+    """``doc``, ``mark``, ``start``, ``stop`` of parts of the texts of ``rows`` (from ``keys``) that are covered by repeated strings; they may overlap."""
+    found = stored(rows.select("doc", "mark", "text").where(F.octet_length("text") >= z.length).mapInArrow(_find(z), ANCHORS), "anchors")
+    here = found.where("times = 0").select("doc", "mark", F.col("at").alias("start"), (F.col("at") + F.col("right")).alias("stop"))
     single = found.where("times > 0")
     # written before it is joined: Spark can split a hot anchor of a join between plain exchanges only
     more = stored(single.groupBy("anchor").agg(F.sum("times").alias("n")).where("n > 1").select("anchor"), "repeated")
     shared = stored(single.join(more, "anchor"), "shared")
-    contexts = stored(shared.groupBy("anchor", "context").agg(F.sum("times").cast("long").alias("times"), F.min(F.struct("doc", "at", "left", "right")).alias("first")), "contexts")
-    whole = shared.join(contexts.where("times > 1").select("anchor", "context"), ["anchor", "context"]).select("doc", (F.col("at") - F.col("left")).alias("start"), (F.col("at") + F.col("right")).alias("stop"))
-    several = contexts.groupBy("anchor").agg(F.count(F.lit(1)).alias("contexts")).where("contexts > 1")
+    contexts = stored(shared.groupBy("anchor", "context").agg(F.sum("times").cast("long").alias("times"), F.min(F.struct("doc", "mark", "at", "left", "right")).alias("first")), "contexts")
+    whole = shared.join(contexts.where("times > 1").select("anchor", "context"), ["anchor", "context"]).select("doc", "mark", (F.col("at") - F.col("left")).alias("start"), (F.col("at") + F.col("right")).alias("stop"))
+    several = stored(contexts.groupBy("anchor").agg(F.count(F.lit(1)).alias("contexts")).where("contexts > 1"), "several")
     # one place of each context whose anchor has others
-    listed = contexts.join(several, "anchor").select("anchor", "times", "contexts", "first.*")
-    by = stored(listed.groupBy("doc").agg(F.collect_list(F.struct("anchor", "at", "left", "right", "times")).alias("listed")), "listed")
-    texts = rows.select("doc", "text").mapInArrow(_only(NEEDED, _table_of(by, NEEDED)), "doc long, text string").join(by, "doc").dropDuplicates(["doc"])
+    listed = contexts.join(several, "anchor").select("anchor", "times", (F.col("contexts") > many).alias("crowded"), "first.*")
+    by = stored(listed.groupBy("doc", "mark").agg(F.collect_list(F.struct("anchor", "at", "left", "right", "times", "crowded")).alias("listed")), "listed")
+    texts = marked_ids(by, "doc").within(rows.select("doc", "mark", "text"), "doc").join(by, ["doc", "mark"]).dropDuplicates(["doc", "mark"])
     cut = stored(texts.mapInArrow(_cut(z), CONTEXTS), "cut")
-    crowded = several.where(F.col("contexts") > many).select("anchor")
-    small = cut.join(crowded, "anchor", "left_anti")
+    small, crowded = (cut.where(c).drop("crowded") for c in ("NOT crowded", "crowded"))
+    # a real exchange: right after a join by anchor Spark would leave it out, and could have split a hot anchor's rows over tasks
     solved = small.repartition("anchor").sortWithinPartitions("anchor").mapInArrow(_resolve(z), SPANS)
     out = here.unionByName(whole).unionByName(solved)
     if not crowded.isEmpty():
-        strings = stored(cut.join(crowded, "anchor", "left_semi").mapInArrow(_strings(z), "h1 long, h2 long, doc long, start int, times long"), "strings")
+        strings = stored(crowded.mapInArrow(_strings(z), "h1 long, h2 long, doc long, mark long, start int, times long"), "strings")
         again = strings.groupBy("h1", "h2").agg(F.sum("times").alias("n")).where("n > 1").select("h1", "h2")
-        out = out.unionByName(strings.where("times = 1").join(again, ["h1", "h2"]).groupBy("doc", "start").agg(F.max(F.col("start") + z.length).alias("stop")).select("doc", "start", "stop"))
+        out = out.unionByName(strings.where("times = 1").join(again, ["h1", "h2"]).groupBy("doc", "mark", "start").agg(F.max(F.col("start") + z.length).alias("stop")).select("doc", "mark", "start", "stop"))
     return out
 
 
@@ -307,28 +289,19 @@ def remove_repeats(docs: DataFrame, length: int = LENGTH, gram: int = GRAM, bloc
     """The identifier, ``n_bytes``, ``kept`` (binary) and ``removed`` (array of start and stop) of every row.
 
     Each byte that a string of ``length`` bytes covers which also starts anywhere else goes; strings are those of the input. A null text
-    is empty; a text shorter than ``length`` stays; of repeated rows all go; rows without identifier are told apart by their text, so
-    equal ones count as one place. An empty table gives an empty result; other columns play no part.
+    is empty; a text shorter than ``length`` stays; of repeated rows all go, with or without identifier; rows that share an identifier
+    but not the text are rows of their own. An empty table gives an empty result; other columns play no part.
     """
     z = Sizes(length, gram, block)
     rows = keys(docs, id_col, text_col)
     kind = rows.schema["id"].dataType.simpleString()
     # pieces of runs are joined per document; a document has no more of them than bytes
-    spans = stored(repeated_spans(rows, z, many).groupBy("doc").agg(F.collect_set(F.struct("start", "stop")).alias("spans")), "spans")
-    held = _table_of(spans, NEEDED)
-
-    def split(inside: bool):
-        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-            bits = np.unpackbits(held.value)
-            for batch in batches:
-                yield batch.filter(pa.array((bits[_bits(batch.column("doc").to_numpy(), NEEDED)] > 0) == inside))
-
-        return run
+    spans = stored(repeated_spans(rows, z, many).groupBy("doc", "mark").agg(F.collect_set(F.struct("start", "stop")).alias("spans")), "spans")
+    touched = marked_ids(spans, "doc")
 
-    shape = f"id {kind}, text string, doc long"
     removed = "array<struct<start:int,stop:int>>"
-    maybe = rows.mapInArrow(split(True), shape).join(spans, "doc", "left")
+    maybe = touched.within(rows, "doc").join(spans, ["doc", "mark"], "left")
     changed = maybe.where("spans IS NOT NULL").select("id", "text", "spans").mapInArrow(_remove, f"id {kind}, n_bytes long, kept binary, removed {removed}")
-    same = rows.mapInArrow(split(False), shape).select("id", "text").union(maybe.where("spans IS NULL").select("id", "text"))
+    same = touched.without(rows, "doc").select("id", "text").union(maybe.where("spans IS NULL").select("id", "text"))
     same = same.select("id", F.octet_length("text").cast("long").alias("n_bytes"), F.col("text").cast("binary").alias("kept"), F.array().cast(removed).alias("removed"))
     return changed.unionByName(same).withColumnRenamed("id", id_col)

@@ -6,7 +6,8 @@ have, so far, been grouped by a shorter prefix, and move into new groups just ab
 number of suffixes that point at them, since their prefix is now known to go on with that many copies of the
 group's own. When all groups have been taken they are final and in order.
 Then one scan from the smallest suffix on writes each group's order: the suffix before a placed one, and those that
-its pointers lead to, take the next free places of their groups. Nothing is named or sorted again.
+its pointers lead to, take the next free places of their groups. Nothing is named or sorted again: symbols (small
+numbers) and numbers of pointers go to buckets.
 """
 
 from __future__ import annotations
@@ -16,10 +17,10 @@ def suffix_array(text: list[int]) -> list[int]:
     """The starts of the suffixes of ``text`` (numbers above 0) in ascending order."""
     s = [*text, 0]
     n = len(s)
-    by: dict[int, list[int]] = {}
+    by: list[list[int]] = [[] for _ in range(max(s) + 1)]
     for i, c in enumerate(s):
-        by.setdefault(c, []).append(i)
-    members = [by[c] for c in sorted(by)]  # by number of the group; a suffix that has moved on is told by group_of
+        by[c].append(i)
+    members = [m for m in by if m]  # by number of the group; a suffix that has moved on is told by group_of
     below, above = list(range(-1, len(members) - 1)), list(range(1, len(members) + 1))
     group_of = [0] * n
     for g, m in enumerate(members):
@@ -31,7 +32,7 @@ def suffix_array(text: list[int]) -> list[int]:
     final = []
     group = len(members) - 1
     while group >= 0:
-        own = sorted([i for i in members[group] if group_of[i] == group])
+        own = [i for i in members[group] if group_of[i] == group]
         final.append((group, len(own)))
         for i in own:
             taken[i] = 1
@@ -43,22 +44,27 @@ def suffix_array(text: list[int]) -> list[int]:
             jump[i] = previous[i] = j
             if j >= 0:
                 pointers[j] = pointers.get(j, 0) + 1
-        moved: dict[tuple[int, int], list[int]] = {}
+        # by number of pointers, which sum up to no more than the group: more pointers make a larger prefix, a higher group
+        times: list[list[int]] = [[] for _ in range(max(pointers.values(), default=0) + 1)]
         for j, k in pointers.items():
-            moved.setdefault((group_of[j], k), []).append(j)
-        last, under = -1, -1
-        for old, k in sorted(moved):
-            new = len(members)
-            suffixes = moved[old, k]
-            members.append(suffixes)
-            for j in suffixes:
+            times[k].append(j)
+        top: dict[int, int] = {}  # of each old group the highest made from it
+        for same in times:
+            made: dict[int, int] = {}
+            for j in same:
+                old = group_of[j]
+                new = made.get(old, -1)
+                if new < 0:
+                    new = made[old] = len(members)
+                    members.append([])
+                    under = top.get(old, old)
+                    over = above[under]
+                    below.append(under)
+                    above.append(over)
+                    above[under] = below[over] = new
+                    top[old] = new
+                members[new].append(j)
                 group_of[j] = new
-            under = under if old == last else old  # more pointers: a larger prefix, a higher group
-            over = above[under]
-            below.append(under)
-            above.append(over)
-            above[under] = below[over] = new
-            last, under = old, new
         group = below[group]
     # the order within the groups, smallest suffix first
     free = [0] * len(members)

@@ -6,7 +6,7 @@ from tessera.llm import repeats
 from tessera.llm.suffix_groups import common_prefixes, suffix_array
 
 
-def brute(rows, length):
+def brute_of(rows, length):
     seen = {}
     for i, (_, t) in enumerate(rows):
         b = (t or "").encode()
@@ -22,7 +22,11 @@ def brute(rows, length):
         b = (t or "").encode()
         runs = sum(1 for x in g if x - 1 not in g)
         out.append((doc, len(b), len(g), runs, bytes(x for j, x in enumerate(b) if j not in g)))
-    return sorted(out)
+    return out
+
+
+def brute(rows, length):
+    return sorted(brute_of(rows, length))
 
 
 def corpus(seed):
@@ -58,6 +62,34 @@ def test_repeated_rows_and_none(spark):
     assert repeats.remove_repeats(docs.limit(0), 40, 13, 4).count() == 0
 
 
+def test_rows_that_share_an_identifier_and_long_texts(spark):
+    rng = random.Random(5)
+    passage, own = "".join(rng.choice("abcdefgh") for _ in range(80)), lambda n: "".join(rng.choice("ijklmn") for _ in range(n))
+    rows = [(1, passage + own(30)), (1, own(10) + passage), (1, own(90)), (2, own(300_000) + passage + own(5)), (3, None), (None, passage), (None, passage), (None, own(50))]
+    docs = spark.createDataFrame(rows, "doc_id long, text string").repartition(3)
+    got = sorted((r.doc_id or -1, r.n_bytes, len(r.removed), bytes(r.kept)) for r in repeats.remove_repeats(docs, 40, 13, 4).collect())
+    assert got == sorted((i or -1, n, runs, kept) for i, n, _, runs, kept in brute_of(rows, 40))
+
+
+def test_a_hot_anchor_stays_together_when_joins_are_split(spark):
+    rng = random.Random(8)
+    own = lambda n: "".join(rng.choice("abcdefghijklmnop") for _ in range(n))
+    crowded, passages = own(26), [own(26) for _ in range(6)]
+    endings = [own(14) for _ in range(90)]
+    rows = [(i, own(rng.randrange(20, 40)) + crowded + own(40)) for i in range(400)] + [(1000 + i, own(rng.randrange(20, 40)) + passages[i % 6] + endings[i % 89] + own(20)) for i in range(1068)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string").repartition(8)
+    small = {"spark.sql.adaptive.skewJoin.skewedPartitionThresholdInBytes": "1b", "spark.sql.adaptive.skewJoin.skewedPartitionFactor": "1", "spark.sql.adaptive.advisoryPartitionSizeInBytes": "1k", "spark.sql.autoBroadcastJoinThreshold": "-1"}
+    was = {k: spark.conf.get(k, None) for k in small}
+    try:
+        for k, v in small.items():
+            spark.conf.set(k, v)
+        got = sorted((r.doc_id, r.n_bytes, r.n_bytes - len(r.kept), len(r.removed), bytes(r.kept)) for r in repeats.remove_repeats(docs, 40, 13, 4, many=300).collect())
+    finally:
+        for k, v in was.items():
+            spark.conf.unset(k) if v is None else spark.conf.set(k, v)
+    assert got == brute(rows, 40)
+
+
 def test_suffix_array_against_sorting():
     rng = random.Random(3)
     for _ in range(1500):
