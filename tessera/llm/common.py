@@ -28,9 +28,13 @@ def _own_folder(application: str) -> str:
 def scratch(spark: SparkSession, name: str) -> str:
     """A new path in the folder that all executors share (``spark.checkpoint.dir``).
 
-    Only where that setting is missing (a local test session) a temporary folder stands in for it.
+    Only where that setting is missing in a local session (tests) a temporary folder stands in for it.
     """
-    base = spark.conf.get("spark.checkpoint.dir", None) or _own_folder(spark.sparkContext.applicationId)
+    base = spark.conf.get("spark.checkpoint.dir", None)
+    if base is None:
+        if not spark.sparkContext.master.startswith("local") or spark.sparkContext.master.startswith("local-cluster"):
+            raise ValueError("spark.checkpoint.dir must name a folder that driver and executors share")
+        base = _own_folder(spark.sparkContext.applicationId)
     return f"{base.rstrip('/')}/{name}-{uuid.uuid4().hex}"
 
 
@@ -42,6 +46,33 @@ def stored(df: DataFrame, name: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def unused(name: str, *tables: DataFrame) -> str:
+    """``name``, with more underscores in front for as long as one of the tables has such a column (in any case)."""
+    taken = {c.lower() for t in tables for c in t.columns}
+    while name.lower() in taken:
+        name = f"_{name}"
+    return name
+
+
+class Numbered:
+    """A table under numbered column names, so that an operator's own columns clash with none of them."""
+
+    def __init__(self, docs: DataFrame):
+        self.names = docs.columns
+        self.rows = docs.toDF(*[f"c{i}" for i in range(len(self.names))])
+
+    def of(self, name: str) -> str:
+        """The number of a column (told by its name in this case, else in any)."""
+        same = [i for i, c in enumerate(self.names) if c == name] or [i for i, c in enumerate(self.names) if c.lower() == name.lower()]
+        if not same:
+            raise ValueError(f"no column {name} among {self.names}")
+        return f"c{same[0]}"
+
+    def back(self, out: DataFrame) -> DataFrame:
+        """The columns of the table under their names."""
+        return out.select(*[F.col(f"c{i}").alias(c) for i, c in enumerate(self.names)])
+
+
 def ascii_lower(text: Column) -> Column:
     """Lower-case A-Z and nothing else."""
     return F.translate(text, UPPER, UPPER.lower())

@@ -1,7 +1,7 @@
 """Exact Jaccard self-join on word n-grams, filtered by prefixes under several global orders.
 
 Two sets whose Jaccard similarity reaches t share a token among the first n - ceil(t n) + 1 tokens of each, whatever
-the global order of tokens. The orders used here put rare tokens first, as a fixed-size table of counters over the
+the global order of tokens. The orders used here put rare tokens first, as a table of counters over the
 whole corpus tells, and differ in how they break ties. A pair is verified only if it shares prefix tokens under all of
 them. Equal sets are joined first and stand as one.
 
@@ -21,16 +21,16 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tessera.llm.blocks import summed
-from tessera.llm.common import stored, text_slices
+from tessera.llm.blocks import marked_ids, summed, table_size
+from tessera.llm.common import stored, text_slices, unused
 from tessera.llm.components import components
 from tessera.llm.shingles import U, _mixed, shingle_sets
 
-#: Counters over all tokens, and bits of the table of documents whose texts are needed: the sizes of what is broadcast.
-COUNTERS, NEEDED = 1 << 22, 1 << 22
+#: Bytes of text for each counter of the table over all tokens (about 40 tokens), and the bounds of that table, which is broadcast.
+PER_COUNTER, COUNTERS_LEAST, COUNTERS_MOST = 256, 1 << 20, 1 << 24
 #: A token in more sets than this has a pivot.
 FEW = 16
 #: Bytes of text whose sets are formed at a time.
@@ -38,8 +38,10 @@ SLICE = 1 << 18
 #: Shares of all tokens at which the classes of rare tokens end.
 MARKS = (0.05, 0.1, 0.2, 0.35, 0.5, 0.75, 0.95)
 ORDERS = 3
-#: Bits of a set's picture. Two sets differ by at least as many tokens as their pictures do by bits.
-PICTURE = 2048
+#: A set's picture has a bit for each token at least, and so many. Two sets differ by at least as many tokens as their pictures do by bits.
+PICTURE_LEAST = 512
+#: How common a set's tokens are is told in so many steps: sets that hardly differ still have an order, so the most typical becomes the pivot.
+TYPICAL = 1 << 20
 _SEEDS = [U(0x2545F4914F6CDD1D), U(0x9E6C63D0876A9A47), U(0xD1B54A32D192ED03)]
 
 
@@ -77,6 +79,7 @@ class Threshold:
 
     def __init__(self, num: int, den: int):
         self.num, self.den = num, den
+        self.folds = (-(-den // num) - 1).bit_length()
 
     def prefix(self, n: int) -> int:
         return n + (-self.num * n) // self.den + 1
@@ -98,7 +101,7 @@ def _columns(*pairs: tuple[str, list, pa.DataType]) -> pa.RecordBatch:
 
 
 def _features(held, words: int, t: Threshold):
-    """``id``, ``n``, the set's digest, how common its tokens are, its prefix in the first order, and its picture."""
+    """``id``, ``n``, the set's digest, how common its tokens are (below ``TYPICAL``), its prefix in the first order, and its picture."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         ranks: Ranks = held.value
@@ -109,16 +112,27 @@ def _features(held, words: int, t: Threshold):
                 prefix = [ranks.prefix(s, t.prefix(len(s)), 0).view(np.int64) if len(s) else s.view(np.int64) for s in sets]
                 yield _columns(
                     ("id", batch.column("id").to_pylist(), pa.int64()), ("n", [len(s) for s in sets], pa.int64()), ("digest", digests, pa.binary()),
-                    ("typical", [ranks.common(s) for s in sets], pa.float64()), ("prefix", prefix, pa.list_(pa.int64())), ("bits", [_picture(s) for s in sets], pa.list_(pa.int64())),
+                    ("typical", [int(ranks.common(s) * (TYPICAL >> 8)) for s in sets], pa.int64()), ("prefix", prefix, pa.list_(pa.int64())), ("bits", [_picture(s) for s in sets], pa.list_(pa.int64())),
                 )
 
     return run
 
 
 def _picture(tokens: np.ndarray) -> np.ndarray:
-    bits = np.zeros(PICTURE, dtype=np.uint8)
-    bits[_mixed(tokens ^ U(0x6C62272E07BB0142)) % U(PICTURE)] = 1
-    return np.packbits(bits).view(np.int64)
+    """A power of two of bits, so that a larger picture folds into a smaller one."""
+    size = max(PICTURE_LEAST, 1 << max(0, len(tokens) - 1).bit_length())
+    bits = np.zeros(size, dtype=np.uint8)
+    bits[_mixed(tokens ^ U(0x6C62272E07BB0142)) % U(size)] = 1
+    return np.packbits(bits, bitorder="little").view(np.int64)
+
+
+def _folded(picture: Column, size: Column, times: int) -> Column:
+    """A picture in so many longs; ``times`` is how often the larger of two similar sets' pictures can be twice the other's."""
+    for _ in range(times):
+        half = (F.size(picture) / 2).cast("int")
+        fold = F.zip_with(F.slice(picture, F.lit(1), half), F.slice(picture, half + 1, half), lambda x, y: x.bitwiseOR(y))
+        picture = F.when(F.size(picture) > size, fold).otherwise(picture)
+    return picture
 
 
 def _other_prefixes(held, words: int, t: Threshold):
@@ -192,10 +206,6 @@ def _differences(held, words: int, t: Threshold):
     return run
 
 
-def _bits(ids: np.ndarray, size: int) -> np.ndarray:
-    return (_mixed(ids.astype(np.int64).view(U)) % U(size)).astype(np.int64)
-
-
 def _length_fits(t: Threshold):
     return F.least("n_a", "n_b") * t.den >= F.greatest("n_a", "n_b") * t.num
 
@@ -206,46 +216,47 @@ def set_classes(docs: DataFrame, words: int = 3, num: int = 9, den: int = 10, id
     spark = docs.sparkSession
     slim = docs.select(F.col(id_col).cast("long").alias("id"), F.coalesce(F.col(text_col), F.lit("")).alias("text"))
 
-    shift = U(64 - (COUNTERS - 1).bit_length())
-    counters = summed(slim, COUNTERS, ["text"], lambda batch: (np.concatenate(shingle_sets(part.column("text"), words)) >> shift for part in text_slices(batch, "text", SLICE)))
+    text_size = slim.agg(F.sum(F.octet_length("text"))).first()[0] or 0
+    size = table_size(text_size // PER_COUNTER, COUNTERS_LEAST, COUNTERS_MOST)
+    shift = U(64 - (size - 1).bit_length())
+    counters = summed(slim, size, ["text"], lambda batch: (np.concatenate(shingle_sets(part.column("text"), words)) >> shift for part in text_slices(batch, "text", SLICE)))
     held = spark.sparkContext.broadcast(Ranks(counters))  # two bytes a counter
 
-    features = stored(slim.mapInArrow(_features(held, words, t), "id long, n long, digest binary, typical double, prefix array<long>, bits array<long>"), "sets")
+    features = stored(slim.mapInArrow(_features(held, words, t), "id long, n long, digest binary, typical long, prefix array<long>, bits array<long>"), "sets")
     members = features.select("id", "n", "digest")
     # equal sets stand as one, by their smallest identifier
     # (small tables are written before they are joined: Spark can split a hot key of a join between plain exchanges only)
     first = stored(members.where("n > 0 AND id IS NOT NULL").groupBy("digest").agg(F.min("id").alias("rep")), "first")
-    single = features.select("id", "n", "typical", "prefix").join(first.select(F.col("rep").alias("id")), "id", "left_semi")
-    index = single.select("id", "n", "typical", F.explode("prefix").alias("token"))
-    tokens = index.groupBy("token").agg(F.count(F.lit(1)).alias("sets"), F.max_by("id", F.struct("typical", "id")).alias("pivot")).where("sets > 1")
-    tokens = stored(tokens, "tokens")
-    shared = stored(index.select("token", "id", "n").join(tokens, "token"), "shared")
+    # most rows stand for themselves: only those of sets that occur again have to meet the table of representatives
+    named = features.where("n > 0 AND id IS NOT NULL").select("id", "prefix", (F.col("n") * TYPICAL + F.col("typical")).alias("size"))
+    again = stored(members.where("n > 0 AND id IS NOT NULL").join(first, "digest").where("id <> rep").select("id").union(members.groupBy("id").count().where("count > 1").select("id")), "again")
+    copies = marked_ids(again, "id")
+    single = copies.without(named, "id").unionByName(copies.within(named, "id").join(first.select(F.col("rep").alias("id")), "id", "left_semi").dropDuplicates(["id"]))
+    index = single.select("id", "size", F.explode("prefix").alias("token"))
+    tokens = stored(index.groupBy("token").agg(F.count(F.lit(1)).alias("sets")).where("sets > 1"), "tokens")
+    shared = stored(index.join(tokens, "token").select("token", "id", F.shiftright("size", TYPICAL.bit_length() - 1).alias("n"), (F.col("size") % TYPICAL).alias("typical"), "sets"), "shared")
 
     # pairs of tokens in few sets, and each set with its tokens' pivots
     together = shared.where(F.col("sets") <= few).groupBy("token").agg(F.array_sort(F.collect_list(F.struct("id", "n"))).alias("x"))
     pairs = together.select(F.explode(F.flatten(F.transform("x", lambda a, i: F.transform(F.slice("x", i + 2, F.size("x")), lambda b: F.struct(a["id"].alias("a"), a["n"].alias("n_a"), b["id"].alias("b"), b["n"].alias("n_b"))))) ).alias("p")).select("p.*")
     pairs = pairs.where("a < b").where(_length_fits(t)).select("a", "b").distinct()
-    pivots = shared.where(F.col("sets") > few).where("id <> pivot").select(F.col("pivot").alias("a"), F.col("id").alias("b")).distinct()
+    crowded = shared.where(F.col("sets") > few)
+    heads = stored(crowded.groupBy("token").agg(F.max_by("id", F.struct("typical", "id")).alias("pivot")), "heads")
+    pivots = crowded.select("token", "id").join(heads, "token").where("id <> pivot").select(F.col("pivot").alias("a"), F.col("id").alias("b")).distinct()
 
     def pictured(pairs: DataFrame) -> DataFrame:
         """Pairs whose pictures don't differ by too many bits for similar sets."""
         a, b = (features.where("id IS NOT NULL").select(F.col("id").alias(x), F.col("n").alias(f"n_{x}"), F.col("bits").alias(f"bits_{x}")) for x in "ab")
-        differ = F.aggregate(F.zip_with("bits_a", "bits_b", lambda x, y: F.bit_count(x.bitwiseXOR(y))), F.lit(0), lambda s, x: s + x)
+        least = F.least(F.size("bits_a"), F.size("bits_b"))
+        differ = F.aggregate(F.zip_with(_folded(F.col("bits_a"), least, t.folds), _folded(F.col("bits_b"), least, t.folds), lambda x, y: F.bit_count(x.bitwiseXOR(y))), F.lit(0), lambda s, x: s + x)
         total = F.col("n_a") + F.col("n_b")
-        return pairs.join(a, "a").join(b, "b").where((total - differ) * (den + num) >= total * (2 * num)).select("a", "b").distinct()
+        return pairs.join(a, "a").join(b, "b").where(_length_fits(t)).where((total - differ) * (den + num) >= total * (2 * num)).select("a", "b").distinct()
 
     pairs, pivots = stored(pictured(pairs), "pairs"), stored(pivots, "pivots")
 
     # the texts of the sets in any pair; a table of bits keeps most others out of the shuffle
-    need = pairs.select(F.col("a").alias("id")).union(pairs.select("b")).union(pivots.select("a")).union(pivots.select("b")).distinct()
-    needed = spark.sparkContext.broadcast(np.packbits(summed(need, NEEDED, ["id"], lambda batch: iter([_bits(batch.column("id").to_numpy(), NEEDED)])) > 0))
-
-    def maybe(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        bits = np.unpackbits(needed.value)
-        for batch in batches:
-            yield batch.filter(pa.array(bits[_bits(batch.column("id").to_numpy(), NEEDED)] > 0))
-
-    some = slim.where("id IS NOT NULL").mapInArrow(maybe, "id long, text string").join(need, "id", "left_semi").dropDuplicates(["id"])
+    need = stored(pairs.select(F.col("a").alias("id")).union(pairs.select("b")).union(pivots.select("a")).union(pivots.select("b")).distinct(), "need")
+    some = marked_ids(need, "id").within(slim.where("id IS NOT NULL"), "id").join(need, "id", "left_semi").dropDuplicates(["id"])
     texts = stored(some.mapInArrow(_other_prefixes(held, words, t), "id long, text string, " + ", ".join(f"prefix{o} array<int>" for o in range(1, ORDERS))), "texts")
 
     def filtered(pairs: DataFrame) -> DataFrame:
@@ -297,7 +308,11 @@ def ngram_join(docs: DataFrame, words: int = 3, num: int = 9, den: int = 10, id_
 
 
 def drop_similar(docs: DataFrame, words: int = 5, num: int = 4, den: int = 5, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """Of each component the row with the smallest identifier stays; the columns are those of ``docs``."""
+    """Of each component the row with the smallest identifier stays; the columns are those of ``docs``, whatever their names.
+
+    Rows without identifier, text or words stay, and so do repeated rows of an identifier that stays. An empty table stays empty.
+    """
     out = set_classes(docs, words, num, den, id_col, text_col)
-    gone = out.where("id <> component").select(F.col("id").alias("__gone")).distinct()
-    return docs.join(gone, docs[id_col].cast("long") == F.col("__gone"), "left_anti").select(*[f"`{c}`" for c in docs.columns])
+    gone = out.where("id <> component").select("id").distinct()
+    key = unused("gone", docs)
+    return docs.join(gone.withColumnRenamed("id", key), F.col(f"`{id_col}`").cast("long") == F.col(key), "left_anti")

@@ -66,3 +66,14 @@ def test_repeated_rows_nulls_and_none(spark):
     assert got == [(2, 4, 2), (2, 4, 2), (5, 4, 2), (None, 4, None)]
     assert ngram_join(docs.limit(0)).count() == 0
     assert sorted((r.doc_id or 0) for r in drop_similar(docs).collect()) == [0, 2, 2]
+
+
+def test_long_texts_wide_thresholds_and_clashing_columns(spark):
+    rng = random.Random(9)
+    long = [f"w{rng.randrange(10_000)}" for _ in range(60_000)]
+    rows = [(1, " ".join(long)), (2, " ".join([*long[:-500], "x", *long[-500:]])), (3, " ".join(long[:45_000])), (4, " ".join(reversed(long))), (5, "a b c d e f g"), (6, "a b c")]
+    docs = spark.createDataFrame([(i, t, i, "x") for i, t in rows], "doc_id long, text string, gone long, __gone string")
+    assert sorted(map(tuple, ngram_join(docs).collect())) == brute(rows)
+    assert sorted(map(tuple, ngram_join(docs, 3, 2, 5).collect())) == brute(rows, 3, 2, 5)
+    kept = drop_similar(docs)
+    assert kept.columns == docs.columns and sorted(tuple(r)[0::2] for r in kept.collect()) == [(i, i) for i in (1, 3, 4, 5, 6)]
