@@ -1,6 +1,6 @@
 import numpy as np
 
-from tessera.llm.topk import Lists, exact_top_k
+from tessera.llm.topk import Lists, Reads, exact_top_k
 
 
 def brute(rows, k, every):
@@ -34,10 +34,30 @@ def test_few_and_none(spark):
 
 def test_reading_stops_early():
     rng = np.random.default_rng(2)
-    ids, vectors = np.arange(3000), rng.integers(-9, 9, (3000, 16))
+    ids, size = np.arange(3000), rng.permutation(3000)
+    q = rng.integers(1, 9, 16)
+    # vectors that are large or small as a whole: few can qualify, and they stand near the heads of all lists
+    vectors = size[:, None] + rng.integers(0, 40, (3000, 16))
+    lists, reads = Lists(ids, vectors), Reads()
+    assert not hasattr(lists, "vectors")
+    at, scores = lists.top(q, 3, 10, reads)
+    assert reads.left == 10 and reads.depth < 1500 and reads.entries <= 16 * 1500
+    assert list(zip((-scores).tolist(), lists.ids[at].tolist(), strict=True)) == sorted((-int(v @ q), i) for i, v in enumerate(vectors) if i != 3)[:10]
+    # directions without a preferred end: outsiders are out only when the lists have been read to the end, and every read counts
+    vectors = rng.integers(-9, 9, (3000, 16))
     vectors[:20] *= 100
-    lists = Lists(ids, vectors)
-    q = vectors[3]
-    at, scores = lists.top(q, 3, 10)
-    want = sorted((-int(v @ q), i) for i, v in enumerate(vectors) if i != 3)[:10]
+    lists, reads = Lists(ids, vectors), Reads()
+    at, scores = lists.top(vectors[3], 3, 10, reads)
+    want = sorted((-int(v @ vectors[3]), i) for i, v in enumerate(vectors) if i != 3)[:10]
     assert list(zip((-scores).tolist(), lists.ids[at].tolist(), strict=True)) == want
+    assert reads.left < 3000 and reads.entries == 3000 * np.count_nonzero(vectors[3])
+
+
+def test_scores_are_sums_of_reads():
+    rng = np.random.default_rng(4)
+    for n, d, k in ((5, 3, 10), (40, 1, 3), (200, 7, 10), (1000, 5, 1)):
+        vectors = rng.integers(-50, 50, (n, d))
+        for q in (*vectors[:3], np.zeros(d, dtype=np.int64), np.abs(vectors[0])):
+            at, scores = Lists(np.arange(n), vectors).top(q, 1, k)
+            want = sorted((-int(v @ q), i) for i, v in enumerate(vectors) if i != 1)[:k]
+            assert list(zip((-scores).tolist(), at.tolist(), strict=True)) == want
