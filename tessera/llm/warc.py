@@ -33,10 +33,11 @@ def chunk_table(pages: DataFrame, id_col: str = "page_id", url_col: str = "url",
     """``id``, ``url``, ``digest``, ``refers_to``, ``bytes``, ``chunks``, ``chunk_no``, ``piece`` for each piece of each page."""
     body = F.coalesce(F.col(payload_col), F.lit(""))
     rows = pages.select(F.col(id_col).cast("long").alias("id"), F.col(url_col).alias("url"), body.alias("body"), F.sha1(body.cast("binary")).alias("digest"), F.octet_length(body).cast("long").alias("bytes"))
-    # small payloads are never looked up: a key of their own spreads them
-    key = F.when(F.col("bytes") >= least, F.col("digest")).otherwise(F.concat(F.lit("small "), F.coalesce(F.col("id").cast("string"), F.lit(""))))
-    first = rows.where(F.col("bytes") >= least).groupBy(F.col("digest").alias("key")).agg(F.max("id").alias("stored_id"))
-    told = rows.withColumn("key", key).join(first, "key", "left").withColumn("refers_to", F.when(F.col("stored_id") != F.col("id"), F.col("stored_id")))
+    # only digests meet by payload (and the tables are written before they do, so Spark can split a hot digest); payloads meet by identifier
+    large = stored(rows.where(F.col("bytes") >= least).select("id", "digest"), "digests")
+    first = stored(large.groupBy("digest").agg(F.max("id").alias("stored_id"), F.count(F.lit(1)).alias("n")).where("n > 1").select("digest", "stored_id"), "first")
+    again = stored(large.join(first, "digest").where("id <> stored_id").select("id", "digest", F.col("stored_id").alias("refers_to")).distinct(), "revisits")
+    told = rows.join(again, ["id", "digest"], "left")
     kept = F.when(F.col("refers_to").isNull(), F.col("body")).otherwise(F.lit(""))
     cut = told.withColumn("body", kept).withColumn("chunks", F.greatest(F.lit(1), F.ceil(F.length("body") / chunk)).cast("int"))
     pieces = F.expr(f"transform(sequence(0, chunks - 1), i -> substring(body, i * {chunk} + 1, {chunk}))")
