@@ -16,10 +16,10 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tessera.llm.common import let_go, text_slices
+from tessera.llm.common import Numbered, let_go, text_slices
 
-#: Documented bounds: labelled rows used for fitting (in expectation; sampled by language), languages kept (the most frequent), buckets of hashed n-grams.
-FIT_ROWS, LANGUAGES, BUCKETS = 40_000, 256, 1 << 14
+#: Documented bounds: labelled rows used for fitting (in expectation; sampled by language), buckets of hashed n-grams.
+FIT_ROWS, BUCKETS = 40_000, 1 << 14
 #: Lengths of n-grams in bytes; the shares of a letter's neighbours and of common word parts.
 GRAMS = (3, 4)
 SMOOTH = 0.5
@@ -134,10 +134,12 @@ def bound(sizes: list[int], total: int) -> float:
 def fit(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", fit_rows: int = FIT_ROWS) -> Model:
     """Learn from labelled rows that are not held out: all of them, or a sample by hash of about ``fit_rows``.
 
-    The sample has a bound for each language, so a rare one keeps all its rows and only the frequent ones are sampled. The counts come to the driver as one row per language and bucket, so their number has a bound whatever the input.
+    The sample has a bound for each language, so a rare one keeps all its rows and only the frequent ones are sampled. A language takes
+    a row of the sample at least, so no more than ``fit_rows`` are learnt (the most frequent, should a table have more labels). The
+    counts come to the driver as one row per language and bucket of the sample.
     """
     usable = docs.select(F.col(text_col).alias("__text"), F.col(lang_col).alias("__lang"), F.col(id_col).alias("__id")).where(F.col("__text").isNotNull() & F.col("__lang").isNotNull() & ~held_out(F.col("__id")))
-    sizes = {r[0]: r[1] for r in usable.groupBy("__lang").count().orderBy(F.desc("count"), "__lang").limit(LANGUAGES).collect()}
+    sizes = {r[0]: r[1] for r in usable.groupBy("__lang").count().orderBy(F.desc("count"), "__lang").limit(fit_rows).collect()}
     labels = sorted(sizes)
     if not labels:
         return Model([], np.zeros((0, BUCKETS)))
@@ -162,7 +164,7 @@ def predict(docs: DataFrame, model: Model, text_col: str = "text", names: tuple[
     A null text or one without a letter is ``und`` with score 0.
     """
     spark: SparkSession = docs.sparkSession
-    held = spark.sparkContext.broadcast((model.languages, model.p))  # languages x buckets: at most 256 x 16384 doubles
+    held = spark.sparkContext.broadcast((model.languages, model.p))  # languages x buckets (16384) doubles
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         own = Model.__new__(Model)
@@ -194,10 +196,10 @@ def identify(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", la
 
 
 def drop_unknown(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang") -> DataFrame:
-    """The rows whose text has a language, with the columns of ``docs``; all texts with a letter when no language could be learnt."""
+    """The rows whose text has a language, with the columns of ``docs``, whatever their names; all texts with a letter when no language
+    could be learnt. Null texts and texts without a letter go, repeated rows fare alike, an empty table stays empty."""
     model = fit(docs, id_col, text_col, lang_col)
     if not model.languages:
         return docs.where(F.col(text_col).rlike(r"\p{L}"))
-    return predict(docs, model, text_col, ("__lang", "__score", "__languages")).where(F.col("__lang") != UNKNOWN).select(*[f"`{c}`" for c in docs.columns])
-
-
+    own = Numbered(docs)
+    return own.back(predict(own.rows, model, own.of(text_col), ("__lang", "__score", "__languages")).where(F.col("__lang") != UNKNOWN))
