@@ -13,7 +13,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from tessera.llm.common import ascii_lower, stored
+from tessera.llm.common import Numbered, ascii_lower, stored
 
 #: At most so many texts are treated as hot, so the broadcast list of hashes has at most so many 16-byte rows.
 HOT_TEXTS = 100_000
@@ -70,5 +70,9 @@ def exact_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
 
 
 def drop_copies(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", keep: str = "largest") -> DataFrame:
-    """The rows of ``docs`` that stay, with the columns of ``docs``."""
-    return with_groups(docs, id_col, text_col, keep).where("__kept").select(*[f"`{c}`" for c in docs.columns])
+    """The rows of ``docs`` that stay, with the columns of ``docs``, whatever their names.
+
+    Rows are judged as in ``exact_dedup``: null texts are copies of empty ones, one of repeated rows stays, an empty table stays empty.
+    """
+    own = Numbered(docs)
+    return own.back(with_groups(own.rows, own.of(id_col), own.of(text_col), keep).where("__kept"))
