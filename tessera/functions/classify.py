@@ -94,13 +94,16 @@ def entry_point(path: Column, type_: Column, incoming: Column, outgoing: Column)
     return {"kind": F.when(type_ == "route", "route").otherwise(kind), "score": score}
 
 
-def skill_score(title: Column, task: Column, rest: Column, files: Column, query: str, terms: list[str]) -> Column:
-    """Whole query in the task 40, in the title 30; each term anywhere 5, in the task 4, in a file's name 3."""
+def skill_score(title: Column, task: Column, rest: Column, files: Column, query: str, terms: list[str], names: list[Column] | None = None) -> Column:
+    """A name of the skill itself (identifier, fingerprint) 1000; whole query in the task 40, in the title 30; each term anywhere 5, in the task 4, in a file's name 3."""
     q = query.lower().strip()
+    exact = F.lit(False)
+    for name in names or []:
+        exact = exact | (F.lower(name) == q)
     low_task, low_title, low_files = F.lower(task), F.lower(title), F.lower(F.array_join(files, "\n"))
     everything = F.concat_ws("\n", low_title, low_task, F.lower(rest), low_files)
     hit = lambda c, t, w: F.when(F.contains(c, F.lit(t)), w).otherwise(0)
-    out = hit(low_task, q, 40) + hit(low_title, q, 30)
+    out = F.when(exact, 1000).otherwise(0) + hit(low_task, q, 40) + hit(low_title, q, 30)
     for t in terms:
         out = out + hit(everything, t, 5) + hit(low_task, t, 4) + hit(low_files, t, 3)
     return out

@@ -14,6 +14,7 @@ from tessera.operators import capture as K
 from tessera.operators import handoff as H
 from tessera.operators import learned as L
 from tessera.operators import session as E
+from tessera.operators import skills as W
 from tessera.operators import state as ST
 from tessera.operators import tools as O
 from tessera.plans import inputs as I
@@ -336,6 +337,20 @@ def incremental_index(spark, d):
     return kind(out["files"], "file", "status").unionByName(kind(out["vertices"], "vertex", "type")).unionByName(kind(out["edges"], "edge", "type"))
 
 
+DONE = [
+    '{"path":"src/{id}.ts"}', '{"command":"make {user}","exitCode":0}', '{"cmd":"rm {id}","exitCode":1}', '{"name":"suite {user}","passed":true}', '{"name":"t{id}","passed":false}', '{"message":"token=abc{user} done"}', "{}", '{"file":"lib/{user}.py"}', '{"text":"x"}',
+]
+DONE_TYPES = ["file_write", "command", "command", "test", "test", "commit", "deploy", "file_edit", "user_prompt"]
+
+
+def skills(spark, d):
+    e = I.table(spark, d, "events")
+    data = F.replace(F.replace(I.pick(DONE, F.col("event_id") % 9), F.lit("{id}"), F.col("event_id").cast("string")), F.lit("{user}"), F.col("user_id").cast("string"))
+    events = e.select(F.concat(F.lit("p"), F.col("user_id") % 20).alias("project"), F.col("user_id").alias("session"), F.col("event_id").alias("seq"), I.pick(DONE_TYPES, F.col("event_id") % 9).alias("type"), data.alias("data"))
+    tasks = e.select(F.col("user_id").alias("session"), F.concat(F.lit("Do  "), "event_type").alias("task"), F.col("event_id").alias("place"), (F.col("user_id") % 3 != 0).alias("completed"))
+    return W.skills(events, tasks).select("project", "session", "task", F.array_join("steps", "|").alias("steps"), F.array_join("verification", "|").alias("verification"), F.array_join("files", "|").alias("files"), "fingerprint")
+
+
 QUERIES = {n: f for n, f in list(globals().items()) if callable(f) and getattr(f, "__module__", "") == __name__ and not n.startswith("_")}
 
 
@@ -496,6 +511,16 @@ m AS (SELECT DISTINCT project, id, t FROM p JOIN c ON root = path OR starts_with
 SELECT own AS id, path, (CASE WHEN user_id % 2 = 0 THEN 0 ELSE 1 END)::int AS rank FROM g WHERE user_id % 2 = 0 OR event_id % 3 = 0 QUALIFY row_number() OVER (PARTITION BY own ORDER BY ts DESC, path) = 1""",
     "incremental_index": f"""WITH {I.GRAPH}, w AS (SELECT *, length(file) % 4 AS k FROM v), x AS (SELECT DISTINCT e.* FROM e JOIN w a ON a.id = e.src LEFT JOIN w b ON b.id = e.dst WHERE (a.k = 3 AND b.k = 3) OR a.k IN (0, 1))
 SELECT 'file' AS what, ['added', 'modified', 'deleted', 'unchanged'][(k + 1)::int] AS kind, count(DISTINCT file) AS n FROM w GROUP BY k UNION ALL SELECT 'vertex', type, count(*) FROM w WHERE k <> 2 GROUP BY type UNION ALL SELECT 'edge', type, count(*) FROM x GROUP BY type""",
+    "skills": r"""WITH x AS (SELECT user_id AS session, event_id AS seq, event_id % 9 AS t, user_id, event_type FROM events),
+y AS (SELECT session, seq, CASE t WHEN 0 THEN 'Update src/' || seq || '.ts' WHEN 1 THEN 'Run: make ' || user_id WHEN 3 THEN 'Verify: suite ' || user_id WHEN 5 THEN 'Commit: token=[REDACTED] done' WHEN 6 THEN 'Deploy verified build' WHEN 7 THEN 'Update lib/' || user_id || '.py' END AS step,
+CASE t WHEN 3 THEN 'Test passed: suite ' || user_id WHEN 5 THEN 'Commit: token=[REDACTED] done' WHEN 6 THEN 'Deployment completed' END AS check_, CASE t WHEN 0 THEN 'src/' || seq || '.ts' WHEN 7 THEN 'lib/' || user_id || '.py' END AS file FROM x),
+s AS (SELECT session, string_agg(step, '|' ORDER BY f) AS steps FROM (SELECT session, step, min(seq) AS f FROM y WHERE step IS NOT NULL GROUP BY session, step QUALIFY row_number() OVER (PARTITION BY session ORDER BY f) <= 16) GROUP BY 1),
+c AS (SELECT session, string_agg(check_, '|' ORDER BY f) AS verification FROM (SELECT session, check_, min(seq) AS f FROM y WHERE check_ IS NOT NULL GROUP BY session, check_ QUALIFY row_number() OVER (PARTITION BY session ORDER BY f) <= 10) GROUP BY 1),
+f AS (SELECT session, string_agg(file, '|' ORDER BY f) AS files FROM (SELECT session, file, min(seq) AS f FROM y WHERE file IS NOT NULL GROUP BY session, file QUALIFY row_number() OVER (PARTITION BY session ORDER BY f) <= 24) GROUP BY 1),
+a AS (SELECT session, 'Do ' || event_type AS task FROM (SELECT session, event_type, min(seq) AS f FROM x WHERE session % 3 <> 0 GROUP BY ALL QUALIFY row_number() OVER (PARTITION BY session ORDER BY f) <= 5)
+  UNION ALL SELECT session, 'Do ' || arg_min(event_type, seq) FROM x WHERE session % 3 = 0 AND session IN (SELECT session FROM y WHERE check_ IS NOT NULL) GROUP BY session),
+r AS (SELECT 'p' || (session % 20) AS project, session, task, steps, coalesce(verification, '') AS verification, coalesce(files, '') AS files FROM a JOIN s USING (session) LEFT JOIN c USING (session) LEFT JOIN f USING (session))
+SELECT *, sha256(project || chr(10) || task || chr(10) || steps || chr(10) || verification || chr(10) || files) AS fingerprint FROM r""".replace("GROUP BY ALL QUALIFY", "GROUP BY session, event_type QUALIFY"),
     "found_files": rf"""WITH {SAID}, f AS (SELECT project, seq, session, unnest(x) AS text, generate_subscripts(x, 1) AS p FROM (SELECT *, regexp_extract_all(text, '(?i)(?:^|[\s"''`(])((?:\.{{0,2}}/|/)?(?:[\w.@+-]+/)*[\w.@+-]+\.(?:ts|tsx|js|jsx|mjs|cjs|vue|py|go|rs|java|kt|swift|php|rb|json|yaml|yml|toml|md|css|scss|html|sql))(?:$|[\s"''`),:])', 1) AS x FROM sd)),
 u AS (SELECT project, lower(text) AS key, max((session, seq, p)) AS place, arg_max(text, (session, seq, p)) AS text FROM f GROUP BY ALL) SELECT project, (row_number() OVER (PARTITION BY project ORDER BY place DESC))::int AS k, text FROM u QUALIFY k <= 8""",
     "dangerous_commands": f"""SELECT event_id, {_at(['root deletion', 'home deletion', 'open permissions', '', 'loss of data', 'loss of data', '', 'stop of a service', '', 'open permissions'], 'event_id % 10')} AS c, {_at(['system configuration', 'system binaries', 'production web', 'production web', 'production path', 'environment file', 'environment file', 'sensitive file', ''], 'event_id % 9')} AS p FROM events""",
