@@ -13,6 +13,8 @@ import math
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from tessera.llm.common import Numbered
+
 #: Target shares for the registered query and the pipeline; every other source belongs to REST.
 WEIGHTS = {"src0": 0.20, "src1": 0.10, "src2": 0.10, "src3": 0.05, "src4": 0.05}
 REST = 0.50
@@ -21,6 +23,8 @@ SCALE = 1.0
 SEED = 20240501
 #: Uniform numbers have so many bits.
 BITS = 52
+#: Copies of one row that one task makes.
+AT_ONCE = 1024
 
 
 def uniform_bits(*parts: Column) -> Column:
@@ -28,18 +32,23 @@ def uniform_bits(*parts: Column) -> Column:
     return F.conv(F.substring(F.sha2(F.concat_ws(":", *parts), 256), 1, 13), 16, 10).cast("long")
 
 
-def poisson_steps(rate: float) -> list[float]:
-    """The distribution function at 0, 1, 2, ... until it can't be told from 1 by a number of 52 bits.
+def poisson_steps(rate: float) -> tuple[int, list[float]]:
+    """The first count that a number of 52 bits can draw (0 aside), and the distribution function from there on until it can't be told from 1.
 
-    It holds every value that the inverse can return, so nothing is cut off.
+    Together they hold every value that the inverse can return, so nothing is cut off; their number grows with the
+    root of the rate, not with the rate.
     """
-    steps, total, k = [], 0.0, 0
-    top = 1.0 - 2.0 ** -(BITS + 1)
+    first = max(0, int(rate - 40 * math.sqrt(rate))) if rate > 100 else 0
+    low, top = 2.0 ** -(BITS + 1), 1.0 - 2.0 ** -(BITS + 1)
+    steps, total, k = [], 0.0, first
     while True:
         total += math.exp(k * math.log(rate) - rate - math.lgamma(k + 1)) if rate > 0 else float(k == 0)
         if total >= top or (k > rate and len(steps) > 1 and total == steps[-1]):
-            return steps
-        steps.append(total)
+            return first, steps
+        if total < low:
+            first = k + 1
+        else:
+            steps.append(total)
         k += 1
 
 
@@ -70,9 +79,10 @@ def poisson_mix(
 ) -> DataFrame:
     """``docs`` with each row repeated by its Poisson count, in a globally shuffled order.
 
-    Adds ``__rate``, ``__copies``, ``__copy`` (from 1) and ``__order`` (the key of the shuffle). A null or unlisted source
-    belongs to the pool of the rest; null and empty texts weigh nothing but are drawn like others; a source whose
-    texts are all empty has rate 0; rows with the same identifier draw the same count; an empty table stays empty.
+    Adds ``__rate``, ``__copies``, ``__copy`` (from 1) and ``__order`` (the key of the shuffle); columns of these names are replaced. A null
+    or unlisted source belongs to the pool of the rest; null and empty texts weigh nothing but are drawn like others; a source whose
+    texts are all empty has rate 0; rows with the same identifier draw the same count; very long texts are rows like any other; an
+    empty table stays empty.
     """
     by = rates(docs, weights, rest, scale, source_col, text_col)
     ident = F.coalesce(F.col(id_col).cast("string"), F.lit(""))
@@ -85,13 +95,24 @@ def poisson_mix(
             out = F.when(test, value(by[s])) if out is None else out.when(test, value(by[s]))
         return value(by[None]) if out is None else out.otherwise(value(by[None]))
 
-    copies = pick(lambda rate: F.size(F.filter(F.array(*[F.lit(x) for x in poisson_steps(rate)]).cast("array<double>"), lambda x: x <= F.col("__u"))))
-    drawn = docs.withColumn("__u", u).withColumn("__copies", copies).withColumn("__rate", pick(F.lit)).drop("__u").where("__copies > 0")
-    each = drawn.withColumn("__copy", F.explode(F.sequence(F.lit(1), F.col("__copies"))))
+    def count(rate: float) -> Column:
+        first, steps = poisson_steps(rate)
+        above = F.size(F.filter(F.array(*[F.lit(x) for x in steps]).cast("array<double>"), lambda x: x <= F.col("__u")))
+        return F.when(F.col("__u") > 0, above + first).otherwise(0) if first else above
+
+    drawn = docs.withColumn("__u", u).withColumn("__copies", pick(count)).withColumn("__rate", pick(F.lit)).drop("__u").where("__copies > 0")
+    most = max(first + len(steps) for first, steps in map(poisson_steps, by.values()))
+    if most > AT_ONCE:  # rows with very many copies are dealt out in parts, so that no task makes them all
+        drawn = drawn.withColumn("__part", F.explode(F.sequence(F.lit(0), F.floor((F.col("__copies") - 1) / AT_ONCE).cast("int")))).repartition(F.xxhash64(ident, "__part"))
+        numbers = F.sequence(F.col("__part") * AT_ONCE + 1, F.least(F.col("__copies"), (F.col("__part") + 1) * AT_ONCE))
+    else:
+        numbers = F.sequence(F.lit(1), F.col("__copies"))
+    each = drawn.withColumn("__copy", F.explode(numbers)).drop("__part")
     order = uniform_bits(F.lit("order"), F.lit(str(seed)), ident, F.col("__copy").cast("string"))
     return each.withColumn("__order", order).repartitionByRange("__order").sortWithinPartitions("__order")
 
 
-def mixed(docs: DataFrame, **how) -> DataFrame:
-    """The mixed documents with the columns of ``docs``."""
-    return poisson_mix(docs, **how).select(*[f"`{c}`" for c in docs.columns])
+def mixed(docs: DataFrame, id_col: str = "doc_id", source_col: str = "source", text_col: str = "text", **how) -> DataFrame:
+    """The mixed documents with the columns of ``docs``, whatever their names; nulls, ties and empty tables as in ``poisson_mix``."""
+    own = Numbered(docs)
+    return own.back(poisson_mix(own.rows, id_col=own.of(id_col), source_col=own.of(source_col), text_col=own.of(text_col), **how))
