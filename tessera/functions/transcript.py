@@ -62,13 +62,6 @@ def kept_line(line: Column) -> Column:
     return F.when(~is_noise(line), masked(F.trim(line)))
 
 
-def kept_text(text: Column, most: int = 5) -> Column:
-    """The lines that stay, each at most so many times (told by the line in lower case)."""
-    lines = F.filter(F.transform(F.split(text, "\n"), kept_line), lambda x: x.isNotNull())
-    times = lambda xs, x, i: F.size(F.filter(F.slice(xs, F.lit(1), i), lambda y: F.lower(y) == F.lower(x)))
-    return F.array_join(F.transform(F.array(lines), lambda xs: F.filter(xs, lambda x, i: times(xs, x, i) < most))[0], "\n")
-
-
 def drops_event(type_: Column, has_result: Column, content: Column) -> Column:
     """System and ephemeral events, calls without a result, and events whose content is noise."""
     low = F.lower(F.coalesce(type_, F.lit("")))

@@ -11,6 +11,7 @@ from pyspark.sql.window import Window
 
 from tessera.functions import scoring as S
 from tessera.functions import text as T
+from tessera.functions import transcript as R
 
 #: A fact with one of these is mostly noise, wherever in the line it is; with each, a word that such a line has in lower case, which is cheaper to look for.
 NOISY_FACTS = {
@@ -55,6 +56,14 @@ def repeated_lines(texts: DataFrame, most: int = 5, id_col: str = "id", text_col
     return rows.withColumn("k", k).where(F.col("k") <= most).select("id", "pos", "line")
 
 
+def kept_transcripts(texts: DataFrame, most: int = 5, id_col: str = "id", text_col: str = "text") -> DataFrame:
+    """``id, text``: what stays of each transcript - no noise, no secrets, each line at most ``most`` times, case aside."""
+    rows = lines(texts, id_col, text_col).select("id", "pos", R.kept_line(F.col("line")).alias("line")).where("line IS NOT NULL")
+    k = F.row_number().over(Window.partitionBy("id", F.lower("line")).orderBy("pos"))
+    kept = rows.withColumn("k", k).where(F.col("k") <= most).groupBy("id").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("pos", "line"))), lambda r: r["line"]), "\n").alias("text"))
+    return texts.select(F.col(id_col).alias("id")).distinct().join(kept, "id", "left").select("id", F.coalesce("text", F.lit("")).alias("text"))
+
+
 def facts(texts: DataFrame, least: int = 15, importance: float = 0.3, most: int = 10) -> DataFrame:
     """By session the most important distinct lines with their category: ``id, pos, line, category, importance``."""
     # Words that make a line important.

@@ -59,7 +59,7 @@ def noise_lines(spark, d):
 
 
 def kept_transcripts(spark, d):
-    return _said(spark, d).select("id", F.sha2(R.kept_text(F.col("text"), 2), 256).alias("digest"))
+    return E.kept_transcripts(_said(spark, d), 2).select("id", F.sha2("text", 256).alias("digest"))
 
 
 def dropped_events(spark, d):

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from tessera.functions import transcript as R
 from tessera.operators import handoff as H
 from tessera.operators import learned as L
+from tessera.operators import session as E
 from tessera.operators import tools as O
 
 
@@ -21,7 +22,8 @@ def test_lines_of_a_transcript(spark):
     assert column(spark, noise + kept, R.is_noise) == [True] * len(noise) + [False] * len(kept)
     assert column(spark, ["we decided it", "a BUG", "npm notice error", "plain words"], R.is_durable) == [True, True, False, False]
     assert column(spark, ["API-key: abc d", "token==x", "Bearer  q", "Authorization: Bearer q", "no"], R.masked) == ["API-key: [REDACTED] d", "token: [REDACTED]", "Bearer: [REDACTED]", "Authorization: [REDACTED] [REDACTED]", "no"]
-    assert column(spark, ["a\nA\n$ x\n a\nb", None], lambda t: R.kept_text(t, 2)) == ["a\nA\nb", None]
+    texts = spark.createDataFrame([(1, "a\nA\n$ x\n a\nb"), (2, None), (3, "$ ls")], "id long, text string")
+    assert {r.id: r.text for r in E.kept_transcripts(texts, 2).collect()} == {1: "a\nA\nb", 2: "", 3: ""}
     assert column(spark, ["ok\nmy token\nPASS=1\nend"], R.without_sensitive_lines) == ["ok\nend"]
 
 
