@@ -12,13 +12,18 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from tessera.llm.bpe import encode_documents
+from tessera.llm.common import stored
 
 SPAN = 1024
 
 
 def length_histogram(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """``n_tokens`` and ``docs``: how many rows have that encoded length (null and empty texts: 0)."""
-    return encode_documents(docs, id_col, text_col).groupBy(F.size("token_ids").cast("long").alias("n_tokens")).agg(F.count(F.lit(1)).alias("docs"))
+    """``n_tokens`` and ``docs``: how many rows have that encoded length, as a stored table, so the corpus is encoded once.
+
+    Null and empty texts have length 0, repeated rows count each, very long texts are encoded in chunks, an empty table
+    gives an empty histogram; other columns play no part, whatever their names.
+    """
+    return stored(encode_documents(docs, id_col, text_col).groupBy(F.size("token_ids").cast("long").alias("n_tokens")).agg(F.count(F.lit(1)).alias("docs")), "histogram")
 
 
 def suffix_sums(histogram: DataFrame, span: int = SPAN) -> DataFrame:
