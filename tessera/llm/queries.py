@@ -24,7 +24,7 @@ def op1_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op2_chat(spark: SparkSession, sf_dir: str) -> DataFrame:
     out = chat.rotate(table(spark, sf_dir, "conversations"))
     mask = F.array_join(F.transform("mask", lambda m: F.concat_ws("-", m["start"].cast("string"), m["stop"].cast("string"))), ",")
-    return out.select("conv_id", "speaker", F.col("part").cast("long").alias("part"), F.col("starts_at").cast("long").alias("starts_at"), F.col("n_messages").cast("long").alias("n_messages"), "text", mask.alias("mask"))
+    return out.select("conv_id", "speaker", F.col("part").cast("long").alias("part"), "piece", F.col("starts_at").cast("long").alias("starts_at"), F.col("n_messages").cast("long").alias("n_messages"), "text", mask.alias("mask"))
 
 
 def op3_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -107,13 +107,13 @@ e AS (
   FROM m JOIN (SELECT DISTINCT conv_id, role FROM m) s ON m.conv_id IS NOT DISTINCT FROM s.conv_id
   WINDOW w AS (PARTITION BY m.conv_id, s.role, part ORDER BY turn NULLS LAST, m.role, said)
 ),
-o AS (SELECT *, (sum(length(head) + length(body)) OVER (PARTITION BY conv_id, speaker, part ORDER BY k))::bigint AS stop FROM e),
+o AS (SELECT *, (k - 1) // {chat.PART} AS piece, (sum(length(head) + length(body)) OVER (PARTITION BY conv_id, speaker, part, (k - 1) // {chat.PART} ORDER BY k))::bigint AS stop FROM e),
 p AS (
-  SELECT conv_id, speaker, part, count(*) AS n_messages, string_agg(head || body, '' ORDER BY k) AS text,
+  SELECT conv_id, speaker, part, piece, count(*) AS n_messages, string_agg(head || body, '' ORDER BY k) AS text,
     coalesce(string_agg((stop - length(body))::varchar || '-' || stop::varchar, ',' ORDER BY k) FILTER (role = speaker), '') AS mask
-  FROM o GROUP BY conv_id, speaker, part
+  FROM o GROUP BY conv_id, speaker, part, piece
 )
-SELECT conv_id, speaker, part, coalesce(sum(length(text)) OVER (PARTITION BY conv_id, speaker ORDER BY part ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0)::bigint AS starts_at, n_messages, text, mask FROM p
+SELECT conv_id, speaker, part, piece, coalesce(sum(length(text)) OVER (PARTITION BY conv_id, speaker ORDER BY part, piece ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0)::bigint AS starts_at, n_messages, text, mask FROM p
 """,
     "op3_warc": f"""
 WITH p AS (SELECT page_id, coalesce(html, '') AS body, sha1(coalesce(html, '')) AS payload_digest, strlen(coalesce(html, '')) AS payload_bytes FROM pages),

@@ -5,9 +5,12 @@ import math
 from collections import Counter
 
 import numpy as np
+from pyspark.sql import functions as F
 
 from tessera.llm import bpe, chat, mixing, token_counts
 from tessera.llm.exact_dedup import drop_copies, exact_dedup
+from tessera.llm.langid import drop_unknown
+from tessera.llm.ngram_join import drop_similar
 
 DOCS = "doc_id long, text string, source string, kept string"
 
@@ -35,11 +38,29 @@ def test_exact_dedup_with_and_without_hot_texts(spark):
 
 
 def test_poisson_inverse():
-    for rate in (0.0, 0.3, 1.0, 7.5, 900.0):
-        steps = mixing.poisson_steps(rate)
+    for rate in (0.0, 0.3, 1.0, 7.5, 900.0, 1e6):
+        first, steps = mixing.poisson_steps(rate)
         assert all(a <= b for a, b in zip(steps, steps[1:], strict=False)) and (not steps or steps[-1] < 1)
+        assert first + len(steps) >= rate and len(steps) < 40 + 20 * rate**0.5 and (first == 0 or steps[0] < 1e-15)
         u = (np.arange(20000) + 0.5) / 20000
-        assert math.isclose(np.searchsorted(steps, u, side="right").mean(), rate, rel_tol=2e-3, abs_tol=2e-3)
+        assert math.isclose((first + np.searchsorted(steps, u, side="right")).mean(), rate, rel_tol=2e-3, abs_tol=2e-3)
+
+
+def test_mixing_with_a_very_high_rate(spark):
+    rows = [(i, "y" * 1000, "big", "k") for i in range(40)] + [(100, "x", "tiny", "k")]
+    docs = spark.createDataFrame(rows, DOCS)
+    out = mixing.poisson_mix(docs, {"tiny": 0.999999}, 0.000001)
+    got = out.groupBy("source").agg(F.count("*").alias("n"), F.countDistinct("__copy").alias("d"), F.min("__copy").alias("a"), F.max("__copy").alias("b")).where("source = 'tiny'").first()
+    assert abs(got.n - 40_001) < 1200 and got.n == got.d == got.b and got.a == 1
+
+
+def test_stages_keep_columns_of_any_name(spark):
+    names = ["__n", "__gone", "__copy", "__lang", "__u", "__h", "__part", "c0", "__keep", "__rate"]
+    rows = [(1, "Good day to you", "src0", *names), (2, "good day to you", "src1", *names), (3, None, None, *names)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, source string, " + ", ".join(f"`{n}` string" for n in names))
+    for out, ids in ((drop_copies(docs), {2, 3}), (mixing.mixed(docs, scale=4.0), {1, 2, 3}), (drop_similar(docs, 2, 4, 5), {1, 3}), (drop_unknown(docs, lang_col="__lang"), {1, 2})):
+        got = out.collect()
+        assert out.columns == docs.columns and {r.doc_id for r in got} <= ids and all(tuple(r)[3:] == tuple(names) for r in got) and got
 
 
 def test_mixing_meets_its_weights_and_repeats(spark):
@@ -81,7 +102,7 @@ def test_rotation(spark):
     for part in (256, 2):
         got = chat.rotate(df, part=part).collect()
         for r in sorted({(r.conv_id, r.speaker) for r in got}, key=str):
-            mine = sorted((x for x in got if (x.conv_id, x.speaker) == r), key=lambda x: x.part)
+            mine = sorted((x for x in got if (x.conv_id, x.speaker) == r), key=lambda x: (x.part, x.piece))
             text = "".join(x.text for x in mine)
             said = "".join(x.text[m.start : m.stop] for x in mine for m in x.mask)
             own = sorted((m for m in rows if m[0] == r[0]), key=lambda m: (m[1] is None, m[1], m[2] or "unknown", m[3] or ""))
@@ -90,3 +111,16 @@ def test_rotation(spark):
             assert [x.starts_at for x in mine] == [sum(len(y.text) for y in mine[:i]) for i in range(len(mine))]
         assert {(r.conv_id, r.speaker) for r in got} == {(1, "system"), (1, "ann"), (1, "bob"), (2, "unknown"), (None, "ann")}
     assert chat.rotate(df.limit(0)).count() == 0
+
+
+def test_rotation_of_crowded_parts(spark):
+    rng = np.random.default_rng(6)
+    rows = [(None if i % 3 else 7, None if i % 2 else int(rng.integers(0, 4)), ["ann", "bob", None][i % 3], f"t{int(rng.integers(0, 5))}") for i in range(300)]
+    got = chat.rotate(spark.createDataFrame(rows, "conv_id long, turn long, role string, text string").repartition(5), part=8).collect()
+    assert max(x.n_messages for x in got) <= 8
+    for conv in (None, 7):
+        own = sorted((m for m in rows if m[0] == conv), key=lambda m: (m[1] is None, m[1] or 0, m[2] or "unknown", m[3]))
+        for speaker in {m[2] or "unknown" for m in own}:
+            mine = sorted((x for x in got if (x.conv_id, x.speaker) == (conv, speaker)), key=lambda x: (x.part, x.piece))
+            assert "".join(x.text for x in mine) == "".join(("<|assistant|>\n" if (m[2] or "unknown") == speaker else f"<|user:{m[2] or 'unknown'}|>\n") + m[3] + "<|end|>\n" for m in own)
+            assert [x.starts_at for x in mine] == [sum(len(y.text) for y in mine[:i]) for i in range(len(mine))]
