@@ -77,7 +77,9 @@ class Lists:
                     deepest = np.where(end == 1, n - place[can], place[can] + 1).max()
                     if deepest <= to:
                         break
-                at, to = to, min(n, 2 * to)
+                # twice as deep each time; beyond the middle half of what is left, since bounds of many dense components decide late
+                rest = n - to
+                at, to = to, 2 * to if 2 * to < rest else n if rest <= n // 64 else n - rest // 2
             reads.depth = reads.depth if not open_ else n
         left = np.flatnonzero(can)
         reads.left = len(left)
