@@ -77,9 +77,9 @@ def facts(texts: DataFrame, least: int = 15, importance: float = 0.3, most: int
     score = score - F.when(F.length("line") < 20, 0.3).when(F.length("line") > 500, 0.1).otherwise(0.0)
     score = score - sum((F.when(F.contains(low, F.lit(w)) & F.col("line").rlike(p), 0.4).otherwise(0.0) for p, w in NOISY_FACTS.items()), F.lit(0.0))
     score = score - F.when(F.lower(F.trim("line")).isin("ok", "done", "success", "error", "warning"), 0.4).otherwise(0.0)
-    rows = rows.withColumn("importance", F.transform(F.array(score), lambda x: F.round(F.greatest(F.lit(0.0), F.least(F.lit(1.0), x)), 6))[0]).where(F.col("importance") >= importance)
-    # of equal lines the first; then the best of each session
-    first = rows.groupBy("id", T.squeeze(low).alias("key")).agg(F.min_by(F.struct("pos", "line", "category", "importance"), "pos").alias("f")).select("id", "f.*")
+    rows = rows.withColumn("importance", F.transform(F.array(score), lambda x: F.round(F.greatest(F.lit(0.0), F.least(F.lit(1.0), x)), 6))[0])
+    # of equal lines the first that is important enough (told in the aggregate: a filter before it would work everything out twice); then the best of each session
+    first = rows.groupBy("id", T.squeeze(low).alias("key")).agg(F.min_by(F.struct("pos", "line", "category", "importance"), F.when(F.col("importance") >= importance, F.col("pos"))).alias("f")).where("f IS NOT NULL").select("id", "f.*")
     k = F.row_number().over(Window.partitionBy("id").orderBy(F.desc("importance"), "pos"))
     return first.withColumn("k", k).where(F.col("k") <= most).drop("k")
 
