@@ -7,13 +7,14 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tessera.llm import bpe, chat, langid, mixing, token_counts, warc
+from tessera.llm import bpe, chat, langid, mixing, pii, token_counts, warc
 from tessera.llm.common import table
 from tessera.llm.exact_dedup import exact_dedup
 from tessera.llm.mixing import poisson_mix
 from tessera.llm.ngram_join import ngram_join
 from tessera.llm.repeats import remove_repeats
 from tessera.llm.topk import exact_top_k
+from tessera.llm.whitening import whiten
 
 
 def op1_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -60,6 +61,14 @@ def op10_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe.digests(table(spark, sf_dir, "documents"))
 
 
+def op11_whitening(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return whiten(table(spark, sf_dir, "embeddings"))
+
+
+def op13_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pii.report(pii.find_personal_data(table(spark, sf_dir, "documents")))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_mixing": op1_mixing,
     "op2_chat": op2_chat,
@@ -71,6 +80,8 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_token_counts": op8_token_counts,
     "op9_topk": op9_topk,
     "op10_bpe": op10_bpe,
+    "op11_whitening": op11_whitening,
+    "op13_pii": op13_pii,
 }
 
 
@@ -97,7 +108,42 @@ FROM (SELECT *, unnest(generate_series(1, copies)) AS k FROM counted WHERE copie
 """
 
 
+def _pii_sql() -> str:
+    words = "phone|call|tel|mobile|telefon|teléfono|téléphone"
+    digits = "regexp_replace(match, '[^0-9]', '', 'g')"
+    luhn = f"list_sum(list_transform(string_split(reverse({digits}), ''), lambda c, i: CASE WHEN i % 2 = 1 THEN c::int ELSE (c::int * 2) // 10 + (c::int * 2) % 10 END)) % 10 = 0"
+    moved = "substr(replace(match, ' ', ''), 5) || substr(replace(match, ' ', ''), 1, 4)"
+    remainder = f"list_reduce(list_transform(string_split({moved}, ''), lambda c: CASE WHEN c BETWEEN '0' AND '9' THEN ascii(c) - 48 ELSE ascii(c) - 55 END), lambda r, v: (r * (CASE WHEN v < 10 THEN 10 ELSE 100 END) + v) % 97, 0)"
+    kinds = {
+        "email": (r"[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(\.[A-Za-z0-9-]+)+", "true", "mail|contact|correo|courriel", 0.7, "", ""),
+        "ip": (r"[0-9]+(\.[0-9]+)(\.[0-9]+)(\.[0-9]+)", "len(list_filter(string_split(match, '.'), lambda p: p::hugeint > 255)) = 0", "ip|host|server|address|adresse", 0.8, "", ""),
+        "card": (r"[0-9]([\x20-]?[0-9])+", f"length({digits}) BETWEEN 13 AND 19 AND {luhn}", "card|visa|credit|carte|karte|tarjeta", 0.8, "", ""),
+        "phone": (r"\+[0-9][\x20().0-9-]+[0-9]", f"length({digits}) BETWEEN 9 AND 15", words, 0.8, "", ""),
+        "iban": (r"[A-Z]{2}[0-9]{2}(?:\x20?[A-Z0-9]{4}){2,7}(?:\x20?[0-9]{1,3})?", f"length(replace(match, ' ', '')) BETWEEN 15 AND 34 AND {remainder} = 1", "iban|account|bank|konto|compte|cuenta", 0.8, r"[A-Za-z0-9]\z", "^[A-Za-z0-9]"),
+        "local_phone": (r"[(]?[0-9]{3}[)]?[\x20.-]?[0-9]{3}[.-][0-9]{4}", "true", words, 0.4, r"[0-9+(.-]\z|[0-9)]\x20\z", "^[0-9]"),
+        "social": (r"[0-9]{3}-[0-9]{2}-[0-9]{4}", "NOT regexp_matches(match, '^(000|666|9)|-00-|-0000$')", "ssn|social security|taxpayer", 0.5, r"[0-9-]\z", "^[0-9-]"),
+    }
+    found = " UNION ALL ".join(
+        f"SELECT rid, {i} AS no, '{k}' AS kind, start, stop, {score} + CASE WHEN regexp_matches(right(before, 40), '(?i)(^|[^\\p{{L}}])({context})([^\\p{{L}}]|$)') OR regexp_matches(left(after, 40), '(?i)(^|[^\\p{{L}}])({context})([^\\p{{L}}]|$)') THEN 0.3 ELSE 0 END AS score "
+        f"FROM placed WHERE no = {i} AND {valid}" + (f" AND NOT regexp_matches(right(before, 2), '{left}') AND NOT regexp_matches(left(after, 2), '{behind}')" if left else "")
+        for i, (k, (_, valid, context, score, left, behind)) in enumerate(kinds.items())
+    )
+    pieces = " UNION ALL ".join(f"SELECT rid, {i} AS no, regexp_extract_all(x, '{p}') AS ms, regexp_split_to_array(x, '{p}') AS gs FROM t" for i, (p, *_) in enumerate(kinds.values()))
+    told = "coalesce(string_agg(kind || ':' || start || ':' || stop, ',' ORDER BY no, start) {}, '')"
+    counts = ", ".join(f"count(*) FILTER (kind = '{k}') AS n_{k}" for k in list(kinds)[:4])
+    return f"""
+WITH t AS (SELECT row_number() OVER () AS rid, doc_id, coalesce(text, '') AS x FROM documents),
+pieces AS ({pieces}),
+each AS (SELECT rid, no, i, ms[i] AS match, gs[i] AS before, gs[i + 1] AS after FROM (SELECT *, unnest(generate_series(1, len(ms))) AS i FROM pieces WHERE len(ms) > 0)),
+placed AS (SELECT *, stop - length(match) AS start FROM (SELECT *, (sum(length(before) + length(match)) OVER (PARTITION BY rid, no ORDER BY i))::bigint AS stop FROM each)),
+found AS (SELECT * FROM ({found}) WHERE score >= 0.6)
+SELECT doc_id, {counts}, sha256({told.format('FILTER (no < 4)')}) AS base_sha256, {told.format('')} AS spans, count(*) FILTER (no >= 4) AS n_added, round(coalesce(max(score), 0), 2)::double AS top_score
+FROM t LEFT JOIN found USING (rid) GROUP BY rid, doc_id
+"""
+
+
 SQL: dict[str, str] = {
+    "op13_pii": _pii_sql(),
     "op1_mixing": _mixing_sql(),
     "op2_chat": f"""
 WITH m AS (SELECT conv_id, turn, coalesce(role, '{chat.NOBODY}') AS role, coalesce(text, '') AS said, coalesce((turn // {chat.PART})::bigint, 1::bigint << 62) AS part FROM conversations),
