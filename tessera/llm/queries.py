@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tessera.llm import bpe, chat, langid, mixing, pii, token_counts, warc
+from tessera.llm import bpe, chat, langid, merkle, mixing, pii, token_counts, warc
 from tessera.llm.common import table
 from tessera.llm.exact_dedup import exact_dedup
 from tessera.llm.mixing import poisson_mix
@@ -65,6 +65,10 @@ def op11_whitening(spark: SparkSession, sf_dir: str) -> DataFrame:
     return whiten(table(spark, sf_dir, "embeddings"))
 
 
+def op12_manifest(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return merkle.verified(table(spark, sf_dir, "documents"), tampered=lambda doc_id: F.crc32(doc_id.cast("string")) % 3 == 0)
+
+
 def op13_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pii.report(pii.find_personal_data(table(spark, sf_dir, "documents")))
 
@@ -81,6 +85,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op9_topk": op9_topk,
     "op10_bpe": op10_bpe,
     "op11_whitening": op11_whitening,
+    "op12_manifest": op12_manifest,
     "op13_pii": op13_pii,
 }
 
@@ -142,7 +147,41 @@ FROM t LEFT JOIN found USING (rid) GROUP BY rid, doc_id
 """
 
 
+def _manifest_sql(levels: int = 7, over: int = 3) -> str:
+    """Trees of at most ``8 ** levels`` documents a language, and of at most ``8 ** over`` languages."""
+    lower = "translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
+
+    def leaf(text: str) -> str:
+        return "sha256(" + " || ".join(f"CASE WHEN {v} IS NULL THEN '-' ELSE strlen({v}::varchar) || ':' || {v}::varchar END" for v in ("doc_id", "source", "lang", "n_chars", text)) + ")"
+
+    byte = "list_reduce(list_concat([xor(c, b) & 255], [0, 0, 0, 0, 0, 0, 0, 0]), lambda v, z: CASE WHEN v & 1 = 1 THEN xor(v >> 1, 3988292384) ELSE v >> 1 END)"
+    crc = f"xor(list_reduce(list_concat([4294967295::bigint], list_transform(string_split(doc_id::varchar, ''), lambda k: ascii(k)::bigint)), lambda c, b: xor(c >> 8, {byte})), 4294967295)"
+
+    def tree(name: str, first: str, depth: int) -> list[str]:
+        """Levels of (g, i, n, d), each node with its siblings on either side."""
+        out, below = [], first
+        for k in range(depth + 1):
+            around = "string_agg(d, '') OVER (PARTITION BY g, i // 8 ORDER BY i ROWS BETWEEN {})"
+            out.append(f"{name}{k} AS (SELECT *, CASE WHEN n > 1 THEN coalesce({around.format('UNBOUNDED PRECEDING AND 1 PRECEDING')}, '') ELSE '' END AS l, CASE WHEN n > 1 THEN coalesce({around.format('1 FOLLOWING AND UNBOUNDED FOLLOWING')}, '') ELSE '' END AS r FROM ({below}))")
+            below = f"SELECT g, i // 8 AS i, (n + 7) // 8 AS n, CASE WHEN n = 1 THEN max(d) ELSE sha256(string_agg(d, '' ORDER BY i)) END AS d FROM {name}{k} GROUP BY g, i // 8, n"
+        return out
+
+    nodes = "SELECT g, i, n, leaf AS d FROM p"
+    ctes = [
+        f"p AS (SELECT *, coalesce('=' || lang, '') AS g, (row_number() OVER (PARTITION BY lang ORDER BY doc_id) - 1)::bigint AS i, (count(*) OVER (PARTITION BY lang))::bigint AS n, {leaf('text')} AS leaf, CASE WHEN {crc} % 3 = 0 THEN {leaf(lower)} ELSE {leaf('text')} END AS folded FROM documents)",
+        *tree("a", nodes, levels),
+        f"q AS (SELECT g, (row_number() OVER (ORDER BY encode(g)) - 1)::bigint AS i, (count(*) OVER ())::bigint AS n, d FROM a{levels})",
+        *tree("b", "SELECT '' AS g, i, n, d FROM q", over),
+    ]
+    ctes.append(f"w0 AS (SELECT doc_id, leaf, folded, p.i, q.i AS j, q.d AS subroot, b{over}.d AS root, p.g, '' AS proof FROM p JOIN q ON p.g = q.g CROSS JOIN b{over})")
+    for k in range(levels + over):
+        node, g, i = (f"a{k}", "w.g", f"w.i >> {3 * k}") if k < levels else (f"b{k - levels}", "''", f"w.j >> {3 * (k - levels)}")
+        ctes.append(f"w{k + 1} AS (SELECT w.* REPLACE (CASE WHEN x.n = 1 THEN folded ELSE sha256(x.l || folded || x.r) END AS folded, proof || x.l || x.r AS proof) FROM w{k} w JOIN {node} x ON x.g = {g} AND x.i = {i})")
+    return f"WITH {', '.join(ctes)} SELECT doc_id, leaf, subroot, root, sha256(proof) AS proof_sha256, folded AS folded_root, folded = root AS verified FROM w{levels + over}"
+
+
 SQL: dict[str, str] = {
+    "op12_manifest": _manifest_sql(),
     "op13_pii": _pii_sql(),
     "op1_mixing": _mixing_sql(),
     "op2_chat": f"""
