@@ -75,19 +75,43 @@ def provenance(facts: DataFrame, events: DataFrame) -> DataFrame:
     return by_id.select("fact", "event").union(by_source.select("fact", "event")).distinct()
 
 
-def section_budget(sections: DataFrame, budget: int, group: str = "query_id") -> DataFrame:
-    """Sections (``priority, tokens``) in order of priority: whole while they fit, one cut short if over 50 tokens are left, then none.
+def estimated_tokens(text: Column) -> Column:
+    return F.ceil(F.length(F.coalesce(text, F.lit(""))) / 3.5)
 
-    Adds ``given``, the tokens that a section gets.
-    """
-    x = sections.groupBy(group).agg(F.array_sort(F.collect_list(F.struct("priority", "tokens"))).alias("x"))
-    start = F.struct(F.lit(budget).cast("long").alias("left"), F.array().cast("array<struct<priority:long,given:long>>").alias("out"))
 
-    def step(acc, s):
-        given = F.when(s["tokens"] <= acc["left"], s["tokens"]).when(acc["left"] > 50, acc["left"]).otherwise(F.lit(0)).cast("long")
-        return F.struct((acc["left"] - given).alias("left"), F.array_append(acc["out"], F.struct(s["priority"].cast("long").alias("priority"), given.alias("given"))).alias("out"))
+def cut_to_tokens(text: Column, tokens: Column) -> Column:
+    """At most so many tokens of a text, up to its last full stop or end of line if that is in the last three tenths."""
+    chars = F.floor(tokens * 3.5)
+    head = F.substring(text, F.lit(1), chars.cast("int"))
+    back = F.least(*[F.nullif(F.locate(c, F.reverse(head)), F.lit(0)) for c in (".", "\n")])
+    ends = chars - back + 1  # characters up to and with the sign
+    return F.when(estimated_tokens(text) <= tokens, text).when(ends - 1 > chars * 0.7, F.substring(head, F.lit(1), ends.cast("int"))).otherwise(head)
+
 
-    return x.select(group, F.explode(F.aggregate("x", start, step)["out"]).alias("o")).select(group, "o.priority", "o.given")
+def section_budget(sections: DataFrame, budget: int, group: str = "query_id") -> DataFrame:
+    """Sections (``priority, title, content``), the highest priority first: whole while they fit, the first that doesn't cut if over 50 tokens are left for it, then none.
+
+    ``place``, ``given`` (tokens), ``cut`` and ``text`` of the sections that are shown. All before the first that doesn't fit are whole, so running
+    sums find it, and nothing of a group is gathered.
+    """
+    head = F.concat(F.lit("# "), F.col("title"), F.lit("\n\n"))
+    own = estimated_tokens(head) + estimated_tokens(F.col("content"))
+    order = Window.partitionBy(group).orderBy(F.desc("priority"), "title")
+    rows = sections.withColumn("own", own).withColumn("used", F.sum("own").over(order.rowsBetween(Window.unboundedPreceding, 0))).withColumn("place", F.row_number().over(order))
+    rows = rows.withColumn("over", F.sum((F.col("used") > budget).cast("int")).over(order.rowsBetween(Window.unboundedPreceding, 0)))
+    left = F.lit(budget) - (F.col("used") - F.col("own")) - estimated_tokens(head)
+    rows = rows.withColumn("trimmed", F.sum("own").over(Window.partitionBy(group)) > budget)
+    shown = rows.withColumn("left", left).where((F.col("over") == 0) | ((F.col("over") == 1) & (F.col("left") > 50)))
+    cut = F.col("over") == 1
+    text = F.concat(head, F.when(cut, cut_to_tokens(F.coalesce("content", F.lit("")), F.col("left"))).otherwise(F.coalesce("content", F.lit(""))))
+    return shown.select(group, "priority", "place", F.when(cut, F.lit(budget) - (F.col("used") - F.col("own"))).otherwise(F.col("own")).cast("long").alias("given"), cut.alias("cut"), "trimmed", text.alias("text"))
+
+
+def context(sections: DataFrame, budget: int, marker: str = "[Context trimmed by the token budget]", group: str = "query_id") -> DataFrame:
+    """The text of each group's shown sections, with ``marker`` at the end where something was left out; as long as the budget allows, so it can be joined in one row."""
+    parts = section_budget(sections, budget, group).groupBy(group).agg(F.array_sort(F.collect_list(F.struct("place", "text"))).alias("x"), F.sum("given").alias("given"), F.bool_or("trimmed").alias("trimmed"))
+    texts = F.concat(F.transform("x", lambda r: r["text"]), F.when(F.col("trimmed"), F.array(F.lit(f"\n{marker}\n"))).otherwise(F.array().cast("array<string>")))
+    return parts.select(group, F.size("x").cast("long").alias("shown"), "given", "trimmed", F.array_join(texts, "\n\n---\n\n").alias("text"))
 
 
 def rendered(items: DataFrame, title: Column, group: str = "project") -> DataFrame:

@@ -8,6 +8,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+from tessera.operators.folds import sorted_fold
+
 from tessera.functions import scoring as S
 from tessera.functions import text as T
 
@@ -104,20 +106,23 @@ def pack_prefix(items: DataFrame, budget: int, extra: int = 0, group: str = "que
     return items.withColumn("used", used).where(F.col("used") <= budget)
 
 
-def pack_greedy(items: DataFrame, budget: int = 3200, most: int = 12, group: str = "query_id", order: str = "rank") -> DataFrame:
+def pack_greedy(items: DataFrame, budget: int = 3200, most: int = 12, group: str = "query_id", order: str = "rank", partitions: int | None = None) -> DataFrame:
     """Items (``kind, value, source``) in order, skipping what does not fit; the first always fits. ``picked`` lists their ranks.
 
-    The choice depends on all before it, so it is a fold over each group's sorted costs.
+    The choice depends on all before it, so it is a fold over each group's sorted costs; its state has at most ``most`` ranks.
     """
     cost = F.length("kind") + F.length("value") + F.length("source") + 16
-    costs = items.groupBy(group).agg(F.array_sort(F.collect_list(F.struct(F.col(order).cast("int").alias("r"), cost.alias("c")))).alias("x"))
-    start = F.struct(F.lit(0).alias("used"), F.array().cast("array<int>").alias("picked"))
+    costs = items.select(F.col(group).alias("g"), F.col(order).cast("int").alias("r"), cost.alias("c"))
 
-    def step(acc, x):
-        fits = (F.size(acc["picked"]) == 0) | ((acc["used"] + x["c"] <= budget) & (F.size(acc["picked"]) < most))
-        return F.when(fits, F.struct((acc["used"] + x["c"]).alias("used"), F.array_append(acc["picked"], x["r"]).alias("picked"))).otherwise(acc)
+    def step(state: dict, row: dict) -> list:
+        if not state["picked"] or (state["used"] + row["c"] <= budget and len(state["picked"]) < most):
+            state["used"] += row["c"]
+            state["picked"].append(row["r"])
+        return []
 
-    return costs.select(group, F.aggregate("x", start, step).alias("a")).select(group, F.col("a")["used"].alias("used"), F.col("a")["picked"].alias("picked"))
+    kind = items.schema[group].dataType.simpleString()
+    out = sorted_fold(costs, ["g"], ["r", "c"], lambda key: {"used": 0, "picked": []}, step, lambda key, state: [(*key, state["used"], state["picked"])], f"g {kind}, used int, picked array<int>", partitions)
+    return out.withColumnRenamed("g", group)
 
 
 def line_windows(files: DataFrame, size: int = 80, step: int = 70, id_col: str = "id", text_col: str = "text") -> DataFrame:

@@ -9,6 +9,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+from tessera.operators.folds import sorted_fold
+
 #: The later an item is in this list, the sooner it is the current one.
 CURRENT = ["in_progress", "blocked", "pending"]
 
@@ -95,19 +97,26 @@ def scenes(facts: DataFrame, most: int = 5) -> DataFrame:
     return sums.join(top, ["project", "scene"])
 
 
-def semantic_state(observations: DataFrame) -> DataFrame:
-    """The value of each (project, scope, kind) after all observations, in order.
+def semantic_state(observations: DataFrame, partitions: int | None = None) -> DataFrame:
+    """The value of each (project, scope, kind) after all observations, in the order of ``seq``.
 
-    A later one replaces the state if it is of the same session or at least as sure. The rule is no order on observations, so
-    each key is a fold over its own sorted history.
+    A later observation (``ts``) replaces the state; at equal times one of the same session does, or one that is at least as sure. The rule
+    for equal times is no order on observations, so the last time's are folded one after the other; earlier ones never count.
     """
-    x = F.struct("ts", "seq", F.col("session").cast("string").alias("session"), F.col("confidence").cast("double").alias("confidence"), F.col("text").alias("value"))
-    rows = observations.groupBy("project", "scope", "kind").agg(F.array_sort(F.collect_list(x)).alias("h"))
-    def step(state, new):
-        return F.when((state["session"] == new["session"]) | (new["confidence"] >= state["confidence"]), new).otherwise(state)
+    by = ["project", "scope", "kind"]
+    last = observations.groupBy(*by).agg(F.max("ts").alias("ts"), F.count(F.lit(1)).alias("seen"))
+    rows = observations.select(*by, "ts", "seq", F.col("session").cast("string").alias("session"), F.col("confidence").cast("double").alias("confidence"), "text")
+    ties = rows.join(last, [*by, "ts"]).drop("ts")
+
+    def step(state: dict, row: dict) -> list:
+        if "seen" not in state or row["session"] == state["session"] or (row["confidence"] or 0.0) >= (state["confidence"] or 0.0):
+            state.update(row)
+        return []
+
+    def end(key: tuple, state: dict) -> list:
+        return [(*key, state["text"], state["confidence"], state["seen"])]
 
-    end = F.aggregate(F.slice("h", 2, F.size("h")), F.col("h")[0], step)
-    return rows.select("project", "scope", "kind", end.alias("s"), F.size("h").alias("seen")).select("project", "scope", "kind", F.col("s.value").alias("value"), F.col("s.confidence").alias("confidence"), "seen")
+    return sorted_fold(ties, by, ["seq"], lambda key: {}, step, end, "project string, scope string, kind string, value string, confidence double, seen long", partitions)
 
 
 def ring(rows: DataFrame, most: int, group: str, *order: str) -> DataFrame:

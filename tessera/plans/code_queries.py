@@ -128,9 +128,16 @@ def fact_provenance(spark, d):
     return X.provenance(facts, events)
 
 
+def _sections(spark, d):
+    return I.table(spark, d, "conversations").select(F.col("conv_id").alias("query_id"), (-F.col("turn")).alias("priority"), F.col("role").alias("title"), F.coalesce("text", F.lit("")).alias("content"))
+
+
 def token_sections(spark, d):
-    c = I.table(spark, d, "conversations").select(F.col("conv_id").alias("query_id"), F.col("turn").alias("priority"), F.ceil(F.length(F.coalesce("text", F.lit(""))) / 3.5).alias("tokens"))
-    return X.section_budget(c, 300)
+    return X.section_budget(_sections(spark, d), 300).select("query_id", "priority", "given", "cut", "trimmed", "text")
+
+
+def token_contexts(spark, d):
+    return X.context(_sections(spark, d), 400, "[cut]")
 
 
 def rendered_items(spark, d):
@@ -170,6 +177,16 @@ SPEC = f"""sp AS (SELECT event_id AS id, 'src/storage/f' || event_id || '.ts' AS
 sl AS (SELECT id, path, unnest(string_split(text, chr(10))) AS line, generate_subscripts(string_split(text, chr(10)), 1) - 1 AS pos FROM sp)"""
 DECL = r"^\s*(?:export\s+)?(?:default\s+)?(?:async\s+)?(?:abstract\s+)?(class|interface|function)\s+([A-Za-z_$][\w$]*)"
 STATUS = _rules("lower(line)", C.STATUS, "'pending'")
+def _sections_sql(budget):
+    return f"""WITH c AS (SELECT conv_id AS query_id, -turn AS priority, role AS title, coalesce(text, '') AS content, '# ' || role || chr(10) || chr(10) AS head FROM conversations),
+o AS (SELECT *, ceil(length(head) / 3.5)::bigint AS hs, ceil(length(head) / 3.5)::bigint + ceil(length(content) / 3.5)::bigint AS own FROM c),
+u AS (SELECT *, sum(own) OVER (PARTITION BY query_id ORDER BY priority DESC, title) AS used, sum(own) OVER (PARTITION BY query_id) > {budget} AS trimmed FROM o),
+k AS (SELECT *, {budget} - (used - own) - hs AS rest, row_number() OVER (PARTITION BY query_id ORDER BY used) - count(*) FILTER (used <= {budget}) OVER (PARTITION BY query_id) AS beyond FROM u),
+s AS (SELECT *, used > {budget} AS cut, floor(rest * 3.5)::bigint AS n FROM k WHERE used <= {budget} OR beyond = 1 AND rest > 50),
+h AS (SELECT *, substr(content, 1, n) AS h, n - least(nullif(instr(reverse(substr(content, 1, n)), '.'), 0), nullif(instr(reverse(substr(content, 1, n)), chr(10)), 0)) AS back FROM s),
+shown AS (SELECT query_id, priority, title, CASE WHEN cut THEN {budget} - (used - own) ELSE own END::bigint AS given, cut, trimmed, head || CASE WHEN NOT cut OR ceil(length(content) / 3.5) <= rest THEN content WHEN back > n * 0.7 THEN substr(h, 1, back + 1) ELSE h END AS text FROM h)"""
+
+
 SQL = {
     "source_symbols": f"WITH {SPEC}, s AS (SELECT path, (pos + 1)::int AS line, regexp_extract(line, '{DECL}', 1) AS type, regexp_extract(line, '{DECL}', 2) AS name FROM sl) SELECT *, substr(sha256(path || '|' || type || '|' || name || '|' || line), 1, 24) AS id FROM s WHERE name <> ''",
     "source_imports": f"SELECT 'src/storage/f' || event_id || '.ts' AS path, {_at(SPECIFIERS, 'event_id % 7')} AS specifier FROM events",
@@ -210,10 +227,8 @@ SELECT kind, status, count(*) AS n, min(text) AS first, round(sum(c), 4) AS conf
     "scoped_lines": f"WITH {SPEC}, s AS (SELECT *, CASE WHEN pos < 8 THEN substr(first_value(line) OVER (PARTITION BY id ORDER BY pos), 3) ELSE 'Notes' END AS section FROM sl) SELECT section, count(*) AS lines, sum(pos)::bigint AS places FROM s WHERE line NOT LIKE '#%' GROUP BY section",
     "profile_rules": f"WITH {SPEC} SELECT trim(substr(line, 3)) AS rule, CASE WHEN line LIKE '- never%' THEN 'block' ELSE 'warn' END AS severity, count(*) AS n FROM sl WHERE line LIKE '- never%' OR line LIKE '- we should%' GROUP BY ALL",
     "fact_provenance": "WITH f AS (SELECT event_id AS fact, unnest(['e' || event_id, 's' || (event_id % 50), 'gone']) AS ref FROM events), v AS (SELECT 'e' || event_id AS event, CASE WHEN event_id % 100 < 50 THEN 's' || event_id END AS source FROM events) SELECT DISTINCT fact, event FROM f JOIN v ON ref = event OR ref = source",
-    "token_sections": """WITH RECURSIVE c AS (SELECT conv_id AS query_id, turn AS priority, ceil(length(coalesce(text, '')) / 3.5)::bigint AS tokens, row_number() OVER (PARTITION BY conv_id ORDER BY turn) AS k FROM conversations),
-f AS (SELECT query_id, 0::bigint AS k, 300::bigint AS rest, NULL::bigint AS priority, NULL::bigint AS given FROM c WHERE k = 1
-UNION ALL SELECT c.query_id, c.k, f.rest - CASE WHEN c.tokens <= f.rest THEN c.tokens WHEN f.rest > 50 THEN f.rest ELSE 0 END, c.priority, CASE WHEN c.tokens <= f.rest THEN c.tokens WHEN f.rest > 50 THEN f.rest ELSE 0 END FROM f JOIN c ON c.query_id = f.query_id AND c.k = f.k + 1)
-SELECT query_id, priority, given FROM f WHERE k > 0""",
+    "token_sections": f"{_sections_sql(300)} SELECT query_id, priority, given, cut, trimmed, text FROM shown",
+    "token_contexts": f"{_sections_sql(400)} SELECT query_id, count(*) AS shown, sum(given)::bigint AS given, bool_or(trimmed) AS trimmed, string_agg(text, chr(10) || chr(10) || '---' || chr(10) || chr(10) ORDER BY priority DESC, title) || CASE WHEN bool_or(trimmed) THEN chr(10) || chr(10) || '---' || chr(10) || chr(10) || chr(10) || '[cut]' || chr(10) ELSE '' END AS text FROM shown GROUP BY query_id",
     "rendered_items": f"WITH {I.OBS} SELECT project, '## State of ' || project || chr(10) || string_agg('- ' || kind || ' ' || key, chr(10) ORDER BY seq) AS text FROM obs WHERE status = 'blocked' GROUP BY project",
     "session_summary": f"WITH {I.OBS}, f AS (SELECT session, kind, key, min(seq) AS seq FROM obs GROUP BY ALL), k AS (SELECT *, row_number() OVER (PARTITION BY session, kind ORDER BY seq) AS k FROM f) SELECT session, kind, string_agg(key, ' | ' ORDER BY k) AS values, count(*) AS n FROM k WHERE k <= 5 GROUP BY ALL",
     "merged_streams": """WITH b AS (SELECT conv_id AS session, turn AS clock, 0::bigint AS ord, 'message' AS kind FROM conversations WHERE turn % 2 = 0 UNION ALL SELECT conv_id, turn - 1, turn, 'part' FROM conversations WHERE turn % 2 = 1),

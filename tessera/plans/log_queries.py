@@ -116,7 +116,7 @@ def scenes(spark, d):
 
 
 def semantic_state(spark, d):
-    return ST.semantic_state(I.observations(spark, d)).select("project", "scope", "kind", "value", F.round("confidence", 6).alias("confidence"), "seen")
+    return ST.semantic_state(I.observations(spark, d).withColumn("ts", F.date_trunc("week", "ts"))).select("project", "scope", "kind", "value", F.round("confidence", 6).alias("confidence"), "seen")
 
 
 def audit_ring(spark, d):
@@ -242,10 +242,11 @@ SELECT id, pos::int AS pos, category, importance FROM f QUALIFY row_number() OVE
     "scenes": f"""WITH {I.OBS}, {FACTS}, s AS (SELECT *, CASE WHEN kind IN ('rule', 'architecture') THEN 'project-knowledge' WHEN kind IN ('decision', 'fix') THEN 'implementation' WHEN kind = 'todo' THEN 'continuation' ELSE 'session-context' END AS scene FROM fa),
 k AS (SELECT *, row_number() OVER (PARTITION BY project, scene ORDER BY importance DESC, confidence DESC, id) AS k FROM s)
 SELECT project, scene, count(*) AS facts, round(max(importance), 6) AS importance, round(avg(confidence), 4) AS confidence, string_agg(text, ' | ' ORDER BY k) FILTER (k <= 5) AS summary FROM k GROUP BY ALL""",
-    "semantic_state": f"""WITH RECURSIVE {I.OBS}, o AS (SELECT *, row_number() OVER (PARTITION BY project, scope, kind ORDER BY ts, seq) AS k, count(*) OVER (PARTITION BY project, scope, kind) AS seen FROM obs),
-f AS (SELECT project, scope, kind, k, session, confidence, text, seen FROM o WHERE k = 1 UNION ALL SELECT o.project, o.scope, o.kind, o.k, CASE WHEN o.session = f.session OR o.confidence >= f.confidence THEN o.session ELSE f.session END, CASE WHEN o.session = f.session OR o.confidence >= f.confidence THEN o.confidence ELSE f.confidence END,
-  CASE WHEN o.session = f.session OR o.confidence >= f.confidence THEN o.text ELSE f.text END, f.seen FROM f JOIN o ON o.project = f.project AND o.scope = f.scope AND o.kind = f.kind AND o.k = f.k + 1)
-SELECT project, scope, kind, text AS value, round(confidence, 6) AS confidence, seen::int AS seen FROM f WHERE k = seen""",
+    "semantic_state": f"""WITH RECURSIVE {I.OBS}, w AS (SELECT *, date_trunc('week', ts) AS week, count(*) OVER (PARTITION BY project, scope, kind) AS seen, max(date_trunc('week', ts)) OVER (PARTITION BY project, scope, kind) AS last FROM obs),
+o AS (SELECT *, row_number() OVER (PARTITION BY project, scope, kind ORDER BY seq) AS k, count(*) OVER (PARTITION BY project, scope, kind) AS n FROM w WHERE week = last),
+f AS (SELECT project, scope, kind, k, session, confidence, text, seen, n FROM o WHERE k = 1 UNION ALL SELECT o.project, o.scope, o.kind, o.k, CASE WHEN o.session = f.session OR o.confidence >= f.confidence THEN o.session ELSE f.session END, CASE WHEN o.session = f.session OR o.confidence >= f.confidence THEN o.confidence ELSE f.confidence END,
+  CASE WHEN o.session = f.session OR o.confidence >= f.confidence THEN o.text ELSE f.text END, f.seen, f.n FROM f JOIN o ON o.project = f.project AND o.scope = f.scope AND o.kind = f.kind AND o.k = f.k + 1)
+SELECT project, scope, kind, text AS value, round(confidence, 6) AS confidence, seen FROM f WHERE k = n""",
     "audit_ring": f"WITH {I.OBS} SELECT project, seq, kind FROM obs QUALIFY row_number() OVER (PARTITION BY project ORDER BY seq DESC) <= 5",
     "intent_facts": f"""WITH {I.OBS}, {FACTS}, f AS (SELECT project, kind, text AS value, id % 200 AS place, CASE kind WHEN 'decision' THEN 100 WHEN 'rule' THEN 85 WHEN 'todo' THEN 45 ELSE 10 END + [20, 18, 14, 8][((id % 4) + 1)::int] + greatest(0, 5 - 0.01::double * (id % 200)) AS score FROM fa),
 b AS (SELECT * FROM f QUALIFY row_number() OVER (PARTITION BY project, kind, lower(trim(value)) ORDER BY score DESC, place) = 1)
