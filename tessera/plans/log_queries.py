@@ -9,6 +9,7 @@ from tessera.functions import text as T
 from tessera.operators import memory as M
 from tessera.operators import retrieval as R
 from tessera.operators import session as E
+from tessera.operators import conversation as CV
 from tessera.operators import state as ST
 from tessera.operators import wiki as K
 from tessera.plans import inputs as I
@@ -199,6 +200,24 @@ def event_windows(spark, d):
     return a.groupBy(F.window("ts", "1 day").alias("w"), "type").agg(F.count(F.lit(1)).alias("n"), F.round(F.sum("value"), 4).alias("value")).select(F.date_format("w.start", "yyyy-MM-dd").alias("day"), "type", "n", "value")
 
 
+# Questions, and by hand whether each goes on from what was said before.
+QUESTIONS = [
+    ("Tiếp tục task trước, đang làm gì?", False), ("Tại sao?", True), ("why so", True), ("What about the build of the package", True), ("còn TODO nào", False), ("nó ở đâu", False), ("list all files", False), ("then  what", True), ("is it done", True),
+    ("resume that work", False), ("vậy thì sao", True), ("thế còn file nào", False), ("Sao vậy?", True),
+]
+FACT_KINDS = ["task", "next_action", "file", "decision", "blocker", "todo", "rule"]
+
+
+def conversation_focus(spark, d):
+    m = I.table(spark, d, "conversations")
+    n = F.col("conv_id") * 5 + F.col("turn") * 3
+    facts = F.array(*[F.struct(I.pick(FACT_KINDS, (n + j) % 7).alias("kind"), F.concat(F.lit(["Item  ", "item ", "ITEM "][j]), ((n * (j + 1)) % 11).cast("string")).alias("value"), F.lit("log").alias("source")) for j in range(3)])
+    asked = F.expr("timestamp_ntz'2024-01-01 00:00:00' + make_dt_interval(0, cast(turn * 3 + if(turn % 6 = 5, 13, 0) as int))")
+    turns = m.select(F.col("conv_id").alias("project"), F.col("turn").alias("seq"), asked.alias("asked"), I.pick([q for q, _ in QUESTIONS], (F.col("conv_id") + F.col("turn") * 2) % 13).alias("question"), facts.alias("facts"))
+    told = F.array_join(F.transform("focus", lambda f: F.concat_ws(":", f["kind"], f["value"])), ",")
+    return CV.focus(turns).select("project", "seq", "used", "previous_intent", F.size("prior").cast("long").alias("n_prior"), told.alias("focus"), "answer")
+
+
 QUERIES = {n: f for n, f in list(globals().items()) if callable(f) and getattr(f, "__module__", "") == __name__ and not n.startswith("_")}
 
 LINES = "l AS (SELECT doc_id AS id, unnest(string_split(coalesce(text, ''), chr(10))) AS line, generate_subscripts(string_split(coalesce(text, ''), chr(10)), 1) - 1 AS pos FROM documents)"
@@ -216,6 +235,28 @@ WSCORE = " + ".join(
     f"CASE WHEN slug = '{t}' THEN 12 ELSE 0 END + CASE WHEN lower(title) = '{t}' THEN 10 ELSE 0 END + CASE WHEN contains(lower(title), '{t}') THEN 6 ELSE 0 END + CASE WHEN contains(slug, '{t}') THEN 5 ELSE 0 END + CASE WHEN list_contains(tags, '{t}') THEN 5 WHEN contains(tags[1], '{t}') OR contains(tags[2], '{t}') THEN 3 ELSE 0 END + CASE WHEN contains(lower(coalesce(summary, '')), '{t}') THEN 2 ELSE 0 END + CASE WHEN contains(lower(content), '{t}') THEN 1 ELSE 0 END"
     for t in TOKENS
 )
+def _focus_sql():
+    at = lambda values, index: "[" + ", ".join("'" + v.replace("'", "''") + "'" if isinstance(v, str) else str(v).lower() for v in values) + f"][({index} + 1)::int]"
+    q = "(conv_id + turn * 2) % 13"
+    # intents of the questions, by hand
+    intents = ["current_task", "summary", "summary", "summary", "summary", "summary", "summary", "summary", "completed", "summary", "summary", "last_file", "summary"]
+    facts = ", ".join(f"{{'k': {at(FACT_KINDS, f'((conv_id * 5 + turn * 3 + {j}) % 7)')}, 'v': '{w} ' || ((conv_id * 5 + turn * 3) * {j + 1} % 11)}}" for j, w in enumerate(["Item", "item", "ITEM"]))
+    merge = lambda xs: f"list_filter({xs}, lambda x, i: list_position(list_transform({xs}, lambda y: y.k || lower(y.v)), x.k || lower(x.v)) = i)[1:8]"
+    first = lambda k: f"(list_filter(prior, lambda z: z.k = '{k}')[1]).v"
+    labels = {"task": "Task liên quan", "next_action": "Việc tiếp theo", "file": "File liên quan", "decision": "Quyết định liên quan", "blocker": "Blocker", "todo": "TODO"}
+    told = lambda ks, n: "nullif(array_to_string(list_filter([" + ", ".join(f"'{labels[k]}: ' || {first(k)} || '.'" for k in ks) + f"], lambda x: x IS NOT NULL)[1:{n}], ' '), '')"
+    return f"""WITH RECURSIVE t AS (SELECT conv_id AS project, turn AS seq, turn * 3 + CASE WHEN turn % 6 = 5 THEN 13 ELSE 0 END AS hour, {at([f for _, f in QUESTIONS], q)} AS follows, {at(intents, q)} AS intent, {q} AS q, [{facts}] AS facts FROM conversations),
+o AS (SELECT *, row_number() OVER (PARTITION BY project ORDER BY hour, seq) AS k FROM t),
+f AS (SELECT project, k, seq, hour, q, intent, false AS used, NULL::varchar AS before, facts[1:0] AS prior, {merge("facts")} AS focus FROM o WHERE k = 1
+UNION ALL SELECT o.project, o.k, o.seq, o.hour, o.q, o.intent, o.follows AND o.hour - f.hour <= 12 AND len(f.focus) > 0, CASE WHEN o.hour - f.hour <= 12 THEN f.intent END, CASE WHEN o.hour - f.hour <= 12 THEN f.focus ELSE f.focus[1:0] END,
+  CASE WHEN o.follows AND o.hour - f.hour <= 12 THEN {merge("(o.facts || f.focus)")} ELSE {merge("o.facts")} END FROM f JOIN o ON o.project = f.project AND o.k = f.k + 1)
+SELECT project, seq, used, before AS previous_intent, len(prior) AS n_prior, array_to_string(list_transform(focus, lambda x: x.k || ':' || x.v), ',') AS focus,
+  CASE WHEN NOT used OR intent <> 'summary' THEN NULL WHEN q IN (1, 2, 12) THEN {told(["decision", "blocker", "next_action", "task", "file"], 2)} WHEN q = 7 THEN {told(["next_action", "todo", "task", "blocker", "file", "decision"], 3)} ELSE {told(["task", "next_action", "file", "decision", "blocker"], 3)} END AS answer FROM f"""
+
+
+FOCUS = _focus_sql()
+
+
 SQL = {
     "event_dedup": f"WITH {I.SESSIONS} SELECT project, session, seq FROM ev QUALIFY row_number() OVER (PARTITION BY project, session, coalesce(source_event, 'seq' || seq) ORDER BY seq DESC) = 1",
     "activity_copies": f"WITH {I.ACTIVITY} SELECT min(id) AS id, count(*) AS seen FROM a GROUP BY project, type, data",
@@ -242,6 +283,7 @@ SELECT id, pos::int AS pos, category, importance FROM f QUALIFY row_number() OVE
     "scenes": f"""WITH {I.OBS}, {FACTS}, s AS (SELECT *, CASE WHEN kind IN ('rule', 'architecture') THEN 'project-knowledge' WHEN kind IN ('decision', 'fix') THEN 'implementation' WHEN kind = 'todo' THEN 'continuation' ELSE 'session-context' END AS scene FROM fa),
 k AS (SELECT *, row_number() OVER (PARTITION BY project, scene ORDER BY importance DESC, confidence DESC, id) AS k FROM s)
 SELECT project, scene, count(*) AS facts, round(max(importance), 6) AS importance, round(avg(confidence), 4) AS confidence, string_agg(text, ' | ' ORDER BY k) FILTER (k <= 5) AS summary FROM k GROUP BY ALL""",
+    "conversation_focus": FOCUS,
     "semantic_state": f"""WITH RECURSIVE {I.OBS}, w AS (SELECT *, date_trunc('week', ts) AS week, count(*) OVER (PARTITION BY project, scope, kind) AS seen, max(date_trunc('week', ts)) OVER (PARTITION BY project, scope, kind) AS last FROM obs),
 o AS (SELECT *, row_number() OVER (PARTITION BY project, scope, kind ORDER BY seq) AS k, count(*) OVER (PARTITION BY project, scope, kind) AS n FROM w WHERE week = last),
 f AS (SELECT project, scope, kind, k, session, confidence, text, seen, n FROM o WHERE k = 1 UNION ALL SELECT o.project, o.scope, o.kind, o.k, CASE WHEN o.session = f.session OR o.confidence >= f.confidence THEN o.session ELSE f.session END, CASE WHEN o.session = f.session OR o.confidence >= f.confidence THEN o.confidence ELSE f.confidence END,
