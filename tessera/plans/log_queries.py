@@ -10,9 +10,11 @@ from tessera.operators import memory as M
 from tessera.operators import retrieval as R
 from tessera.operators import session as E
 from tessera.operators import conversation as CV
+from tessera.operators.lineage import shared_folder
 from tessera.operators import state as ST
 from tessera.operators import wiki as K
 from tessera.plans import inputs as I
+from tessera.sources import tail
 
 
 def _texts(spark, d):
@@ -218,6 +220,16 @@ def conversation_focus(spark, d):
     return CV.focus(turns).select("project", "seq", "used", "previous_intent", F.size("prior").cast("long").alias("n_prior"), told.alias("focus"), "answer")
 
 
+def tailed_log(spark, d):
+    """Messages written as logs of lines, a file for each of seven projects, and read again by the byte."""
+    m = I.table(spark, d, "conversations").where("text IS NOT NULL")
+    line = F.when(F.col("turn") % 4 == 3, F.concat(F.lit("plain "), F.regexp_replace("text", "\\s+", " "))).otherwise(F.to_json(F.struct("role", F.regexp_replace("text", "\\s+", " ").alias("content"), F.col("turn").alias("time"))))
+    folder = shared_folder(spark, "log")
+    m.select((F.col("conv_id") % 7).alias("p"), "conv_id", "turn", line.alias("value")).repartition("p").sortWithinPartitions("p", "conv_id", "turn").select("p", "value").write.partitionBy("p").text(folder)
+    out = tail.transcript_events(tail.lines(spark, folder, ending=".txt", partBytes="65536"))
+    return out.select(F.regexp_extract("path", "p=([0-9]+)", 1).cast("long").alias("p"), "seq", "type", "role", F.unix_seconds("ts").alias("second"), F.sha2("data", 256).alias("data_sha256"))
+
+
 QUERIES = {n: f for n, f in list(globals().items()) if callable(f) and getattr(f, "__module__", "") == __name__ and not n.startswith("_")}
 
 LINES = "l AS (SELECT doc_id AS id, unnest(string_split(coalesce(text, ''), chr(10))) AS line, generate_subscripts(string_split(coalesce(text, ''), chr(10)), 1) - 1 AS pos FROM documents)"
@@ -283,6 +295,9 @@ SELECT id, pos::int AS pos, category, importance FROM f QUALIFY row_number() OVE
     "scenes": f"""WITH {I.OBS}, {FACTS}, s AS (SELECT *, CASE WHEN kind IN ('rule', 'architecture') THEN 'project-knowledge' WHEN kind IN ('decision', 'fix') THEN 'implementation' WHEN kind = 'todo' THEN 'continuation' ELSE 'session-context' END AS scene FROM fa),
 k AS (SELECT *, row_number() OVER (PARTITION BY project, scene ORDER BY importance DESC, confidence DESC, id) AS k FROM s)
 SELECT project, scene, count(*) AS facts, round(max(importance), 6) AS importance, round(avg(confidence), 4) AS confidence, string_agg(text, ' | ' ORDER BY k) FILTER (k <= 5) AS summary FROM k GROUP BY ALL""",
+    "tailed_log": r"""WITH l AS (SELECT conv_id % 7 AS p, conv_id, turn, role, turn % 4 = 3 AS plain, CASE WHEN turn % 4 = 3 THEN 'plain ' || regexp_replace(text, '\s+', ' ', 'g') ELSE '{"role":' || to_json(role) || ',"content":' || to_json(regexp_replace(text, '\s+', ' ', 'g')) || ',"time":' || turn || '}' END AS line FROM conversations WHERE text IS NOT NULL)
+SELECT p, coalesce(sum(strlen(line) + 1) OVER (PARTITION BY p ORDER BY conv_id, turn ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0)::bigint AS seq, CASE WHEN plain THEN 'custom' WHEN role = 'user' THEN 'user_prompt' WHEN role = 'assistant' THEN 'assistant_message' ELSE 'message' END AS type,
+  CASE WHEN NOT plain THEN role END AS role, CASE WHEN NOT plain THEN turn END AS second, sha256(CASE WHEN plain THEN '{"format":"raw-line","content":' || to_json(line) || '}' ELSE line END) AS data_sha256 FROM l""",
     "conversation_focus": FOCUS,
     "semantic_state": f"""WITH RECURSIVE {I.OBS}, w AS (SELECT *, date_trunc('week', ts) AS week, count(*) OVER (PARTITION BY project, scope, kind) AS seen, max(date_trunc('week', ts)) OVER (PARTITION BY project, scope, kind) AS last FROM obs),
 o AS (SELECT *, row_number() OVER (PARTITION BY project, scope, kind ORDER BY seq) AS k, count(*) OVER (PARTITION BY project, scope, kind) AS n FROM w WHERE week = last),
