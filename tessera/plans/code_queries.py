@@ -9,6 +9,7 @@ from tessera.functions import paths as P
 from tessera.operators import code as D
 from tessera.operators import extraction as X
 from tessera.operators import graph as G
+from tessera.operators import build as B
 from tessera.plans import inputs as I
 from tessera.plans.graph_queries import ENDS, PAIRS, SUB, TEST, W
 
@@ -157,6 +158,31 @@ def merged_streams(spark, d):
     return X.merged_streams(a, b)
 
 
+def _written_files(spark, d):
+    """A file for each supplier that imports, passes on, extends and calls what those of other suppliers declare."""
+    s = I.table(spark, d, "supplier")
+    n = s.count()
+    k, other = F.col("s_suppkey"), lambda a, b: ((F.col("s_suppkey") * a + b) % n).cast("string")
+    b, c, x, e = other(7, 1), other(3, 2), other(5, 3), other(11, 4)
+    lines = [
+        ("import { f", b, " as g } from './s", b, "';"), ("import * as ns from '../mod/s", c, ".js';"), ("export { f", x, " as r", k, " } from './s", x, "';"), ("import { r", e, " } from './s", e, "';"), ("// function hidden", k, "() {}",),
+        ("export class C", k, " extends C", b, " implements I", c, " {"), ("  size = start(`${", k, "}`);",), ("  run(a: { b: string }) {",), ("    g(); ns.f", c, "(); f", k, "(); r", e, "();"), ("    return other(\"common()\");",), ("  }",), ("}",),
+        ("export function f", k, "() { common(); f", k, "(); }"), ("function other() {}",), ("export interface I", k, " {}"),
+    ]
+    text = F.concat_ws("\n", *[F.concat(*[F.lit(p) if isinstance(p, str) else p.cast("string") for p in line]) for line in lines], F.when(k % 10 == 0, "function common() {}"))
+    return s.select(F.concat(F.lit("src/mod/s"), k, F.lit(".ts")).alias("path"), text.alias("text"))
+
+
+def code_graph_edges(spark, d):
+    graph = B.code_graph(_written_files(spark, d))
+    named = graph["vertices"].select("id", F.when(F.col("type") == "file", F.col("path")).otherwise(F.concat_ws(":", "path", "qualified")).alias("name"))
+    return graph["edges"].join(named.select(F.col("id").alias("src"), F.col("name").alias("source")), "src").join(named.select(F.col("id").alias("dst"), F.col("name").alias("target")), "dst").select("type", "source", "target", "line", "confidence")
+
+
+def code_graph_symbols(spark, d):
+    return B.code_graph(_written_files(spark, d))["vertices"].select("type", "path", "name", "qualified", "start_line", "end_line")
+
+
 QUERIES = {n: f for n, f in list(globals().items()) if callable(f) and getattr(f, "__module__", "") == __name__ and not n.startswith("_")}
 
 
@@ -187,6 +213,11 @@ h AS (SELECT *, substr(content, 1, n) AS h, n - least(nullif(instr(reverse(subst
 shown AS (SELECT query_id, priority, title, CASE WHEN cut THEN {budget} - (used - own) ELSE own END::bigint AS given, cut, trimmed, head || CASE WHEN NOT cut OR ceil(length(content) / 3.5) <= rest THEN content WHEN back > n * 0.7 THEN substr(h, 1, back + 1) ELSE h END AS text FROM h)"""
 
 
+CODE = """f AS (SELECT s_suppkey AS k, (s_suppkey * 7 + 1) % n AS b, (s_suppkey * 3 + 2) % n AS c, (s_suppkey * 11 + 4) % n AS e, (((s_suppkey * 11 + 4) % n) * 5 + 3) % n AS x, 'src/mod/s' AS p FROM supplier, (SELECT count(*) AS n FROM supplier)),
+sy AS (SELECT k, 'class' AS type, 'C' || k AS name, 'C' || k AS q, 6 AS a, 12 AS z FROM f UNION ALL SELECT k, 'method', 'run', 'C' || k || '.run', 8, 11 FROM f UNION ALL SELECT k, 'function', 'f' || k, 'f' || k, 13, 13 FROM f UNION ALL SELECT k, 'function', 'other', 'other', 14, 14 FROM f
+UNION ALL SELECT k, 'interface', 'I' || k, 'I' || k, 15, 15 FROM f UNION ALL SELECT k, 'function', 'common', 'common', 16, 16 FROM f WHERE k % 10 = 0)"""
+
+
 SQL = {
     "source_symbols": f"WITH {SPEC}, s AS (SELECT path, (pos + 1)::int AS line, regexp_extract(line, '{DECL}', 1) AS type, regexp_extract(line, '{DECL}', 2) AS name FROM sl) SELECT *, substr(sha256(path || '|' || type || '|' || name || '|' || line), 1, 24) AS id FROM s WHERE name <> ''",
     "source_imports": f"SELECT 'src/storage/f' || event_id || '.ts' AS path, {_at(SPECIFIERS, 'event_id % 7')} AS specifier FROM events",
@@ -228,6 +259,14 @@ SELECT kind, status, count(*) AS n, min(text) AS first, round(sum(c), 4) AS conf
     "profile_rules": f"WITH {SPEC} SELECT trim(substr(line, 3)) AS rule, CASE WHEN line LIKE '- never%' THEN 'block' ELSE 'warn' END AS severity, count(*) AS n FROM sl WHERE line LIKE '- never%' OR line LIKE '- we should%' GROUP BY ALL",
     "fact_provenance": "WITH f AS (SELECT event_id AS fact, unnest(['e' || event_id, 's' || (event_id % 50), 'gone']) AS ref FROM events), v AS (SELECT 'e' || event_id AS event, CASE WHEN event_id % 100 < 50 THEN 's' || event_id END AS source FROM events) SELECT DISTINCT fact, event FROM f JOIN v ON ref = event OR ref = source",
     "token_sections": f"{_sections_sql(300)} SELECT query_id, priority, given, cut, trimmed, text FROM shown",
+    "code_graph_symbols": f"WITH {CODE} SELECT type, 'src/mod/s' || k || '.ts' AS path, name, q AS qualified, a AS start_line, z AS end_line FROM sy UNION ALL SELECT 'file', p || k || '.ts', p || k || '.ts', p || k || '.ts', 1, CASE WHEN k % 10 = 0 THEN 16 ELSE 15 END FROM f",
+    "code_graph_edges": f"""WITH {CODE}, c AS (
+SELECT k, 9 AS line, 0.9 AS confidence, p || b || '.ts:f' || b AS target FROM f UNION ALL SELECT k, 9, 0.95, p || c || '.ts:f' || c FROM f UNION ALL SELECT k, 9, 1.0, p || k || '.ts:f' || k FROM f UNION ALL SELECT k, 9, 0.85, p || x || '.ts:f' || x FROM f UNION ALL SELECT k, 10, 1.0, p || k || '.ts:other' FROM f)
+SELECT 'DEFINES' AS type, 'src/mod/s' || k || '.ts' AS source, 'src/mod/s' || k || '.ts:' || q AS target, NULL::int AS line, 1.0::double AS confidence FROM sy
+UNION ALL SELECT DISTINCT 'IMPORTS', p || k || '.ts', p || t || '.ts', NULL, 1.0 FROM (SELECT k, p, unnest([b, c, e]) AS t FROM f)
+UNION ALL SELECT 'INHERITS', p || k || '.ts:C' || k, p || b || '.ts:C' || b, NULL, 1.0 FROM f UNION ALL SELECT 'IMPLEMENTS', p || k || '.ts:C' || k, p || c || '.ts:I' || c, NULL, 1.0 FROM f
+UNION ALL SELECT 'CALLS', 'src/mod/s' || k || '.ts:C' || k || '.run', target, min(line), max(confidence)::double FROM c GROUP BY ALL
+UNION ALL SELECT 'CALLS', f.p || f.k || '.ts:f' || f.k, f.p || o.k || '.ts:common', 13, CASE WHEN f.k = o.k THEN 1.0 ELSE 0.4 END FROM f JOIN f o ON o.k % 10 = 0 AND (f.k % 10 <> 0 OR f.k = o.k)""",
     "token_contexts": f"{_sections_sql(400)} SELECT query_id, count(*) AS shown, sum(given)::bigint AS given, bool_or(trimmed) AS trimmed, string_agg(text, chr(10) || chr(10) || '---' || chr(10) || chr(10) ORDER BY priority DESC, title) || CASE WHEN bool_or(trimmed) THEN chr(10) || chr(10) || '---' || chr(10) || chr(10) || chr(10) || '[cut]' || chr(10) ELSE '' END AS text FROM shown GROUP BY query_id",
     "rendered_items": f"WITH {I.OBS} SELECT project, '## State of ' || project || chr(10) || string_agg('- ' || kind || ' ' || key, chr(10) ORDER BY seq) AS text FROM obs WHERE status = 'blocked' GROUP BY project",
     "session_summary": f"WITH {I.OBS}, f AS (SELECT session, kind, key, min(seq) AS seq FROM obs GROUP BY ALL), k AS (SELECT *, row_number() OVER (PARTITION BY session, kind ORDER BY seq) AS k FROM f) SELECT session, kind, string_agg(key, ' | ' ORDER BY k) AS values, count(*) AS n FROM k WHERE k <= 5 GROUP BY ALL",
