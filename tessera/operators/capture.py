@@ -12,6 +12,7 @@ from pyspark.sql.window import Window
 
 from tessera.functions.paths import is_sensitive
 from tessera.functions.text import redact_json
+from tessera.operators.lineage import stored
 
 # Keys of JSON that hold text, and keys that hold more such keys.
 TEXT_KEYS = ["content", "text", "message", "prompt", "summary", "description", "reason", "title", "last_assistant_message", "lastAssistantMessage", "input_messages", "inputMessages"]
@@ -110,14 +111,14 @@ def incremental_index(old: dict[str, DataFrame], new: dict[str, DataFrame]) -> d
     """``files`` (path, status), ``vertices`` and ``edges`` after a change; either side has ``manifest`` (path, hash), ``vertices`` and ``edges``.
 
     Vertices of unchanged files stay and those of added and modified ones come from the new side; old edges stay if both ends do and
-    neither lies in a changed file.
+    neither lies in a changed file. The status of files and the vertices of either kind are written once, for all that looks at them.
     """
     from tessera.operators.governance import surviving_edges
     from tessera.operators.graph import manifest_diff
 
-    files = manifest_diff(old["manifest"], new["manifest"])
+    files = stored(manifest_diff(old["manifest"], new["manifest"]), "files")
     changed = files.where("status IN ('added', 'modified')").select(F.col("path").alias("file"))
-    kept = old["vertices"].join(files.where("status = 'unchanged'").select(F.col("path").alias("file")), "file", "left_semi")
-    fresh = new["vertices"].join(changed, "file", "left_semi")
+    kept = stored(old["vertices"].join(files.where("status = 'unchanged'").select(F.col("path").alias("file")), "file", "left_semi"), "vertices")
+    fresh = stored(new["vertices"].join(changed, "file", "left_semi"), "vertices")
     own = new["edges"].join(fresh.select(F.col("id").alias("src")), "src", "left_semi")
     return {"files": files, "vertices": kept.unionByName(fresh), "edges": surviving_edges(old["edges"], kept, changed).unionByName(own.select(*old["edges"].columns)).distinct()}

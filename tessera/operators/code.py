@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from tessera.functions.text import fingerprint
-from tessera.operators.lineage import cut
+from tessera.operators.lineage import cut, stored
 
 # What a specifier's ending may stand for.
 ENDINGS = {".js": ["ts", "tsx", "js", "jsx"], ".mjs": ["mts", "ts", "mjs"], ".cjs": ["cts", "ts", "cjs"]}
@@ -109,7 +109,9 @@ def file_components(pairs: DataFrame, least: int = 8) -> DataFrame:
 def propagated_layers(edges: DataFrame, vertices: DataFrame, passes: int = 3) -> DataFrame:
     """Layers of files; unknown ones take the layer that most edge weight with their neighbours votes for (4 at least).
 
-    All files vote at once in a pass, so the result depends on no order of files.
+    Files vote one after the other, in order, and a later one hears what an earlier one has just become. The result of that order without the loop: in
+    each pass those files vote together whose earlier unknown neighbours have all voted. No two of them are neighbours, so nothing changes under them. A pass
+    takes as many rounds as the longest rising chain of unknown neighbours.
     """
     from tessera.functions.paths import layer
     from tessera.functions.scoring import choose
@@ -117,18 +119,79 @@ def propagated_layers(edges: DataFrame, vertices: DataFrame, passes: int = 3) ->
 
     # The weight of an edge in a vote.
     weights = {"CALL_REFERENCE": 6, "CALLS": 4, "IMPORTS": 4, "USES_TYPE": 4, "WRITES": 5, "INHERITS": 6, "IMPLEMENTS": 6, "ROUTE": 3, "TESTS": 1}
-    files = vertices.select("file").distinct().withColumns(layer(F.col("file")))
+    files = stored(vertices.select("file").distinct().withColumns(layer(F.col("file"))).select("file", "layer", "confidence"), "layers")
     sums = resolved(edges, vertices).where("src_file <> dst_file").groupBy("src_file", "dst_file").agg(F.sum(choose(F.col("type"), weights, 1)).alias("w"))
-    near = cut(sums.select(F.col("src_file").alias("file"), F.col("dst_file").alias("other"), "w").union(sums.select("dst_file", "src_file", "w")))
+    both = sums.select(F.col("src_file").alias("file"), F.col("dst_file").alias("other"), "w").union(sums.select("dst_file", "src_file", "w")).groupBy("file", "other").agg(F.sum("w").alias("w"))
+    unknown = files.where("layer = 'unknown'").select("file")
+    near = stored(both.join(unknown, "file", "left_semi"), "near")
     for _ in range(passes):
-        votes = near.join(files.where(~F.col("layer").isin("unknown", "tests")).select(F.col("file").alias("other"), "layer"), "other").groupBy("file", "layer").agg(F.sum("w").alias("w"))
-        best = votes.groupBy("file").agg(F.min(F.struct((-F.col("w")).alias("n"), "layer")).alias("v")).where("-v.n >= 4").select("file", F.col("v.layer").alias("voted"))
-        files = files.join(best, "file", "left").select(
-            "file", F.when((F.col("layer") == "unknown") & F.col("voted").isNotNull(), F.col("voted")).otherwise(F.col("layer")).alias("layer"), F.when((F.col("layer") == "unknown") & F.col("voted").isNotNull(), 0.65).otherwise(F.col("confidence")).alias("confidence")
-        )
+        waiting = stored(files.where("layer = 'unknown'").select("file"), "waiting")
+        changed = False
+        while not waiting.isEmpty():
+            # who has an earlier neighbour that still has to vote waits
+            held = near.join(waiting, "file", "left_semi").where("other < file").join(waiting.withColumnRenamed("file", "other"), "other", "left_semi").select("file").distinct()
+            ready = stored(waiting.join(held, "file", "left_anti"), "ready")
+            votes = near.join(ready, "file", "left_semi").join(files.where("layer NOT IN ('unknown', 'tests')").select(F.col("file").alias("other"), "layer"), "other").groupBy("file", "layer").agg(F.sum("w").alias("w"))
+            best = stored(votes.groupBy("file").agg(F.min(F.struct((-F.col("w")).alias("n"), "layer")).alias("v")).where("-v.n >= 4").select("file", F.col("v.layer").alias("voted")), "votes")
+            if not best.isEmpty():
+                changed = True
+                files = stored(files.join(best, "file", "left").select("file", F.coalesce("voted", "layer").alias("layer"), F.when(F.col("voted").isNotNull(), 0.65).otherwise(F.col("confidence")).alias("confidence")), "layers")
+            waiting = stored(waiting.join(ready, "file", "left_anti"), "waiting")
+        if not changed:
+            break
     return files
 
 
+#: Subsystems of more files are split; groups of so few may go to another that they are tied to by so much weight, one group a round.
+LARGE, STRONG, TINY, TIED, ROUNDS = 30, 8, 3, 20, 3
+
+
+def clusters(pairs: DataFrame, files: DataFrame) -> DataFrame:
+    """``file, subsystem, cluster`` (a struct that tells the cluster and its place) by pairs of files (``a, b, weight``).
+
+    Files are grouped by subsystem. A large one falls into the components of its strong pairs; files in none are its residual. Then, in at most three
+    rounds, the first tiny group is added to the first group that it is tied to. A round is one sum of weights by pairs of groups, of which one row is read.
+    """
+    from tessera.functions.paths import subsystem
+
+    own = files.select("file").distinct().withColumn("subsystem", subsystem(F.col("file")))
+    sizes = own.groupBy("subsystem").agg(F.count(F.lit(1)).alias("n"), F.min("file").alias("first"))
+    rows = stored(own.join(sizes, "subsystem"), "subsystems")
+    large = rows.where(F.col("n") > LARGE).select("file", "subsystem")
+    inside = pairs.join(large.select(F.col("file").alias("a"), F.col("subsystem").alias("sa")), "a").join(large.select(F.col("file").alias("b"), F.col("subsystem").alias("sb")), "b").where("sa = sb")
+    parts = file_components(stored(inside.select("a", "b", "weight"), "inside"), STRONG).withColumnRenamed("cluster", "component")
+    split = (F.col("n") > LARGE) & F.col("component").isNull()
+    key = F.struct("first", split.cast("int").alias("residual"), F.coalesce("component", F.lit("")).alias("component"))
+    held = stored(rows.join(parts, "file", "left").select("file", "subsystem", key.alias("cluster")), "clusters")
+    for _ in range(ROUNDS):
+        count = held.groupBy("cluster").agg(F.count(F.lit(1)).alias("n"))
+        met = pairs.join(held.select(F.col("file").alias("a"), F.col("cluster").alias("ca")), "a").join(held.select(F.col("file").alias("b"), F.col("cluster").alias("cb")), "b").where("ca <> cb")
+        ties = met.select("ca", "cb", "weight").unionByName(met.select(F.col("cb").alias("ca"), F.col("ca").alias("cb"), "weight")).groupBy("ca", "cb").agg(F.sum("weight").alias("w")).where(F.col("w") >= TIED)
+        one = ties.join(count.where(F.col("n") <= TINY).select(F.col("cluster").alias("ca")), "ca", "left_semi").agg(F.min(F.struct("ca", "cb")).alias("x")).first()["x"]
+        if one is None:
+            break
+        into = held.sparkSession.createDataFrame([(one["ca"], one["cb"])], ties.select("ca", "cb").schema)
+        subs = held.join(F.broadcast(into), F.col("cluster") == F.col("cb")).select(F.col("cb").alias("to"), F.col("subsystem").alias("other")).distinct()
+        moved = held.join(F.broadcast(into), F.col("cluster") == F.col("ca"), "left").join(F.broadcast(subs), F.col("cb") == F.col("to"), "left")
+        held = stored(moved.select("file", F.coalesce("other", "subsystem").alias("subsystem"), F.coalesce("cb", "cluster").alias("cluster")), "clusters")
+    return held
+
+
+def cluster_metrics(pairs: DataFrame, held: DataFrame) -> DataFrame:
+    """``id, label, subsystem, files, size, internal, external, cohesion`` of clusters (``file, subsystem, cluster``); the list of files is the answer itself."""
+    from tessera.functions.paths import CLUSTER_LABELS
+    from tessera.functions.scoring import choose
+    from tessera.operators.graph import cohesion
+
+    lists = held.groupBy("cluster").agg(F.first("subsystem").alias("subsystem"), F.sort_array(F.collect_list("file")).alias("files"))
+    sums = cohesion(pairs, held.select("file", "cluster")).select("cluster", "internal", "external", "cohesion")
+    stem = F.regexp_replace("subsystem", "^(?:src|packages)/", "")
+    residual = F.col("cluster.residual") == 1
+    told = F.concat("subsystem", F.when(residual, "/residual").otherwise(""), F.lit(":"), F.array_join("files", "|"))
+    label = F.concat(F.coalesce(choose(stem, CLUSTER_LABELS, None), stem), F.when(residual, " Misc").otherwise(""))
+    return lists.join(sums, "cluster").select(F.concat(F.lit("cluster-"), F.substring(F.sha2(told, 256), 1, 12)).alias("id"), label.alias("label"), "subsystem", "files", F.size("files").alias("size"), "internal", "external", "cohesion")
+
+
 def display(vertices: DataFrame, edges: DataFrame, layers: DataFrame, clusters: DataFrame, hotspots: DataFrame) -> DataFrame:
     """Symbols with layer, cluster, score and degrees of their files and themselves."""
     from tessera.operators.graph import degrees

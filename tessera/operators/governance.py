@@ -9,6 +9,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tessera.functions.text import squeeze
+from tessera.operators.lineage import stored
 
 RISKS = ["LOW", "MEDIUM", "HIGH", "CRITICAL"]
 
@@ -57,5 +58,5 @@ def open_actions(actions: DataFrame, done: DataFrame) -> DataFrame:
 
 def surviving_edges(edges: DataFrame, vertices: DataFrame, changed: DataFrame) -> DataFrame:
     """Edges both whose ends exist and lie in files that did not change (``file``)."""
-    kept = vertices.join(changed.select("file"), "file", "left_anti").select("id")
+    kept = stored(vertices.join(changed.select("file"), "file", "left_anti").select("id"), "kept")
     return edges.join(kept.withColumnRenamed("id", "src"), "src", "left_semi").join(kept.withColumnRenamed("id", "dst"), "dst", "left_semi")

@@ -72,10 +72,26 @@ def file_components(spark, d):
 
 
 def layer_votes(spark, d):
-    v = I.vertices(spark, d).withColumn("file", F.regexp_replace("file", "^src/(internal|retrieval)/", "lib/$1-"))
+    v = I.vertices(spark, d).withColumn("file", F.regexp_replace("file", "^src/(internal|retrieval|runtime)/", "lib/$1-"))
     return D.propagated_layers(I.edges(spark, d), v).select("file", "layer", "confidence")
 
 
+def _module_pairs(spark, d):
+    """Chains of files in seven modules, and a small library for each supplier that leans on one of them."""
+    p, s = I.table(spark, d, "part"), I.table(spark, d, "supplier")
+    file = lambda k: F.concat(F.lit("src/m"), (k % 7).cast("string"), F.lit("/f"), F.lpad(k.cast("string"), 9, "0"), F.lit(".ts"))
+    k, lib = F.col("p_partkey"), F.concat(F.lit("lib"), F.lpad(F.col("s_suppkey").cast("string"), 9, "0"), F.lit("/a.ts"))
+    chain = p.select(file(k).alias("a"), file(k + 7).alias("b"), ((k * 13) % 5 * 4).alias("weight")).where("weight > 0")
+    files = p.select(file(k).alias("file")).union(s.select(lib.alias("file")))
+    leans = s.select(lib.alias("a"), file(F.col("s_suppkey") * 3 % 11 + 1).alias("b"), (F.col("s_suppkey") % 7 * 5).alias("weight")).where("weight > 0")
+    return chain.join(files.withColumnRenamed("file", "b"), "b", "left_semi").select("a", "b", "weight").unionByName(leans), files
+
+
+def clusters(spark, d):
+    pairs, files = _module_pairs(spark, d)
+    return D.cluster_metrics(pairs, D.clusters(pairs, files)).withColumn("files", F.array_join("files", "|"))
+
+
 def display_nodes(spark, d):
     e, v = I.edges(spark, d), I.vertices(spark, d)
     clusters = v.select("file", P.subsystem(F.col("file")).alias("cluster")).distinct()
@@ -213,6 +229,28 @@ h AS (SELECT *, substr(content, 1, n) AS h, n - least(nullif(instr(reverse(subst
 shown AS (SELECT query_id, priority, title, CASE WHEN cut THEN {budget} - (used - own) ELSE own END::bigint AS given, cut, trimmed, head || CASE WHEN NOT cut OR ceil(length(content) / 3.5) <= rest THEN content WHEN back > n * 0.7 THEN substr(h, 1, back + 1) ELSE h END AS text FROM h)"""
 
 
+def _clusters_sql():
+    f = "'src/m' || ({0} % 7) || '/f' || lpad(({0})::varchar, 9, '0') || '.ts'"
+    lib = "'lib' || lpad(s_suppkey::varchar, 9, '0') || '/a.ts'"
+    rounds = "".join(
+        f""", t{i} AS (SELECT ca, cb FROM (SELECT ca, cb, sum(weight) AS w FROM (SELECT a.g AS ca, b.g AS cb, weight FROM pr JOIN m{i} a ON a.file = pr.a JOIN m{i} b ON b.file = pr.b WHERE a.g <> b.g UNION ALL SELECT b.g, a.g, weight FROM pr JOIN m{i} a ON a.file = pr.a JOIN m{i} b ON b.file = pr.b WHERE a.g <> b.g) GROUP BY ALL)
+WHERE w >= 20 AND ca IN (SELECT g FROM m{i} GROUP BY g HAVING count(*) <= 3) ORDER BY ca, cb LIMIT 1),
+m{i + 1} AS (SELECT file, CASE WHEN g = ca THEN cb ELSE g END AS g, CASE WHEN g = ca THEN (SELECT min(sub) FROM m{i} WHERE g = (SELECT cb FROM t{i})) ELSE sub END AS sub FROM m{i} LEFT JOIN t{i} ON true)"""
+        for i in range(3)
+    )
+    # chains of a module break where the weight is below 8; a module of at most 30 files is one group
+    return f"""WITH fl AS (SELECT p_partkey AS k, {f.format('p_partkey')} AS file, 'src/m' || (p_partkey % 7) AS sub FROM part), last AS (SELECT max(p_partkey) AS z FROM part),
+pr AS (SELECT {f.format('p_partkey')} AS a, {f.format('(p_partkey + 7)')} AS b, (p_partkey * 13) % 5 * 4 AS weight FROM part, last WHERE p_partkey + 7 <= z AND (p_partkey * 13) % 5 > 0 UNION ALL SELECT {lib}, {f.format('(s_suppkey * 3 % 11 + 1)')}, s_suppkey % 7 * 5 FROM supplier WHERE s_suppkey % 7 > 0),
+ch AS (SELECT *, count(*) OVER (PARTITION BY sub) AS n, min(file) OVER (PARTITION BY sub) AS first, sum(CASE WHEN ((k - 7) * 13) % 5 * 4 >= 8 AND k > 7 THEN 0 ELSE 1 END) OVER (PARTITION BY sub ORDER BY k) AS part FROM fl),
+co AS (SELECT *, count(*) OVER (PARTITION BY sub, part) AS size, min(file) OVER (PARTITION BY sub, part) AS start FROM ch),
+m0 AS (SELECT file, {{'first': first, 'residual': CASE WHEN n > 30 AND size = 1 THEN 1 ELSE 0 END, 'component': CASE WHEN n > 30 AND size > 1 THEN start ELSE '' END}} AS g, sub FROM co UNION ALL SELECT {lib}, {{'first': {lib}, 'residual': 0, 'component': ''}}, 'lib' || lpad(s_suppkey::varchar, 9, '0') FROM supplier){rounds},
+w AS (SELECT a.g AS ga, b.g AS gb, weight FROM pr JOIN m3 a ON a.file = pr.a JOIN m3 b ON b.file = pr.b), i AS (SELECT ga AS g, sum(weight)::bigint AS internal FROM w WHERE ga = gb GROUP BY 1), o AS (SELECT g, sum(weight)::bigint AS external FROM (SELECT ga AS g, weight FROM w WHERE ga <> gb UNION ALL SELECT gb, weight FROM w WHERE ga <> gb) GROUP BY 1),
+l AS (SELECT g, min(sub) AS subsystem, string_agg(file, '|' ORDER BY file) AS files, count(*)::int AS size FROM m3 GROUP BY g)
+SELECT 'cluster-' || substr(sha256(subsystem || CASE WHEN g.residual = 1 THEN '/residual' ELSE '' END || ':' || files), 1, 12) AS id, regexp_replace(subsystem, '^src/', '') || CASE WHEN g.residual = 1 THEN ' Misc' ELSE '' END AS label, subsystem, files, size, coalesce(internal, 0) AS internal, coalesce(external, 0) AS external,
+CASE WHEN coalesce(internal, 0) + coalesce(external, 0) > 0 THEN round(coalesce(internal, 0) / (coalesce(internal, 0) + coalesce(external, 0)), 4) ELSE 0.0 END AS cohesion FROM l LEFT JOIN i USING (g) LEFT JOIN o USING (g)"""
+
+
+CLUSTERED = _clusters_sql()
 CODE = """f AS (SELECT s_suppkey AS k, (s_suppkey * 7 + 1) % n AS b, (s_suppkey * 3 + 2) % n AS c, (s_suppkey * 11 + 4) % n AS e, (((s_suppkey * 11 + 4) % n) * 5 + 3) % n AS x, 'src/mod/s' AS p FROM supplier, (SELECT count(*) AS n FROM supplier)),
 sy AS (SELECT k, 'class' AS type, 'C' || k AS name, 'C' || k AS q, 6 AS a, 12 AS z FROM f UNION ALL SELECT k, 'method', 'run', 'C' || k || '.run', 8, 11 FROM f UNION ALL SELECT k, 'function', 'f' || k, 'f' || k, 13, 13 FROM f UNION ALL SELECT k, 'function', 'other', 'other', 14, 14 FROM f
 UNION ALL SELECT k, 'interface', 'I' || k, 'I' || k, 15, 15 FROM f UNION ALL SELECT k, 'function', 'common', 'common', 16, 16 FROM f WHERE k % 10 = 0)"""
@@ -235,12 +273,16 @@ s AS (SELECT CASE WHEN type = 'route' THEN id ELSE file END AS key, id, kind, CA
 SELECT key, id, kind, score FROM s QUALIFY row_number() OVER (PARTITION BY key ORDER BY score DESC, id DESC) = 1""",
     "file_components": f"""WITH RECURSIVE {I.GRAPH}, {ENDS}, {PAIRS}, p AS (SELECT a, b FROM cp WHERE weight >= 8 UNION SELECT b, a FROM cp WHERE weight >= 8),
 w(file, other) AS (SELECT a, a FROM p UNION SELECT w.file, p.b FROM w JOIN p ON p.a = w.other) SELECT file, min(other) AS cluster FROM w GROUP BY file""",
-    "layer_votes": rf"""{W}, w AS (SELECT id, regexp_replace(file, '^src/(internal|retrieval)/', 'lib/\1-') AS file FROM v), f AS (SELECT DISTINCT file, CASE WHEN {TEST.format('file')} THEN 'tests' WHEN (file LIKE 'bin/%' OR regexp_matches(file, '/(mcp|cli|api|routes|hooks)/')) THEN 'interface' WHEN regexp_matches(file, '/(runtime|processor|retrieval|snapshot|code-intelligence)/') THEN 'application'
-WHEN regexp_matches(file, '/(core|memory)/|(^|/)types\.[^/]+$') THEN 'domain' WHEN regexp_matches(file, '/(storage|production|security|config|utils)/') THEN 'infrastructure' ELSE 'unknown' END AS layer FROM w),
-r AS (SELECT a.file AS x, b.file AS y, CASE e.type WHEN 'CALL_REFERENCE' THEN 6 WHEN 'CALLS' THEN 4 WHEN 'IMPORTS' THEN 4 WHEN 'USES_TYPE' THEN 4 WHEN 'WRITES' THEN 5 WHEN 'INHERITS' THEN 6 WHEN 'IMPLEMENTS' THEN 6 WHEN 'ROUTE' THEN 3 ELSE 1 END AS w FROM e JOIN w a ON a.id = e.src JOIN w b ON b.id = e.dst WHERE a.file <> b.file),
-n AS (SELECT x AS file, y AS other, w FROM r UNION ALL SELECT y, x, w FROM r), vo AS (SELECT n.file, f.layer, sum(w) AS w FROM n JOIN f ON f.file = n.other WHERE f.layer NOT IN ('unknown', 'tests') GROUP BY ALL),
-b AS (SELECT file, layer AS voted FROM vo WHERE w >= 4 QUALIFY row_number() OVER (PARTITION BY file ORDER BY w DESC, layer) = 1)
-SELECT f.file, CASE WHEN f.layer = 'unknown' AND voted IS NOT NULL THEN voted ELSE f.layer END AS layer, CASE WHEN f.layer = 'unknown' AND voted IS NOT NULL THEN 0.65 ELSE CASE f.layer WHEN 'tests' THEN 1.0 WHEN 'interface' THEN 0.9 WHEN 'application' THEN 0.85 WHEN 'domain' THEN 0.9 WHEN 'infrastructure' THEN 0.85 ELSE 0.35 END END::double AS confidence FROM f LEFT JOIN b USING (file)""",
+    "layer_votes": rf"""WITH RECURSIVE {I.GRAPH}, w AS (SELECT id, regexp_replace(file, '^src/(internal|retrieval|runtime)/', 'lib/\1-') AS file FROM v), f AS (SELECT *, row_number() OVER (ORDER BY file) AS r FROM (SELECT DISTINCT file, CASE WHEN {TEST.format('file')} THEN 'tests' WHEN (file LIKE 'bin/%' OR regexp_matches(file, '/(mcp|cli|api|routes|hooks)/')) THEN 'interface' WHEN regexp_matches(file, '/(runtime|processor|retrieval|snapshot|code-intelligence)/') THEN 'application'
+WHEN regexp_matches(file, '/(core|memory)/|(^|/)types\.[^/]+$') THEN 'domain' WHEN regexp_matches(file, '/(storage|production|security|config|utils)/') THEN 'infrastructure' ELSE 'unknown' END AS layer FROM w)),
+x AS (SELECT a.file AS x, b.file AS y, CASE e.type WHEN 'CALL_REFERENCE' THEN 6 WHEN 'CALLS' THEN 4 WHEN 'IMPORTS' THEN 4 WHEN 'USES_TYPE' THEN 4 WHEN 'WRITES' THEN 5 WHEN 'INHERITS' THEN 6 WHEN 'IMPLEMENTS' THEN 6 WHEN 'ROUTE' THEN 3 ELSE 1 END AS w FROM e JOIN w a ON a.id = e.src JOIN w b ON b.id = e.dst WHERE a.file <> b.file),
+n AS (SELECT file, other, sum(w)::bigint AS w FROM (SELECT x AS file, y AS other, w FROM x UNION ALL SELECT y, x, w FROM x) GROUP BY ALL), nb AS (SELECT f.r, list({{'r': o.r, 'w': n.w}}) AS nb FROM n JOIN f ON f.file = n.file AND f.layer = 'unknown' JOIN f o ON o.file = n.other GROUP BY f.r),
+sq AS (SELECT row_number() OVER (ORDER BY pass, r) AS k, r, nb FROM nb, (SELECT unnest([1, 2, 3]) AS pass)),
+st AS (SELECT 0::bigint AS k, (SELECT list(layer ORDER BY r) FROM f) AS st UNION ALL SELECT sq.k, list_transform(st.st, lambda v, i: CASE WHEN i = sq.r AND v = 'unknown' THEN coalesce(list_sort(list_filter(list_transform(['application', 'domain', 'infrastructure', 'interface'],
+  lambda l: {{'n': -coalesce(list_sum(list_transform(list_filter(sq.nb, lambda y: st.st[y.r] = l), lambda y: y.w)), 0)::bigint, 'l': l}}), lambda z: z.n <= -4))[1].l, v) ELSE v END) FROM st JOIN sq ON sq.k = st.k + 1),
+z AS (SELECT st FROM st ORDER BY k DESC LIMIT 1)
+SELECT file, z.st[r] AS layer, CASE WHEN layer = 'unknown' AND z.st[r] <> 'unknown' THEN 0.65 ELSE CASE layer WHEN 'tests' THEN 1.0 WHEN 'interface' THEN 0.9 WHEN 'application' THEN 0.85 WHEN 'domain' THEN 0.9 WHEN 'infrastructure' THEN 0.85 ELSE 0.35 END END::double AS confidence FROM f, z""",
+    "clusters": CLUSTERED,
     "display_nodes": rf"""{W}, l AS (SELECT DISTINCT file, CASE WHEN {TEST.format('file')} THEN 'tests' WHEN (file LIKE 'bin/%' OR regexp_matches(file, '/(mcp|cli|api|routes|hooks)/')) THEN 'interface' WHEN regexp_matches(file, '/(runtime|processor|retrieval|snapshot|code-intelligence)/') THEN 'application' WHEN regexp_matches(file, '/(core|memory)/|(^|/)types\.[^/]+$') THEN 'domain' WHEN regexp_matches(file, '/(storage|production|security|config|utils)/') THEN 'infrastructure' ELSE 'unknown' END AS layer, {SUB} AS cluster FROM v)
 SELECT v.id, layer, cluster, (count(*) OVER (PARTITION BY v.file))::double AS score, coalesce(i, 0) AS in_degree, coalesce(o, 0) AS out_degree FROM v JOIN l USING (file) LEFT JOIN (SELECT dst AS id, count(*) AS i FROM e GROUP BY 1) USING (id) LEFT JOIN (SELECT src AS id, count(*) AS o FROM e GROUP BY 1) USING (id)""",
     "intents": f"WITH q AS (SELECT event_id, lower({_at(QUESTIONS, 'event_id % 10')}) AS q FROM events) SELECT event_id, CASE WHEN regexp_matches(q, 'agent trước|previous agent|ai trước|phiên trước') AND regexp_matches(q, '{C.POSITION}') THEN 'summary' ELSE {_rules('q', C.INTENTS, chr(39) + 'summary' + chr(39))} END AS intent FROM q",
