@@ -13,7 +13,7 @@ from pyspark.sql.window import Window
 
 from tessera.functions import paths as P
 from tessera.functions import scoring as S
-from tessera.operators.lineage import cut
+from tessera.operators.lineage import cut, stored
 
 
 def resolved(edges: DataFrame, vertices: DataFrame, columns: tuple[str, ...] = ("file",)) -> DataFrame:
@@ -42,13 +42,15 @@ def neighbours(edges: DataFrame, vertices: DataFrame, start: DataFrame, types: l
     return found.join(vertices, "id")
 
 
-def neighbourhood(edges: DataFrame, vertices: DataFrame, start: DataFrame, types: list[str]) -> DataFrame:
-    """``origin, id, direction, via, depth`` of what is one edge away either way; of several edges between two the first (by ``ord``)."""
-    rows = edges.where(F.col("type").isin(types)).join(vertices.select(F.col("id").alias("src")), "src", "left_semi").join(vertices.select(F.col("id").alias("dst")), "dst", "left_semi")
-    one = rows.groupBy("src", "dst").agg(F.min_by("type", F.struct("ord", "type")).alias("via"))
-    ids = start.select(F.col("id").alias("origin"))
-    way = lambda near, far, name: one.join(ids, F.col(near) == F.col("origin")).select("origin", F.col(far).alias("id"), F.lit(name).alias("direction"), "via", F.lit(1).alias("depth"))
-    return way("src", "dst", "out").unionByName(way("dst", "src", "in"))
+def neighbourhood(edges: DataFrame, vertices: DataFrame, start: DataFrame, types: list[str], depth: int = 1) -> DataFrame:
+    """``origin, id, direction, via, depth`` of what is at most so many edges away, along the edges (out) and against them (in).
+
+    ``via`` is the type of the first edge (by ``ord``) that gets there in as few steps. Edges that end nowhere lead nowhere.
+    """
+    rows = stored(edges.where(F.col("type").isin(types)).join(vertices.select(F.col("id").alias("src")), "src", "left_semi").join(vertices.select(F.col("id").alias("dst")), "dst", "left_semi").select("src", "dst", "type", "ord"), "edges")
+    ids = start.select(F.col("id").alias("origin"), "id")
+    way = lambda reverse, name: reach(rows, ids, types, depth, reverse).where("depth > 0").select("origin", "id", F.lit(name).alias("direction"), "via", "depth")
+    return way(False, "out").unionByName(way(True, "in"))
 
 
 def reach(edges: DataFrame, start: DataFrame, types: list[str], depth: int, reverse: bool = False) -> DataFrame:
@@ -69,28 +71,68 @@ def reach(edges: DataFrame, start: DataFrame, types: list[str], depth: int, reve
     return seen
 
 
-def shortest_path(edges: DataFrame, src: str, dst: str, types: list[str], depth: int = 12) -> DataFrame:
-    """``place, id`` of a shortest directed path, empty if there is none within the depth.
+def shortest_paths(edges: DataFrame, pairs: DataFrame, types: list[str], depth: int = 12) -> DataFrame:
+    """``pair, place, id, via, ord`` of a shortest directed path for each pair (``pair, src, dst``) that has one within the depth.
 
-    Levels are found by joins that end when the goal is reached; the way back takes one vertex a step.
+    Of several the one that leaves by the edge of the least ``ord``, from the source on: the path that a search in the order of edges finds first.
+    Both ends of all pairs are widened in turn, a level a step, until they meet; so either side goes half the way. Then the vertices on paths are marked, from the
+    meeting back to the source, and all paths are walked at once. ``via`` and ``ord`` are those of the edge that leads to ``id``.
     """
-    spark = edges.sparkSession
-    step = edges.where(F.col("type").isin(types)).select("src", "dst", "ord")
-    level = spark.createDataFrame([(src,)], "id string")
-    levels, seen = [level], level
-    while dst != src and len(levels) <= depth and levels[-1].where(F.col("id") == dst).isEmpty():
-        level = cut(levels[-1].join(step, F.col("id") == F.col("src")).select(F.col("dst").alias("id")).distinct().join(seen, "id", "left_anti"))
-        if level.isEmpty():
-            return spark.createDataFrame([], "place int, id string")
-        levels.append(level)
-        seen = seen.union(level)
-    if dst != src and levels[-1].where(F.col("id") == dst).isEmpty():
-        return spark.createDataFrame([], "place int, id string")
-    path = [dst]
-    for level in levels[-2::-1]:
-        found = step.where(F.col("dst") == path[-1]).join(level, F.col("src") == level["id"]).orderBy("ord", "src").select("src").first()
-        path.append(found[0])
-    return spark.createDataFrame(list(enumerate(reversed(path))), "place int, id string")
+    step = stored(edges.where(F.col("type").isin(types)).select("src", "dst", "type", "ord"), "steps")
+    ahead = [stored(pairs.select("pair", F.col("src").alias("id")).distinct(), "ahead")]
+    behind = [stored(pairs.select("pair", F.col("dst").alias("id")).distinct(), "behind")]
+    seen = {"ahead": ahead[0], "behind": behind[0]}
+    met = stored(ahead[0].join(behind[0], ["pair", "id"]).withColumn("a", F.lit(0)).withColumn("b", F.lit(0)), "met")
+    parts = [met]
+    done = met.select("pair").distinct()
+    for d in range(depth):
+        forward = d % 2 == 0
+        side, name, near, far = (ahead, "ahead", "src", "dst") if forward else (behind, "behind", "dst", "src")
+        front = side[-1].join(done, "pair", "left_anti")
+        new = front.join(step, F.col("id") == F.col(near)).select("pair", F.col(far).alias("id")).distinct().join(seen[name], ["pair", "id"], "left_anti")
+        side.append(stored(new, name))
+        seen[name] = seen[name].unionByName(side[-1])
+        if side[-1].isEmpty():
+            break
+        other = behind if forward else ahead
+        met = stored(side[-1].join(other[-1].join(done, "pair", "left_anti"), ["pair", "id"]).withColumn("a", F.lit(len(ahead) - 1)).withColumn("b", F.lit(len(behind) - 1)), "met")
+        parts.append(met)
+        done = done.unionByName(met.select("pair").distinct())
+    # what lies on a path: from where the sides met back to the source, and what was reached from the goal
+    places, useful = [], None
+    for k in range(len(ahead) - 1, -1, -1):
+        ends = parts[0].where("false").select("pair", "id", "a", "b")
+        for m in parts:
+            ends = ends.unionByName(m.where(F.col("a") == k).select("pair", "id", "a", "b"))
+        if useful is not None:
+            back = useful.join(step, F.col("id") == F.col("dst")).select("pair", F.col("src").alias("id"), "a", "b").join(ahead[k], ["pair", "id"], "left_semi")
+            ends = ends.unionByName(back).distinct()
+        useful = stored(ends, "useful")
+        places.append(useful.select("pair", F.lit(k).alias("place"), "id"))
+    lengths = stored(parts_of(parts), "lengths")
+    for j in range(len(behind) - 1):
+        places.append(behind[j].join(lengths.where(F.col("b") > j), "pair").select("pair", (F.col("a") + F.col("b") - j).alias("place"), "id"))
+    on = places[0]
+    for x in places[1:]:
+        on = on.unionByName(x)
+    on = stored(on.distinct(), "places")
+    here = pairs.select("pair", F.col("src").alias("id")).distinct().join(lengths, "pair", "left_semi").select("pair", F.lit(0).alias("place"), "id", F.lit(None).cast("string").alias("via"), F.lit(None).cast("long").alias("ord"))
+    out = here = stored(here, "walk")
+    for place in range(1, len(ahead) + len(behind) - 1):
+        ways = here.select("pair", "id").join(step, F.col("id") == F.col("src")).select("pair", F.col("dst").alias("id"), "type", "ord").join(on.where(F.col("place") == place).select("pair", "id"), ["pair", "id"])
+        here = stored(ways.groupBy("pair").agg(F.min_by(F.struct("id", "type", "ord"), F.struct("ord", "id", "type")).alias("x")).select("pair", F.lit(place).alias("place"), "x.id", F.col("x.type").alias("via"), "x.ord"), "walk")
+        if here.isEmpty():
+            break
+        out = out.unionByName(here)
+    return out
+
+
+def parts_of(met: list[DataFrame]) -> DataFrame:
+    """``pair, a, b``: how far either side had gone when they met."""
+    out = met[0]
+    for m in met[1:]:
+        out = out.unionByName(m)
+    return out.select("pair", "a", "b").distinct()
 
 
 def changed_symbols(hunks: DataFrame, vertices: DataFrame) -> DataFrame:
@@ -118,6 +160,19 @@ def blast_radius(edges: DataFrame, vertices: DataFrame, changed: DataFrame, dept
     return out.select("origin", F.coalesce("reached", F.lit(0)).alias("reached"), F.coalesce("files", F.lit(0)).alias("files"), "score", S.risk_of(F.col("score")).alias("risk"))
 
 
+def blast_files(edges: DataFrame, vertices: DataFrame, changed: DataFrame, depth: int = 4, fallback: int = 10) -> DataFrame:
+    """By change (``change, id``: its symbols) the files that it may break: ``change, file, depth, symbols, is_test, suggested``.
+
+    ``suggested``: the tests among them, or, where there are none, the first ``fallback`` files, nearest first.
+    """
+    start = changed.select("id").distinct().select(F.col("id").alias("origin"), "id")
+    got = reach(edges, start, P.BLAST, depth, reverse=True).where("depth > 0").join(vertices.select("id", "file"), "id")
+    by = changed.select("change", F.col("id").alias("origin")).join(got, "origin").groupBy("change", "file").agg(F.min("depth").alias("depth"), F.count_distinct("id").alias("symbols")).withColumn("is_test", P.is_test(F.col("file")))
+    every = Window.partitionBy("change")
+    rows = by.withColumn("tests", F.max(F.col("is_test")).over(every)).withColumn("place", F.row_number().over(every.orderBy("depth", "file")))
+    return rows.select("change", "file", "depth", "symbols", "is_test", F.when(F.col("tests"), F.col("is_test")).otherwise(F.col("place") <= fallback).alias("suggested"))
+
+
 def file_dependencies(edges: DataFrame, vertices: DataFrame) -> DataFrame:
     """By file: distinct files it depends on and that depend on it, and the edges either way (files without any stay)."""
     cross = resolved(edges.where(F.col("type").isin(P.DEPENDENCY)), vertices).where("src_file <> dst_file")

@@ -9,6 +9,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+from tessera.operators.lineage import stored
+
 from tessera.functions.text import squeeze
 
 # Packages that tell of a framework, a database, a state library, a build tool; the first that is there decides.
@@ -194,11 +196,34 @@ def found_files(texts: DataFrame, most: int = 8) -> DataFrame:
 
 
 def resolved_symbols(asked: DataFrame, symbols: DataFrame) -> DataFrame:
-    """``asked, id, rank``: the symbol that a word names - by identifier (0), by exact name (1), else the first whose name has it (2)."""
-    by_id = asked.join(symbols.select(F.col("id").alias("asked"), "id"), "asked").select("asked", "id", F.lit(0).alias("rank"))
-    by_name = asked.join(symbols.select(F.col("name").alias("asked"), "id"), "asked").groupBy("asked").agg(F.min("id").alias("id")).withColumn("rank", F.lit(1))
-    exact = by_id.unionByName(by_name).groupBy("asked").agg(F.min_by("id", "rank").alias("id"), F.min("rank").alias("rank"))
-    return exact
+    """``asked, id, rank``: the symbol that a word names - by identifier (0), by exact name or qualified name (1), else one whose name, qualified name or file holds it, whatever the case (2).
+
+    Of several the one whose whole name it is comes first, then by file and identifier. Words and symbols meet by the rarest three letters of
+    a word (fewer, if it is shorter), so no word is tried on every symbol. ``symbols`` may have ``qualified``.
+    """
+    rows = symbols.select("id", "name", F.col("qualified" if "qualified" in symbols.columns else "name").alias("qualified"), "file")
+    words = asked.select("asked").where(F.trim("asked") != "").distinct()
+    by_id = words.join(rows.select(F.col("id").alias("asked"), "id"), "asked").select("asked", "id", F.lit(0).alias("rank"))
+    whole = F.lower("name") != F.lower(F.trim("asked"))
+    order = F.struct(whole.alias("w"), F.col("file").alias("f"), F.col("id").alias("i"))
+    named = rows.select(F.explode(F.array_distinct(F.array("name", "qualified"))).alias("asked"), "id", "name", "file")
+    by_name = words.join(named, "asked").groupBy("asked").agg(F.min_by("id", order).alias("id")).withColumn("rank", F.lit(1))
+    exact = stored(by_id.unionByName(by_name).groupBy("asked").agg(F.min_by("id", "rank").alias("id"), F.min("rank").alias("rank")), "exact")
+    low = stored(words.join(exact, "asked", "left_anti").withColumn("low", F.lower(F.trim("asked"))), "words")
+    text = F.lower(F.concat_ws("\n", "name", "qualified", "file"))
+    grams = lambda t, n: F.array_distinct(F.transform(F.sequence(F.lit(1), F.greatest(F.length(t) - n + 1, F.lit(1))), lambda i: F.substring(t, i, F.lit(n))))
+    hits = None
+    for n in (1, 2, 3):
+        own = low.where(F.length("low") >= 3) if n == 3 else low.where(F.length("low") == n)
+        if own.isEmpty():
+            continue
+        parts = stored(rows.withColumn("text", text).select("id", F.explode(grams(F.col("text"), n)).alias("gram")), "grams")
+        counts = parts.groupBy("gram").agg(F.count(F.lit(1)).alias("n"))
+        rare = own.select("asked", "low", F.explode(grams(F.col("low"), n)).alias("gram")).join(counts, "gram", "left").groupBy("asked", "low").agg(F.min_by("gram", F.coalesce("n", F.lit(0))).alias("gram"))
+        found = rare.join(parts, "gram").join(rows.withColumn("text", text), "id").where(F.contains(F.col("text"), F.col("low")))
+        best = found.groupBy("asked").agg(F.min_by("id", order).alias("id")).withColumn("rank", F.lit(2))
+        hits = best if hits is None else hits.unionByName(best)
+    return exact if hits is None else exact.unionByName(hits)
 
 
 def handoff(items: DataFrame, current: DataFrame, actions: DataFrame, tests: DataFrame, most: int = 30) -> DataFrame:

@@ -56,10 +56,16 @@ def blast_radius(spark, d):
     return G.blast_radius(e, v, changed)
 
 
-def shortest_path(spark, d):
+def shortest_paths(spark, d):
     e, _ = _g(spark, d)
-    first = I.table(spark, d, "lineitem").where("l_linenumber = 1").orderBy("l_orderkey").select("l_orderkey", "l_suppkey").first()
-    return G.shortest_path(e, f"o:{first[0]}", f"s:{first[1]}", P.DEPENDENCY)
+    pairs = I.table(spark, d, "orders").select(F.col("o_orderkey").alias("pair"), F.expr("concat('o:', o_orderkey)").alias("src"), F.when(F.col("o_orderkey") % 9 == 0, F.expr("concat('o:', o_orderkey)")).otherwise(F.expr("concat('n:', o_orderkey % 25)")).alias("dst"))
+    return G.shortest_paths(e, pairs, P.DEPENDENCY, 3)
+
+
+def blast_files(spark, d):
+    e, v = _g(spark, d)
+    s = I.table(spark, d, "supplier")
+    return G.blast_files(e, v, s.select((F.col("s_suppkey") % 20).alias("change"), F.expr("concat('s:', s_suppkey)").alias("id")), 2)
 
 
 def changed_symbols(spark, d):
@@ -135,7 +141,7 @@ def cluster_rollup(spark, d):
 
 def neighbourhood(spark, d):
     e, v = _g(spark, d)
-    return G.neighbourhood(e, v, v.where("type IN ('function', 'class')"), P.USAGE).groupBy("origin", "direction", "via").agg(F.count(F.lit(1)).alias("n"), F.min("id").alias("first"))
+    return G.neighbourhood(e, v, v.where("type IN ('function', 'class')"), P.USAGE, 2)
 
 
 def dead_code_list(spark, d):
@@ -209,8 +215,10 @@ PAIRS = f"cp AS (SELECT least(src_file, dst_file) AS a, greatest(src_file, dst_f
 DEAD = rf"""u AS (SELECT * FROM e WHERE type IN ('CALLS', 'CALL_REFERENCE', 'IMPORTS', 'USES_TYPE', 'WRITES', 'INHERITS', 'IMPLEMENTS', 'ROUTE', 'TESTS')), s AS (SELECT v.*, (SELECT count(*) FROM u WHERE u.src = v.id) AS outgoing FROM v WHERE type IN ('function', 'method', 'class', 'interface', 'property') AND NOT {TEST.format('file')} AND NOT regexp_matches(file, '(^|/)bin/') AND NOT regexp_matches(file, '(^|/)(index|main|server|cli)\\.[^./]+$') AND id NOT IN (SELECT dst FROM u)),
 q AS (SELECT *, 50 + CASE WHEN type IN ('function', 'method') THEN 20 ELSE 0 END - CASE WHEN type = 'property' THEN 15 ELSE 0 END + CASE WHEN outgoing = 0 THEN 10 ELSE 0 END + CASE WHEN contains(file, '/internal/') THEN 10 ELSE 0 END + CASE WHEN starts_with(name, '_') THEN 5 ELSE 0 END AS score FROM s)"""
 SQL = {
-    "neighbourhood": f"""{W}, p AS (SELECT src, dst, arg_min(type, (ord, type)) AS via FROM e WHERE type IN ('CALLS', 'CALL_REFERENCE', 'IMPORTS', 'USES_TYPE', 'WRITES', 'INHERITS', 'IMPLEMENTS', 'ROUTE', 'TESTS') GROUP BY ALL), a AS (SELECT id FROM v WHERE type IN ('function', 'class')), x AS (SELECT src AS origin, dst AS id, 'out' AS direction, via FROM p UNION ALL SELECT dst, src, 'in', via FROM p)
-SELECT origin, direction, via, count(*) AS n, min(id) AS first FROM x WHERE origin IN (SELECT id FROM a) AND id IN (SELECT id FROM v) GROUP BY ALL""",
+    "neighbourhood": f"""{W}, d AS (SELECT e.* FROM e WHERE type IN ('CALLS', 'CALL_REFERENCE', 'IMPORTS', 'USES_TYPE', 'WRITES', 'INHERITS', 'IMPLEMENTS', 'ROUTE', 'TESTS') AND src IN (SELECT id FROM v) AND dst IN (SELECT id FROM v)), x AS (SELECT src AS a, dst AS b, type, ord, 'out' AS direction FROM d UNION ALL SELECT dst, src, type, ord, 'in' FROM d),
+h AS (SELECT a AS origin, b AS id, direction, arg_min(x.type, (x.ord, x.type)) AS via FROM x JOIN v ON v.id = x.a AND v.type IN ('function', 'class') GROUP BY ALL),
+t AS (SELECT h.origin, x.b AS id, h.direction, arg_min(x.type, (x.ord, x.type)) AS via FROM h JOIN x ON x.a = h.id AND x.direction = h.direction WHERE x.b <> h.origin GROUP BY ALL)
+SELECT origin, id, direction, via, 1::int AS depth FROM h UNION ALL SELECT origin, id, direction, via, 2 FROM t WHERE NOT EXISTS (SELECT 1 FROM h WHERE h.origin = t.origin AND h.id = t.id AND h.direction = t.direction)""",
     "dead_code_list": f"{W}, {DEAD} SELECT id, score FROM q WHERE score >= 55 ORDER BY score DESC, file, name, id LIMIT 50",
     "dead_code_confidence": f"{W}, {DEAD} SELECT count_if(score >= 75)::bigint AS high, count_if(score >= 55 AND score < 75)::bigint AS medium, count_if(score < 55)::bigint AS low, count(*) AS total FROM q",
     "file_dependency_lists": f"""{W}, {ENDS}, p AS (SELECT DISTINCT src_file, dst_file FROM r WHERE type IN ('CALLS', 'CALL_REFERENCE', 'IMPORTS', 'USES_TYPE', 'WRITES', 'INHERITS', 'IMPLEMENTS', 'ROUTE') AND src_file <> dst_file)
@@ -234,8 +242,16 @@ sums AS (SELECT origin, count(*) AS reached, count(DISTINCT file) AS files, sum(
 own AS (SELECT 's:' || s_suppkey AS origin, CASE s_suppkey % 3 WHEN 0 THEN 8 WHEN 1 THEN 5 ELSE 2 END + 3 AS own FROM supplier),
 res AS (SELECT origin, coalesce(reached, 0) AS reached, coalesce(files, 0) AS files, (own + coalesce(w, 0))::bigint AS score FROM own LEFT JOIN sums USING (origin))
 SELECT *, CASE WHEN score >= 30 THEN 'CRITICAL' WHEN score >= 16 THEN 'HIGH' WHEN score >= 6 THEN 'MEDIUM' ELSE 'LOW' END AS risk FROM res""",
-    "shortest_path": f"""{W}, l AS (SELECT 'o:' || l_orderkey AS o, 's:' || l_suppkey AS s FROM lineitem WHERE l_linenumber = 1 ORDER BY l_orderkey LIMIT 1), d AS (SELECT src, dst, ord FROM e WHERE type IN {_in(P.DEPENDENCY)}),
-m AS (SELECT b.src AS id FROM l JOIN d b ON b.dst = l.s JOIN d a ON a.src = l.o AND a.dst = b.src ORDER BY b.ord, b.src LIMIT 1) SELECT 0::int AS place, o AS id FROM l UNION ALL SELECT 1, id FROM m UNION ALL SELECT 2, s FROM l""",
+    "shortest_paths": f"""WITH RECURSIVE {I.GRAPH}, d AS (SELECT src, dst, type, ord FROM e WHERE type IN ('CALLS', 'CALL_REFERENCE', 'IMPORTS', 'USES_TYPE', 'WRITES', 'INHERITS', 'IMPLEMENTS', 'ROUTE')),
+q AS (SELECT o_orderkey AS pair, 'o:' || o_orderkey AS src, CASE WHEN o_orderkey % 9 = 0 THEN 'o:' || o_orderkey ELSE 'n:' || (o_orderkey % 25) END AS dst FROM orders),
+w(pair, id, dst, n, ords, steps) AS (SELECT pair, src, dst, 0, []::bigint[], [{{'id': src, 'via': NULL::varchar, 'ord': NULL::bigint}}] FROM q
+UNION ALL SELECT w.pair, d.dst, w.dst, n + 1, list_append(ords, d.ord), list_append(steps, {{'id': d.dst, 'via': d.type, 'ord': d.ord}}) FROM w JOIN d ON d.src = w.id WHERE n < 3 AND w.id <> w.dst),
+b AS (SELECT pair, steps FROM w WHERE id = dst QUALIFY row_number() OVER (PARTITION BY pair ORDER BY n, list_transform(steps[2:], lambda x: {{'o': x.ord, 'i': x.id, 't': x.via}})) = 1)
+SELECT pair, (unnest(range(0, len(steps))))::int AS place, unnest(list_transform(steps, lambda x: x.id)) AS id, unnest(list_transform(steps, lambda x: x.via)) AS via, unnest(list_transform(steps, lambda x: x.ord)) AS ord FROM b""",
+    "blast_files": rf"""WITH {I.GRAPH}, d AS (SELECT src, dst FROM e WHERE type IN ('CALLS', 'CALL_REFERENCE', 'USES_TYPE', 'TESTS', 'ROUTE', 'WRITES', 'IMPORTS', 'INHERITS', 'IMPLEMENTS', 'DEFINES')), c AS (SELECT s_suppkey % 20 AS change, 's:' || s_suppkey AS id FROM supplier),
+h AS (SELECT DISTINCT change, c.id AS origin, d.src AS id, 1 AS depth FROM c JOIN d ON d.dst = c.id), t AS (SELECT change, origin, id, min(depth) AS depth FROM (SELECT * FROM h UNION ALL SELECT h.change, h.origin, d.src, 2 FROM h JOIN d ON d.dst = h.id WHERE d.src <> h.origin) GROUP BY ALL),
+f AS (SELECT change, file, min(depth)::int AS depth, count(DISTINCT v.id) AS symbols, starts_with(lower(file), 'tests/') OR contains(lower(file), '/tests/') OR contains(lower(file), '__tests__') OR regexp_matches(lower(file), '\.(test|spec)\.[^.]+$') AS is_test FROM t JOIN v ON v.id = t.id GROUP BY change, file)
+SELECT change, file, depth, symbols, is_test, CASE WHEN bool_or(is_test) OVER (PARTITION BY change) THEN is_test ELSE row_number() OVER (PARTITION BY change ORDER BY depth, file) <= 10 END AS suggested FROM f""",
     "changed_symbols": f"""{W}, h AS (SELECT 'src/retrieval/' || c_mktsegment || '/n' || c_nationkey || '.ts' AS file, (c_custkey * 7) % 4000 AS a, (c_custkey * 7) % 4000 + 12 AS b FROM customer UNION ALL SELECT 'src/core/region' || r_regionkey || '.ts', NULL, NULL FROM region),
 dr AS (SELECT DISTINCT v.id, v.file FROM v JOIN h USING (file) WHERE v.type <> 'file' AND v.start_line IS NOT NULL AND (a IS NULL OR (start_line <= b AND end_line >= a)))
 SELECT * FROM dr UNION ALL SELECT v.id, v.file FROM v WHERE type = 'file' AND file IN (SELECT file FROM h) AND file NOT IN (SELECT file FROM dr)""",

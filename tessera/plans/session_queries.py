@@ -253,8 +253,9 @@ def rule_matches(spark, d):
 
 def resolved_symbols(spark, d):
     v = I.vertices(spark, d)
-    asked = v.select(F.col("name").alias("asked")).union(v.where("type = 'class'").select("id")).distinct()
-    return H.resolved_symbols(asked, v)
+    part = v.where("type = 'interface'").select(F.upper(F.substring("name", 3, 4))).union(v.where("type = 'module'").select(F.substring("name", 1, 2))).union(v.where("type = 'function'").select(F.substring("file", 10, 9)))
+    asked = v.select(F.col("name").alias("asked")).union(v.where("type = 'class'").select("id")).union(part).union(v.where("type = 'file'").select(F.concat(F.lit(" no "), "name"))).distinct()
+    return H.resolved_symbols(asked, v.withColumn("qualified", F.concat_ws(".", "type", "name")))
 
 
 def incremental_items(spark, d):
@@ -527,6 +528,9 @@ u AS (SELECT project, lower(text) AS key, max((session, seq, p)) AS place, arg_m
     "rule_matches": f"""WITH r AS (SELECT n_nationkey::bigint AS rule_id, n_nationkey % 5 AS t, CASE WHEN n_nationkey % 4 <> 3 THEN {_at(['path', 'command', 'security'], 'n_nationkey % 3')} END AS category FROM nation), e AS (SELECT event_id AS target_id, event_id % 7 AS t, CASE WHEN event_id % 7 IN (0, 1, 4) THEN 'path' ELSE 'command' END AS type FROM events),
 f AS (SELECT target_id, type, 'production' AS family, 1 AS rt FROM e WHERE t = 0 UNION ALL SELECT target_id, type, 'source', 2 FROM e WHERE t IN (0, 4) UNION ALL SELECT target_id, type, 'deploy', 3 FROM e WHERE t = 2 UNION ALL SELECT target_id, type, 'never', 0 FROM e WHERE t IN (3, 5))
 SELECT target_id, family, count(*) AS rules, min(rule_id) AS first FROM f JOIN r ON r.t = f.rt WHERE category IS NULL OR category = type OR category = 'security' GROUP BY ALL""",
-    "resolved_symbols": f"WITH {I.GRAPH}, q AS (SELECT name AS asked FROM v UNION SELECT id FROM v WHERE type = 'class') SELECT asked, coalesce((SELECT min(id) FROM v WHERE id = asked), (SELECT min(id) FROM v WHERE name = asked)) AS id, CASE WHEN asked IN (SELECT id FROM v) THEN 0 ELSE 1 END::int AS rank FROM q",
+    "resolved_symbols": f"""WITH {I.GRAPH}, q AS (SELECT name AS asked FROM v UNION SELECT id FROM v WHERE type = 'class' UNION SELECT upper(substr(name, 3, 4)) FROM v WHERE type = 'interface' UNION SELECT substr(name, 1, 2) FROM v WHERE type = 'module' UNION SELECT substr(file, 10, 9) FROM v WHERE type = 'function' UNION SELECT ' no ' || name FROM v WHERE type = 'file'),
+x AS (SELECT asked, arg_min(v.id, (lower(name) <> lower(asked), file, v.id)) AS id, 1 AS rank FROM q JOIN v ON name = asked OR type || '.' || name = asked GROUP BY asked), b AS (SELECT asked, asked AS id, 0 AS rank FROM q WHERE asked IN (SELECT id FROM v) UNION ALL SELECT * FROM x WHERE asked NOT IN (SELECT id FROM v)),
+s AS (SELECT asked, arg_min(v.id, (lower(name) <> lower(trim(asked)), file, v.id)) AS id, 2 AS rank FROM (SELECT asked FROM q WHERE asked NOT IN (SELECT asked FROM b) AND trim(asked) <> '') JOIN v ON contains(lower(name || chr(10) || type || '.' || name || chr(10) || file), lower(trim(asked))) GROUP BY asked)
+SELECT asked, id, rank::int AS rank FROM b UNION ALL SELECT asked, id, rank::int FROM s""",
 }
 SQL["dangerous_commands"] = SQL["dangerous_commands"].replace("SELECT event_id, ", "SELECT event_id, nullif(", 1).replace(" AS c, ", ", '') AS command, nullif(", 1).replace(" AS p FROM", ", '') AS path FROM", 1)
