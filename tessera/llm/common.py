@@ -73,6 +73,11 @@ class Numbered:
         return out.select(*[F.col(f"c{i}").alias(c) for i, c in enumerate(self.names)])
 
 
+def whole_number(docs: DataFrame, column: str) -> bool:
+    """Whether a column holds whole numbers that fit a long."""
+    return docs.select(f"`{column}`").schema[0].dataType.typeName() in ("byte", "short", "integer", "long")
+
+
 def ascii_lower(text: Column) -> Column:
     """Lower-case A-Z and nothing else."""
     return F.translate(text, UPPER, UPPER.lower())

@@ -25,7 +25,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tessera.llm.blocks import marked_ids, summed, table_size
-from tessera.llm.common import stored, text_slices, unused
+from tessera.llm.common import stored, text_slices, unused, whole_number
 from tessera.llm.components import components
 from tessera.llm.shingles import U, _mixed, shingle_sets
 
@@ -296,14 +296,31 @@ def set_classes(docs: DataFrame, words: int = 3, num: int = 9, den: int = 10, id
     )
 
 
+def _numbered(docs: DataFrame, id_col: str, text_col: str) -> tuple[DataFrame, DataFrame]:
+    """``id`` (a number for each identifier), ``text`` of rows, and ``id, name``: which identifier has which number."""
+    names = stored(docs.select(F.col(id_col).alias("name")).where("name IS NOT NULL").distinct().withColumn("id", F.monotonically_increasing_id()), "names")
+    return docs.select(F.col(id_col).alias("name"), F.col(text_col).alias("text")).join(names, "name", "left").select("id", "text"), names
+
+
+def classes(docs: DataFrame, words: int, num: int, den: int, id_col: str, text_col: str, few: int) -> DataFrame:
+    """As ``set_classes``, with identifiers of any type: those that are no whole numbers are numbered first, and the smallest of a component is told after."""
+    if whole_number(docs, id_col):
+        return set_classes(docs, words, num, den, id_col, text_col, few)
+    rows, names = _numbered(docs, id_col, text_col)
+    out = stored(set_classes(rows, words, num, den, "id", "text", few), "classes")
+    named = out.join(names, "id", "left")
+    least = named.where("id IS NOT NULL").groupBy("component").agg(F.min("name").alias("least"))
+    return named.join(least, "component", "left").select(F.col("name").alias("id"), "n", F.col("least").alias("component"))
+
+
 def ngram_join(docs: DataFrame, words: int = 3, num: int = 9, den: int = 10, id_col: str = "doc_id", text_col: str = "text", few: int = FEW) -> DataFrame:
-    """The identifier (as long), ``n_shingles`` and ``component_id`` of every row of ``docs``.
+    """The identifier (whole numbers as long, others as they are), ``n_shingles`` and ``component_id`` of every row of ``docs``.
 
     A null, empty or blank text has no shingles and is its own component; a text with fewer words than a shingle has
     one, its whole sequence. Identifiers are taken to be unique but for repeated rows, which get equal results; a row without identifier
     links nothing and has no component. An empty table gives an empty result; other columns play no part.
     """
-    out = set_classes(docs, words, num, den, id_col, text_col, few)
+    out = classes(docs, words, num, den, id_col, text_col, few)
     return out.select(F.col("id").alias(id_col), F.col("n").alias("n_shingles"), F.when(F.col("id").isNotNull(), F.col("component")).alias("component_id"))
 
 
@@ -312,7 +329,7 @@ def drop_similar(docs: DataFrame, words: int = 5, num: int = 4, den: int = 5, id
 
     Rows without identifier, text or words stay, and so do repeated rows of an identifier that stays. An empty table stays empty.
     """
-    out = set_classes(docs, words, num, den, id_col, text_col)
+    out = classes(docs, words, num, den, id_col, text_col, FEW)
     gone = out.where("id <> component").select("id").distinct()
     key = unused("gone", docs)
-    return docs.join(gone.withColumnRenamed("id", key), F.col(f"`{id_col}`").cast("long") == F.col(key), "left_anti")
+    return docs.join(gone.withColumnRenamed("id", key), (F.col(f"`{id_col}`").cast("long") if whole_number(docs, id_col) else F.col(f"`{id_col}`")) == F.col(key), "left_anti")

@@ -20,7 +20,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tessera.llm.blocks import marked_ids
-from tessera.llm.common import stored, text_slices
+from tessera.llm.common import stored, text_slices, whole_number
 from tessera.llm.shingles import U, _mixed, _powers, text_bytes
 from tessera.llm.suffix_groups import common_prefixes, suffix_array
 
@@ -239,9 +239,10 @@ def _strings(z: Sizes):
 
 
 def keys(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
-    """``id``, ``text``, and ``doc`` and ``mark``, which name the row: its identifier (a hash of its text where it has none) and a hash of its text."""
+    """``id``, ``text``, and ``doc`` and ``mark``, which name the row: its identifier (a hash of it if it is no whole number, of the text where there is none) and a hash of its text."""
     text = F.coalesce(F.col(text_col), F.lit(""))
-    return docs.select(F.col(id_col).alias("id"), text.alias("text"), F.coalesce(F.col(id_col).cast("long"), F.xxhash64(text)).alias("doc"), F.xxhash64(F.lit("mark"), text).alias("mark"))
+    own = F.col(id_col).cast("long") if whole_number(docs, id_col) else F.when(F.col(id_col).isNotNull(), F.xxhash64(id_col))
+    return docs.select(F.col(id_col).alias("id"), text.alias("text"), F.coalesce(own, F.xxhash64(text)).alias("doc"), F.xxhash64(F.lit("mark"), text).alias("mark"))
 
 
 def repeated_spans(rows: DataFrame, z: Sizes, many: int = MANY) -> DataFrame:
@@ -290,7 +291,7 @@ def remove_repeats(docs: DataFrame, length: int = LENGTH, gram: int = GRAM, bloc
 
     Each byte that a string of ``length`` bytes covers which also starts anywhere else goes; strings are those of the input. A null text
     is empty; a text shorter than ``length`` stays; of repeated rows all go, with or without identifier; rows that share an identifier
-    but not the text are rows of their own. An empty table gives an empty result; other columns play no part.
+    but not the text are rows of their own. Identifiers may be of any type. An empty table gives an empty result; other columns play no part.
     """
     z = Sizes(length, gram, block)
     rows = keys(docs, id_col, text_col)
