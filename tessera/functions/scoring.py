@@ -7,6 +7,8 @@ import math
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+from tessera.functions.text import EDGE
+
 
 
 # Scores, half-lives and limits in days, priorities.
@@ -136,9 +138,7 @@ def quality(type_: Column, importance: Column, content: Column, tags: Column, up
     trimmed = F.trim(content)
     n = F.length(trimmed)
     low = F.lower(trimmed)
-    noise = n < 8
-    for p in NOISE:
-        noise = noise | low.rlike(p)
+    noise = (n < 8) | low.rlike("|".join(f"(?:{p})" for p in NOISE))
     stale = age_days(updated, now) >= first_tag(tags, STALE_CLASS, choose(type_, STALE_TYPE))
     score = (
         F.lit(50) + first_tag(tags, CLASS_DELTA, F.lit(0)) + choose(importance, IMPORTANCE_DELTA, 0) + F.when(type_.isin("rule", "decision"), 10).otherwise(0)
@@ -163,7 +163,7 @@ def candidate(importance: Column, confidence: Column, kind: Column) -> dict[str,
 
 
 def fact_category(text: Column) -> Column:
-    """The first of some families of words that occurs, else decision; English and Vietnamese, as whole words in any case."""
+    """The first of some families of words that occurs, else decision; English and Vietnamese, as whole words in any case; word edges are those of ASCII words, whatever the Java version."""
     # Words of each category, in order; letters beyond ASCII need (?u) to match in any case.
     rules = [
         ("rule", r"(?i)\b(rule|policy|standard|convention|always|never|must|should|(?u:quy tắc|từ giờ|không được))\b"), ("fix", r"(?i)\b(fix|fixed|bug|issue|error|(?u:lỗi))\b"), ("blocker", r"(?i)\b(blocker|blocked|stuck|cannot|(?u:không thể))\b"),
@@ -171,7 +171,8 @@ def fact_category(text: Column) -> Column:
     ]
     out = None
     for name, p in rules:
-        out = F.when(text.rlike(p), name) if out is None else out.when(text.rlike(p), name)
+        met = text.rlike(p.replace(r"\b", EDGE))
+        out = F.when(met, name) if out is None else out.when(met, name)
     return out.otherwise("decision")
 
 

@@ -26,6 +26,16 @@ SECRETS = [
 # Words that say nothing about a topic.
 STOPWORDS = ["dùng", "sử", "dụng", "use", "using", "the", "a", "an", "cho", "và", "là", "của", "to", "for", "with", "quyết", "định"]
 
+#: The edge of an ASCII word: between letters, digits or ``_`` and anything else, letters with accents included.
+EDGE = r"(?:(?<![A-Za-z0-9_])(?=[A-Za-z0-9_])|(?<=[A-Za-z0-9_])(?![A-Za-z0-9_]))"
+#: White space of all kinds, ends of lines and the byte order mark included.
+BLANKS = "\t\n\x0b\x0c\r \u00a0\u1680\u2000\u2001\u2002\u2003\u2004\u2005\u2006\u2007\u2008\u2009\u200a\u2028\u2029\u202f\u205f\u3000\ufeff"
+
+
+def trimmed(text: Column) -> Column:
+    """Without white space of any kind at either end."""
+    return F.btrim(text, F.lit(BLANKS))
+
 
 def tokenize(text: Column) -> Column:
     """Lower-case runs of letters, digits and ``_-./`` of more than one character; ``nfkc`` first if texts may need it."""

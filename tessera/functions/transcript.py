@@ -10,6 +10,8 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 from pyspark.sql.types import StringType
 
+from tessera.functions.text import trimmed
+
 # A trimmed line that begins like one of these is noise.
 NOISE_LINES = [
     r"(?i)^<SYSTEM MESSAGE>", r"(?i)^<EPHEMERAL MESSAGE>", r"(?i)^<system>", r"(?i)^<ephemeral>",
@@ -34,11 +36,7 @@ DEEPEST = 12
 
 
 def is_noise(line: Column) -> Column:
-    trimmed = F.trim(line)
-    out = F.lit(False)
-    for p in NOISE_LINES:
-        out = out | trimmed.rlike(p)
-    return out
+    return trimmed(line).rlike("|".join(f"(?:{p})" for p in NOISE_LINES))
 
 
 def is_durable(line: Column) -> Column:
@@ -59,7 +57,7 @@ def masked(text: Column) -> Column:
 
 def kept_line(line: Column) -> Column:
     """The trimmed line without secrets; null for noise."""
-    return F.when(~is_noise(line), masked(F.trim(line)))
+    return F.when(~is_noise(line), masked(trimmed(line)))
 
 
 def drops_event(type_: Column, has_result: Column, content: Column) -> Column:

@@ -12,9 +12,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tessera.functions.classify import intent
-from tessera.functions.text import nfkc
+from tessera.functions.text import EDGE, nfkc
 from tessera.operators.folds import sorted_fold
-from tessera.operators.learned import EDGE
 
 #: Facts that are kept, and for how many milliseconds.
 MOST, MAX_AGE_MS = 8, 12 * 60 * 60 * 1000

@@ -36,6 +36,66 @@ def scoped_lines(texts: DataFrame, heading: str = r"^#+\s+(.*)$") -> DataFrame:
     return lines.withColumn("section", F.last(own, ignorenulls=True).over(over)).where(~F.col("line").rlike(heading))
 
 
+# Labels of fields in order, with the kind they tell and how sure it is. ``@`` kinds depend on the scope, ``*`` ones hold for the whole project.
+FIELDS = [
+    ("*mission", 0.99, ["mission", "sứ mệnh", "mục tiêu tổng thể", "mục tiêu project", "project goal"]),
+    ("@objective", 0.98, ["current objective", "active objective", "mục tiêu hiện tại", "objective", "mục tiêu", "mục đích"]),
+    ("@why", 0.98, ["why", "why this", "why this phase", "reason", "rationale", "vì sao", "lý do", "tại sao", "ý nghĩa"]),
+    ("*desired_outcome", 0.98, ["desired outcome", "final outcome", "kết quả cuối", "kết quả mong muốn", "mục tiêu cuối"]),
+    ("*plan_rationale", 0.98, ["plan rationale", "approach rationale", "why this approach", "tại sao chọn hướng này", "lý do chọn hướng này", "lý do chọn kiến trúc"]),
+    ("phase_deliverable", 0.97, ["deliverable", "output", "kết quả cần đạt", "phải tạo ra", "đầu ra"]),
+    ("acceptance_criterion", 0.98, ["acceptance criteria", "definition of done", "done khi", "hoàn thành khi", "tiêu chí hoàn thành"]),
+    ("dependency", 0.97, ["depends on", "dependency", "dependencies", "phụ thuộc", "cần có trước"]),
+    ("open_question", 0.95, ["open question", "open questions", "câu hỏi mở", "chưa quyết định", "chưa rõ"]),
+    ("constraint", 0.97, ["constraint", "constraints", "ràng buộc", "giới hạn"]),
+]
+LISTS = [
+    ("acceptance_criterion", "acceptance criteria|definition of done|done khi|tiêu chí hoàn thành"), ("dependency", "dependencies|dependency|phụ thuộc"), ("open_question", "open questions|open question|câu hỏi mở"), ("constraint", "constraints|constraint|ràng buộc"),
+]
+PHASE_HEAD = r"(?iu)^(?:phase|giai đoạn|giai doan|stage)\s*(\d+)\s*(?:[:\-–—]\s*)?(.*)$"
+TASK_HEAD = r"(?iu)^(?:todo|task|việc)\s*(\d+)\s*(?:[:\-–—]\s*)?(.*)$"
+
+
+def semantic_lines(texts: DataFrame) -> DataFrame:
+    """``project, id, block, pos, kind, value, scope, scope_key, scope_order, confidence`` of labelled lines and lists in texts (``project, id, block, text``).
+
+    A heading of a phase or task is the scope of what follows in its block. A label with a list (and a heading of one) opens it; items belong to it until
+    a line that is none. What a line is does not depend on others, so the scope is the last heading and the open list is told by the last line that is no item:
+    both are windows over the lines of a block. Equal observations of an event count once.
+    """
+    rows = texts.select("project", "id", "block", F.posexplode(F.split(F.coalesce("text", F.lit("")), r"\r?\n")).alias("pos", "raw")).withColumn("line", squeeze(F.col("raw"))).withColumn("low", F.lower("line"))
+    field = F.lit(None).cast("struct<kind:string,value:string,confidence:double,list:string>")
+    for kind, sure, labels in reversed(FIELDS):
+        value = F.lit("")
+        for label in reversed(labels):
+            starts = F.col("low").startswith(f"{label}:") | F.col("low").startswith(f"{label} -") | F.col("low").startswith(f"{label} —")
+            value = F.when(starts, squeeze(F.substring("line", len(label) + 2, 1 << 30))).otherwise(value)
+        opened = kind if kind in dict(LISTS) else None
+        field = F.when(value != "", F.struct(F.lit(kind).alias("kind"), value.alias("value"), F.lit(sure).alias("confidence"), F.lit(opened).cast("string").alias("list"))).otherwise(field)
+    phase, task = F.col("line").rlike(PHASE_HEAD), F.col("line").rlike(TASK_HEAD)
+    head = F.when(phase, F.struct(F.lit("phase").alias("scope"), F.regexp_extract("line", PHASE_HEAD, 1).cast("long").alias("order"))).when(task, F.struct(F.lit("task").alias("scope"), F.regexp_extract("line", TASK_HEAD, 1).cast("long").alias("order")))
+    heading = F.lit(None).cast("string")
+    for kind, names in reversed(LISTS):
+        heading = F.when(F.col("line").rlike(rf"(?iu)^(?:{names})\s*:?\s*$"), kind).otherwise(heading)
+    start = F.ltrim("raw")
+    item = start.startswith("- ") | start.startswith("* ") | start.rlike(r"^\d+[.)]\s+")
+    rows = rows.withColumn("head", head).withColumn("field", F.when(F.col("head").isNull(), F.transform(F.array(F.lit(0)), lambda _: field)[0]))
+    rows = rows.withColumn("list", F.when(F.col("head").isNull() & F.col("field").isNull(), heading)).withColumn("item", item & F.col("head").isNull() & F.col("field").isNull() & F.col("list").isNull() & (F.col("line") != ""))
+    block = Window.partitionBy("project", "id", "block").orderBy("pos").rowsBetween(Window.unboundedPreceding, 0)
+    mode = F.last(F.when(~F.col("item"), F.struct(F.coalesce("list", "field.list").alias("mode"))), ignorenulls=True).over(block)
+    rows = rows.withColumn("scope", F.last("head", ignorenulls=True).over(block)).withColumn("open", mode["mode"])
+    bullet = squeeze(F.regexp_replace(F.regexp_replace(F.trim("raw"), r"^[-*]\s+", ""), r"^\d+[.)]\s+", ""))
+    told = F.when(F.col("field").isNotNull(), F.struct("field.kind", "field.value", "field.confidence")).when(F.col("item") & F.col("open").isNotNull(), F.struct(F.col("open").alias("kind"), bullet.alias("value"), F.lit(0.96).alias("confidence")))
+    rows = rows.withColumn("o", told).where(F.length("o.value") >= 3)
+    whole = F.col("o.kind").startswith("*")
+    scope = F.when(whole, "project").otherwise(F.coalesce("scope.scope", F.lit("project")))
+    of_phase = F.substring("o.kind", 2, 100)
+    kind = F.when(whole, of_phase).when(F.col("o.kind").startswith("@"), F.when(scope == "phase", F.concat(F.lit("phase_"), of_phase)).otherwise(of_phase)).otherwise(F.col("o.kind"))
+    out = rows.select("project", "id", "block", "pos", kind.alias("kind"), F.col("o.value").alias("value"), scope.alias("scope"), F.when(scope != "project", F.concat_ws(":", "scope.scope", "scope.order")).alias("scope_key"), F.when(scope != "project", F.col("scope.order")).alias("scope_order"), F.col("o.confidence").alias("confidence"))
+    first = F.row_number().over(Window.partitionBy("project", "id", "kind", "scope", "scope_key", F.lower("value")).orderBy("block", "pos"))
+    return out.withColumn("k", first).where("k = 1").drop("k")
+
+
 def profile_rules(texts: DataFrame) -> DataFrame:
     """``id, pos, rule, severity``: list items of a profile that demand or forbid something."""
     items = texts.select("id", F.posexplode(F.split("text", "\n")).alias("pos", "line")).where(F.col("line").rlike(r"^\s*[-*]\s+\S"))

@@ -7,10 +7,12 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+
 from pyspark.sql.window import Window
 
 from tessera.functions import scoring as S
 from tessera.functions import text as T
+from tessera.functions.text import EDGE
 
 # Families of words, English and Vietnamese.
 RULE_CRITICAL = ["không được", "tuyệt đối", "bắt buộc", r"đừng\s+", "must not", "do not", "don't", r"\bnever\b"]
@@ -25,8 +27,6 @@ CONTEXT_ASSIGNMENT = [r"\blà\b", r"\bở\b", r"\bdùng\b", r"\bnằm\b", r"\bis
 # The least confidence of a memory, the most fragments of an event, the memory type of each kind.
 LEAST, FRAGMENTS = 0.75, 50
 TYPE_OF = {"rule": "rule", "decision": "decision", "architecture": "decision", "todo": "todo", "fix": "code", "context": "code"}
-#: The edge of an ASCII word: between letters, digits or ``_`` and anything else, letters with accents included.
-EDGE = r"(?:(?<![A-Za-z0-9_])(?=[A-Za-z0-9_])|(?<=[A-Za-z0-9_])(?![A-Za-z0-9_]))"
 
 
 def speaks_of(text: Column, family: list[str]) -> Column:

@@ -68,7 +68,7 @@ def facts(texts: DataFrame, least: int = 15, importance: float = 0.3, most: int
     """By session the most important distinct lines with their category: ``id, pos, line, category, importance``."""
     # Words that make a line important.
     high = ["nhớ", "remember", "quy tắc", "rule", "từ giờ", "from now", "không được", "must not", "luôn luôn", "always", "never", "critical", "important", "blocker", "deploy", "production", "architecture"]
-    rows = lines(texts).withColumn("line", F.trim("line")).where(F.length("line") >= least)
+    rows = lines(texts).withColumn("line", T.trimmed(F.col("line"))).where(F.length("line") >= least)
     # bound once: the category is used several times, and Spark would repeat its patterns wherever it is named
     rows = rows.withColumn("category", F.transform(F.array("line"), S.fact_category)[0])
     low = F.lower("line")
@@ -76,7 +76,7 @@ def facts(texts: DataFrame, least: int = 15, importance: float = 0.3, most: int
     score = score + F.when(F.col("category").isin("rule", "architecture", "blocker"), 0.2).when(F.col("category").isin("decision", "deploy"), 0.15).when(F.col("category").isin("fix", "next_action"), 0.1).otherwise(0.0)
     score = score - F.when(F.length("line") < 20, 0.3).when(F.length("line") > 500, 0.1).otherwise(0.0)
     score = score - sum((F.when(F.contains(low, F.lit(w)) & F.col("line").rlike(p), 0.4).otherwise(0.0) for p, w in NOISY_FACTS.items()), F.lit(0.0))
-    score = score - F.when(F.lower(F.trim("line")).isin("ok", "done", "success", "error", "warning"), 0.4).otherwise(0.0)
+    score = score - F.when(low.isin("ok", "done", "success", "error", "warning"), 0.4).otherwise(0.0)
     rows = rows.withColumn("importance", F.transform(F.array(score), lambda x: F.round(F.greatest(F.lit(0.0), F.least(F.lit(1.0), x)), 6))[0])
     # of equal lines the first that is important enough (told in the aggregate: a filter before it would work everything out twice); then the best of each session
     first = rows.groupBy("id", T.squeeze(low).alias("key")).agg(F.min_by(F.struct("pos", "line", "category", "importance"), F.when(F.col("importance") >= importance, F.col("pos"))).alias("f")).where("f IS NOT NULL").select("id", "f.*")

@@ -10,7 +10,10 @@ from tessera.operators import code as D
 from tessera.operators import extraction as X
 from tessera.operators import graph as G
 from tessera.operators import build as B
+from tessera.operators.lineage import shared_folder
 from tessera.plans import inputs as I
+from tessera.sources import files as SF
+from tessera.sources import revisions as R
 from tessera.plans.graph_queries import ENDS, PAIRS, SUB, TEST, W
 
 QUESTIONS = ["What is the current task?", "previous agent stopped where", "who was the previous agent", "next step please", "which last file", "any blocker", "the decision we made", "what is done", "progress so far", "hello"]
@@ -199,6 +202,40 @@ def code_graph_symbols(spark, d):
     return B.code_graph(_written_files(spark, d))["vertices"].select("type", "path", "name", "qualified", "start_line", "end_line")
 
 
+# Lines of plans, and by hand what each is: its kind of line, the kind of observation, how its value begins, how sure it is, the list that it opens.
+PLAN_LINES = [
+    ("Phase {v}: storage", "phase", None, None, None, None), ("Task {v} - write", "task", None, None, None, None), ("Mission: build {v}", "field", "*mission", "build ", 0.99, None), ("Objective:  keep {v}", "field", "@objective", "keep ", 0.98, None), ("Why: because {v}", "field", "@why", "because ", 0.98, None),
+    ("Acceptance criteria:", "list", None, None, None, "acceptance_criterion"), ("- item   {v}", "item", None, "item ", 0.96, None), ("2) other {v}", "item", None, "other ", 0.96, None), ("", "blank", None, None, None, None), ("plain text {v}", "other", None, None, None, None),
+    ("Depends on: phase {v}", "field", "dependency", "phase ", 0.97, "dependency"), ("* star {v}", "item", None, "star ", 0.96, None), ("Open questions", "list", None, None, None, "open_question"), ("Constraint: limit {v}", "field", "constraint", "limit ", 0.97, "constraint"), ("Output: file {v}", "field", "phase_deliverable", "file ", 0.97, None),
+    ("Definition of done: green {v}", "field", "acceptance_criterion", "green ", 0.98, "acceptance_criterion"),
+]
+
+
+def semantic_lines(spark, d):
+    m = I.table(spark, d, "conversations")
+    line = lambda j: F.replace(I.pick([x[0] for x in PLAN_LINES], (F.col("conv_id") * 5 + F.col("turn") * 3 + j * j * 7) % 16), F.lit("{v}"), ((F.col("conv_id") + j) % 4 + 1).cast("string"))
+    texts = m.select(F.concat(F.lit("p"), F.col("conv_id") % 7).alias("project"), F.concat_ws(":", "conv_id", "turn").alias("id"), F.lit(0).alias("block"), F.concat_ws("\n", *[line(j) for j in range(14)]).alias("text"))
+    return X.semantic_lines(texts).drop("block")
+
+
+def session_chunks(spark, d):
+    m = I.table(spark, d, "conversations")
+    events = m.select(F.col("conv_id").alias("session"), F.col("turn").cast("long").alias("seq"), F.to_json(F.struct("role", F.coalesce("text", F.lit("")).alias("text"))).alias("line"))
+    return SF.chunk_files(SF.bounded_chunks(events, 3, 1500)).select("session", "key", F.octet_length("content").cast("long").alias("bytes"))
+
+
+def page_commits(spark, d):
+    """Three writers, of whom the second and third have read the first one's revisions: what is there in the end, and what conflicted."""
+    folder = shared_folder(spark, "pages")
+    p = I.table(spark, d, "pages").select(F.concat(F.lit("page-"), "page_id").alias("key"), "page_id", "url")
+    say = lambda rows, base, by: rows.select("key", F.lit(base).cast("long").alias("base"), F.lit(by).alias("by"), F.md5("url").alias("content"))
+    lost = []
+    for rows, base, by in ((p, 0, "first"), (p.where("page_id % 2 = 0"), 1, "second"), (p.where("page_id % 3 = 0"), 1, "third")):
+        lost.append(R.commit(say(rows, base, by), folder)[1].select("key", F.lit("conflict").alias("what"), "last", "by", "content"))
+    here = R.current(spark, folder).select("key", F.lit("current").alias("what"), F.col("revision").alias("last"), "by", "content")
+    return here.unionByName(lost[1]).unionByName(lost[2])
+
+
 QUERIES = {n: f for n, f in list(globals().items()) if callable(f) and getattr(f, "__module__", "") == __name__ and not n.startswith("_")}
 
 
@@ -251,6 +288,15 @@ CASE WHEN coalesce(internal, 0) + coalesce(external, 0) > 0 THEN round(coalesce(
 
 
 CLUSTERED = _clusters_sql()
+def _plan_sql():
+    rows = ", ".join("(" + ", ".join([str(i), *("NULL" if x is None else f"'{x}'" if isinstance(x, str) else str(x) for x in line[1:])]) + ")" for i, line in enumerate(PLAN_LINES))
+    return f"""WITH t(i, what, kind, value, sure, list) AS (VALUES {rows}),
+l AS (SELECT 'p' || (conv_id % 7) AS project, conv_id || ':' || turn AS id, j::int AS pos, ((conv_id + j) % 4 + 1) AS v, t.* FROM conversations, (SELECT unnest(range(0, 14)) AS j) JOIN t ON t.i = (conv_id * 5 + turn * 3 + j * j * 7) % 16),
+s AS (SELECT *, last_value(CASE WHEN what IN ('phase', 'task') THEN {{'s': what, 'o': v}} END IGNORE NULLS) OVER w AS scope, last_value(CASE WHEN what <> 'item' THEN {{'m': list}} END IGNORE NULLS) OVER w AS mode FROM l WINDOW w AS (PARTITION BY project, id ORDER BY pos ROWS UNBOUNDED PRECEDING)),
+o AS (SELECT project, id, pos, CASE WHEN what = 'item' THEN mode.m WHEN kind LIKE '@%' THEN CASE WHEN scope.s = 'phase' THEN 'phase_' ELSE '' END || kind[2:] ELSE ltrim(kind, '*') END AS kind, value || v AS value, CASE WHEN kind LIKE '*%' THEN 'project' ELSE coalesce(scope.s, 'project') END AS sc, scope, sure FROM s WHERE what = 'field' OR (what = 'item' AND mode.m IS NOT NULL))
+SELECT project, id, pos, kind, value, sc AS scope, CASE WHEN sc <> 'project' THEN scope.s || ':' || scope.o END AS scope_key, CASE WHEN sc <> 'project' THEN scope.o END AS scope_order, sure::double AS confidence FROM o QUALIFY row_number() OVER (PARTITION BY project, id, kind, sc, scope_key, value ORDER BY pos) = 1"""
+
+
 CODE = """f AS (SELECT s_suppkey AS k, (s_suppkey * 7 + 1) % n AS b, (s_suppkey * 3 + 2) % n AS c, (s_suppkey * 11 + 4) % n AS e, (((s_suppkey * 11 + 4) % n) * 5 + 3) % n AS x, 'src/mod/s' AS p FROM supplier, (SELECT count(*) AS n FROM supplier)),
 sy AS (SELECT k, 'class' AS type, 'C' || k AS name, 'C' || k AS q, 6 AS a, 12 AS z FROM f UNION ALL SELECT k, 'method', 'run', 'C' || k || '.run', 8, 11 FROM f UNION ALL SELECT k, 'function', 'f' || k, 'f' || k, 13, 13 FROM f UNION ALL SELECT k, 'function', 'other', 'other', 14, 14 FROM f
 UNION ALL SELECT k, 'interface', 'I' || k, 'I' || k, 15, 15 FROM f UNION ALL SELECT k, 'function', 'common', 'common', 16, 16 FROM f WHERE k % 10 = 0)"""
@@ -282,6 +328,13 @@ st AS (SELECT 0::bigint AS k, (SELECT list(layer ORDER BY r) FROM f) AS st UNION
   lambda l: {{'n': -coalesce(list_sum(list_transform(list_filter(sq.nb, lambda y: st.st[y.r] = l), lambda y: y.w)), 0)::bigint, 'l': l}}), lambda z: z.n <= -4))[1].l, v) ELSE v END) FROM st JOIN sq ON sq.k = st.k + 1),
 z AS (SELECT st FROM st ORDER BY k DESC LIMIT 1)
 SELECT file, z.st[r] AS layer, CASE WHEN layer = 'unknown' AND z.st[r] <> 'unknown' THEN 0.65 ELSE CASE layer WHEN 'tests' THEN 1.0 WHEN 'interface' THEN 0.9 WHEN 'application' THEN 0.85 WHEN 'domain' THEN 0.9 WHEN 'infrastructure' THEN 0.85 ELSE 0.35 END END::double AS confidence FROM f, z""",
+    "semantic_lines": _plan_sql(),
+    "session_chunks": """WITH RECURSIVE l AS (SELECT conv_id AS session, turn AS seq, '{"role":' || to_json(role) || ',"text":' || to_json(coalesce(text, '')) || '}' AS line, row_number() OVER (PARTITION BY conv_id ORDER BY turn) AS k FROM conversations),
+f AS (SELECT session, seq, line, k, 0 AS chunk, 1 AS n, strlen(line) + 1 AS b FROM l WHERE k = 1 UNION ALL SELECT l.session, l.seq, l.line, l.k, CASE WHEN n >= 3 OR b + strlen(l.line) + 1 > 1500 THEN chunk + 1 ELSE chunk END, CASE WHEN n >= 3 OR b + strlen(l.line) + 1 > 1500 THEN 1 ELSE n + 1 END,
+  CASE WHEN n >= 3 OR b + strlen(l.line) + 1 > 1500 THEN 0 ELSE b END + strlen(l.line) + 1 FROM f JOIN l ON l.session = f.session AND l.k = f.k + 1)
+SELECT session, lpad(min(seq)::varchar, 12, '0') || '-' || lpad(max(seq)::varchar, 12, '0') || '-' || substr(sha256(string_agg(line || chr(10), '' ORDER BY seq)), 1, 16) || '.jsonl' AS key, sum(strlen(line) + 1)::bigint AS bytes FROM f GROUP BY session, chunk""",
+    "page_commits": """SELECT 'page-' || page_id AS key, 'current' AS what, CASE WHEN page_id % 2 = 0 OR page_id % 3 = 0 THEN 2 ELSE 1 END::bigint AS last, CASE WHEN page_id % 2 = 0 THEN 'second' WHEN page_id % 3 = 0 THEN 'third' ELSE 'first' END AS by, md5(url) AS content FROM pages
+UNION ALL SELECT 'page-' || page_id, 'conflict', 2, 'third', md5(url) FROM pages WHERE page_id % 6 = 0""",
     "clusters": CLUSTERED,
     "display_nodes": rf"""{W}, l AS (SELECT DISTINCT file, CASE WHEN {TEST.format('file')} THEN 'tests' WHEN (file LIKE 'bin/%' OR regexp_matches(file, '/(mcp|cli|api|routes|hooks)/')) THEN 'interface' WHEN regexp_matches(file, '/(runtime|processor|retrieval|snapshot|code-intelligence)/') THEN 'application' WHEN regexp_matches(file, '/(core|memory)/|(^|/)types\.[^/]+$') THEN 'domain' WHEN regexp_matches(file, '/(storage|production|security|config|utils)/') THEN 'infrastructure' ELSE 'unknown' END AS layer, {SUB} AS cluster FROM v)
 SELECT v.id, layer, cluster, (count(*) OVER (PARTITION BY v.file))::double AS score, coalesce(i, 0) AS in_degree, coalesce(o, 0) AS out_degree FROM v JOIN l USING (file) LEFT JOIN (SELECT dst AS id, count(*) AS i FROM e GROUP BY 1) USING (id) LEFT JOIN (SELECT src AS id, count(*) AS o FROM e GROUP BY 1) USING (id)""",

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from tessera.functions.paths import is_source
+from tessera.operators.folds import sorted_fold
 
 
 def source_files(spark: SparkSession, root: str) -> DataFrame:
@@ -54,3 +55,35 @@ def write_assets(rows: DataFrame, path: str, digest: str = "digest") -> None:
 def chunk_numbers(events: DataFrame, size: int = 100) -> DataFrame:
     """The number of the chunk of each event, by its place in the session."""
     return events.withColumn("chunk", F.floor((F.row_number().over(Window.partitionBy("session").orderBy("seq")) - 1) / size).cast("int"))
+
+
+def bounded_chunks(events: DataFrame, most: int = 100, most_bytes: int = 512 * 1024, partitions: int | None = None) -> DataFrame:
+    """``session, seq, line, chunk``: lines in order, a new chunk where one would have more than ``most`` lines or ``most_bytes`` bytes (with ends of lines).
+
+    A chunk holds a line at least. Where one ends depends on all before it, so sessions are folded.
+    """
+
+    def step(state: dict, row: dict) -> list:
+        size = len(row["line"].encode()) + 1
+        if state["n"] and (state["n"] >= most or state["bytes"] + size > most_bytes):
+            state.update(n=0, bytes=0, chunk=state["chunk"] + 1)
+        state["n"] += 1
+        state["bytes"] += size
+        return [(row["session"], row["seq"], row["line"], state["chunk"])]
+
+    kind = events.schema["session"].dataType.simpleString()
+    return sorted_fold(events.select("session", "seq", "line"), ["session"], ["seq"], lambda key: {"n": 0, "bytes": 0, "chunk": 0}, step, lambda key, state: [], f"session {kind}, seq long, line string, chunk long", partitions)
+
+
+def chunk_files(chunks: DataFrame) -> DataFrame:
+    """``session, key, content``: a chunk as an immutable object, named by its first and last number and its digest, so writing it again changes nothing."""
+    rows = chunks.groupBy("session", "chunk").agg(F.array_sort(F.collect_list(F.struct("seq", "line"))).alias("x"))
+    content = F.concat(F.array_join(F.transform("x", lambda r: r["line"]), "\n"), F.lit("\n"))
+    place = lambda at: F.lpad(F.element_at("x", at)["seq"].cast("string"), 12, "0")
+    return rows.select("session", F.concat(place(1), F.lit("-"), place(-1), F.lit("-"), F.substring(F.sha2(content, 256), 1, 16), F.lit(".jsonl")).alias("key"), content.alias("content"))
+
+
+def pending(events: DataFrame, written: DataFrame) -> DataFrame:
+    """Events beyond the last number that a session's written objects (``session, key``) hold, whatever a cursor says: what a crash has left out."""
+    last = written.groupBy("session").agg(F.max(F.regexp_extract("key", "^[0-9]+-([0-9]+)-", 1).cast("long")).alias("last"))
+    return events.join(last, "session", "left").where(F.col("last").isNull() | (F.col("seq") > F.col("last"))).drop("last")
