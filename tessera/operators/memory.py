@@ -11,6 +11,7 @@ from pyspark.sql.window import Window
 
 from tessera.functions import scoring as S
 from tessera.functions import text as T
+from tessera.operators.lineage import stored
 
 # Tags that say nothing about a topic.
 GENERIC_TAGS = ["decision", "rule", "todo", "summary", "activity", "user", "error", "file", "write", "command", "learned", "session", "architecture", "fix", "context", "opencode", "agy", "codex"]
@@ -79,7 +80,7 @@ def superseded(new: DataFrame, old: DataFrame, least: float = 0.6) -> DataFrame:
             F.col("id").alias(f"{p}_id"), "project", "type", F.col("topic").alias(f"{p}_topic"), tags.alias(f"{p}_tags"), T.words_for_topic(F.col("content")).alias(f"{p}_words")
         )
 
-    a, b = keys(new, "new"), keys(old, "old")
+    a, b = stored(keys(new, "new"), "new"), stored(keys(old, "old"), "old")  # words are told once
     on = ["project", "type"]
     # of the new records of a topic or tag only the two largest identifiers can be the largest other than an old record's own
     keyed = a.select(*on, "new_id", F.concat(F.lit("topic "), "new_topic").alias("k")).union(a.select(*on, "new_id", F.explode(F.transform("new_tags", lambda t: F.concat(F.lit("tag "), t))).alias("k"))).where("k IS NOT NULL")
@@ -88,15 +89,20 @@ def superseded(new: DataFrame, old: DataFrame, least: float = 0.6) -> DataFrame:
     largest = first.join(second, [*on, "k"], "left")
     wanted = b.select(*on, "old_id", F.concat(F.lit("topic "), "old_topic").alias("k")).union(b.select(*on, "old_id", F.explode(F.transform("old_tags", lambda t: F.concat(F.lit("tag "), t))).alias("k")))
     by_key = wanted.join(largest, [*on, "k"]).select("old_id", F.when(F.col("first") != F.col("old_id"), F.col("first")).otherwise(F.col("second")).alias("new_id")).where("new_id IS NOT NULL")
+    known = stored(by_key.groupBy("old_id").agg(F.max("new_id").alias("known")), "known")
     counts = b.select(F.explode("old_words").alias("w")).groupBy("w").count()
+
     def rare(df: DataFrame, p: str) -> DataFrame:
-        each = df.select(*on, f"{p}_id", F.size(f"{p}_words").alias("n"), F.explode(f"{p}_words").alias("w")).join(counts, "w", "left")
+        each = df.select(*on, f"{p}_id", F.size(f"{p}_words").alias(f"{p}_n"), F.explode(f"{p}_words").alias("w")).join(counts, "w", "left")
         place = F.row_number().over(Window.partitionBy(f"{p}_id").orderBy(F.coalesce("count", F.lit(0)), "w"))
-        return each.withColumn("k", place).where(F.col("k") <= F.col("n") - F.ceil(F.col("n") * least) + 1).select(*on, f"{p}_id", "w")
+        return each.withColumn("k", place).where(F.col("k") <= F.col(f"{p}_n") - F.ceil(F.col(f"{p}_n") * least) + 1).select(*on, f"{p}_id", f"{p}_n", "w")
 
-    shared = rare(a, "new").join(rare(b, "old"), [*on, "w"]).select(*on, "new_id", "old_id").distinct()
+    # sets of too different sizes are never similar, and a pair counts only if its new record is larger than what keys have found for the old one
+    olds = rare(b, "old").join(known, "old_id", "left")
+    fits = (F.least("new_n", "old_n") >= least * F.greatest("new_n", "old_n")) & (F.col("new_id") != F.col("old_id")) & (F.col("known").isNull() | (F.col("new_id") > F.col("known")))
+    shared = stored(rare(a, "new").join(olds, [*on, "w"]).where(fits).select("new_id", "old_id").distinct(), "shared")
     similar = shared.join(a.select("new_id", "new_words"), "new_id").join(b.select("old_id", "old_words"), "old_id").where(T.jaccard(F.col("new_words"), F.col("old_words")) >= least)
-    pairs = by_key.select("new_id", "old_id").union(similar.where("new_id <> old_id").select("new_id", "old_id"))
+    pairs = known.select(F.col("known").alias("new_id"), "old_id").union(similar.select("new_id", "old_id"))
     return pairs.groupBy("old_id").agg(F.max("new_id").alias("new_id"))
 
 

@@ -10,12 +10,15 @@ from pyspark.sql import functions as F
 
 from tessera.functions.text import ellipsis
 from tessera.operators.handoff import ordered_distinct
+from tessera.operators.lineage import stored
 from tessera.operators.tools import outcome
 
 # Keys that name a file, a command, and what an event is about; the most tasks, steps, checks and files of a session.
 FILE_KEYS, COMMAND_KEYS = ["path", "file", "filePath", "filename", "target"], ["command", "cmd", "script"]
 LABEL_KEYS = ["name", "test", "suite", "title", "message", "text", "result", "status"]
 TASKS, STEPS, CHECKS, FILES = 5, 16, 10, 24
+#: Files that stand for steps where there are none.
+INSTEAD = 8
 
 
 def masked(text: Column) -> Column:
@@ -34,10 +37,11 @@ def skills(events: DataFrame, tasks: DataFrame) -> DataFrame:
 
     Evidence is a completed task, or a test, commit or deploy that succeeded. Without a completed task the first other one stands
     for it. Steps are what was done, in order and each once; failed commands and tests are none. A list is a session's
-    answer and has a fixed bound; it is formed from the rows within that bound alone.
+    answer and has a fixed bound; a session with files but no steps updates its files; it is formed from the rows within that bound alone.
     """
     ended, file = outcome(F.col("type"), F.col("data")), _said(F.col("data"), FILE_KEYS, 260)
     rows = events.select("project", "session", "seq", "type", ended.alias("ended"), file.alias("file"), _said(F.col("data"), COMMAND_KEYS, 420).alias("command"), _said(F.col("data"), LABEL_KEYS, 300).alias("label"))
+    rows = stored(rows, "signs")  # what an event tells is worked out once, for steps, checks, files and proof
     good, kind = F.col("ended") == "succeeded", F.col("type")
     about = F.coalesce("label", "command")
     step = (
@@ -63,7 +67,9 @@ def skills(events: DataFrame, tasks: DataFrame) -> DataFrame:
     out = rows.groupBy("session").agg(F.min("project").alias("project")).join(wanted, "session")
     for text, name, most in zip((step, check, F.col("file")), names, (STEPS, CHECKS, FILES), strict=True):
         out = out.join(listed(text, name, most), "session", "left")
-    out = out.where("steps IS NOT NULL")
+    # without steps the first files stand for them
+    updates = F.transform(F.slice("files", 1, INSTEAD), lambda f: F.concat(F.lit("Update "), f))
+    out = out.withColumn("steps", F.coalesce("steps", updates)).where("size(steps) > 0")
     empty = F.array().cast("array<string>")
     out = out.select("project", "session", ellipsis(masked(F.col("task")), 280).alias("task"), *[F.coalesce(n, empty).alias(n) for n in names])
     return out.withColumn("fingerprint", F.sha2(F.concat_ws("\n", "project", "task", *[F.array_join(n, "|") for n in names]), 256))

@@ -101,9 +101,8 @@ def maintenance(spark, d):
 
 def upsert_latest(spark, d):
     m = mem(spark, d)
-    key = (F.col("id") % 100).alias("id")
-    cols = [key, "seq", "type", F.sha2("content", 256).alias("digest")]
-    return M.upsert(m.where("seq % 2 = 0").select(*cols), m.where("seq % 5 = 0").select(*cols))
+    side = lambda key: m.select(key.alias("id"), "seq", "type", F.sha2("content", 256).alias("digest"))
+    return M.upsert(side(F.col("id") % 100), side(F.col("id") * 3 % 140 + 40))
 
 
 def remembered(spark, d):
@@ -324,7 +323,7 @@ FROM g WHERE c > 1 GROUP BY project, type, key""",
     "supersession": f"{W}, {_supersede(src='mem WHERE superseded_by IS NULL', new='true', old='true')} SELECT max(new_id) AS new_id, old_id FROM pairs GROUP BY old_id",
     "pruned": f"{W} SELECT id FROM act WHERE {PRUNED}",
     "maintenance": f"{W}, pr AS (SELECT * FROM act WHERE {PRUNED}), {GROUPS.format(src='pr')}, {QUALITY} SELECT id FROM q5 WHERE {PRUNED} AND NOT prune AND id NOT IN (SELECT id FROM g WHERE c > 1 AND k > 1)",
-    "upsert_latest": f"{W}, u AS (SELECT id % 100 AS id, seq, type, sha256(content) AS digest, 0 AS n FROM mem WHERE seq % 2 = 0 UNION ALL SELECT id % 100, seq, type, sha256(content), 1 FROM mem WHERE seq % 5 = 0) SELECT id, seq, type, digest FROM u QUALIFY row_number() OVER (PARTITION BY id ORDER BY n DESC, seq DESC) = 1",
+    "upsert_latest": f"{W}, u AS (SELECT id % 100 AS id, seq, type, sha256(content) AS digest, 0 AS n FROM mem UNION ALL SELECT id * 3 % 140 + 40, seq, type, sha256(content), 1 FROM mem) SELECT id, seq, type, digest FROM u QUALIFY row_number() OVER (PARTITION BY id ORDER BY n DESC, seq DESC) = 1",
     "remembered": f"""{W}, n AS (SELECT * REPLACE ({INFER} AS importance, {REDACT} AS content) FROM mem WHERE id % 5 = 1), o AS (SELECT * FROM mem WHERE id % 5 <> 1), u AS (SELECT *, true AS fresh FROM n UNION ALL SELECT *, false FROM o),
 {_supersede(src='u', new='a.id % 5 = 1', old='b.id % 5 <> 1')}
 SELECT id, importance, (SELECT max(new_id) FROM pairs WHERE old_id = id) AS superseded_by FROM o UNION ALL SELECT id, importance, NULL FROM n""",

@@ -28,7 +28,7 @@ def review_summary(spark, d):
 
 def impact_rollup(spark, d):
     e = I.table(spark, d, "events")
-    rows = e.select(F.col("user_id").alias("session"), I.pick(V.RISKS, (F.col("event_id") * 7 + F.col("user_id")) % 3).alias("risk"), (F.col("event_id") % 30).alias("score"), F.concat(F.lit("f"), F.col("event_id") % 40).alias("file"))
+    rows = e.select(F.col("user_id").alias("session"), I.pick(["LOW", "MEDIUM", "HIGH", "CRITICAL"], (F.col("event_id") * 7 + F.col("user_id")) % (F.col("user_id") % 4 + 1)).alias("risk"), (F.col("event_id") % 30).alias("score"), F.concat(F.lit("f"), F.col("event_id") % 40).alias("file"))
     return V.impact_rollup(rows)
 
 
@@ -55,7 +55,7 @@ SQL = {
     "page_conflicts": rf"WITH {I.WIKI}, p AS (SELECT slug, trim(regexp_replace(lower(title), '\s+', ' ', 'g')) AS key, page_id % 3 AS digest FROM wp) SELECT a.slug, count(*) AS others FROM p a JOIN p b ON a.key = b.key AND a.digest <> b.digest GROUP BY a.slug",
     "review_gate": f"WITH {I.WIKI}, {REVIEWS}, l AS (SELECT slug, digest, arg_max(status, n) AS status FROM re GROUP BY ALL) SELECT w.slug, CASE WHEN status = 'approved' THEN 'allow' WHEN status = 'rejected' THEN 'deny' WHEN page_id % 2 <> 0 THEN 'approve' WHEN status = 'pending' THEN 'wait' ELSE 'create' END AS verdict FROM wp w LEFT JOIN l ON l.slug = w.slug AND l.digest = page_id % 6",
     "review_summary": f"WITH {REVIEWS} SELECT risk, count(*) AS reviews, count(*) FILTER (status = 'pending') AS pending, count(*) FILTER (status = 'approved') AS approved, count(*) FILTER (status = 'rejected') AS rejected FROM re GROUP BY risk",
-    "impact_rollup": "SELECT user_id AS session, ['LOW', 'MEDIUM', 'HIGH'][(max((event_id * 7 + user_id) % 3) + 1)::int] AS risk, sum(event_id % 30)::bigint AS score, count(DISTINCT event_id % 40) AS files FROM events GROUP BY user_id",
+    "impact_rollup": "SELECT user_id AS session, ['LOW', 'MEDIUM', 'HIGH', 'CRITICAL'][(max((event_id * 7 + user_id) % (user_id % 4 + 1)) + 1)::int] AS risk, sum(event_id % 30)::bigint AS score, count(DISTINCT event_id % 40) AS files FROM events GROUP BY user_id",
     "new_candidates": "WITH o AS (SELECT doc_id AS id, sha256(lower(coalesce(text, ''))) AS fingerprint FROM documents) SELECT fingerprint, min(id) AS id FROM o WHERE fingerprint NOT IN (SELECT fingerprint FROM o WHERE id % 4 = 0) GROUP BY 1",
     "open_actions": f"WITH {I.OBS} SELECT DISTINCT project, 'Do  ' || key AS title FROM obs WHERE (project, key) NOT IN (SELECT (project, key) FROM obs WHERE status = 'completed')",
     "surviving_edges": f"WITH {I.GRAPH}, k AS (SELECT id FROM v WHERE file NOT IN (SELECT file FROM v WHERE type = 'class' AND file LIKE '%n1%')) SELECT type, count(*) AS n FROM e WHERE src IN (SELECT id FROM k) AND dst IN (SELECT id FROM k) GROUP BY type",

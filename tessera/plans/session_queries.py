@@ -155,7 +155,7 @@ def recent_checks(spark, d):
 
 def test_statuses(spark, d):
     o = I.observations(spark, d)
-    checks = H.recent_checks(_checks(spark, d).where("seq % 200 < 7"))
+    checks = H.recent_checks(_checks(spark, d))
     return H.test_status(checks, o.select("project", F.concat("kind", F.lit(" "), "status").alias("text"), "ts", "seq"))
 
 
@@ -172,7 +172,7 @@ def ordered_distinct(spark, d):
 
 
 def substantive_states(spark, d):
-    v = H.last_values(I.observations(spark, d).where("seq % 3 = 0"), ["error", "signup"])
+    v = H.last_values(I.observations(spark, d), ["error", "signup"])
     v = v.withColumn("files", F.when(F.col("project") == "p3", F.array(F.lit("x"))).otherwise(F.array()))
     return v.select("project", H.substantive(v, ["signup"], ["files"]).alias("substantive"))
 
@@ -456,7 +456,7 @@ SELECT id, arg_max(kind, seq) AS kind, arg_max(bytes, seq)::int AS bytes, count(
 h AS (SELECT ref, count(a.id) AS n, min(a.id) AS id FROM q LEFT JOIN a ON length(ref) >= 8 AND substr(a.id, 1, 8) = lower(substr(ref, 1, 8)) AND starts_with(a.id, lower(ref)) GROUP BY ref) SELECT ref, CASE WHEN length(ref) < 8 THEN 'invalid' WHEN n = 0 THEN 'missing' WHEN n > 1 THEN 'ambiguous' ELSE 'found' END AS state, CASE WHEN n = 1 THEN id END AS id FROM h""",
     "last_values": f"WITH {I.OBS} SELECT project, " + ", ".join(f"arg_max(text, (ts, seq)) FILTER (kind = '{k}') AS \"{k}\"" for k in ("click", "view", "purchase", "error")) + " FROM obs GROUP BY project",
     "recent_checks": f"WITH {I.OBS}, {CHECKS}, l AS (SELECT * FROM ck QUALIFY row_number() OVER (PARTITION BY project, kind, command ORDER BY ts DESC, seq DESC) = 1) SELECT project, kind, command, status, (row_number() OVER (PARTITION BY project ORDER BY ts DESC, seq DESC))::int AS place FROM l QUALIFY place <= 20",
-    "test_statuses": f"""WITH {I.OBS}, {CHECKS}, l AS (SELECT * FROM ck WHERE seq % 200 < 7 QUALIFY row_number() OVER (PARTITION BY project, kind, command ORDER BY ts DESC, seq DESC) = 1), t AS (SELECT * FROM l QUALIFY row_number() OVER (PARTITION BY project ORDER BY ts DESC, seq DESC) <= 10), c AS (SELECT project, bool_or(status = 'failed') AS f, bool_or(status = 'passed') AS p FROM t GROUP BY 1),
+    "test_statuses": f"""WITH {I.OBS}, {CHECKS}, l AS (SELECT * FROM ck QUALIFY row_number() OVER (PARTITION BY project, kind, command ORDER BY ts DESC, seq DESC) = 1), t AS (SELECT * FROM l QUALIFY row_number() OVER (PARTITION BY project ORDER BY ts DESC, seq DESC) <= 10), c AS (SELECT project, bool_or(status = 'failed') AS f, bool_or(status = 'passed') AS p FROM t GROUP BY 1),
 n AS (SELECT project, bool_or(regexp_matches(lower(x), 'failed|failing|failure|error|✗|❌')) AS b, bool_or(regexp_matches(lower(x), 'passed|passing|green|success|✓|✅')) AS g FROM (SELECT project, kind || ' ' || status AS x FROM obs QUALIFY row_number() OVER (PARTITION BY project ORDER BY ts DESC, seq DESC) <= 10) GROUP BY 1)
 SELECT project, CASE WHEN f THEN 'failing' WHEN p THEN 'passing' WHEN b THEN 'failing' WHEN g THEN 'passing' ELSE 'unknown' END AS status FROM c FULL JOIN n USING (project)""",
     "next_actions": f"""WITH {OBS_ITEMS}, cu AS (SELECT * FROM it WHERE status IN ('in_progress', 'blocked', 'pending') QUALIFY row_number() OVER (PARTITION BY project ORDER BY CASE status WHEN 'in_progress' THEN 1 WHEN 'blocked' THEN 2 ELSE 3 END, coalesce(ord, 1099511627776), key) = 1),
@@ -465,7 +465,7 @@ u AS (SELECT project, trim(regexp_replace(text, '\\s+', ' ', 'g')) AS text, g, p
 SELECT project, (row_number() OVER (PARTITION BY project ORDER BY g, p))::int AS place, text FROM l""",
     "ordered_distinct": r"""WITH w AS (SELECT source, doc_id, unnest(w) AS text, generate_subscripts(w, 1) AS p FROM (SELECT *, regexp_split_to_array(coalesce(text, ''), '\s+') AS w FROM documents)), u AS (SELECT * FROM w WHERE text <> '' QUALIFY row_number() OVER (PARTITION BY source, lower(text) ORDER BY doc_id, p) = 1)
 SELECT source, (row_number() OVER (PARTITION BY source ORDER BY doc_id, p))::int AS k, text FROM u QUALIFY k <= 20""",
-    "substantive_states": f"WITH {I.OBS} SELECT project, coalesce(arg_max(text, (ts, seq)) FILTER (kind = 'signup'), '') <> '' OR project = 'p3' AS substantive FROM obs WHERE seq % 3 = 0 GROUP BY project",
+    "substantive_states": f"WITH {I.OBS} SELECT project, coalesce(arg_max(text, (ts, seq)) FILTER (kind = 'signup'), '') <> '' OR project = 'p3' AS substantive FROM obs GROUP BY project",
     "phases": f"""WITH {I.OBS}, c AS (SELECT project, arg_max(ord, seq) AS ord FROM obs WHERE ord IS NOT NULL GROUP BY 1), k AS (SELECT * FROM obs WHERE ord IS NOT NULL QUALIFY row_number() OVER (PARTITION BY project, ord ORDER BY seq) = 1)
 SELECT c.project, c.ord, k.text AS objective, coalesce(CASE WHEN k.status = 'blocked' THEN key END, 'not recorded') AS why FROM c LEFT JOIN k ON k.project = c.project AND k.ord = c.ord""",
     "fitted_lines": r"""WITH l AS (SELECT doc_id AS id, unnest(x) AS line, generate_subscripts(x, 1) - 1 AS pos FROM (SELECT doc_id, string_split(coalesce(text, ''), chr(10)) AS x FROM documents)), s AS (SELECT *, sum(length(line) + 1) OVER (PARTITION BY id ORDER BY pos) - 1 AS e FROM l),
