@@ -9,6 +9,7 @@ from tessera.functions import text as T
 from tessera.operators import memory as M
 from tessera.operators import retrieval as R
 from tessera.operators import session as E
+from tessera.operators import answers as A
 from tessera.operators import conversation as CV
 from tessera.operators.lineage import shared_folder
 from tessera.operators import state as ST
@@ -230,6 +231,19 @@ def tailed_log(spark, d):
     return out.select(F.regexp_extract("path", "p=([0-9]+)", 1).cast("long").alias("p"), "seq", "type", "role", F.unix_seconds("ts").alias("second"), F.sha2("data", 256).alias("data_sha256"))
 
 
+ANSWER_KINDS = ["task", "next_action", "file", "decision", "blocker", "todo", "rule", "progress", "fix", "completed"]
+ANSWER_QUESTIONS = ["đang làm gì", "next step", "file cuối", "blocker", "decision", "hoàn thành chưa", "progress", "what is this", "todo list", "việc còn lại"]
+
+
+def local_answers(spark, d):
+    o = I.observations(spark, d)
+    source = F.when(F.col("project") == "p3", "work-state").otherwise(I.pick(["checkpoint", "session-origin", "work-state", "checkpoint"], F.col("seq") % 4))
+    source = F.when(F.col("project").isin("p1", "p2") & (F.col("seq") % 5 == 0), "handoff").otherwise(source)
+    facts = o.where("project <> 'p9'").select("project", I.pick(ANSWER_KINDS, F.col("seq") % 10).alias("kind"), F.concat("kind", F.lit("  "), "key").alias("value"), source.alias("source"), (F.col("seq") % 300).alias("place"))
+    asks = o.select("project").distinct().select("project", F.posexplode(F.array(*map(F.lit, ANSWER_QUESTIONS))).alias("n", "question")).select(F.concat_ws(":", "project", "n").alias("ask"), "project", "question")
+    return A.local_answers(asks, facts)
+
+
 QUERIES = {n: f for n, f in list(globals().items()) if callable(f) and getattr(f, "__module__", "") == __name__ and not n.startswith("_")}
 
 LINES = "l AS (SELECT doc_id AS id, unnest(string_split(coalesce(text, ''), chr(10))) AS line, generate_subscripts(string_split(coalesce(text, ''), chr(10)), 1) - 1 AS pos FROM documents)"
@@ -266,6 +280,35 @@ SELECT project, seq, used, before AS previous_intent, len(prior) AS n_prior, arr
   CASE WHEN NOT used OR intent <> 'summary' THEN NULL WHEN q IN (1, 2, 12) THEN {told(["decision", "blocker", "next_action", "task", "file"], 2)} WHEN q = 7 THEN {told(["next_action", "todo", "task", "blocker", "file", "decision"], 3)} ELSE {told(["task", "next_action", "file", "decision", "blocker"], 3)} END AS answer FROM f"""
 
 
+def _answers_sql():
+    # intents of the questions, their weights and orders, by hand
+    intents = ["current_task", "next_action", "last_file", "blocker", "decision", "completed", "status", "summary", "summary", "summary"]
+    weights = {
+        "current_task": "CASE kind WHEN 'task' THEN 100 WHEN 'file' THEN 65 WHEN 'next_action' THEN 55 WHEN 'blocker' THEN 45 ELSE 10 END", "next_action": "CASE kind WHEN 'next_action' THEN 100 WHEN 'todo' THEN 80 WHEN 'task' THEN 65 WHEN 'blocker' THEN 60 WHEN 'file' THEN 40 ELSE 10 END",
+        "last_file": "CASE kind WHEN 'file' THEN 100 WHEN 'task' THEN 65 WHEN 'next_action' THEN 40 ELSE 10 END", "blocker": "CASE kind WHEN 'blocker' THEN 100 WHEN 'task' THEN 60 WHEN 'next_action' THEN 50 WHEN 'file' THEN 35 ELSE 10 END",
+        "decision": "CASE kind WHEN 'decision' THEN 100 WHEN 'rule' THEN 85 WHEN 'task' THEN 45 WHEN 'file' THEN 30 ELSE 10 END", "completed": "CASE kind WHEN 'completed' THEN 100 WHEN 'progress' THEN 70 WHEN 'task' THEN 30 ELSE 10 END", "status": "CASE kind WHEN 'progress' THEN 100 WHEN 'task' THEN 85 WHEN 'blocker' THEN 65 WHEN 'next_action' THEN 60 ELSE 10 END",
+        "summary": "CASE kind WHEN 'task' THEN 100 WHEN 'next_action' THEN 95 WHEN 'file' THEN 90 WHEN 'blocker' THEN 85 WHEN 'completed' THEN 60 WHEN 'todo' THEN 60 WHEN 'decision' THEN 55 WHEN 'rule' THEN 54 WHEN 'fix' THEN 52 WHEN 'progress' THEN 50 ELSE 10 END",
+    }
+    orders = {
+        "current_task": ["task", "file", "next_action"], "next_action": ["next_action", "task", "file", "todo"], "last_file": ["file", "task", "next_action"], "blocker": ["blocker"], "decision": ["decision"], "completed": ["completed"], "status": ["progress", "task", "next_action", "blocker"],
+        "summary": ["task", "file", "todo", "next_action", "blocker", "decision", "rule", "fix", "completed", "progress"],
+    }
+    listed = lambda xs: "[" + ", ".join(f"'{x}'" for x in xs) + "]"
+    weight = "CASE intent " + " ".join(f"WHEN '{i}' THEN {w}" for i, w in weights.items()) + " END"
+    order = "CASE WHEN q.todo THEN ['todo', 'task', 'next_action', 'file'] ELSE CASE q.intent " + " ".join(f"WHEN '{i}' THEN {listed(o)}" for i, o in orders.items()) + " END END"
+    label = "CASE kind WHEN 'task' THEN 'Task hiện tại' WHEN 'file' THEN 'File hiện tại' WHEN 'todo' THEN 'TODO' WHEN 'next_action' THEN 'Tiếp theo' WHEN 'blocker' THEN 'Blocker' WHEN 'decision' THEN 'Quyết định' WHEN 'rule' THEN 'Quy tắc' WHEN 'fix' THEN 'Đã sửa' WHEN 'completed' THEN 'Đã hoàn thành' WHEN 'progress' THEN 'Tiến độ' END"
+    return f"""WITH {I.OBS}, q AS (SELECT project, n, {listed(intents)}[n + 1] AS intent, n >= 8 AS todo FROM (SELECT DISTINCT project FROM obs), (SELECT unnest(range(0, 10)) AS n)),
+f AS (SELECT project, {listed(ANSWER_KINDS)}[(seq % 10 + 1)::int] AS kind, kind || '  ' || key AS value, CASE WHEN project IN ('p1', 'p2') AND seq % 5 = 0 THEN 'handoff' WHEN project = 'p3' THEN 'work-state' ELSE ['checkpoint', 'session-origin', 'work-state', 'checkpoint'][(seq % 4 + 1)::int] END AS source, seq % 300 AS place FROM obs WHERE project <> 'p9'),
+s AS (SELECT i.project, intent, kind, value, source, place, {weight} + CASE source WHEN 'checkpoint' THEN 20 WHEN 'handoff' THEN 18 WHEN 'session-origin' THEN 14 ELSE 8 END + greatest(0, 5 - 0.01::double * place) AS score FROM (SELECT DISTINCT project, intent FROM q) i JOIN f USING (project)),
+b AS (SELECT * FROM s QUALIFY row_number() OVER (PARTITION BY project, intent, kind, value ORDER BY score DESC, place, source DESC) = 1),
+r AS (SELECT *, row_number() OVER (PARTITION BY project, intent ORDER BY score DESC, place, kind, value) AS rank FROM b QUALIFY rank <= 32),
+c AS (SELECT * FROM (SELECT *, bool_or(source = 'handoff') OVER (PARTITION BY project, intent) AS handed FROM r) WHERE NOT handed OR source = 'handoff' OR source = 'checkpoint' AND kind IN ('rule', 'architecture', 'fix')),
+k AS (SELECT *, row_number() OVER (PARTITION BY project, intent, kind ORDER BY rank) AS k FROM c QUALIFY k <= CASE WHEN kind IN ('todo', 'blocker', 'decision', 'completed') THEN 3 ELSE 1 END),
+w AS (SELECT q.project, q.n, q.intent AS intent, string_agg({label} || ': ' || value, chr(10) ORDER BY list_position({order}, k.kind), k.k) FILTER (list_contains({order}, k.kind)) AS answer FROM q LEFT JOIN k ON k.project = q.project AND k.intent = q.intent GROUP BY q.project, q.n, q.intent, q.todo)
+SELECT w.project || ':' || n AS ask, intent, answer, CASE WHEN answer IS NULL THEN 'none' ELSE (SELECT arg_min(source, rank) FROM c WHERE c.project = w.project AND c.intent = w.intent) END AS source FROM w"""
+
+
+ANSWERS = _answers_sql()
 FOCUS = _focus_sql()
 
 
@@ -298,6 +341,7 @@ SELECT project, scene, count(*) AS facts, round(max(importance), 6) AS importanc
     "tailed_log": r"""WITH l AS (SELECT conv_id % 7 AS p, conv_id, turn, role, turn % 4 = 3 AS plain, CASE WHEN turn % 4 = 3 THEN 'plain ' || regexp_replace(text, '\s+', ' ', 'g') ELSE '{"role":' || to_json(role) || ',"content":' || to_json(regexp_replace(text, '\s+', ' ', 'g')) || ',"time":' || turn || '}' END AS line FROM conversations WHERE text IS NOT NULL)
 SELECT p, coalesce(sum(strlen(line) + 1) OVER (PARTITION BY p ORDER BY conv_id, turn ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0)::bigint AS seq, CASE WHEN plain THEN 'custom' WHEN role = 'user' THEN 'user_prompt' WHEN role = 'assistant' THEN 'assistant_message' ELSE 'message' END AS type,
   CASE WHEN NOT plain THEN role END AS role, CASE WHEN NOT plain THEN turn END AS second, sha256(CASE WHEN plain THEN '{"format":"raw-line","content":' || to_json(line) || '}' ELSE line END) AS data_sha256 FROM l""",
+    "local_answers": ANSWERS,
     "conversation_focus": FOCUS,
     "semantic_state": f"""WITH RECURSIVE {I.OBS}, w AS (SELECT *, date_trunc('week', ts) AS week, count(*) OVER (PARTITION BY project, scope, kind) AS seen, max(date_trunc('week', ts)) OVER (PARTITION BY project, scope, kind) AS last FROM obs),
 o AS (SELECT *, row_number() OVER (PARTITION BY project, scope, kind ORDER BY seq) AS k, count(*) OVER (PARTITION BY project, scope, kind) AS n FROM w WHERE week = last),
