@@ -1,10 +1,12 @@
 """Exact dedup, mixing, token counts and chat formatting on small tables."""
 
+import base64
 import hashlib
 import math
 from collections import Counter
 
 import numpy as np
+import tiktoken
 from pyspark.sql import functions as F
 
 from tessera.llm import bpe, chat, mixing, token_counts
@@ -81,7 +83,9 @@ def test_mixing_meets_its_weights_and_repeats(spark):
 def test_histogram_answers(spark):
     texts = [None, "", "a", "a b", "a b c", "one two three four", "x y " * 700, "x y " * 700, "é" * 50]
     docs = spark.createDataFrame([(i, t, "s", "k") for i, t in enumerate(texts)], DOCS)
-    lengths = sorted(r.n_tokens for r in bpe.digests(docs).collect())
+    ranks = {base64.b64decode(a): int(b) for a, b in map(bytes.split, open(bpe.vocabulary_path(), "rb"))}
+    plain = tiktoken.Encoding("own", pat_str=bpe.pattern_text(), mergeable_ranks=ranks, special_tokens={})
+    lengths = sorted(len(plain.encode_ordinary(t or "")) for t in texts)
     for span in (1024, 3):
         sums = token_counts.suffix_sums(token_counts.length_histogram(docs), span)
         for r in sums.collect():
