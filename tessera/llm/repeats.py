@@ -6,7 +6,7 @@ What surrounds an anchor, as far as a string with that anchor can reach, is its
 whole are repeats and are counted as one. For anchors with different contexts a suffix array decides: contexts
 are cut into blocks of bytes at equal distances from the anchor, each block's content becomes a symbol, and
 linear grouping sorts the suffixes of all contexts of an anchor at once. Suffixes that share enough symbols with a
-neighbour are those at which a repeated string can start; there the strings are compared byte by byte, by hash.
+neighbour are those at which a repeated string can start; there the strings are compared by a 64-bit hash of their bytes.
 An anchor with very many contexts is split further, into its strings, which are counted where they are made.
 """
 
