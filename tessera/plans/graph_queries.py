@@ -40,13 +40,13 @@ def direct_callers(spark, d):
 def call_trace(spark, d):
     e, _ = _g(spark, d)
     start = I.table(spark, d, "orders").select(F.expr("concat('o:', o_orderkey)").alias("origin"))
-    return G.reach(e, start.withColumn("id", F.col("origin")), P.DEPENDENCY, 3).select("origin", "id", "depth")
+    return G.reach(e, start.withColumn("id", F.col("origin")), P.DEPENDENCY, 3, via=False)
 
 
 def impact(spark, d):
     e, _ = _g(spark, d)
     start = I.table(spark, d, "part").select(F.expr("concat('p:', p_partkey)").alias("origin"))
-    return G.reach(e, start.withColumn("id", F.col("origin")), P.IMPACT, 4, reverse=True).where("depth > 0").groupBy("origin", "depth").agg(F.count(F.lit(1)).alias("reached"))
+    return G.reach(e, start.withColumn("id", F.col("origin")), P.IMPACT, 4, reverse=True, via=False).where("depth > 0").groupBy("origin", "depth").agg(F.count(F.lit(1)).alias("reached"))
 
 
 def blast_radius(spark, d):
