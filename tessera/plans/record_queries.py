@@ -286,8 +286,8 @@ AND (a.topic = b.topic OR len(list_intersect(a.mt, b.mt)) > 0 OR (len(a.words) >
 
 COS = "list_cosine_similarity(embedding::double[], [" + ", ".join(map(str, I.QUERY_VECTOR)) + "]::double[])"
 CATEGORY = "CASE " + " ".join(
-    f"WHEN regexp_matches(substr(content, 1, 400), '{p}') THEN '{n}'"
-    for n, p in [("rule", r"(?i)\b(rule|policy|standard|convention|always|never|must|should)\b"), ("fix", r"(?i)\b(fix|fixed|bug|issue|error)\b"), ("blocker", r"(?i)\b(blocker|blocked|stuck|cannot)\b"), ("next_action", r"(?i)\b(next|todo|action|task)\b"), ("deploy", r"(?i)\b(deploy|release|publish|ship)\b"), ("architecture", r"(?i)\b(architecture|design|structure|pattern)\b"), ("file", r"(?i)\.(ts|js|py|go|rs|java|cpp|c|h)\b")]
+    f"WHEN regexp_matches(content, '{p}') THEN '{n}'"
+    for n, p in [("rule", r"(?i)\b(rule|policy|standard|convention|always|never|must|should|quy tắc|từ giờ|không được)\b"), ("fix", r"(?i)\b(fix|fixed|bug|issue|error|lỗi)\b"), ("blocker", r"(?i)\b(blocker|blocked|stuck|cannot|không thể)\b"), ("next_action", r"(?i)\b(next|todo|action|task|cần làm)\b"), ("deploy", r"(?i)\b(deploy|release|publish|ship)\b"), ("architecture", r"(?i)\b(architecture|design|structure|pattern)\b"), ("file", r"(?i)\.(ts|js|py|go|rs|java|cpp|c|h)\b")]
 ) + " ELSE 'decision' END"
 
 SQL = {

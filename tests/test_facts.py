@@ -38,3 +38,14 @@ def test_noise_lowers_importance(spark, importance):
     assert got == dict.fromkeys(range(5), 0.25) | {5: 0.0, 6: 0.65}
     texts = spark.createDataFrame([(1, "\n".join([*noise, "nothing in this line is of note"]))], "id long, text string")
     assert [r.pos for r in E.facts(texts).collect()] == [5]
+
+
+def test_sql_has_the_rule_of_the_query(spark):
+    """The whole text counts, and so do Vietnamese words."""
+    import duckdb
+
+    from tessera.plans.record_queries import CATEGORY
+
+    texts = ["x " * 300 + "never", "x " * 190 + "a policy", "việc này bị lỗi", "QUY TẮC chung", "việc CẦN LÀM hôm nay", "không thể mở tệp", "a" * 396 + " rule", "plain"]
+    want = [r[0] for r in spark.createDataFrame(list(enumerate(texts)), "i int, t string").orderBy("i").select(S.fact_category(F.col("t"))).collect()]
+    assert [duckdb.sql(f"SELECT {CATEGORY} FROM (SELECT '{t}' AS content)").fetchall()[0][0] for t in texts] == want
