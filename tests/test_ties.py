@@ -3,6 +3,7 @@
 import duckdb
 
 from tessera.operators import extraction as X
+from tessera.operators import state as ST
 from tessera.plans.code_queries import SQL
 
 
@@ -14,3 +15,13 @@ def test_sections_of_equal_titles_and_ends_of_lines(spark):
     con.sql("CREATE TABLE conversations (conv_id BIGINT, turn BIGINT, role VARCHAR, text VARCHAR)")
     con.executemany("INSERT INTO conversations VALUES (?, ?, ?, ?)", rows)
     assert sorted(map(tuple, got.collect())) == sorted(con.sql(SQL["token_sections"]).fetchall())
+
+
+def test_semantic_state_folds_every_observation(spark, monkeypatch):
+    folded = []
+    plain = ST.sorted_fold
+    monkeypatch.setattr(ST, "sorted_fold", lambda rows, *a: folded.append(rows.count()) or plain(rows, *a))
+    rows = [("p", "s", "k", f"v{i}", i // 4, i, i % 3, 0.1 * (i % 7)) for i in range(40)]
+    df = spark.createDataFrame(rows, "project string, scope string, kind string, text string, ts long, seq long, session long, confidence double")
+    assert [r.seen for r in ST.semantic_state(df).collect()] == [40]
+    assert folded == [40]
