@@ -24,15 +24,22 @@ UUID = r"[0-9a-fA-F]{8}(?:-[0-9a-fA-F]{4}){3}-[0-9a-fA-F]{12}"
 
 def hook_event(payload: Column, source: str) -> Column:
     """``type`` and ``source_event`` of a hook's JSON payload; null without a hook."""
-    at = lambda key: F.nullif(F.trim(F.get_json_object(payload, f"$.{key}")), F.lit(""))
-    hook, tool, file = at("hook_event_name"), at("tool_name"), at("tool_input.file_path")
-    base = F.concat_ws(":", F.lit(source), F.coalesce(at("session_id"), F.lit(source)), hook, F.coalesce(at("tool_use_id"), F.lit("")), F.coalesce(file, F.lit("")))
-    edits = (hook == "PostToolUse") & tool.isin("Edit", "Write") & file.isNotNull()
-    made = lambda kind, end: F.struct(kind.alias("type"), F.concat(base, F.lit(end)).alias("source_event"))
-    return (
-        F.when(hook == "SessionStart", made(F.lit("session_start"), ":start")).when(edits, made(F.when(tool == "Edit", "file_edit").otherwise("file_write"), ":file")).when(hook == "PostToolUse", made(F.lit("tool_result"), ":tool-result"))
-        .when(hook == "Stop", made(F.lit("session_idle"), ":idle")).when(hook.isNotNull(), made(F.lit("custom"), ":custom"))
-    )
+    # payload and fields are bound once: Spark would work them out again wherever they are named
+    bound = lambda value, told: F.transform(F.array(value), told)[0]
+    keys = ["hook_event_name", "tool_name", "tool_input.file_path", "session_id", "tool_use_id"]
+
+    def told(fields: Column) -> Column:
+        hook, tool, file, session, use = (fields[k] for k in range(len(keys)))
+        base = F.concat_ws(":", F.lit(source), F.coalesce(session, F.lit(source)), hook, F.coalesce(use, F.lit("")), F.coalesce(file, F.lit("")))
+        edits = (hook == "PostToolUse") & tool.isin("Edit", "Write") & file.isNotNull()
+        made = lambda kind, end: F.struct(kind.alias("type"), F.concat(base, F.lit(end)).alias("source_event"))
+        return (
+            F.when(hook == "SessionStart", made(F.lit("session_start"), ":start")).when(edits, made(F.when(tool == "Edit", "file_edit").otherwise("file_write"), ":file")).when(hook == "PostToolUse", made(F.lit("tool_result"), ":tool-result"))
+            .when(hook == "Stop", made(F.lit("session_idle"), ":idle")).when(hook.isNotNull(), made(F.lit("custom"), ":custom"))
+        )
+
+    read = bound(payload, lambda p: F.transform(F.array(*[F.get_json_object(p, f"$.{k}") for k in keys]), lambda v: F.nullif(F.trim(v), F.lit(""))))
+    return bound(read, told)
 
 
 def activity_events(activities: DataFrame) -> DataFrame:

@@ -291,7 +291,7 @@ HOOKS = [
 def hook_events(spark, d):
     e = I.table(spark, d, "events")
     data = F.replace(F.replace(I.pick(HOOKS, F.col("event_id") % 8), F.lit("{id}"), F.col("event_id").cast("string")), F.lit("{user}"), F.col("user_id").cast("string"))
-    return e.select(F.col("event_id").alias("id"), K.hook_event(data, "hook").alias("h")).where("h IS NOT NULL").select("id", "h.type", "h.source_event")
+    return e.select(F.col("event_id").alias("id"), F.explode(F.filter(F.array(K.hook_event(data, "hook")), lambda h: h.isNotNull())).alias("h")).select("id", "h.type", "h.source_event")
 
 
 def activity_events(spark, d):
