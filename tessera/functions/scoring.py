@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import math
+from functools import reduce
 
 from pyspark.sql import Column
 from pyspark.sql import functions as F
@@ -10,7 +11,6 @@ from pyspark.sql import functions as F
 from tessera.functions.text import EDGE
 
 
-
 # Scores, half-lives and limits in days, priorities.
 BASE = {"critical": 100.0, "high": 75.0, "normal": 50.0, "temporary": 20.0}
 HALF_LIFE = {"activity": 14, "summary": 30, "todo": 90, "decision": 365, "rule": 730, "code": 180}
@@ -169,11 +169,21 @@ def fact_category(text: Column) -> Column:
         ("rule", r"(?i)\b(rule|policy|standard|convention|always|never|must|should|(?u:quy tắc|từ giờ|không được))\b"), ("fix", r"(?i)\b(fix|fixed|bug|issue|error|(?u:lỗi))\b"), ("blocker", r"(?i)\b(blocker|blocked|stuck|cannot|(?u:không thể))\b"),
         ("next_action", r"(?i)\b(next|todo|action|task|(?u:cần làm))\b"), ("deploy", r"(?i)\b(deploy|release|publish|ship)\b"), ("architecture", r"(?i)\b(architecture|design|structure|pattern)\b"), ("file", r"(?i)\.(ts|js|py|go|rs|java|cpp|c|h)\b"),
     ]
-    out = None
-    for name, p in rules:
-        met = text.rlike(p.replace(r"\b", EDGE))
-        out = F.when(met, name) if out is None else out.when(met, name)
-    return out.otherwise("decision")
+    # what a line must hold for a rule to be tried at all; a dotless i stands for i within (?u), so stems end before it
+    stems = {
+        "rule": ["rule", "policy", "standard", "convention", "always", "never", "must", "should", "quy tắc", "từ g", "không được"], "fix": ["fix", "bug", "issue", "error", "lỗ"], "blocker": ["blocke", "stuck", "cannot", "không thể"], "next_action": ["next", "todo", "action", "task", "cần làm"],
+        "deploy": ["deploy", "release", "publish", "ship"], "architecture": ["architecture", "design", "structure", "pattern"], "file": [".ts", ".js", ".py", ".go", ".rs", ".java", ".c", ".h"],
+    }
+
+    def told(low: Column) -> Column:
+        out = None
+        for name, p in rules:
+            held = reduce(lambda x, y: x | y, [F.contains(low, F.lit(w)) for w in stems[name]])
+            met = held & text.rlike(p.replace(r"\b", EDGE))
+            out = F.when(met, name) if out is None else out.when(met, name)
+        return out.otherwise("decision")
+
+    return F.transform(F.array(F.lower(text)), told)[0]
 
 
 def wiki_score(slug: Column, title: Column, tags: Column, summary: Column, content: Column, tokens: list[str]) -> Column:
