@@ -4,6 +4,7 @@ from pyspark.sql import functions as F
 
 from tessera.functions import scoring as S
 from tessera.operators import capture as K
+from tessera.operators import extraction as X
 
 
 def test_hook_reads_each_key_once(spark):
@@ -24,3 +25,10 @@ def test_categories_try_patterns_only_where_their_words_are(spark):
     assert [r for r in df.collect() if r.got != r.want] == []
     assert len({r.got for r in df.collect()}) == 8
     assert "contains" in rows.select(S.fact_category(F.col("line")))._jdf.queryExecution().optimizedPlan().toString().lower()
+
+
+def test_lines_are_squeezed_once(spark):
+    rows = spark.createDataFrame([(1, "  goal:  ship it \nPHASE  3 done\nok\ngiai đoạn 2 next\n- [x] item"), (2, None)], "id long, text string")
+    df = X.line_observations(rows)
+    assert df._jdf.queryExecution().optimizedPlan().toString().count("regexp_replace(") == 1
+    assert [tuple(r)[:4] for r in df.orderBy("pos").collect()] == [(1, 0, "goal", "ship it"), (1, 1, "phase", "Phase 3"), (1, 3, "phase", "Phase 2"), (1, 4, "todo", "item")]
