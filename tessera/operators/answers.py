@@ -13,6 +13,7 @@ from tessera.functions.classify import intent
 from tessera.functions.scoring import choose
 from tessera.functions.text import squeeze
 from tessera.operators.conversation import ASKS_TODO, _any, plain
+from tessera.operators.lineage import stored
 from tessera.operators.retrieval import pack_greedy
 
 # What a kind counts for an intent (10, if it isn't listed), what a source counts, and how answers call kinds.
@@ -44,14 +45,18 @@ def ranked_facts(wanted: DataFrame, facts: DataFrame, most: int = 32, budget: in
 
     Once a project has facts that were handed over, they and the durable ones of its checkpoint are all that counts.
     """
-    rows = wanted.select("project", "intent").distinct().join(facts, "project")
+    # score falls as place rises, whatever the intent: of a source's equal facts the first alone can be the best, so facts are reduced before they meet intents
+    key = F.lower(squeeze(F.col("value")))
+    first = F.min(F.struct(F.col("place").isNull().alias("unplaced"), "place", "value")).alias("x")
+    told = facts.where(key != "").groupBy("project", "kind", key.alias("key"), "source").agg(first).select("project", "kind", "key", "source", "x.place", "x.value")
+    rows = wanted.select("project", "intent").distinct().join(told, "project")
     pairs = [F.lit(x) for i, kinds in INTENT_WEIGHTS.items() for k, w in kinds.items() for x in (f"{i}:{k}", w)]
     weight = F.coalesce(F.try_element_at(F.create_map(*pairs), F.concat_ws(":", "intent", "kind")), F.lit(10))
     score = weight + choose(F.col("source"), SOURCE_WEIGHTS, 0) + F.greatest(F.lit(0.0), 5 - 0.01 * F.col("place"))
-    key = F.lower(squeeze(F.col("value")))
-    best = rows.withColumn("score", score).where(key != "").groupBy("project", "intent", "kind", key.alias("key")).agg(F.max_by(F.struct("value", "source", "place", "score"), F.struct("score", -F.col("place"), "source")).alias("x"))
+    best = rows.withColumn("score", score).groupBy("project", "intent", "kind", "key").agg(F.max_by(F.struct("value", "source", "place", "score"), F.struct("score", -F.col("place"), "source")).alias("x"))
     order = Window.partitionBy("project", "intent").orderBy(F.desc("x.score"), "x.place", "kind", "key")
     ranks = best.withColumn("rank", F.row_number().over(order)).select("project", "intent", "kind", "x.value", "x.source", "rank").withColumn("group", F.concat_ws("\n", "intent", "project"))
+    ranks = stored(ranks, "ranks")  # packed and looked up
     picked = pack_greedy(ranks.select("group", "rank", "kind", "value", "source"), budget, most, "group", "rank", partitions).select("group", F.explode("picked").alias("rank"))
     chosen = ranks.join(picked, ["group", "rank"]).drop("group")
     handed = F.max(F.col("source") == "handoff").over(Window.partitionBy("project", "intent"))
@@ -65,7 +70,7 @@ def local_answers(questions: DataFrame, facts: DataFrame, most: int = 32, budget
     """
     asked = questions.select("ask", "project", plain(F.coalesce("question", F.lit(""))).alias("q"))
     asked = asked.select("ask", "project", intent(F.col("q")).alias("intent"), _any(F.col("q"), ASKS_TODO[:2]).alias("todo"))
-    rows = ranked_facts(asked, facts, most, budget)
+    rows = stored(ranked_facts(asked, facts, most, budget), "rows")
     k = F.row_number().over(Window.partitionBy("project", "intent", "kind").orderBy("rank"))
     shown = rows.withColumn("k", k).where(F.col("k") <= F.when(F.col("kind").isin(THREE), 3).otherwise(1))
     orders = F.create_map(*[x for i, kinds in INTENT_ORDER.items() for x in (F.lit(i), F.array(*map(F.lit, kinds)))])

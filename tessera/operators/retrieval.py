@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from tessera.operators.folds import sorted_fold
+from tessera.operators.lineage import stored
 
 from tessera.functions import scoring as S
 from tessera.functions import text as T
@@ -109,10 +110,18 @@ def pack_prefix(items: DataFrame, budget: int, extra: int = 0, group: str = "que
 def pack_greedy(items: DataFrame, budget: int = 3200, most: int = 12, group: str = "query_id", order: str = "rank", partitions: int | None = None) -> DataFrame:
     """Items (``kind, value, source``) in order, skipping what does not fit; the first always fits. ``picked`` lists their ranks.
 
-    The choice depends on all before it, so it is a fold over each group's sorted costs; its state has at most ``most`` ranks.
+    Where the first ``most`` fit together they are the choice. In other groups it depends on all before it, so it is a fold over each group's
+    sorted costs; its state has at most ``most`` ranks.
     """
     cost = F.length("kind") + F.length("value") + F.length("source") + 16
     costs = items.select(F.col(group).alias("g"), F.col(order).cast("int").alias("r"), cost.alias("c"))
+    place = F.row_number().over(Window.partitionBy("g").orderBy("r", "c"))
+    firsts = costs.withColumn("k", place).where(F.col("k") <= max(most, 1)).groupBy("g").agg(F.sum("c").alias("used"), F.transform(F.array_sort(F.collect_list(F.struct("k", "r"))), lambda x: x["r"]).alias("picked"))
+    firsts = stored(firsts.withColumn("fits", (F.col("used") <= budget) | (F.size("picked") == 1)), "firsts")
+    fitting, others = firsts.where("fits").select(F.col("g").alias(group), F.col("used").cast("int").alias("used"), "picked"), firsts.where("NOT fits").select("g")
+    if others.isEmpty():
+        return fitting
+    costs = costs.join(others, costs["g"].eqNullSafe(others["g"]), "left_semi")
 
     def step(state: dict, row: dict) -> list:
         if not state["picked"] or (state["used"] + row["c"] <= budget and len(state["picked"]) < most):
@@ -122,7 +131,7 @@ def pack_greedy(items: DataFrame, budget: int = 3200, most: int = 12, group: str
 
     kind = items.schema[group].dataType.simpleString()
     out = sorted_fold(costs, ["g"], ["r", "c"], lambda key: {"used": 0, "picked": []}, step, lambda key, state: [(*key, state["used"], state["picked"])], f"g {kind}, used int, picked array<int>", partitions)
-    return out.withColumnRenamed("g", group)
+    return fitting.unionByName(out.withColumnRenamed("g", group))
 
 
 def line_windows(files: DataFrame, size: int = 80, step: int = 70, id_col: str = "id", text_col: str = "text") -> DataFrame:
