@@ -201,29 +201,38 @@ def resolved_symbols(asked: DataFrame, symbols: DataFrame) -> DataFrame:
     Of several the one whose whole name it is comes first, then by file and identifier. Words and symbols meet by the rarest three letters of
     a word (fewer, if it is shorter), so no word is tried on every symbol. ``symbols`` may have ``qualified``.
     """
-    rows = symbols.select("id", "name", F.col("qualified" if "qualified" in symbols.columns else "name").alias("qualified"), "file")
-    words = asked.select("asked").where(F.trim("asked") != "").distinct()
-    by_id = words.join(rows.select(F.col("id").alias("asked"), "id"), "asked").select("asked", "id", F.lit(0).alias("rank"))
+    full = symbols.select("id", "name", F.col("qualified" if "qualified" in symbols.columns else "name").alias("qualified"), "file")
+    words = stored(asked.select("asked").where(F.trim("asked") != "").distinct(), "asked")
+    by_id = words.join(full.select(F.col("id").alias("asked"), "id"), "asked").select("asked", "id", F.lit(0).alias("rank"))
+    # of symbols with the same names and file only the one with the smallest identifier can be meant
+    rows = stored(full.groupBy("name", "qualified", "file").agg(F.min("id").alias("id")), "symbols")
     whole = F.lower("name") != F.lower(F.trim("asked"))
     order = F.struct(whole.alias("w"), F.col("file").alias("f"), F.col("id").alias("i"))
     named = rows.select(F.explode(F.array_distinct(F.array("name", "qualified"))).alias("asked"), "id", "name", "file")
     by_name = words.join(named, "asked").groupBy("asked").agg(F.min_by("id", order).alias("id")).withColumn("rank", F.lit(1))
     exact = stored(by_id.unionByName(by_name).groupBy("asked").agg(F.min_by("id", "rank").alias("id"), F.min("rank").alias("rank")), "exact")
     low = stored(words.join(exact, "asked", "left_anti").withColumn("low", F.lower(F.trim("asked"))), "words")
-    text = F.lower(F.concat_ws("\n", "name", "qualified", "file"))
     grams = lambda t, n: F.array_distinct(F.transform(F.sequence(F.lit(1), F.greatest(F.length(t) - n + 1, F.lit(1))), lambda i: F.substring(t, i, F.lit(n))))
-    hits = None
-    for n in (1, 2, 3):
-        own = low.where(F.length("low") >= 3) if n == 3 else low.where(F.length("low") == n)
-        if own.isEmpty():
-            continue
-        parts = stored(rows.withColumn("text", text).select("id", F.explode(grams(F.col("text"), n)).alias("gram")), "grams")
-        counts = parts.groupBy("gram").agg(F.count(F.lit(1)).alias("n"))
-        rare = own.select("asked", "low", F.explode(grams(F.col("low"), n)).alias("gram")).join(counts, "gram", "left").groupBy("asked", "low").agg(F.min_by("gram", F.coalesce("n", F.lit(0))).alias("gram"))
-        found = rare.join(parts, "gram").join(rows.withColumn("text", text), "id").where(F.contains(F.col("text"), F.col("low")))
-        best = found.groupBy("asked").agg(F.min_by("id", order).alias("id")).withColumn("rank", F.lit(2))
-        hits = best if hits is None else hits.unionByName(best)
-    return exact if hits is None else exact.unionByName(hits)
+    # a word on one line lies in the names or in the file; of a file that holds it only the first symbol can be meant, as one with that very name is met by its name
+    names = rows.withColumn("text", F.lower(F.concat_ws("\n", F.when(F.contains(F.lower("qualified"), F.lower("name")), F.lit(None)).otherwise(F.col("name")), "qualified")))
+    files = rows.groupBy("file").agg(F.min_by(F.struct("id", "name"), "id").alias("x")).select("x.id", "x.name", "file", F.lower("file").alias("text"))
+    line, lines = low.where(~F.contains("low", F.lit("\n"))), low.where(F.contains("low", F.lit("\n")))
+    found = None
+    for own, held in ((line, names), (line, files), (lines, rows.withColumn("text", F.lower(F.concat_ws("\n", "name", "qualified", "file"))))):
+        for n in (1, 2, 3):
+            some = own.where(F.length("low") >= 3) if n == 3 else own.where(F.length("low") == n)
+            if some.isEmpty():
+                continue
+            asks = some.select("asked", "low", F.explode(grams(F.col("low"), n)).alias("gram"))
+            # only what words ask for is written
+            parts = stored(held.select("id", F.explode(grams(F.col("text"), n)).alias("gram")).join(asks.select("gram").distinct(), "gram", "left_semi"), "grams")
+            counts = parts.groupBy("gram").agg(F.count(F.lit(1)).alias("n"))
+            rare = asks.join(counts, "gram", "left").groupBy("asked", "low").agg(F.min_by("gram", F.coalesce("n", F.lit(0))).alias("gram"))
+            hits = rare.join(parts, "gram").join(held, "id").where(F.contains(F.col("text"), F.col("low"))).select("asked", "id", "name", "file")
+            found = hits if found is None else found.unionByName(hits)
+    if found is None:
+        return exact
+    return exact.unionByName(found.groupBy("asked").agg(F.min_by("id", order).alias("id")).withColumn("rank", F.lit(2)))
 
 
 def handoff(items: DataFrame, current: DataFrame, actions: DataFrame, tests: DataFrame, most: int = 30) -> DataFrame:
