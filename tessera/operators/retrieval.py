@@ -2,8 +2,12 @@
 
 from __future__ import annotations
 
+import hashlib
 import re
 
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
@@ -85,13 +89,28 @@ def stale_vectors(records: DataFrame, vectors: DataFrame) -> DataFrame:
 def hash_embedding(rows: DataFrame, dimensions: int = 128) -> DataFrame:
     """``id`` and ``vector``: counts of hashed words, scaled to length 1; rows are ``id, text``.
 
-    Words are counted by (id, place) with map-side pre-aggregation, so a long text is no long list.
+    A row's words are counted where it is read, each distinct word of a batch is hashed once, and counts of equal identifiers are put together; words are not shuffled.
     """
-    words = rows.select("id", F.explode(F.split(F.trim(F.lower("text")), r"\s+")).alias("w")).where("w <> ''")
-    place = (F.conv(F.substring(F.sha2("w", 256), 1, 8), 16, 10).cast("long") % dimensions).cast("int")
-    counts = words.groupBy("id", place.alias("place")).agg(F.count(F.lit(1)).alias("n"))
-    per = counts.groupBy("id").agg(F.map_from_entries(F.collect_list(F.struct("place", "n"))).alias("m"), F.sqrt(F.sum(F.col("n") * F.col("n"))).alias("norm"))
-    return per.select("id", F.transform(F.sequence(F.lit(0), F.lit(dimensions - 1)), lambda i: F.coalesce(F.element_at("m", i), F.lit(0)) / F.col("norm")).alias("vector"))
+
+    @F.arrow_udf("array<int>")
+    def counted(text: pa.Array) -> pa.Array:
+        words = pc.ascii_split_whitespace(text)
+        each, row = pc.list_flatten(words).dictionary_encode(), pc.list_parent_indices(words).to_numpy()
+        known, code = each.dictionary.cast(pa.binary()).to_pylist(), each.indices.to_numpy()
+        place = np.frombuffer(b"".join(hashlib.sha256(w).digest()[:4] for w in known), ">u4").astype(np.int64) % dimensions
+        some = np.array([w != b"" for w in known], bool)[code]
+        n = np.bincount(row[some] * dimensions + place[code[some]], minlength=len(text) * dimensions)
+        return pa.ListArray.from_arrays(pa.array(np.arange(len(text) + 1) * dimensions, pa.int32()), pa.array(n, pa.int32()))
+
+    @F.arrow_udf("array<double>")
+    def scaled(parts: pa.Array) -> pa.Array:
+        n = np.zeros((len(parts), dimensions), np.int64)
+        np.add.at(n, pc.list_parent_indices(parts).to_numpy(), pc.list_flatten(pc.list_flatten(parts)).to_numpy().reshape(-1, dimensions))
+        x = n / np.sqrt((n * n).sum(axis=1, keepdims=True))
+        return pa.ListArray.from_arrays(pa.array(np.arange(len(parts) + 1) * dimensions, pa.int32()), pa.array(x.reshape(-1)))
+
+    texts = rows.where(F.col("text").rlike(r"[^ \t\n\x0B\f\r]")).select("id", counted(F.lower("text")).alias("n"))
+    return texts.groupBy("id").agg(F.collect_list("n").alias("parts")).select("id", scaled("parts").alias("vector"))
 
 
 def mean_pool(tokens: DataFrame) -> DataFrame:
