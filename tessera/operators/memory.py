@@ -72,7 +72,7 @@ def superseded(new: DataFrame, old: DataFrame, least: float = 0.6) -> DataFrame:
     """``old_id, new_id``: old records and the largest new one of their project and type (rule or decision) that replaces them: same topic, a shared tag with meaning, or similar words.
 
     Topics and tags are equi-joins with the new records reduced first, so a tag that all share makes no pairs. Word similarity is one too: words are joined, and shared words counted by pair;
-    only the rarest words of each record, as many as similar sets must share one of, are joined.
+    only the rarest words of each record on the side with few records, as many as similar sets must share one of, are joined.
     """
     def keys(df: DataFrame, p: str) -> DataFrame:
         tags = F.array_distinct(F.filter("tags", lambda t: ~F.lower(t).isin(GENERIC_TAGS)))
@@ -80,7 +80,8 @@ def superseded(new: DataFrame, old: DataFrame, least: float = 0.6) -> DataFrame:
             F.col("id").alias(f"{p}_id"), "project", "type", F.col("topic").alias(f"{p}_topic"), tags.alias(f"{p}_tags"), T.words_for_topic(F.col("content")).alias(f"{p}_words")
         )
 
-    a, b = stored(keys(new, "new"), "new"), stored(keys(old, "old"), "old")  # words are told once
+    b = stored(keys(old, "old"), "old")  # words are told once
+    a = b.toDF(*[c.replace("old_", "new_") for c in b.columns]) if new is old else stored(keys(new, "new"), "new")
     on = ["project", "type"]
     # of the new records of a topic or tag only the two largest identifiers can be the largest other than an old record's own
     keyed = a.select(*on, "new_id", F.concat(F.lit("topic "), "new_topic").alias("k")).union(a.select(*on, "new_id", F.explode(F.transform("new_tags", lambda t: F.concat(F.lit("tag "), t))).alias("k"))).where("k IS NOT NULL")
@@ -90,18 +91,27 @@ def superseded(new: DataFrame, old: DataFrame, least: float = 0.6) -> DataFrame:
     wanted = b.select(*on, "old_id", F.concat(F.lit("topic "), "old_topic").alias("k")).union(b.select(*on, "old_id", F.explode(F.transform("old_tags", lambda t: F.concat(F.lit("tag "), t))).alias("k")))
     by_key = wanted.join(largest, [*on, "k"]).select("old_id", F.when(F.col("first") != F.col("old_id"), F.col("first")).otherwise(F.col("second")).alias("new_id")).where("new_id IS NOT NULL")
     known = stored(by_key.groupBy("old_id").agg(F.max("new_id").alias("known")), "known")
-    counts = b.select(F.explode("old_words").alias("w")).groupBy("w").count()
-
-    def rare(df: DataFrame, p: str) -> DataFrame:
-        each = df.select(*on, f"{p}_id", F.size(f"{p}_words").alias(f"{p}_n"), F.explode(f"{p}_words").alias("w")).join(counts, "w", "left")
+    def keyed_words(df: DataFrame, p: str) -> DataFrame:
+        # equal hashes of different words only make pairs that the whole sets are compared for in vain
+        return df.select(f"{p}_id", F.size(f"{p}_words").alias(f"{p}_n"), F.explode(F.transform(f"{p}_words", lambda w: F.xxhash64("project", "type", w))).alias("w"))
+
+    def candidates(few: DataFrame, p: str, many: DataFrame, q: str) -> DataFrame:
+        """Pairs that share one of the words of ``few`` that are rarest in ``many``; those of ``many`` need not be ranked."""
+        own, others = stored(keyed_words(few, p), "words"), keyed_words(many, q)
+        counts = others.join(own.select("w").distinct(), "w", "left_semi").groupBy("w").count()
         place = F.row_number().over(Window.partitionBy(f"{p}_id").orderBy(F.coalesce("count", F.lit(0)), "w"))
-        return each.withColumn("k", place).where(F.col("k") <= F.col(f"{p}_n") - F.ceil(F.col(f"{p}_n") * least) + 1).select(*on, f"{p}_id", f"{p}_n", "w")
-
-    # sets of too different sizes are never similar, and a pair counts only if its new record is larger than what keys have found for the old one
-    olds = rare(b, "old").join(known, "old_id", "left")
-    fits = (F.least("new_n", "old_n") >= least * F.greatest("new_n", "old_n")) & (F.col("new_id") != F.col("old_id")) & (F.col("known").isNull() | (F.col("new_id") > F.col("known")))
-    shared = stored(rare(a, "new").join(olds, [*on, "w"]).where(fits).select("new_id", "old_id").distinct(), "shared")
-    similar = shared.join(a.select("new_id", "new_words"), "new_id").join(b.select("old_id", "old_words"), "old_id").where(T.jaccard(F.col("new_words"), F.col("old_words")) >= least)
+        rare = own.join(counts, "w", "left").withColumn("k", place).where((F.col("k") <= F.col(f"{p}_n") - F.ceil(F.col(f"{p}_n") * least) + 1) & F.col("count").isNotNull())
+        fits = (F.least("new_n", "old_n") >= least * F.greatest("new_n", "old_n")) & (F.col("new_id") != F.col("old_id"))
+        return others.join(stored(rare.drop("k", "count"), "rare"), "w").where(fits).select("new_id", "old_id").distinct()
+
+    # old records that keys found nothing for meet all new ones; the others only new ones above the smallest that was found in their project and type, which are few
+    told = stored(b.select(*on, "old_id").join(known, "old_id", "left"), "told")
+    bare = b.join(told.where("known IS NULL").select("old_id"), "old_id", "left_semi")
+    above = a.join(told.groupBy(*on).agg(F.min("known").alias("floor")), on).where(F.col("new_id") > F.col("floor")).drop("floor")
+    pairs = candidates(bare, "old", a, "new").union(candidates(above, "new", b, "old")).distinct()
+    # a pair counts only if its new record is larger than what keys have found for the old one
+    shared = stored(pairs.join(told.select("old_id", "known"), "old_id").where(F.col("known").isNull() | (F.col("new_id") > F.col("known"))).select("new_id", "old_id"), "shared")
+    similar = shared.join(a.select("new_id", *on, "new_words"), "new_id").join(b.join(shared.select("old_id"), "old_id", "left_semi").select("old_id", *on, "old_words"), ["old_id", *on]).where(T.jaccard(F.col("new_words"), F.col("old_words")) >= least)
     pairs = known.select(F.col("known").alias("new_id"), "old_id").union(similar.select("new_id", "old_id"))
     return pairs.groupBy("old_id").agg(F.max("new_id").alias("new_id"))
 
