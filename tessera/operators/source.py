@@ -109,7 +109,8 @@ def tokens(files: DataFrame) -> DataFrame:
                 if found:
                     yield pa.RecordBatch.from_arrays([pa.array(list(c), k) for c, k in zip(zip(*found, strict=True), kinds, strict=True)], names)
 
-    return files.select("path", "text").mapInArrow(run, TOKEN)
+    # dealt out first: a small file of rows is one task, and lexing it is most of the work
+    return files.select("path", "text").repartition("path").mapInArrow(run, TOKEN)
 
 
 def _near(k: int, column: str = "text") -> Column:
