@@ -20,6 +20,8 @@ CONTAINER_KEYS = ["payload", "data", "content", "message", "messages", "parts",
 #: Levels of nesting and entries of an array that are looked at; what names a session in a file's name.
 DEEPEST, WIDEST = 6, 50
 UUID = r"[0-9a-fA-F]{8}(?:-[0-9a-fA-F]{4}){3}-[0-9a-fA-F]{12}"
+#: Words of 64 bits in a table of identifiers: 32 MiB.
+WORDS_MOST = 1 << 22
 
 
 def hook_event(payload: Column, source: str) -> Column:
@@ -114,11 +116,32 @@ def discovered(asked: DataFrame, files: DataFrame) -> DataFrame:
     return best.select("id", "x.path", "x.rank")
 
 
+def id_bits(ids: DataFrame) -> tuple[DataFrame, int]:
+    """A table of bits of ``ids`` (column ``id``) in rows of 64 words (``bucket, words``), and its number of words: at least 8 bits for each up to ``WORDS_MOST``, beyond that fewer."""
+    size = min(WORDS_MOST, max(64, 1 << max(0, ids.count() // 8 - 1).bit_length()))
+    h = F.xxhash64(F.col("id").cast("string"))
+    words = ids.where("id IS NOT NULL").groupBy(F.pmod(F.shiftrightunsigned(h, 6), F.lit(size)).alias("word")).agg(F.bit_or(F.call_function("shiftleft", F.lit(1).cast("long"), h.bitwiseAND(F.lit(63)).cast("int"))).alias("bits"))
+    rows = words.groupBy(F.shiftrightunsigned("word", 6).alias("bucket")).agg(F.map_from_entries(F.collect_list(F.struct((F.col("word") % 64).cast("int").alias("at"), "bits"))).alias("m"))
+    return stored(rows.select("bucket", F.transform(F.sequence(F.lit(0), F.lit(63)), lambda i: F.coalesce(F.element_at("m", i), F.lit(0).cast("long"))).alias("words")), "bits"), size
+
+
+def perhaps(rows: DataFrame, column: str, bits: tuple[DataFrame, int]) -> DataFrame:
+    """``rows`` without most of those whose ``column`` is none of the identifiers of ``bits``; none whose is goes. It keeps what an exact join drops out of its shuffle."""
+    table, size = bits
+    h = F.xxhash64(F.col(column).cast("string"))
+    word = F.pmod(F.shiftrightunsigned(h, 6), F.lit(size))
+    here = (F.shiftrightunsigned(word, 6) == F.col("__bucket")) & (F.getbit(F.get("__words", (word % 64).cast("int")), h.bitwiseAND(F.lit(63)).cast("int")) == 1)
+    # a semi join: through an inner one Spark would push the exact join that follows, and shuffle all rows
+    return rows.join(F.broadcast(table.toDF("__bucket", "__words")), here, "left_semi")
+
+
 def incremental_index(old: dict[str, DataFrame], new: dict[str, DataFrame]) -> dict[str, DataFrame]:
     """``files`` (path, status), ``vertices`` and ``edges`` after a change; either side has ``manifest`` (path, hash), ``vertices`` and ``edges``.
 
     Vertices of unchanged files stay and those of added and modified ones come from the new side; old edges stay if both ends do and
-    neither lies in a changed file. The status of files and the vertices of either kind are written once, for all that looks at them.
+    neither lies in a changed file. The status of files and the vertices of either kind are written once, for all that looks at them. Edges
+    that belong to neither are mostly told by bits of the identifiers before they are moved; the joins after that are exact. Where no
+    identifier is on both sides no edge is either, and each side's edges are made distinct where they lie.
     """
     from tessera.operators.governance import surviving_edges
     from tessera.operators.graph import manifest_diff
@@ -127,5 +150,9 @@ def incremental_index(old: dict[str, DataFrame], new: dict[str, DataFrame]) -> d
     changed = files.where("status IN ('added', 'modified')").select(F.col("path").alias("file"))
     kept = stored(old["vertices"].join(files.where("status = 'unchanged'").select(F.col("path").alias("file")), "file", "left_semi"), "vertices")
     fresh = stored(new["vertices"].join(changed, "file", "left_semi"), "vertices")
-    own = new["edges"].join(fresh.select(F.col("id").alias("src")), "src", "left_semi")
-    return {"files": files, "vertices": kept.unionByName(fresh), "edges": surviving_edges(old["edges"], kept, changed).unionByName(own.select(*old["edges"].columns)).distinct()}
+    of_kept, of_fresh = id_bits(kept.select("id")), id_bits(fresh.select("id"))
+    own = perhaps(new["edges"], "src", of_fresh).join(fresh.select(F.col("id").alias("src")), "src", "left_semi").select(*old["edges"].columns)
+    stay = surviving_edges(perhaps(perhaps(old["edges"], "src", of_kept), "dst", of_kept), kept, changed).select(*old["edges"].columns)
+    twice = perhaps(kept.select("id"), "id", of_fresh).join(perhaps(fresh.select("id"), "id", of_kept), "id", "left_semi")
+    edges = stay.distinct().unionByName(own.distinct()) if twice.isEmpty() else stay.unionByName(own).distinct()
+    return {"files": files, "vertices": kept.unionByName(fresh), "edges": edges}
