@@ -1,7 +1,6 @@
 """A sign exactly at seven tenths of what is left: not in the last three tenths, at any length."""
 
 import duckdb
-import pytest
 
 from tessera.plans import code_queries as Q
 
@@ -31,3 +30,8 @@ def _both(spark, monkeypatch, name, budget):
 def test_contexts_cut_at_seven_tenths(spark, monkeypatch):
     got, want = _both(spark, monkeypatch, "token_contexts", 400)
     assert len(want) == 48 and got == want
+
+
+def test_sections_cut_at_seven_tenths(spark, monkeypatch):
+    got, want = _both(spark, monkeypatch, "token_sections", 300)
+    assert len(want) == 96 and got == want
