@@ -40,7 +40,7 @@ def direct_callers(spark, d):
 def call_trace(spark, d):
     e, _ = _g(spark, d)
     start = I.table(spark, d, "orders").select(F.expr("concat('o:', o_orderkey)").alias("origin"))
-    return G.reach(e, start.withColumn("id", F.col("origin")), P.DEPENDENCY, 3, via=False)
+    return G.trace(e, start.withColumn("id", F.col("origin")), P.DEPENDENCY, 3)
 
 
 def impact(spark, d):
